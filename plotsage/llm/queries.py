@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plotsage.llm import licenses, mixing
+from plotsage.llm import licenses, mixing, pii
 from plotsage.llm.common import read
 
 
@@ -18,5 +18,9 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_license_scan, op7_source_mixing)}
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(read(spark, sf_dir, "documents")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_license_scan, op7_source_mixing, op9_personal_data)}
 ORACLE_SQL: dict[str, str] = {"op5_license_scan": licenses.scan_sql()}
