@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plotsage.llm import licenses, mixing, pii
+from plotsage.llm import licenses, mixing, pii, secrets
 from plotsage.llm.common import read
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.find(read(spark, sf_dir, "documents")))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents"))
 
@@ -22,5 +26,5 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(read(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_license_scan, op7_source_mixing, op9_personal_data)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_secret_scan, op5_license_scan, op7_source_mixing, op9_personal_data)}
 ORACLE_SQL: dict[str, str] = {"op5_license_scan": licenses.scan_sql()}
