@@ -103,12 +103,20 @@ def is_blank(data: np.ndarray) -> np.ndarray:
     return (data == 32) | ((data >= 9) & (data <= 13))
 
 
-def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each word its 64-bit hash, first and last byte (end exclusive); and of each text its first word's index (len + 1)."""
+def is_word_byte() -> np.ndarray:
+    """By byte: a letter, a digit, or part of a character beyond ASCII."""
+    return np.array([chr(b).isalnum() if b < 128 else True for b in range(256)])
+
+
+def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, inside: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each word its 64-bit hash, first and last byte (end exclusive); and of each text its first word's index (len + 1).
+
+    A word is a run of bytes that are no blanks, or of those that inside says.
+    """
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    inside = ~is_blank(data)
+    inside = ~is_blank(data) if inside is None else inside[data]
     begins = np.zeros(n + 1, bool)
     begins[offsets] = True
     first = inside.copy()
