@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plotsage.llm import licenses, mixing, near, pii, quality, secrets
+from plotsage.llm import decontaminate, licenses, mixing, near, pii, quality, secrets
 from plotsage.llm.common import read
 
 
@@ -14,6 +14,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find(read(spark, sf_dir, "documents")))
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents"))
 
@@ -35,5 +39,5 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(read(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_secret_scan, op5_license_scan, op6_ngram_jaccard, op7_source_mixing, op8_quality_classifier, op9_personal_data)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_secret_scan, op4_benchmark_decontamination, op5_license_scan, op6_ngram_jaccard, op7_source_mixing, op8_quality_classifier, op9_personal_data)}
 ORACLE_SQL: dict[str, str] = {"op5_license_scan": licenses.scan_sql()}
