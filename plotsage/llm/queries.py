@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plotsage.llm import decontaminate, licenses, lm, mixing, near, pii, quality, secrets, substring
+from plotsage.llm import decontaminate, hamming, licenses, lm, mixing, near, pii, quality, secrets, substring
 from plotsage.llm.common import read
 
 
@@ -18,6 +18,11 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find(read(spark, sf_dir, "documents")))
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return hamming.nearest(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -47,5 +52,5 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_secret_scan, op4_benchmark_decontamination, op5_license_scan, op6_ngram_jaccard, op7_source_mixing, op8_quality_classifier, op9_personal_data, op10_language_model)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_secret_scan, op3_nearest_neighbours, op4_benchmark_decontamination, op5_license_scan, op6_ngram_jaccard, op7_source_mixing, op8_quality_classifier, op9_personal_data, op10_language_model)}
 ORACLE_SQL: dict[str, str] = {"op5_license_scan": licenses.scan_sql()}
