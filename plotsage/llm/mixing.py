@@ -2,8 +2,9 @@
 
 Each document of a source should be taken target / source_size times. The whole part of that is certain; the
 fractional part is a probability. Pairs of documents transfer words between their probabilities at random, so that each
-keeps its expectation and their words stay the same in sum, until one of the two is integral. Leaves of a tree round
-a bounded number of documents each and hand on at most one that is still fractional; the next level pairs those.
+keeps its expectation and their words stay the same in sum, until one of the two is integral. A document too large for
+one partner is paired with all the others of its node. Leaves of a tree round a bounded number of documents each and
+hand on at most one that is still fractional; the next level pairs those.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from plotsage.llm.common import WORD, cut
 
 #: Documents that one leaf of the reduction tree rounds, and residuals that one inner node does.
 LEAF_ROWS = 4096
+#: A document with more than one part in so many of a node's words is balanced by all its other documents.
+LARGE = 64
 SEED = 20240
 EPSILON = 1e-9
 
@@ -46,32 +49,57 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, c
     return cut(ranked.select("source", "source_size", "n_units", target.alias("target")), "mix-targets")
 
 
-def pivot(p: np.ndarray, size: np.ndarray, draw: np.ndarray) -> tuple[np.ndarray, int]:
-    """Round the probabilities p in order; the index of the one that stays fractional (-1: none)."""
-    p = p.copy()
-    held = -1
+def closed(p: np.ndarray) -> np.ndarray:
+    return np.where(p <= EPSILON, 0.0, np.where(p >= 1 - EPSILON, 1.0, p))
+
+
+def pivot_large(p: np.ndarray, size: np.ndarray, draw: np.random.Generator) -> np.ndarray:
+    """Settle documents (largest first) that hold more than 1 / LARGE of the words that are left.
+
+    No single partner can balance such a document, so its partner is all the rest at once, each of which moves by the
+    same probability. Each step makes the document or one of the rest integral."""
+    p = closed(p)
+    left = np.concatenate([np.cumsum(size[::-1])[::-1], [0.0]])
     for i in range(len(p)):
-        if p[i] <= EPSILON or p[i] >= 1 - EPSILON:
-            p[i] = round(p[i])
-            continue
+        if size[i] * LARGE <= left[i]:
+            break
+        while 0 < p[i] < 1:
+            rest = np.flatnonzero((p[i + 1 :] > 0) & (p[i + 1 :] < 1)) + i + 1
+            if not len(rest):
+                break
+            words = size[rest].sum()
+            up, down = min(size[i] * (1 - p[i]), p[rest].min() * words), min(size[i] * p[i], (1 - p[rest].max()) * words)
+            move = up if draw.random() * (up + down) < down else -down
+            p[i] += move / size[i]
+            p[rest] -= move / words
+            p = closed(p)
+    return p
+
+
+def pivot(p: np.ndarray, size: np.ndarray, draw: np.random.Generator) -> tuple[np.ndarray, int]:
+    """Round the probabilities p by pairs, in order; the index of the one that stays fractional (-1: none)."""
+    p = closed(p)
+    held = -1
+    for i in np.flatnonzero((p > 0) & (p < 1)):
         if held < 0:
-            held = i
+            held = int(i)
             continue
         a, b = p[held] * size[held], p[i] * size[i]  # in words; a + b stays
         up, down = min(size[held] - a, b), min(a, size[i] - b)
-        move = up if draw[i] * (up + down) < down else -down
-        p[held], p[i] = (a + move) / size[held], (b - move) / size[i]
-        open_ = [j for j in (held, i) if EPSILON < p[j] < 1 - EPSILON]
-        for j in {held, i} - set(open_):
-            p[j] = round(p[j])
-        held = open_[0] if open_ else -1
+        move = up if draw.random() * (up + down) < down else -down
+        p[[held, i]] = closed(np.array([(a + move) / size[held], (b - move) / size[i]]))
+        held = next((int(j) for j in (held, i) if 0 < p[j] < 1), -1)
     return p, held
 
 
 def round_group(rows: pd.DataFrame) -> pd.DataFrame:
-    """Round the rows of one node of the tree. The order and the draws hang on the rows alone, so reruns agree."""
-    rows = rows.sort_values(["draw", "doc_id", "size"], kind="stable")
-    p, held = pivot(rows["p"].to_numpy(), rows["words"].to_numpy(), rows["draw"].to_numpy())
+    """Round the rows of one node of the tree. The order and the draws hang on the rows alone, so reruns agree.
+
+    Large documents come first: what stays open at the end is then a small one as a rule, and the sum of words near."""
+    rows = rows.sort_values(["words", "draw", "doc_id"], ascending=[False, True, True], kind="stable")
+    draw = np.random.default_rng(int(rows["draw"].iloc[0] * (1 << 40)))
+    size = rows["words"].to_numpy()
+    p, held = pivot(pivot_large(rows["p"].to_numpy(), size, draw), size, draw)
     rows["p"] = p
     rows["open"] = np.arange(len(rows)) == held
     rows["draw"] = (rows["draw"] * 1_000_003.7 + 0.137) % 1.0

@@ -173,26 +173,27 @@ def verify(similarity: float):
 
 
 def group(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, recall: float = RECALL, rows: int = ROWS) -> DataFrame:
-    """docs with class_id, n_links and kept beside its columns (which must hold doc_id and text, and may hold others).
+    """The columns of docs by place (c0, c1, ...) and class_id, n_links and kept.
 
     A class is what links of at least that Jaccard similarity between sets of width-word n-grams connect; class_id is
     its least doc_id, n_links the number of other rows that a row is linked to, copies of its own words included, and
     kept marks one row of each class, that of least doc_id. Texts of fewer words are one n-gram. Null and empty texts are
-    classes of their own without links, and kept. A null doc_id comes after all others. Repeated rows are copies. An
-    empty table gives an empty result.
+    classes of their own without links, and kept. A null doc_id comes after all others. Repeated rows are copies. Columns
+    beside doc_id and text may have any name. An empty table gives an empty result.
     """
     names = docs.columns
-    own = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(names)], F.col("doc_id").cast("long").alias("_id"), F.coalesce("text", F.lit("")).alias("_text"))
-    done = signed(own, width, similarity, recall, rows)
-    at_id, at_text = f"c{len(names)}", f"c{len(names) + 1}"
-    done = cut(done.withColumn("row", F.monotonically_increasing_id()), "near-signed")
-    first = F.min(F.struct(F.col(at_id).isNull().alias("none"), F.col(at_id).alias("id"), F.col("row").alias("row"))).alias("first")
+    at_text = f"c{names.index('text')}"
+    inner = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    rest = [c for c in inner.columns if c != at_text]
+    # the text comes last, where signed() looks for it
+    own = inner.select(*rest, F.col(f"c{names.index('doc_id')}").cast("long").alias("id"), at_text)
+    done = cut(signed(own, width, similarity, recall, rows).toDF(*rest, "id", at_text, "d1", "d2", "n_words", "bands").withColumn("row", F.monotonically_increasing_id()), "near-signed")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")
     nodes = done.filter("n_words > 0").groupBy("d1", "d2").agg(first, F.count("*").alias("copies"), F.min("row").alias("row"))
     nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
 
     # candidates: those that share a band hash are joined to the least of them
-    banded = nodes.select("node", "row").join(done.select("row", "bands", "n_words"), "row")
-    banded = cut(banded, "near-bands")
+    banded = cut(nodes.select("node", "row").join(done.select("row", "bands", "n_words"), "row"), "near-bands")
     each = banded.select("node", F.explode("bands").alias("band"))
     leads = cut(each.groupBy("band").agg(F.min("node").alias("lead"), F.count("*").alias("n")).filter("n > 1").select("band", "lead"), "near-leads")
     pairs = each.join(leads, "band").filter("node <> lead").select(F.col("node").alias("u"), F.col("lead").alias("v"))
@@ -220,16 +221,20 @@ def group(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, r
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     keyed = rooted.join(counts, "node", "left").join(classes, "root")
     keyed = cut(keyed.select("d1", "d2", "head", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "near-keyed")
-    out = done.drop("bands", at_text).withColumn("d1", F.when(F.col("n_words") > 0, F.col("d1"))).join(keyed, ["d1", "d2"], "left")
-    mine = F.col("head").isNull()
-    return out.select(
-        *[F.col(f"c{i}").alias(c) for i, c in enumerate(names)],
-        F.when(mine, F.col(at_id)).otherwise(F.col("head.id")).alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        (mine | (F.col("head.row") == F.col("row"))).alias("kept"),
-    )
+    # empty texts have no class to look up; their digests are all the same, which is no key to join by
+    wordless = done.filter("n_words = 0").withColumns({"head": F.lit(None).cast(keyed.schema["head"].dataType), "n_links": F.lit(0).cast("long")})
+    worded = done.filter("n_words > 0").join(keyed, ["d1", "d2"], "left")
+    alone = F.col("head").isNull()
+    columns = [*inner.columns, F.when(alone, F.col("id")).otherwise(F.col("head.id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (alone | (F.col("head.row") == F.col("row"))).alias("kept")]
+    return worded.select(*columns).unionByName(wordless.select(*columns))
 
 
 def near_copies(docs: DataFrame, **options) -> DataFrame:
     """doc_id, class_id, n_links and kept of each row of docs; see group()."""
-    return group(docs.select("doc_id", "text"), **options).drop("text")
+    return group(docs.select("doc_id", "text"), **options).select(F.col("c0").alias("doc_id"), "class_id", "n_links", "kept")
+
+
+def representatives(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs that group() keeps, one of each class, with all their columns."""
+    found = group(docs, **options).filter("kept")
+    return found.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -155,26 +155,33 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     return Machine().fit(stats, owner, buckets.flatten().to_numpy().astype(np.int64), values.flatten().to_numpy().astype(float), rows.column("label").to_numpy())
 
 
-def score(docs: DataFrame, model: Machine, threshold: float = THRESHOLD, keep: bool = False) -> DataFrame:
-    """doc_id, held_out, score and predicted for each row of docs; with keep, docs with score and predicted beside its columns.
-
-    Null and empty texts have the same defined score, that of a text without words. Labels, lang, source and doc_id are
-    no inputs. Null doc_ids (held_out false), repeated rows, and columns of clashing names are kept as they are; an empty
-    table gives an empty result.
-    """
+def scored(docs: DataFrame, model: Machine) -> DataFrame:
+    """docs with a last column _score; its text is looked up by position, so that columns of any names may be there."""
     table = byte_table(lower=False)
+    at_text = docs.columns.index("text")
+    inner = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
 
     def run(batches):
         for batch in batches:
             out = np.zeros(len(batch))
-            for at, to, *x in features(batch.column(batch.num_columns - 1), table):
+            for at, to, *x in features(batch.column(at_text), table):
                 out[at:to] = model.scores(*x)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out)], names=[*batch.schema.names[:-1], "_score"])
-
-    own = docs if keep else docs.select("doc_id")
-    text = F.coalesce(docs["text"], F.lit(""))
-    rows = docs.select(*[docs[c] for c in own.columns], text.alias("_text"))
-    scored = rows.mapInArrow(run, own.withColumn("_score", F.lit(0.0)).schema)
-    if keep:
-        return scored.withColumn("_predicted", (F.col("_score") >= threshold).cast("int"))
-    return scored.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, "_score"])
+
+    return inner.mapInArrow(run, inner.withColumn("_score", F.lit(0.0)).schema).toDF(*docs.columns, "_score")
+
+
+def score(docs: DataFrame, model: Machine, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, held_out, score and predicted for each row of docs.
+
+    Null and empty texts have the same defined score, that of a text without words. Labels, lang, source and doc_id are
+    no inputs. Null doc_ids (held_out false) and repeated rows are kept; other columns are left out; an empty table gives
+    an empty result.
+    """
+    known = scored(docs.select("doc_id", "text"), model).drop("text")
+    return known.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, model: Machine, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs whose score reaches the threshold, with all their columns."""
+    return scored(docs, model).filter(F.col("_score") >= threshold).drop("_score")
