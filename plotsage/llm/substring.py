@@ -133,18 +133,26 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, bits: int = BITS, least
     return told.join(pairs.select("row", "doc_id").distinct(), "row").select("row", "doc_id", "spans")
 
 
+def let(value, f):
+    """f of the value, which is computed once for each row however often f names it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def stretches(hits, min_words: int):
-    """Hits of one text, in order, joined where they overlap; short stretches are left out. Linear: hits are cut into
-    stretches at the indexes where a new one begins."""
-    n = F.size(hits)
-    begins = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (hits[i - 1]["start"] > hits[F.greatest(i - 2, F.lit(0))]["middle"]))
-    runs = F.zip_with(begins, F.concat(F.slice(begins, F.lit(2), n), F.array(n + 1)), lambda a, b: F.slice(hits, a, F.greatest(F.coalesce(b, n + 1) - a, F.lit(0))))
+    """Hits of one text, in order, joined where they overlap; short stretches are left out. Takes time in proportion to
+    the hits: they are cut at the places where a new stretch begins."""
 
     def told(run):
-        total = F.aggregate(run, F.lit(0), lambda acc, h: acc + h["words"]) + F.element_at(run, -1)["more_words"]
-        return F.struct(run[0]["start"].alias("start"), F.element_at(run, -1)["end"].alias("end"), total.alias("words"), F.forall(run, lambda h: h["copy"]).alias("copy"))
+        words = F.aggregate(run, F.lit(0), lambda acc, h: acc + h["words"]) + F.element_at(run, -1)["more_words"]
+        return F.struct(run[0]["start"].alias("start"), F.element_at(run, -1)["end"].alias("end"), words.alias("words"), F.forall(run, lambda h: h["copy"]).alias("copy"))
+
+    def joined(h, begins):
+        after = lambda i: F.coalesce(F.get(begins, i + 1), F.size(h) + 1)
+        runs = F.transform(F.sequence(F.lit(0), F.size(begins) - 1), lambda i: F.slice(h, begins[i], after(i) - begins[i]))
+        return F.filter(F.transform(runs, told), lambda s: s["words"] >= min_words)
 
-    return F.filter(F.transform(F.filter(runs, lambda r: F.size(r) > 0), told), lambda s: s["words"] >= min_words)
+    first = lambda h: F.filter(F.sequence(F.lit(1), F.size(h)), lambda i: (i == 1) | (h[i - 1]["start"] > h[F.greatest(i - 2, F.lit(0))]["middle"]))
+    return let(hits, lambda h: let(first(h), lambda begins: joined(h, begins)))
 
 
 def digest(found: DataFrame) -> DataFrame:
