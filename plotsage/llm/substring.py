@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from plotsage.llm.common import cut, is_blank, mix64, numbers, pieces, powers
 
 #: Top bits that must be zero (one place in 16), least and most characters of a chunk.
-BITS, LEAST, MOST = 4, 24, 128
-#: Words that a stretch of repeated chunks must hold to be told.
-MIN_WORDS = 20
+BITS, LEAST, MOST = 4, 12, 128
+#: Words that a stretch of repeated chunks must hold to be told, or characters, as some scripts have no blanks.
+MIN_WORDS, MIN_CHARS = 16, 400
 
 
 def boundaries(points: np.ndarray, begins: np.ndarray, bits: int, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -114,7 +114,7 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, bits: int = BITS, least
     spans: start and end (code points, end exclusive), words, and copy: whether each of its chunk pairs occurs before, in
     the table as it was read or earlier in the text, so that dropping all copies keeps one of each. A passage is a
     stretch of chunks whose every neighbouring pair occurs elsewhere too, in the same or another text, and that holds at
-    least min_words words. Null and empty texts have none; null doc_ids are kept; repeated rows are repeats of each
+    least min_words words or 400 characters. Null and empty texts have none; null doc_ids are kept; repeated rows are repeats of each
     other; other columns are left out; an empty table gives an empty result.
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("row", F.monotonically_increasing_id())
@@ -149,7 +149,7 @@ def stretches(hits, min_words: int):
     def joined(h, begins):
         after = lambda i: F.coalesce(F.get(begins, i + 1), F.size(h) + 1)
         runs = F.transform(F.sequence(F.lit(0), F.size(begins) - 1), lambda i: F.slice(h, begins[i], after(i) - begins[i]))
-        return F.filter(F.transform(runs, told), lambda s: s["words"] >= min_words)
+        return F.filter(F.transform(runs, told), lambda s: (s["words"] >= min_words) | (s["end"] - s["start"] >= MIN_CHARS))
 
     first = lambda h: F.filter(F.sequence(F.lit(1), F.size(h)), lambda i: (i == 1) | (h[i - 1]["start"] > h[F.greatest(i - 2, F.lit(0))]["middle"]))
     return let(hits, lambda h: let(first(h), lambda begins: joined(h, begins)))
