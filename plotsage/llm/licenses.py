@@ -71,6 +71,11 @@ def normalised(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
 
 
+def in_order(sequence: list[str]) -> str:
+    """A pattern of these identifiers in this order, with or without others between them."""
+    return " " + "(?: .*)? ".join(sequence) + " "
+
+
 def sentence_ids(text: Column) -> Column:
     """Identifiers of the licence sentences of a text in order. A sentence may run over line ends, or be a line of its own."""
     sentences = F.split(F.regexp_replace(text, BREAK, "$1\u0001"), "\u0001")
@@ -90,7 +95,7 @@ def scan(docs: DataFrame) -> DataFrame:
     padded = F.concat(F.lit(" "), "sentences", F.lit(" "))
     found: dict[str, Column] = {}
     for licence, sequence in RULES:
-        hit = padded.rlike(" .*".join(f" {i}" for i in sequence) + " ")
+        hit = padded.rlike(in_order(sequence))
         found[licence] = found[licence] | hit if licence in found else hit
     for less, more in GIVES_WAY.items():
         found[less] = found[less] & ~found[more]
@@ -103,7 +108,7 @@ def scan_sql() -> str:
     table = "map {" + ", ".join(f"'{s}': '{i}'" for s, i in SENTENCES.items()) + "}"
     cases: dict[str, str] = {}
     for licence, sequence in RULES:
-        test = f"regexp_matches(padded, '{' .*'.join(f' {i}' for i in sequence)} ')"
+        test = f"regexp_matches(padded, '{in_order(sequence)}')"
         cases[licence] = f"{cases[licence]} OR {test}" if licence in cases else test
     for less, more in GIVES_WAY.items():
         cases[less] = f"({cases[less]}) AND NOT ({cases[more]})"
