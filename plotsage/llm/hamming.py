@@ -90,7 +90,7 @@ def probe(queries: np.ndarray, codes: np.ndarray, radius: int):
         for j, (values, order, begin) in enumerate(index):
             # the buckets within the substring's radius: of those that exist, which are fewer than all that could
             near = np.flatnonzero(np.bitwise_count(values ^ query[j]) <= radii[j])
-            rows.append(np.concatenate([order[begin[v] : begin[v + 1]] for v in near]) if len(near) < 64 else order[np.repeat(np.isin(np.arange(len(values)), near, assume_unique=True), np.diff(begin))])
+            rows.append(np.concatenate([order[:0], *(order[begin[v] : begin[v + 1]] for v in near)]) if len(near) < 64 else order[np.repeat(np.isin(np.arange(len(values)), near, assume_unique=True), np.diff(begin))])
         found = np.zeros(len(codes), bool)
         found[np.concatenate(rows)] = True
         found = np.flatnonzero(found)
