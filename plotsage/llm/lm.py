@@ -32,13 +32,13 @@ DROPPED = np.uint64(16)
 
 def pack(values: np.ndarray) -> bytes:
     """Numbers as planes of bytes, compressed: sorted hashes and small counts shrink by half and more."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.dtype.itemsize).T.tobytes())
 
 
 def unpack(data: bytes, kind) -> np.ndarray:
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
     size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(planes.reshape(size, -1).T).view(kind).ravel()
+    return np.ascontiguousarray(planes.reshape(size, len(planes) // size).T).view(kind).ravel()
 
 
 BLOCK = "texts array<long>, held array<boolean>, begins array<int>, vocabulary binary, tokens binary"
