@@ -43,7 +43,7 @@ def feature_json(plot_id: Column, gtype: Column, parts: Column) -> Column:
 def issues(gtype: Column, parts: Column, crossing: Column | None = None) -> Column:
     """Why a feature does not conform: unsupported type, no rings, holes, too few pairs, open rings, self-crossing.
 
-    crossing: whether segments of the plot's rings cross (see crossings). Six decimals hold by construction.
+    crossing: whether a ring of the plot meets itself, in a crossing, a touch or a spur (see crossings). Six decimals hold by construction.
     """
     areal = gtype.isin("Polygon", "MultiPolygon")
     rings = F.flatten(parts)
@@ -55,7 +55,7 @@ def issues(gtype: Column, parts: Column, crossing: Column | None = None) -> Colu
         F.when(areal & F.exists(parts, lambda p: F.size(p) > 1), "interior rings"),
         F.when(areal & short, "fewer than 4 pairs"),
         F.when(areal & unclosed, "not closed"),
-        F.when(areal & F.coalesce(crossing if crossing is not None else F.lit(False), F.lit(False)), "self-crossing ring"),
+        F.when(areal & ~short & F.coalesce(crossing if crossing is not None else F.lit(False), F.lit(False)), "self-crossing ring"),
     ))
 
 

@@ -67,7 +67,7 @@ def assessed_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feature_issues(plots: DataFrame) -> DataFrame:
-    crossing = crossings.meetings(closed(plots)).filter("kind = 'cross'").select("plot_id").distinct().withColumn("crossing", F.lit(True))
+    crossing = crossings.meetings(closed(plots)).filter("part = o_part and ring = o_ring").select("plot_id").distinct().withColumn("crossing", F.lit(True))
     return plots.join(crossing, "plot_id", "left").withColumn("issues", statements.issues(F.col("gtype"), F.col("parts"), F.col("crossing")))
 
 

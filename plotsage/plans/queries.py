@@ -341,7 +341,7 @@ def consignment_geojson(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("consignment", "n_plots", "bytes", "conformant", F.sha2("geojson", 256).alias("geojson_sha256"))
 
 
-@query(f"""WITH {PLOTS} SELECT plot_id, array_to_string(list_filter([CASE WHEN kind = 5 THEN 'interior rings' END, CASE WHEN kind = 4 THEN 'not closed' END, CASE WHEN kind = 6 THEN 'self-crossing ring' END], lambda x: x IS NOT NULL), ',') AS issues FROM plots""")
+@query(f"""WITH {PLOTS} SELECT plot_id, array_to_string(list_filter([CASE WHEN kind = 5 THEN 'interior rings' END, CASE WHEN kind = 4 THEN 'not closed' END, CASE WHEN kind IN (6, 11) THEN 'self-crossing ring' END], lambda x: x IS NOT NULL), ',') AS issues FROM plots""")
 def feature_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.feature_issues(derive.plots(spark, sf_dir)).select("plot_id", F.array_join("issues", ",").alias("issues"))
 
