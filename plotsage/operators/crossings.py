@@ -10,21 +10,21 @@ from pyspark.sql import functions as F
 from plotsage.functions import geometry as g
 from plotsage.operators.validation import FIXED, REPAIR_SHARE, REVIEW
 
-#: Cells along each side of a plot's box: about as many as a long ring has segments.
-CELLS = 16
+#: Segments for each cell of a plot's grid: a short ring is one cell, a long one has cells along both sides.
+PER_CELL = 16
 
 
-def segments(plots: DataFrame) -> DataFrame:
-    """plot_id, part, ring, nth, n (segments of the ring), ax, ay, bx, by of every segment that has a length.
+def segments(plots: DataFrame, *more: str) -> DataFrame:
+    """plot_id, part, ring, nth, n (segments of the ring), ax, ay, bx, by of every segment that has a length; and more columns.
 
     Repeated neighbours make no segment: they are no fault of the ring here.
     """
-    rings = plots.filter(F.col("gtype").isin("Polygon", "MultiPolygon")).select("plot_id", F.posexplode("parts").alias("part", "p")).select("plot_id", "part", F.posexplode("p").alias("ring", "r"))
+    rings = plots.filter(F.col("gtype").isin("Polygon", "MultiPolygon")).select("plot_id", *more, F.posexplode("parts").alias("part", "p")).select("plot_id", *more, "part", F.posexplode("p").alias("ring", "r"))
     tidy = F.filter("r", lambda v, i: (i == 0) | (v != F.get(F.col("r"), F.greatest(i - 1, F.lit(0)))))
     tidy = rings.withColumn("r", tidy).withColumn("n", F.size("r") - 1).filter("n > 0")
-    each = tidy.select("plot_id", "part", "ring", "n", "r", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("nth"))
+    each = tidy.select("plot_id", *more, "part", "ring", "n", "r", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("nth"))
     a, b = F.get(F.col("r"), F.col("nth")), F.get(F.col("r"), F.col("nth") + 1)
-    return each.select("plot_id", "part", "ring", "n", "nth", a["x"].alias("ax"), a["y"].alias("ay"), b["x"].alias("bx"), b["y"].alias("by"))
+    return each.select("plot_id", *more, "part", "ring", "n", "nth", a["x"].alias("ax"), a["y"].alias("ay"), b["x"].alias("bx"), b["y"].alias("by"))
 
 
 def _turn(ax, ay, bx, by, cx, cy) -> Column:
@@ -43,14 +43,19 @@ def meetings(plots: DataFrame) -> DataFrame:
     meet in one point by right and count only if they overlap, as a spur does. Long segments fall into several cells, and a
     pair that shares several is counted once, in the cell of its boxes' common lower corner.
     """
-    seg = segments(plots)
-    box = seg.groupBy("plot_id").agg(F.min(F.least("ax", "bx")).alias("x0"), F.min(F.least("ay", "by")).alias("y0"), F.max(F.greatest("ax", "bx")).alias("x1"), F.max(F.greatest("ay", "by")).alias("y1"))
-    cell = lambda v, lo, hi: F.expr(f"({v} - {lo}) * {CELLS} div greatest({hi} - {lo} + 1, 1)")
-    seg = seg.join(box, "plot_id")
+    # the box and the number of points are read off the geometry, before it is taken apart
+    points = g.coordinates(F.col("parts"))
+    bound = lambda f, c: f(F.transform("_points", lambda p: p[c]))
+    boxed = plots.withColumn("_points", points).withColumns({"x0": bound(F.array_min, "x"), "y0": bound(F.array_min, "y"), "x1": bound(F.array_max, "x"), "y1": bound(F.array_max, "y"), "side": F.ceil(F.sqrt(F.size("_points") / PER_CELL))})
+    seg = segments(boxed, "x0", "y0", "x1", "y1", "side")
+    cell = lambda v, lo, hi: F.expr(f"({v} - {lo}) * side div greatest({hi} - {lo} + 1, 1)")
     for name, v, lo, hi in (("c0", "least(ax, bx)", "x0", "x1"), ("c1", "greatest(ax, bx)", "x0", "x1"), ("r0", "least(ay, by)", "y0", "y1"), ("r1", "greatest(ay, by)", "y0", "y1")):
         seg = seg.withColumn(name, cell(v, lo, hi))
-    seg = seg.drop("x0", "x1", "y0", "y1").withColumn("c", F.explode(F.sequence("c0", "c1"))).withColumn("r", F.explode(F.sequence("r0", "r1")))
-    other = seg.select("plot_id", "c", "r", *[F.col(x).alias(f"o_{x}") for x in ("part", "ring", "nth", "ax", "ay", "bx", "by", "c0", "r0")])
+    seg = seg.withColumn("c", F.explode(F.sequence("c0", "c1"))).withColumn("r", F.explode(F.sequence("r0", "r1")))
+    names = ("part", "ring", "nth", "n", "ax", "ay", "bx", "by", "c0", "r0")
+    seg = seg.select("plot_id", "c", "r", *names)
+    # the same columns on both sides: Spark makes and shuffles them once
+    other = seg.toDF("plot_id", "c", "r", *[f"o_{x}" for x in names])
     pairs = seg.join(other, ["plot_id", "c", "r"]).filter("struct(part, ring, nth) < struct(o_part, o_ring, o_nth)")
     pairs = pairs.filter("c = greatest(c0, o_c0) and r = greatest(r0, o_r0)")
     d1, d2 = _turn("ax", "ay", "bx", "by", "o_ax", "o_ay"), _turn("ax", "ay", "bx", "by", "o_bx", "o_by")

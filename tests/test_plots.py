@@ -48,7 +48,7 @@ def test_crs_and_asserted_area(spark):
 def test_crossings_do_not_depend_on_the_grid(spark, monkeypatch):
     df = parsed(spark, *PATHOLOGIES)
     want = sorted(map(tuple, crossings.meetings(df).select("plot_id", "kind", "nth", "o_nth").collect()))
-    monkeypatch.setattr(crossings, "CELLS", 3)
+    monkeypatch.setattr(crossings, "PER_CELL", 0.5)
     assert sorted(map(tuple, crossings.meetings(df).select("plot_id", "kind", "nth", "o_nth").collect())) == want
 
 
