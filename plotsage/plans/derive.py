@@ -110,7 +110,7 @@ SELECT run_id, plot_id, dataset_name, concat('v', CAST(run_id % 3 AS VARCHAR(9))
   CASE WHEN band > 21 AND fraction >= 0.05 THEN 'high|loss' WHEN band > 20 THEN 'more-info-needed|loss' ELSE 'low|none' END AS verdict,
   run_id * 100000000 + plot_id * 3 + layer AS id, layer AS layer_order
 FROM (SELECT l_orderkey % 50 AS run_id, l_partkey AS plot_id, CAST(l_linenumber % 3 AS INT) AS layer, concat('layer-', CAST(l_linenumber % 3 AS VARCHAR(9))) AS dataset_name,
-  max({band}) AS band, max(l_discount) AS fraction FROM lineitem GROUP BY l_orderkey % 50, l_partkey, l_linenumber % 3)
+  CAST(max({band}) AS DOUBLE) AS band, max(l_discount) AS fraction FROM lineitem GROUP BY l_orderkey % 50, l_partkey, l_linenumber % 3)
 """
 
 

@@ -284,9 +284,9 @@ RESULTS = f"res AS ({derive.RESULTS_SQL})"
 LEDGER = f"led AS ({derive.ledger_sql(D)})"
 
 
-@query(f"WITH {RESULTS} SELECT plot_id, created_at, id, run_id, verdict FROM res QUALIFY row_number() OVER (PARTITION BY plot_id ORDER BY created_at DESC, id DESC) = 1")
+@query(f"WITH {RESULTS} SELECT plot_id, id, run_id, verdict FROM res QUALIFY row_number() OVER (PARTITION BY plot_id ORDER BY created_at DESC, id DESC) = 1")
 def latest_result(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger.latest(derive.results(spark, sf_dir))
+    return ledger.latest(derive.results(spark, sf_dir)).drop("created_at")
 
 
 @query(f"WITH {LEDGER} SELECT * FROM led WHERE run_id = 7")
