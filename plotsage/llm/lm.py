@@ -24,7 +24,7 @@ from plotsage.llm.common import byte_table, cut, lists, mix64, numbers, pieces,
 
 ORDER, MASS = 2, 64.0
 #: Bytes of text of a block (one long text may be more), and n-grams of a shard.
-BLOCK_BYTES, SHARD_GRAMS = 32 << 20, 1 << 21
+BLOCK_BYTES, SHARD_GRAMS = 12 << 20, 1 << 20
 END, BEGIN = (numbers(n, 1)[0] for n in (41, 42))
 #: Low bits of a hash that n-grams of two and more words drop: less to shuffle. Single words keep all 64.
 DROPPED = np.uint64(16)
