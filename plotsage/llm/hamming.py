@@ -5,7 +5,8 @@ codes within a Hamming radius r agree, in one of m substrings at least, to withi
 probing each substring's index that far retrieves every code within r. What is retrieved is ranked by its floats.
 
 The rotation and the radius are fitted on a bounded sample; every vector is indexed. Vectors are dealt to blocks by
-hash; a block holds the indexes of its own vectors, and blocks of queries visit it.
+hash; a block holds the indexes of its own vectors, and blocks of queries visit it. Queries for which the radius holds
+too few codes, as they lie apart from all others, ask again with a wider one.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plotsage.llm.common import cut
+
 #: Vectors that rotation and radius are fitted on (those of the smallest hashes of their id), and queries among them.
 SAMPLE_ROWS, SAMPLE_QUERIES = 4096, 256
 #: Bits of a code for each dimension, bits of a substring, and the share of true neighbours the radius must hold.
@@ -97,7 +100,7 @@ def probe(queries: np.ndarray, codes: np.ndarray, radius: int):
         yield found[np.bitwise_count(codes[found] ^ query).sum(1) <= radius]
 
 
-def search_block(model: Codes, k: int):
+def search_block(model: Codes, k: int, radius: int):
     """Queries of one block against the index of one block; each query's k nearest of those found, by exact cosine."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -106,12 +109,13 @@ def search_block(model: Codes, k: int):
             ids, x = left.column("vec_id").to_numpy(), unit(matrix(left.column("v")))
             single = len(np.unique(ids)) == len(ids)
             query_ids, q = right.column("vec_id").to_numpy(), unit(matrix(right.column("v")))
-            for i, found in enumerate(probe(model.of(q), model.of(x), model.radius)):
+            for i, found in enumerate(probe(model.of(q), model.of(x), radius)):
                 found = found[ids[found] != query_ids[i]]
                 score = x[found] @ q[i]
                 if len(found) > k and single:
                     least = np.partition(score, len(score) - k)[len(score) - k]
-                    found, score = found[score >= least], score[score >= least]
+                    found = found[score >= least - 1e-9]
+                score = (x[found] * q[i]).sum(1)  # equal vectors get equal scores wherever they stand
                 order = np.lexsort((ids[found], -score))
                 if not single:  # an id counts once, with its best
                     order = order[np.sort(np.unique(ids[found[order]], return_index=True)[1])]
@@ -129,8 +133,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, sample_rows: int
 
     Nearness is the cosine in double precision; ties go to the smaller vec_id; a query's own id is no answer. Vectors
     that are null, empty or zero, or hold null or non-finite components, take no part, nor do null ids or vectors of
-    another length than most. Repeated rows are one. A query with fewer candidates has fewer rows; empty tables give
-    an empty result.
+    another length than most. Repeated rows are one. Each query has k rows, or all its candidates where there are fewer;
+    empty tables give an empty result.
     """
     tidy = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).filter(F.col("vec_id").isNotNull() & usable("v"))
     vectors, queries = tidy(vectors), tidy(queries)
@@ -141,13 +145,28 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, sample_rows: int
     n_rows, n_queries = lengths["count"] if lengths else 0, queries.count()
     sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).toArrow()
     model = Codes(unit(matrix(sample.column("v"))) if len(sample) else np.zeros((0, dim)), k)
-    n_blocks, n_visits = -(-n_rows // BLOCK_ROWS) or 1, -(-n_queries // BLOCK_QUERIES) or 1
     # repeated rows are spread by their place as well; equal answers fall together when the best are picked
-    salt = F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(n_blocks))
-    # each block of vectors meets each block of queries once
-    held = vectors.withColumn("block", salt).withColumn("visit", F.explode(F.sequence(F.lit(0), F.lit(n_visits - 1))))
-    asks = queries.distinct().withColumn("visit", F.pmod(F.xxhash64("vec_id"), F.lit(n_visits)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)).cast("array<long>")))
-    found = held.groupBy("block", "visit").cogroup(asks.groupBy("block", "visit")).applyInArrow(search_block(model, k), "query_id long, vec_id long, score double")
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    n_blocks = -(-n_rows // BLOCK_ROWS) or 1
+    indexed = vectors.withColumn("block", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(n_blocks)))
+    asking, radius, rounds = queries.distinct(), model.radius, []
+    while True:
+        # each block of vectors meets each block of queries once
+        n_visits = -(-n_queries // BLOCK_QUERIES) or 1
+        held = indexed.withColumn("visit", F.explode(F.sequence(F.lit(0), F.lit(n_visits - 1))))
+        asks = asking.withColumn("visit", F.pmod(F.xxhash64("vec_id"), F.lit(n_visits)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)).cast("array<long>")))
+        found = held.groupBy("block", "visit").cogroup(asks.groupBy("block", "visit")).applyInArrow(search_block(model, k, radius), "query_id long, vec_id long, score double")
+        rounds.append(cut(found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), "hamming-found"))
+        if radius >= model.n_sub * SUBSTRING:
+            break
+        served = rounds[-1].groupBy("query_id").count().filter(F.col("count") >= k).select(F.col("query_id").alias("vec_id"))
+        asking = cut(asking.join(served, "vec_id", "left_anti"), "hamming-asking")
+        n_queries = asking.count()
+        if not n_queries:
+            break
+        radius = min(2 * radius + model.n_sub, model.n_sub * SUBSTRING)
+    best = rounds[0]
+    for more in rounds[1:]:  # what a narrow radius found, a wider one finds too
+        best = best.unionByName(more)
+    best = best.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")) if len(rounds) > 1 else best
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

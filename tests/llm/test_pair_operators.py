@@ -272,6 +272,18 @@ def test_neighbours_of_few_and_none(spark):
     assert hamming.nearest(few.limit(0), few.limit(0)).count() == 0
 
 
+def test_queries_apart_from_all_others_are_served(spark):
+    """Tight clusters make a small radius; lone vectors lie outside of it and still get their neighbours."""
+    draw = np.random.default_rng(8)
+    centres = draw.normal(size=(40, 32))
+    rows = [(i + 1000, (centres[i % 40] + 0.01 * draw.normal(size=32)).tolist()) for i in range(1200)]
+    lone = [(50 * (i + 1), draw.normal(size=32).tolist()) for i in range(6)]
+    df = spark.createDataFrame(rows + lone, "vec_id long, embedding array<double>")
+    found = hamming.nearest(df, df.filter("vec_id < 1000")).toPandas()
+    assert found.groupby("query_id")["rank"].apply(lambda r: sorted(r) == [1, 2, 3, 4, 5]).to_dict() == {q: True for q, _ in lone}
+    assert not found.duplicated(["query_id", "vec_id"]).any()
+
+
 # --- pipeline -----------------------------------------------------------------------------------------------------------------------------
 
 
