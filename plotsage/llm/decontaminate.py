@@ -183,13 +183,14 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: s
 
     Tokens are runs of letters and digits, lower case by ASCII. An overlap is where, in some window of 13 tokens (or the
     whole of a shorter item), a share of at least similarity are the same at the same places; it covers all such windows
-    of one diagonal. Null and empty texts and items have none; a null key is a key; rows of equal keys are told together;
-    other columns are left out; an empty table on either side gives an empty result.
+    of one diagonal. Null and empty texts and items have none; a null key is a key, and a null item an item; rows of equal
+    keys are told together, and texts of equal items too; other columns are left out; an empty table on either side gives
+    an empty result.
     """
     spark = docs.sparkSession
     items = benchmark.select(benchmark[item].alias("item"), F.coalesce(benchmark["text"], F.lit("")).alias("text")).distinct()
-    items = cut(tokens_of(items, "item").filter("size(tokens) > 0"), "decon-items")
-    seeded = cut(item_seeds(items), "decon-seeds")
+    items = cut(tokens_of(items, "item").filter("size(tokens) > 0").withColumn("nth", F.monotonically_increasing_id()), "decon-items")
+    seeded = cut(item_seeds(items.select(F.col("nth").alias("item"), "tokens")).withColumnRenamed("item", "nth"), "decon-seeds")
     filled, bits = hash_filter(seeded)
     masks = [r[0] for r in seeded.select("mask").distinct().orderBy("mask").collect()]  # the fixed masks and fewer than eight more
     shared = spark.sparkContext.broadcast(filled)  # of bounded size
@@ -197,8 +198,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: s
     found = segments(own, masks, shared, bits) if masks else segments(own.limit(0), [MASKS[0]], shared, bits)
     found = cut(found.withColumn("segment", F.monotonically_increasing_id()), "decon-segments")
     hits = found.select("segment", F.explode(F.arrays_zip("hashes", "places")).alias("hit")).select("segment", F.col("hit.hashes").alias("hash"), F.col("hit.places").alias("at_place"))
-    lined = hits.join(seeded.select("item", "hash", "place"), "hash").select("segment", "item", (F.col("at_place") - F.col("place")).alias("diagonal")).distinct()
-    full = lined.join(found.select("segment", "key", "tokens", "starts", "ends"), "segment").join(items.withColumnRenamed("tokens", "item_tokens"), "item")
+    lined = hits.join(seeded.select("nth", "hash", "place"), "hash").select("segment", "nth", (F.col("at_place") - F.col("place")).alias("diagonal")).distinct()
+    full = lined.join(found.select("segment", "key", "tokens", "starts", "ends"), "segment").join(items.withColumnRenamed("tokens", "item_tokens"), "nth")
     run, schema = verify(similarity, dict(items.dtypes)["item"], dict(own.dtypes)["key"])
     return full.select("key", "item", "tokens", "starts", "ends", "item_tokens", "diagonal").mapInArrow(run, schema).distinct()
 
@@ -213,7 +214,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of docs whose text has no overlap with the benchmark; all columns stay."""
-    kept = cut(docs.withColumn("_row", F.monotonically_increasing_id()), "decon-docs")
-    bad = overlaps(kept.select("_row", "text"), benchmark, key="_row", **options).select(F.col("key").alias("_row")).distinct()
-    return kept.join(bad, "_row", "left_anti").select(*docs.columns)
+    """The rows of docs whose text has no overlap with the benchmark; all columns stay, whatever their names."""
+    columns = [f"c{i}" for i in range(len(docs.columns))]
+    kept = cut(docs.toDF(*columns).withColumn("row", F.monotonically_increasing_id()), "decon-docs")
+    texts = kept.select("row", F.col(columns[docs.columns.index("text")]).alias("text"))
+    bad = overlaps(texts, benchmark, key="row", **options).select(F.col("key").alias("row")).distinct()
+    return kept.join(bad, "row", "left_anti").select(*columns).toDF(*docs.columns)

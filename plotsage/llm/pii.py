@@ -163,18 +163,23 @@ def digest(found: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """docs with each found span replaced by its kind in angle brackets; of spans that overlap the first counts.
 
-    All columns stay, n_chars (where it is there) becomes the new length. Null texts stay null.
+    All columns stay, whatever their names; n_chars (where it is there) becomes the new length. Null texts stay null.
     """
-    kept = cut(docs.withColumn("_row", F.monotonically_increasing_id()), "pii-docs")
-    found = find(kept.select(F.col("_row").alias("doc_id"), "text")).filter(F.size("spans") > 0).select(F.col("doc_id").alias("_row"), F.array_sort(F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))).alias("_spans"))
+    columns = [f"c{i}" for i in range(len(docs.columns))]
+    text_name = columns[docs.columns.index("text")]
+    text = F.col(text_name)
+    kept = cut(docs.toDF(*columns).withColumn("row", F.monotonically_increasing_id()), "pii-docs")
+    spans = F.array_sort(F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
+    found = find(kept.select(F.col("row").alias("doc_id"), text.alias("text"))).filter(F.size("spans") > 0).select(F.col("doc_id").alias("row"), spans.alias("spans"))
 
     def step(acc: Column, x: Column) -> Column:
-        more = F.struct(F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, x["start"] - acc["at"]), F.lit("<"), x["kind"], F.lit(">")).alias("out"), x["end"].alias("at"))
+        more = F.struct(F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit("<"), x["kind"], F.lit(">")).alias("out"), x["end"].alias("at"))
         return F.when(x["start"] >= acc["at"], more).otherwise(acc)
 
-    last = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text")))
-    clean = F.aggregate("_spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, last)
-    out = kept.join(found, "_row", "left").withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(clean))
+    last = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
+    clean = F.aggregate("spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, last)
+    out = kept.join(found, "row", "left").withColumn(text_name, F.when(F.col("spans").isNull(), text).otherwise(clean))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+        n_chars = columns[docs.columns.index("n_chars")]
+        out = out.withColumn(n_chars, F.when(F.col("spans").isNull(), F.col(n_chars)).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType)))
+    return out.select(*columns).toDF(*docs.columns)

@@ -223,6 +223,14 @@ def test_decontamination_of_empty_tables(corpus, nothing, spark):
     assert decontaminate.clean(corpus, bench.limit(0)).count() == corpus.count()
 
 
+def test_items_without_id_count_and_columns_stay(spark):
+    passage = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
+    bench = spark.createDataFrame([(None, passage), (None, "another item of no id that no text of the table holds at all today"), (3, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"here {passage} there", "a"), (2, "clean " * 30, "b"), (None, None, None)], "doc_id long, text string, _row string")
+    assert [(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()] == [(1, None)]
+    same([tuple(r) for r in decontaminate.clean(docs, bench).collect()], [(2, "clean " * 30, "b"), (None, None, None)])
+
+
 # --- nearest neighbours -----------------------------------------------------------------------------------------------------------------
 
 

@@ -113,6 +113,11 @@ def test_redaction(spark):
     assert rows[2].text is None and rows[3].text == "clean" and pii.redact(df).columns == df.columns
 
 
+def test_redaction_keeps_columns_of_its_own_names(spark):
+    df = spark.createDataFrame([(7, "to a@b.co", [5], "x")], "row long, text string, spans array<int>, _row string")
+    assert [tuple(r) for r in pii.redact(df).collect()] == [(7, "to <email>", [5], "x")]
+
+
 # --- licences ------------------------------------------------------------------------------------------------------------
 
 
