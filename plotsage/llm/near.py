@@ -18,7 +18,8 @@ from plotsage.llm.common import byte_table, cut, lists, mix64, numbers, pieces,
 from plotsage.llm.graph import components
 
 WIDTH, SIMILARITY = 5, 0.8
-RECALL, ROWS = 0.9995, 6
+#: Eight rows: of pairs as alike as 0.4 few become candidates, so that chains of mere candidates stay short in large tables.
+RECALL, ROWS = 0.9995, 8
 #: Texts, and n-grams, of a block: bounds what one group holds (two blocks).
 BLOCK_TEXTS, BLOCK_GRAMS = 256, 1 << 20
 CHUNK = 4096
