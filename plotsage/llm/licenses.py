@@ -64,11 +64,26 @@ RULES: list[tuple[str, list[str]]] = [
 
 #: A rule that another rule of more sentences contains gives way to it where both match.
 GIVES_WAY = {"BSD-2-Clause": "BSD-3-Clause"}
-BREAK = r"([.!?;:])[\x09-\x0D\x20]+"
+#: What stands above most free licences as well, and so gives way to all others.
+LAST = "proprietary"
+BREAK = r"[.!?;:][\x09-\x0D\x20]+"
 
 
-def normalised(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
+def normalised(text: Column) -> Column:
+    """Lower case, words parted by one blank; a line end where a line ends, \\x01 where a sentence may end and at both ends."""
+    pieces = F.regexp_replace(F.lower(F.translate(text, "\x01", " ")), BREAK, "\x01")
+    words = F.regexp_replace(pieces, "[^a-z0-9\n\x01]+", " ")
+    return F.concat(F.lit("\x01"), F.regexp_replace(words, " ?\n[ \n]*+", "\n"), F.lit("\x01"))
+
+
+def any_of(gap: str) -> str:
+    return "(" + "|".join(s.replace(" ", gap) for s in sorted(SENTENCES, key=len)) + ")"
+
+
+#: A sentence between ends of lines or sentences, whatever such ends are in it. The shorter are tried first.
+KNOWN = "[\n\x01] ?" + any_of("[ \n\x01]++") + "(?= ?[\n\x01])"
+#: A line that is also, but for line ends, all between two ends of sentences counts as both.
+BOTH = "\x01 ?(?:\n ?" + any_of(" ") + "[ \n]*+|" + any_of(" ") + " ?\n[ \n]*+)(?=\x01)"
 
 
 def in_order(sequence: list[str]) -> str:
@@ -77,19 +92,22 @@ def in_order(sequence: list[str]) -> str:
 
 
 def sentence_ids(text: Column) -> Column:
-    """Identifiers of the licence sentences of a text in order. A sentence may run over line ends, or be a line of its own."""
-    sentences = F.split(F.regexp_replace(text, BREAK, "$1\u0001"), "\u0001")
-    both = F.transform(sentences, lambda s: F.when(F.contains(s, F.lit("\n")), F.concat(F.array(s), F.split(s, "\n"))).otherwise(F.array(s)))
-    known = F.filter(F.transform(F.flatten(both), normalised), lambda s: s.isin(list(SENTENCES)))
+    """Identifiers of the licence sentences of a text in order.
+
+    A sentence begins and ends where a line or a sentence of the text does. It may be wrapped over lines with comment
+    marks, have headings before it, and hold colons, semicolons and full stops itself.
+    """
     table = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
-    return F.transform(known, lambda s: table[s])
+    units = F.regexp_replace(normalised(text), BOTH, "\x01$1$2\x01$1$2")
+    return F.transform(F.regexp_extract_all(units, F.lit(KNOWN), F.lit(1)), lambda s: table[F.regexp_replace(s, "[ \n\x01]+", " ")])
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, sentences (identifiers in order, joined by blanks), licenses (sorted, comma-joined) and n_licenses, for every row.
 
     Null and empty texts, and texts without licence sentences, have "" and 0. Repeated rows give repeated rows; other
-    columns are left out; an empty table gives an empty result. A rule matches if its identifiers stand in its order.
+    columns are left out; an empty table gives an empty result. A rule matches if its identifiers stand in its order;
+    "all rights reserved" counts only where no other rule matches.
     """
     ids = docs.select("doc_id", F.array_join(sentence_ids(F.coalesce("text", F.lit(""))), " ").alias("sentences"))
     padded = F.concat(F.lit(" "), "sentences", F.lit(" "))
@@ -99,12 +117,14 @@ def scan(docs: DataFrame) -> DataFrame:
         found[licence] = found[licence] | hit if licence in found else hit
     for less, more in GIVES_WAY.items():
         found[less] = found[less] & ~found[more]
+    for name in found.keys() - {LAST}:
+        found[LAST] = found[LAST] & ~found[name]
     names = F.array_compact(F.array(*[F.when(found[name], F.lit(name)) for name in sorted(found)]))
     return ids.withColumn("names", names).select("doc_id", "sentences", F.array_join("names", ",").alias("licenses"), F.size("names").cast("long").alias("n_licenses"))
 
 
 def scan_sql() -> str:
-    """The same scan in DuckDB's SQL."""
+    """The scan in DuckDB's SQL, for sentences that are a line or end with the only full stop, colon or semicolon in them."""
     table = "map {" + ", ".join(f"'{s}': '{i}'" for s, i in SENTENCES.items()) + "}"
     cases: dict[str, str] = {}
     for licence, sequence in RULES:

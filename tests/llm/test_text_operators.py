@@ -131,6 +131,108 @@ def test_license_rules_need_order_and_longer_rules_win(spark):
     assert got == {1: "BSD-2-Clause", 2: "BSD-3-Clause", 3: "", 4: "MIT", 5: "", 6: ""}
 
 
+# Public wording, as the licences' own pages give it.
+NOTICES = {
+    "MIT": """MIT License
+
+Copyright (c) 2020 A Holder
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.
+""",
+    "ISC": """ISC License
+
+Copyright (c) 2020, A Holder <holder@example.com>
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+""",
+    "BSD-2-Clause": """Copyright (c) 2020, A Holder
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+""",
+    "Apache-2.0": """   Copyright 2020 A Holder
+
+   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+       http://www.apache.org/licenses/LICENSE-2.0
+
+   Unless required by applicable law or agreed to in writing, software
+   distributed under the License is distributed on an "AS IS" BASIS,
+   WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+   See the License for the specific language governing permissions and
+   limitations under the License.
+""",
+    "GPL-3.0-or-later": """    A program
+    Copyright (C) 2020  A Holder
+
+    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+""",
+    "GPL-2.0-or-later": """    Copyright (C) 2020  A Holder
+
+    This program is free software; you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation; either version 2 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+""",
+}
+NOTICES["BSD-3-Clause"] = NOTICES["BSD-2-Clause"] + """
+3. Neither the name of the copyright holder nor the names of its contributors
+   may be used to endorse or promote products derived from this software
+   without specific prior written permission.
+"""
+
+
+def test_standard_notices_are_found_plain_and_in_comments(spark):
+    forms = [("", "", ""), ("/*\n", " * ", " */\nint main;\n"), ("#!/bin/sh\n", "# ", "run\n")]
+    rows = [(f"{name} {i}", first + "".join((mark + line).rstrip() + "\n" for line in text.splitlines()) + last) for name, text in NOTICES.items() for i, (first, mark, last) in enumerate(forms)]
+    rows += [("proprietary", "Copyright 2020\nAll rights reserved.\n"), (" unlike", NOTICES["ISC"].replace("hereby granted", "hereby refused"))]
+    got = {r.doc_id: r.licenses for r in licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {k: k.split(" ")[0] for k, _ in rows}
+
+
 def test_license_scan_equals_sql(spark, corpus):
     import duckdb
 
