@@ -1,8 +1,8 @@
 """Personal data by bootstrapped contextual extraction. Built-in functions only.
 
 Seeds are what the base patterns recognise. The words before a seed are a lexical pattern; patterns and instances form
-a graph that is scored in rounds: a pattern by the share of its instances that are believed, an instance by the patterns
-that are believed of it. Patterns of high confidence then discover identifiers of other shapes behind the same words.
+a graph that is scored in rounds: a pattern by its instances that are believed against those that also stand behind
+doubted patterns, an instance by the other patterns that are believed of it. Patterns of high confidence then discover identifiers of other shapes behind the same words.
 """
 
 from __future__ import annotations
@@ -115,17 +115,29 @@ def context(before: Column) -> Column:
 
 
 def believed_patterns(pairs: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
-    """Patterns (context) of the graph of pairs (context, value, seed) that reach confidence with support different values."""
+    """Patterns (context) of the graph of pairs (context, value, seed) that reach confidence with support different values.
+
+    A value that is no seed speaks for a pattern as far as other patterns are believed of it, and against it if it also
+    stands behind another pattern that is doubted: one of at least support values of which few are believed. Values of
+    which nothing else is known speak neither way, so that a pattern may have any number of unseen ones.
+    """
     pairs = cut(pairs.groupBy("context", "value").agg(F.max("seed").alias("seed")), "pii-pairs")
     # a value that is a seed anywhere is one everywhere
-    instances = cut(pairs.groupBy("value").agg(F.max("seed").cast("double").alias("score"), F.max("seed").alias("seed")), "pii-instances")
+    seeds = pairs.groupBy("value").agg(F.max("seed").alias("seed"))
+    pairs = cut(pairs.select("context", "value").join(seeds, "value"), "pii-instances")
+    few = (F.col("n") >= support) & (F.col("mass") <= (1 - confidence) * F.col("n"))
+    counted = pairs.groupBy("context").agg(F.count("*").alias("n"), F.sum(F.col("seed").cast("double")).alias("mass"))
+    patterns = cut(counted.select("context", F.lit(0.0).alias("belief"), few.alias("doubted")), "pii-patterns")
     for _ in range(rounds):
-        scored = pairs.select("context", "value").join(instances, "value")
-        patterns = scored.groupBy("context").agg(F.avg("score").alias("belief"), F.sum("score").alias("mass"))
-        patterns = cut(patterns.filter((F.col("belief") >= confidence) & (F.col("mass") >= support)), "pii-patterns")
-        lifted = pairs.select("context", "value").join(patterns, "context").groupBy("value").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("belief"), F.lit(1e-9)))))).alias("lift"))
-        instances = cut(instances.join(lifted, "value", "left").select("value", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("lift", "score")).alias("score"), "seed"), "pii-instances")
-    return patterns.select("context")
+        each = pairs.join(patterns, "context").select("context", "value", "seed", F.log(F.greatest(1 - F.col("belief"), F.lit(1e-9))).alias("left"), F.col("doubted").cast("int").alias("doubt"))
+        values = each.groupBy("value").agg(F.sum("left").alias("all_left"), F.sum("doubt").alias("all_doubts"))
+        score = F.when(F.col("seed"), 1.0).otherwise(1 - F.exp(F.col("all_left") - F.col("left")))
+        scored = each.join(values, "value").select("context", score.alias("score"), (F.col("all_doubts") > F.col("doubt")).alias("against"))
+        summed = scored.groupBy("context").agg(F.count("*").alias("n"), F.sum("score").alias("mass"), F.sum(F.when(F.col("against"), 1 - F.col("score")).otherwise(0.0)).alias("against"))
+        belief = F.col("mass") / (F.col("mass") + F.col("against"))
+        believed = (F.col("mass") >= support) & (belief >= confidence)
+        patterns = cut(summed.select("context", F.when(believed, belief).otherwise(0.0).alias("belief"), (few & ~F.coalesce(believed, F.lit(False))).alias("doubted")), "pii-patterns")
+    return patterns.filter("belief > 0").select("context")
 
 
 def find(docs: DataFrame) -> DataFrame:

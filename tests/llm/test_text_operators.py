@@ -106,6 +106,18 @@ def test_pii_contexts_discover_unseen_identifiers(spark):
     assert got[101] == [] and all([s.kind for s in got[i]] == ["email"] for i in range(20))
 
 
+def test_pii_contexts_may_have_as_many_unseen_values_as_seeds(spark):
+    """Unseen values are no evidence against a context; values that also stand behind a context without seeds are."""
+    rows = [(i, f"please write to user{i}@mail.example.com today") for i in range(10)] + [(100 + i, f"please write to account-55{i:02}-77 today") for i in range(10)]
+    rows += [(200 + i, f"the sum of user{i}@other.example.com is") for i in range(10)] + [(300 + i, f"the sum of 10,{i}00 is") for i in range(10)]
+    rows += [(400 + i, f"a price near 10,{i}00 is") for i in range(10)] + [(500, "the sum of 77-1234 is")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: [(s.kind, s.value) for s in r.spans] for r in pii.find(df).collect()}
+    assert all(got[100 + i] == [("context", f"account-55{i:02}-77")] for i in range(10))
+    assert not any(got[i] for i in range(300, 501) if i in got)
+    assert pii.redact(df).filter("doc_id = 103").first().text == "please write to <context> today"
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "mail é a@b.co now 1.2.3.4", 9, "k"), (2, None, 0, "k"), (3, "clean", 5, None)], "doc_id long, text string, n_chars long, row string")
     rows = {r.doc_id: r for r in pii.redact(df).collect()}
