@@ -114,7 +114,7 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, bits: int = BITS, least
     spans: start and end (code points, end exclusive), words, and copy: whether each of its chunk pairs occurs before, in
     the table as it was read or earlier in the text, so that dropping all copies keeps one of each. A passage is a
     stretch of chunks whose every neighbouring pair occurs elsewhere too, in the same or another text, and that holds at
-    least min_words words or 400 characters. Null and empty texts have none; null doc_ids are kept; repeated rows are repeats of each
+    least min_words words or 400 characters; where it holds that much of copies beside other pairs, it is told in parts. Null and empty texts have none; null doc_ids are kept; repeated rows are repeats of each
     other; other columns are left out; an empty table gives an empty result.
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("row", F.monotonically_increasing_id())
@@ -138,21 +138,41 @@ def let(value, f):
     return F.transform(F.array(value), f)[0]
 
 
-def stretches(hits, min_words: int):
-    """Hits of one text, in order, joined where they overlap; short stretches are left out. Takes time in proportion to
-    the hits: they are cut at the places where a new stretch begins."""
-
-    def told(run):
-        words = F.aggregate(run, F.lit(0), lambda acc, h: acc + h["words"]) + F.element_at(run, -1)["more_words"]
-        return F.struct(run[0]["start"].alias("start"), F.element_at(run, -1)["end"].alias("end"), words.alias("words"), F.forall(run, lambda h: h["copy"]).alias("copy"))
+def runs(items, new):
+    """Items cut into arrays before each place (from 1) at which new is true."""
+    begins = F.filter(F.sequence(F.lit(1), F.size(items)), lambda i: (i == 1) | new(i))
+    after = lambda b, i: F.coalesce(F.get(b, i + 1), F.size(items) + 1)
+    return let(begins, lambda b: F.transform(F.sequence(F.lit(0), F.size(b) - 1), lambda i: F.slice(items, b[i], after(b, i) - b[i])))
 
-    def joined(h, begins):
-        after = lambda i: F.coalesce(F.get(begins, i + 1), F.size(h) + 1)
-        runs = F.transform(F.sequence(F.lit(0), F.size(begins) - 1), lambda i: F.slice(h, begins[i], after(i) - begins[i]))
-        return F.filter(F.transform(runs, told), lambda s: (s["words"] >= min_words) | (s["end"] - s["start"] >= MIN_CHARS))
 
-    first = lambda h: F.filter(F.sequence(F.lit(1), F.size(h)), lambda i: (i == 1) | (h[i - 1]["start"] > h[F.greatest(i - 2, F.lit(0))]["middle"]))
-    return let(hits, lambda h: let(first(h), lambda begins: joined(h, begins)))
+def stretches(hits, min_words: int):
+    """Hits of one text, in order, joined where they overlap; short stretches are left out. What holds min_words words or
+    400 characters of copies within a stretch is told apart from the rest of it. Takes time in proportion to the hits."""
+    before = lambda i: F.greatest(i - 2, F.lit(0))
+    # pairs of chunks share a chunk with the next: the second one's words count with the last pair only
+    words = lambda run: F.aggregate(run, F.lit(0), lambda acc, h: acc + h["words"]) + F.element_at(run, -1)["more_words"]
+    enough = lambda run: (words(run) >= min_words) | (F.element_at(run, -1)["end"] - run[0]["start"] >= MIN_CHARS)
+
+    def marked(run):
+        alike = runs(run, lambda i: run[i - 1]["copy"] != run[before(i)]["copy"])
+        return F.flatten(F.transform(alike, lambda r: let(r[0]["copy"] & enough(r), lambda copy: F.transform(r, lambda h: h.withField("copy", copy)))))
+
+    def told(parts):
+        def one(part, i):
+            first, last, copy = part[0], F.element_at(part, -1), part[0]["copy"]
+            # the chunk that a rest shares with copies beside it is theirs
+            left, right = ~copy & (i > 0), ~copy & (i < F.size(parts) - 1)
+            start, end = F.when(left, first["middle"]).otherwise(first["start"]), F.when(right, last["middle"]).otherwise(last["end"])
+            shared = F.when(left, first["words"]).otherwise(0) + F.when(right, last["more_words"]).otherwise(0)
+            return F.struct(start.alias("start"), end.alias("end"), (words(part) - shared).alias("words"), copy.alias("copy"))
+
+        return F.filter(F.transform(parts, one), lambda s: s["end"] > s["start"])
+
+    def split(run):
+        return let(marked(run), lambda m: let(runs(m, lambda i: m[i - 1]["copy"] != m[before(i)]["copy"]), told))
+
+    joined = let(hits, lambda h: runs(h, lambda i: h[i - 1]["start"] > h[before(i)]["middle"]))
+    return F.flatten(F.transform(F.filter(joined, enough), split))
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -143,6 +143,19 @@ def test_repeated_passages(spark, corpus):
     assert ids[100] == ids[101] == ids[103] == 0 and all(ids[i] for i in (0, 200, 229, 105))
 
 
+def test_copies_beside_first_passages_are_told_apart(spark):
+    draw = random.Random(8)
+    v = vocabulary(draw)
+    p, r = (" ".join(draw.choice(v) for _ in range(80)) for _ in range(2))
+    rows = [(0, p), (1, p + " " + r), (2, p + " " + r)]
+    found = {x.doc_id: x.spans for x in substring.repeats(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    assert [s.copy for s in found[0]] == [False] and [s.copy for s in found[2]] == [True]
+    first, rest = found[1]
+    assert first.copy and not rest.copy and first.end == rest.start
+    assert first.start == 0 and 0 <= len(p) - first.end <= 2 * substring.MOST and rest.end == len(rows[1][1])
+    assert abs(first.words + rest.words - 160) <= 20
+
+
 def test_chunks_are_those_of_a_rolling_hash():
     draw = random.Random(6)
     texts = ["".join(draw.choice("abcdeé \n😀") for _ in range(draw.randrange(0, 900))) for _ in range(30)]
