@@ -42,6 +42,13 @@ def remainder(doc_id: Column, by: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(by)), F.lit(-1))
 
 
+def id_column(docs: DataFrame) -> tuple[Column, str]:
+    """doc_id and its type: long where it is any whole number, else as it is."""
+    kind = dict(docs.dtypes)["doc_id"]
+    whole = kind in ("tinyint", "smallint", "int", "bigint", "void")
+    return (F.col("doc_id").cast("long"), "bigint") if whole else (F.col("doc_id"), kind)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Scatter the bits of unsigned 64-bit numbers (the finaliser of SplitMix64)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

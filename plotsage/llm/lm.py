@@ -1,8 +1,9 @@
 """Language-model scores by a weighted backoff automaton of smoothed word n-grams.
 
-States are the n-grams seen in training; a state has an arc for each word seen after it and a failure arc to the state of
-one word less, whose weight is what smoothing leaves for words unseen after it. A text is read once from left to right:
-the state is carried along, and the weights of the arcs taken are summed. With Dirichlet smoothing,
+States are the n-grams of fewer than ORDER words seen in training, numbered; a state has an arc for each word seen after
+it, weighted with the smoothed log-probability, and a failure arc to the state of one word less, weighted with what
+smoothing leaves for words unseen after it. The root has an arc for every word, unseen ones too. A text is read once from
+left to right: the state is carried along, and the weights of all arcs taken are summed. With Dirichlet smoothing,
 p(w | h) = (c(hw) + m p(w | h')) / (c(h) + m), so the failure arc of h weighs m / (c(h) + m).
 
 The automaton of a large corpus fits no task. Texts are gathered into blocks; each block asks for the counts of the
@@ -20,18 +21,20 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plotsage.llm.common import byte_table, cut, lists, mix64, numbers, pieces, remainder, words
+from plotsage.llm.common import byte_table, cut, id_column, lists, mix64, numbers, pieces, remainder, words
 
-ORDER, MASS = 2, 64.0
+ORDER, MASS = 3, 64.0  # of 4, 16 and 64 the mass of least held-out perplexity on sf0.01
 #: Bytes of text of a block (one long text may be more), and n-grams of a shard.
-BLOCK_BYTES, SHARD_GRAMS = 12 << 20, 1 << 20
+BLOCK_BYTES, SHARD_GRAMS = 12 << 20, 1 << 21
+#: Bytes that one task of a shuffle should read at most.
+TASK_BYTES = 64 << 20
 END, BEGIN = (numbers(n, 1)[0] for n in (41, 42))
-#: Low bits of a hash that n-grams of two and more words drop: less to shuffle. Single words keep all 64.
-DROPPED = np.uint64(16)
+#: Texts are read in stretches of so many tokens, side by side.
+STRETCH = 64
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Numbers as planes of bytes, compressed: sorted hashes and small counts shrink by half and more."""
+    """Numbers as planes of bytes, compressed: small numbers shrink to a fraction."""
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.dtype.itemsize).T.tobytes())
 
 
@@ -41,10 +44,27 @@ def unpack(data: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(size, len(planes) // size).T).view(kind).ravel()
 
 
-BLOCK = "texts array<long>, held array<boolean>, begins array<int>, vocabulary binary, tokens binary"
+def pack_sorted(values: np.ndarray) -> bytes:
+    """Sorted hashes by their steps, which have fewer bits than themselves."""
+    return pack(np.diff(values, prepend=np.uint64(0)))
 
 
-def blocks_of(docs: DataFrame) -> DataFrame:
+def unpack_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data, np.uint64), dtype=np.uint64)
+
+
+def ranked(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct values in order, the place of each value among them, and one index at which each stands."""
+    order = np.argsort(values)
+    values = values[order]
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    place = np.empty(len(values), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return values[new], place, order[new]
+
+
+def blocks_of(docs: DataFrame, kind: str) -> DataFrame:
     """One row for each block: ids of its texts, held, where each begins in tokens, and tokens as places in the vocabulary.
 
     Each text is BEGIN, its words in lower case (A-Z), END.
@@ -53,7 +73,8 @@ def blocks_of(docs: DataFrame) -> DataFrame:
 
     def flush(ids, held, parts, counts):
         hashes = np.concatenate(parts)
-        vocabulary, place, times = np.unique(hashes, return_inverse=True, return_counts=True)
+        vocabulary, place, _ = ranked(hashes)
+        times = np.bincount(place)
         rank = np.argsort(-times, kind="stable")  # frequent words get small numbers, which pack well
         order = np.empty(len(rank), np.uint32)
         order[rank] = np.arange(len(rank), dtype=np.uint32)
@@ -85,25 +106,28 @@ def blocks_of(docs: DataFrame) -> DataFrame:
         if ids:
             yield flush(ids, held, parts, counts)
 
-    return docs.mapInArrow(run, BLOCK)
+    return docs.mapInArrow(run, f"texts array<{kind}>, held array<boolean>, begins array<int>, vocabulary binary, tokens binary")
 
 
-def opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of a block's tokens, the text of each, and where texts begin."""
+def opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A block's vocabulary (hashes), its tokens as places in that, the text of each token, and where texts begin."""
     begins = np.asarray(row["begins"], np.int64)
-    return unpack(row["vocabulary"], np.uint64)[unpack(row["tokens"], np.uint32)], np.repeat(np.arange(len(begins) - 1), np.diff(begins)), begins
+    tokens = unpack(row["tokens"], np.uint32).astype(np.int64)
+    return unpack(row["vocabulary"], np.uint64), tokens, np.repeat(np.arange(len(begins) - 1), np.diff(begins)), begins
 
 
-def gram_keys(tokens: np.ndarray, text: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the n-grams of that order that end at each token, and whether they lie within one text."""
+def gram_keys(hashes: np.ndarray, text: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the n-grams of that order that lie within one text, by the tokens at which they end; and those tokens."""
     if order == 1:
-        return tokens, np.ones(len(tokens), bool)
-    out = tokens * np.uint64(0x9E3779B97F4A7C15)
-    inside = np.zeros(len(tokens), bool)
+        return hashes, np.arange(len(hashes))
+    ends = np.flatnonzero(text[order - 1 :] == text[: len(text) - order + 1]) + order - 1
+    out = hashes[ends] * np.uint64(0x9E3779B97F4A7C15)
     for k in range(1, order):
-        out[k:] += tokens[:-k] * numbers(50 + k, 1)[0]
-    inside[order - 1 :] = text[order - 1 :] == text[: -(order - 1)]
-    return mix64(out) >> DROPPED << DROPPED, inside
+        out += hashes[ends - k] * numbers(50 + k, 1)[0]
+    return mix64(out), ends
+
+
+ASKED = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("n", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 
 
 def asked(blocks: DataFrame, order: int, shards: int) -> DataFrame:
@@ -113,18 +137,19 @@ def asked(blocks: DataFrame, order: int, shards: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                tokens, text, _ = opened(row)
+                vocabulary, tokens, text, _ = opened(row)
+                hashes = vocabulary[tokens]
                 learns = ~np.asarray(row["held"], bool)[text]
-                out = []
                 for n in range(1, order + 1):
-                    keys, inside = gram_keys(tokens, text, n)
-                    keys, place = np.unique(keys[inside], return_inverse=True)
-                    counts = np.bincount(place, learns[inside], minlength=len(keys)).astype(np.uint32)
+                    keys, ends = gram_keys(hashes, text, n)
+                    keys, place, _ = ranked(keys)
+                    counts = np.bincount(place, learns[ends], minlength=len(keys)).astype(np.uint32)
                     edges = np.searchsorted(keys >> bits, np.arange(shards + 1, dtype=np.uint64)) if shards > 1 else np.array([0, len(keys)])
+                    out = []
                     for s in np.flatnonzero(np.diff(edges)):
                         part = slice(edges[s], edges[s + 1])
-                        out.append((int(s), row["block"], n, pack(keys[part]), pack(counts[part])))
-                yield pa.RecordBatch.from_pylist([dict(zip(("shard", "block", "n", "keys", "counts"), x, strict=True)) for x in out], pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("n", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())]))
+                        out.append({"shard": int(s), "block": row["block"], "n": n, "keys": pack_sorted(keys[part]), "counts": pack(counts[part])})
+                    yield pa.RecordBatch.from_pylist(out, ASKED)
 
     return blocks.mapInArrow(run, "shard int, block long, n int, keys binary, counts binary")
 
@@ -134,48 +159,116 @@ ANSWER = "block long, n int, shard int, counts binary, tokens long, types long"
 
 def answer(table: pa.Table) -> pa.Table:
     """Sum the counts of one order in one shard over all blocks, and give each block those that it asked for."""
-    keys = [unpack(x, np.uint64) for x in table.column("keys").to_pylist()]
-    counts = [unpack(x, np.uint32) for x in table.column("counts").to_pylist()]
-    all_keys, place = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(place, np.concatenate(counts), minlength=len(all_keys)).astype(np.uint32)
-    parts = np.split(total[place], np.cumsum([len(k) for k in keys])[:-1])
+    keys = [unpack_sorted(x) for x in table.column("keys").to_pylist()]
+    counts = np.concatenate([unpack(x, np.uint32) for x in table.column("counts").to_pylist()])
+    lengths = [len(k) for k in keys]
+    all_keys, place, _ = ranked(np.concatenate(keys))
+    del keys
+    total = np.bincount(place, counts, minlength=len(all_keys)).astype(np.uint32)
+    parts = np.split(total[place], np.cumsum(lengths)[:-1])
     begin = int(total[all_keys == BEGIN].sum())  # is no token
     one = table.column("n")[0].as_py() == 1
     first = lambda x: pa.array([int(x) if one else 0] + [0] * (len(parts) - 1), pa.int64())
-    return pa.table({"block": table.column("block"), "n": table.column("n"), "shard": table.column("shard"), "counts": pa.array([pack(p) for p in parts], pa.binary()), "tokens": first(total.sum() - begin), "types": first((total > 0).sum() - (begin > 0))})
+    return pa.table({"block": table.column("block"), "n": table.column("n"), "shard": table.column("shard"), "counts": pa.array([pack(p) for p in parts], pa.binary()), "tokens": first(total.sum(dtype=np.int64) - begin), "types": first((total > 0).sum() - (begin > 0))})
+
+
+class Automaton:
+    """The part of the automaton that a block's texts can reach. State 0 is the root; words are places in the vocabulary.
+
+    arc_key: state * n_words + word, sorted; arc_weight and arc_to: log10 weight and state at the end of each arc;
+    fail_weight and fail_to: the failure arc of each state.
+    """
+
+    def __init__(self, tokens: np.ndarray, text: np.ndarray, vocabulary: np.ndarray, counts: list[np.ndarray], mass: float, n_all: int, n_types: int):
+        order, self.n_words = len(counts), len(vocabulary)
+        hashes = vocabulary[tokens]
+        fail_weight, fail_to, keys, weights, ends_at = [np.zeros(1)], [np.zeros(1, np.int64)], [], [], []
+        first_state = 1  # of the n-grams of this order; those that training lacks are numbered, but no arc leads there
+        for n in range(1, order + 1):
+            gram_hashes, ends = gram_keys(hashes, text, n)
+            _, place, one = ranked(gram_hashes)
+            seen, at = counts[n - 1].astype(float), ends[one]  # a token at which each n-gram ends
+            gram_at = np.full(len(tokens), -1, np.int64)  # the n-gram that ends at each token
+            gram_at[ends] = place
+            if n == 1:
+                p = (seen + 1) / (n_all + n_types + 1)
+                known, history, suffix = np.ones(len(seen), bool), np.zeros(len(seen), np.int64), np.zeros(len(seen), np.int64)
+                self.known, self.word_p = seen[place] > 0, p[place]
+            else:
+                known = seen > 0
+                before = last_at[at - 1]
+                p = (seen + mass * last_p[last_at[at]]) / (last_seen[before] + mass)
+                history, suffix = last_first + before, np.where(last_seen[last_at[at]] > 0, last_first + last_at[at], 0)
+            keys.append(history[known] * self.n_words + tokens[at[known]])
+            weights.append(np.log10(p[known]))
+            own = first_state + np.arange(len(seen))
+            ends_at.append((np.where(seen > 0, own, 0) if n < order else suffix)[known])
+            if n < order:
+                fail_weight.append(np.log10(mass / (seen + mass)))
+                fail_to.append(suffix)
+            last_first, last_seen, last_p, last_at = first_state, seen, p, gram_at
+            first_state += len(seen)
+        sort = np.argsort(key := np.concatenate(keys))
+        self.arc_key, self.arc_weight, self.arc_to = key[sort], np.concatenate(weights)[sort], np.concatenate(ends_at)[sort]
+        self.fail_weight, self.fail_to = np.concatenate(fail_weight), np.concatenate(fail_to)
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Read one word in each state: the weights of the arcs taken, failure arcs included, and the states after."""
+        weight, state = np.zeros(len(state)), state.copy()
+        open_ = np.arange(len(state))
+        while len(open_):
+            key = state[open_] * self.n_words + word[open_]
+            arc = np.searchsorted(self.arc_key, key)
+            arc[arc == len(self.arc_key)] = 0
+            hit = self.arc_key[arc] == key
+            done, arc = open_[hit], arc[hit]
+            weight[done] += self.arc_weight[arc]
+            state[done] = self.arc_to[arc]
+            open_ = open_[~hit]
+            weight[open_] += self.fail_weight[state[open_]]
+            state[open_] = self.fail_to[state[open_]]
+        return weight, state
+
+    def read(self, tokens: np.ndarray, begins: np.ndarray, order: int) -> np.ndarray:
+        """The summed weights of each text (BEGIN is read, but is no token), from left to right.
+
+        Stretches of texts are read side by side. A stretch within a text comes into its state by the order - 1 words
+        before it, from the root: no state remembers more of the words read.
+        """
+        n_stretches = -(-(np.diff(begins) - 1) // STRETCH)
+        text = np.repeat(np.arange(len(begins) - 1), n_stretches)
+        nth = np.arange(len(text)) - np.repeat(np.cumsum(n_stretches) - n_stretches, n_stretches)
+        first = begins[text] + 1 + nth * STRETCH
+        last = np.minimum(first + STRETCH, begins[text + 1])
+        at = np.maximum(first - max(order - 1, 0), begins[text])
+        longest = np.argsort(at - last, kind="stable")  # those still to read are always the first
+        text, first, last, at = text[longest], first[longest], last[longest], at[longest]
+        state, total, left = np.zeros(len(text), np.int64), np.zeros(len(text)), last - at
+        for step in range(int(left.max(initial=0))):
+            live = slice(0, int(np.searchsorted(-left, -step, side="left")))
+            where = at[live] + step
+            weight, state[live] = self.step(state[live], tokens[where])
+            total[live] += np.where(where >= first[live], weight, 0.0)
+        return np.bincount(text, total, minlength=len(begins) - 1)
+
+
+SCORE = "held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 def score_block(order: int, mass: float, n_all: int, n_types: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
-        tokens, text, begins = opened(row)
+        vocabulary, tokens, text, begins = opened(row)
         right = right.sort_by([("n", "ascending"), ("shard", "ascending")])
-        which = right.column("n").to_numpy()
-        packed = right.column("counts").to_pylist()
-        real = tokens != BEGIN
-        known = np.zeros(len(tokens), bool)
-        base = np.zeros(len(tokens))
-        p = np.zeros(len(tokens))
-        shorter = np.zeros(len(tokens))
-        for n in range(1, order + 1):
-            keys, inside = gram_keys(tokens, text, n)
-            counts = np.concatenate([unpack(packed[i], np.uint32) for i in np.flatnonzero(which == n)] or [np.zeros(0, np.uint32)])
-            at = np.zeros(len(tokens))
-            at[inside] = counts[np.unique(keys[inside], return_inverse=True)[1]]
-            if n == 1:
-                known = at > 0
-                p = (at + 1) / (n_all + n_types + 1)
-                base = np.log10(p)
-            else:  # the state is the n - 1 words before; what is unseen there takes its failure arc
-                state = np.zeros(len(tokens))
-                state[1:] = shorter[:-1]
-                p = np.where(inside, (at + mass * p) / (state + mass), p)
-            shorter = at
-        ends = begins[1:]
-        sums = lambda x: np.add.reduceat(np.where(real, x, 0), begins[:-1]) if len(ends) else np.zeros(0)
+        which, packed = right.column("n").to_numpy(), right.column("counts")
+        counts = [np.concatenate([unpack(packed[int(i)].as_py(), np.uint32) for i in np.flatnonzero(which == n)] or [np.zeros(0, np.uint32)]) for n in range(1, order + 1)]
+        model = Automaton(tokens, text, vocabulary, counts, mass, n_all, n_types)
+        real = np.ones(len(tokens), bool)
+        real[begins[:-1]] = False
+        sums = lambda x: np.add.reduceat(np.where(real, x, 0), begins[:-1])
         return pa.table({
-            "doc_id": pa.array(row["texts"], pa.int64()), "held_out": pa.array(row["held"], pa.bool_()), "n_tokens": (np.diff(begins) - 1).astype(np.int64), "n_known": sums(known).astype(np.int64),
-            "train_tokens": np.full(len(ends), n_all, np.int64), "base_score": sums(base), "score": sums(np.log10(p)),
+            "doc_id": left.column("texts").combine_chunks().flatten(), "held_out": pa.array(row["held"], pa.bool_()), "n_tokens": (np.diff(begins) - 1).astype(np.int64), "n_known": sums(model.known).astype(np.int64),
+            "train_tokens": np.full(len(begins) - 1, n_all, np.int64), "base_score": sums(np.log10(model.word_p)), "score": model.read(tokens, begins, order),
         })
 
     return run
@@ -188,13 +281,19 @@ def score(docs: DataFrame, order: int = ORDER, mass: float = MASS) -> DataFrame:
     token, the end. Repeated rows are counted and scored as often as they occur; other columns are left out; an empty
     table gives an empty result. Scores are log10 probabilities; base_score is that of single words.
     """
+    spark = docs.sparkSession
     held = remainder(F.col("doc_id"), 7) == 2
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held"), F.coalesce("text", F.lit("")).alias("text"))
-    blocks = cut(blocks_of(own).withColumn("block", F.monotonically_increasing_id()), "lm-blocks")
+    doc_id, kind = id_column(docs)
+    own = docs.select(doc_id.alias("doc_id"), held.alias("held"), F.coalesce("text", F.lit("")).alias("text"))
+    blocks = cut(blocks_of(own, kind).withColumn("block", F.monotonically_increasing_id()), "lm-blocks")
     size = blocks.agg(F.sum(F.element_at("begins", -1).cast("long"))).first()[0] or 0
     shards = 1 << max(3, math.ceil(math.log2(max(1, size) * order / SHARD_GRAMS)))
-    counted = cut(asked(blocks, order, shards).groupBy("shard", "n").applyInArrow(answer, ANSWER), "lm-counts")
+    # about eight bytes for each n-gram asked for, and four for each token of a block and its counts
+    tasks = lambda n_bytes: max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // TASK_BYTES))
+    asks = asked(blocks, order, shards).repartition(tasks(size * order * 8), "shard", "n")
+    counted = cut(asks.groupBy("shard", "n").applyInArrow(answer, ANSWER), "lm-counts")
     n_all, n_types = counted.agg(F.sum("tokens"), F.sum("types")).first()
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     run = score_block(order, mass, n_all or 0, n_types or 0)
-    return blocks.groupBy("block").cogroup(counted.select("block", "n", "shard", "counts").groupBy("block")).applyInArrow(run, schema)
+    parts = tasks(size * 4)
+    left, right = blocks.repartition(parts, "block"), counted.select("block", "n", "shard", "counts").repartition(parts, "block")
+    return left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(run, f"doc_id {kind}, {SCORE}")

@@ -258,7 +258,7 @@ def test_license_scan_equals_sql(spark, corpus):
 # --- language model ---------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
 def test_language_model_equals_plain_counts(spark, corpus, order):
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     rows = [(d, ["<s>", *[w for w in re.split(BLANK, t.translate(lower)) if w], "</s>"]) for d, t in pairs(corpus)]
@@ -304,6 +304,32 @@ def test_packing_is_a_round_trip():
         values = np.random.default_rng(1).integers(0, 1 << 31, 1000).astype(kind)
         assert (lm.unpack(lm.pack(values), kind) == values).all()
         assert len(lm.unpack(lm.pack(values[:0]), kind)) == 0
+    hashes = np.sort(np.random.default_rng(2).integers(0, 1 << 63, 1000).astype(np.uint64) * np.uint64(2))
+    assert (lm.unpack_sorted(lm.pack_sorted(hashes)) == hashes).all()
+
+
+def test_automaton_walks_its_arcs_by_hand():
+    """Words a, b and END after BEGIN; training holds "a b" twice and "b" once."""
+    vocabulary = np.array([lm.BEGIN, lm.END, 7, 9], np.uint64)
+    texts = [[0, 2, 3, 1], [0, 2, 2, 1]]  # "a b", "a a"
+    tokens, begins = np.concatenate(texts), np.array([0, 4, 8])
+    text = np.repeat([0, 1], 4)
+    seen = {(0,): 3, (1,): 3, (2,): 2, (3,): 3, (0, 2): 2, (2, 3): 2, (3, 1): 3}
+    counts = []
+    for n in (1, 2):
+        hashes, ends = lm.gram_keys(vocabulary[tokens], text, n)
+        _, _, one = lm.ranked(hashes)
+        counts.append(np.array([seen.get(tuple(tokens[ends[i] - n + 1 : ends[i] + 1].tolist()), 0) for i in one], np.uint32))
+    model = lm.Automaton(tokens, text, vocabulary, counts, 1.0, 8, 3)
+    word = {2: 3 / 12, 3: 4 / 12, 1: 4 / 12}
+    arc = lambda c, of, w: (c + word[w]) / (of + 1)
+    want = [math.log10(arc(2, 3, 2)) + math.log10(arc(2, 2, 3)) + math.log10(arc(3, 3, 1)), math.log10(arc(2, 3, 2)) + math.log10(1 / 3 * word[2]) + math.log10(1 / 3 * word[1])]
+    assert np.allclose(model.read(tokens, begins, 2), want)
+
+
+def test_text_ids(spark):
+    docs = spark.createDataFrame([("a", "one two"), (None, None)], "doc_id string, text string")
+    assert {r.doc_id: r.n_tokens for r in lm.score(docs).collect()} == {"a": 3, None: 1}
 
 
 # --- mixing -------------------------------------------------------------------------------------------------------------------
