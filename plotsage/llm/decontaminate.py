@@ -8,6 +8,8 @@ tokens are compared along the diagonal, so that overlaps with substitutions are
 
 from __future__ import annotations
 
+import functools
+import itertools
 import math
 
 import numpy as np
@@ -17,13 +19,39 @@ from pyspark.sql import functions as F
 
 from plotsage.llm.common import byte_table, cut, is_word_byte, lists, mix64, numbers, pieces, words
 
-#: Fixed masks of six tokens each; items too short for the shortest are matched whole.
+#: Fixed masks of six tokens each, for windows in which they miss no pattern of substitutions; others have their own.
 MASKS = ("11101011", "110110101", "1101001011", "11001010011")
+WEIGHT = 6
 WINDOW, SIMILARITY = 13, 0.8
 #: Bits of the filter for each of the benchmark's hashes, and its largest size in bits.
 FILTER_BITS, FILTER_MOST = 32, 1 << 27
 
 
+def covered(masks: tuple[str, ...], width: int, substitutions: int) -> bool:
+    """Whether, wherever so many tokens of a window are substituted, one mask fits in somewhere and ignores all of them."""
+    kept = [{at + i for i, c in enumerate(m) if c == "1"} for m in masks for at in range(width - len(m) + 1)]
+    return all(any(k.isdisjoint(gone) for k in kept) for gone in itertools.combinations(range(width), substitutions))
+
+
+@functools.cache
+def masks_for(width: int, similarity: float) -> tuple[str, ...]:
+    """Masks that find every window of so many tokens of which a share of similarity are the same.
+
+    Where the fixed masks miss some, masks over the whole window are chosen one by one: each ignores as many tokens as leave
+    it WEIGHT (or as may be substituted), and among those the most sets of substitutions that no other mask ignores."""
+    substitutions = math.floor((1 - similarity) * width + 1e-9)
+    if covered(MASKS, width, substitutions):
+        return MASKS
+    left = set(itertools.combinations(range(width), substitutions))
+    holes = list(itertools.combinations(range(width), max(substitutions, width - WEIGHT))) if substitutions else [()]
+    chosen = []
+    while left:
+        best = max(holes, key=lambda h: sum(set(gone) <= set(h) for gone in left))
+        left = {gone for gone in left if not set(gone) <= set(best)}
+        chosen.append("".join("0" if i in best else "1" for i in range(width)))
+    return tuple(chosen)
+
+
 def seeds(tokens: np.ndarray, firsts: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
     """Hash of the mask at each token where it fits into its text, and those tokens' indexes."""
     span = len(mask)
@@ -60,19 +88,23 @@ def tokens_of(items: DataFrame, key: str) -> DataFrame:
     return items.mapInArrow(run, f"{key} {dict(items.dtypes)[key]}, tokens array<long>")
 
 
-def item_seeds(items: DataFrame) -> DataFrame:
+def item_seeds(items: DataFrame, similarity: float) -> DataFrame:
     """item, mask, hash and place of each seed of the items' tokens."""
 
     def run(batches):
         for batch in batches:
             lengths = batch.column("tokens").value_lengths().to_numpy()
             tokens, firsts = batch.column("tokens").flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(lengths)])
-            short = [n for n in np.unique(lengths) if 0 < n < len(MASKS[0])]
-            for mask in (*MASKS, *("1" * n for n in short)):
+            widths = np.minimum(lengths, WINDOW)
+            wanted: dict[str, list[int]] = {}
+            for width in np.unique(widths[widths > 0]).tolist():
+                for mask in masks_for(width, similarity):
+                    wanted.setdefault(mask, []).append(width)
+            for mask, of in wanted.items():
                 hashes, at = seeds(tokens, firsts, mask)
                 text = np.searchsorted(firsts, at, side="right") - 1
-                if len(mask) < len(MASKS[0]):  # only items of that length
-                    hashes, at, text = hashes[lengths[text] == len(mask)], at[lengths[text] == len(mask)], text[lengths[text] == len(mask)]
+                own = np.isin(widths[text], of)
+                hashes, at, text = hashes[own], at[own], text[own]
                 items_ = batch.column("item").take(pa.array(text))
                 yield pa.RecordBatch.from_arrays([items_, pa.array([mask] * len(at), pa.string()), pa.array(hashes.view(np.int64)), pa.array((at - firsts[text]).astype(np.int32))], names=["item", "mask", "hash", "place"])
 
@@ -183,23 +215,28 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: s
 
     Tokens are runs of letters and digits, lower case by ASCII. An overlap is where, in some window of 13 tokens (or the
     whole of a shorter item), a share of at least similarity are the same at the same places; it covers all such windows
-    of one diagonal. Null and empty texts and items have none; a null key is a key, and a null item an item; rows of equal
+    of one diagonal. No such overlap is missed, whatever is substituted where. Null and empty texts and items have none; a null key is a key, and a null item an item; rows of equal
     keys are told together, and texts of equal items too; other columns are left out; an empty table on either side gives
     an empty result.
     """
     spark = docs.sparkSession
     items = benchmark.select(benchmark[item].alias("item"), F.coalesce(benchmark["text"], F.lit("")).alias("text")).distinct()
     items = cut(tokens_of(items, "item").filter("size(tokens) > 0").withColumn("nth", F.monotonically_increasing_id()), "decon-items")
-    seeded = cut(item_seeds(items.select(F.col("nth").alias("item"), "tokens")).withColumnRenamed("item", "nth"), "decon-seeds")
+    seeded = cut(item_seeds(items.select(F.col("nth").alias("item"), "tokens"), similarity).withColumnRenamed("item", "nth"), "decon-seeds")
     filled, bits = hash_filter(seeded)
-    masks = [r[0] for r in seeded.select("mask").distinct().orderBy("mask").collect()]  # the fixed masks and fewer than eight more
+    masks = [r[0] for r in seeded.select("mask").distinct().orderBy("mask").collect()]  # as many as windows of up to 13 tokens need
     shared = spark.sparkContext.broadcast(filled)  # of bounded size
     own = docs.select(docs[key].alias("key"), F.coalesce(docs["text"], F.lit("")).alias("text"))
     found = segments(own, masks, shared, bits) if masks else segments(own.limit(0), [MASKS[0]], shared, bits)
     found = cut(found.withColumn("segment", F.monotonically_increasing_id()), "decon-segments")
     hits = found.select("segment", F.explode(F.arrays_zip("hashes", "places")).alias("hit")).select("segment", F.col("hit.hashes").alias("hash"), F.col("hit.places").alias("at_place"))
-    lined = hits.join(seeded.select("nth", "hash", "place"), "hash").select("segment", "nth", (F.col("at_place") - F.col("place")).alias("diagonal")).distinct()
+    lined = hits.join(seeded.select("nth", "hash", "place"), "hash").groupBy("segment", "nth", (F.col("at_place") - F.col("place")).alias("diagonal")).agg(F.min("at_place").alias("low"), F.max("at_place").alias("high"))
     full = lined.join(found.select("segment", "key", "tokens", "starts", "ends"), "segment").join(items.withColumnRenamed("tokens", "item_tokens"), "nth")
+    # only what lies along the item and near its hits: a window that counts holds one of them
+    begin = F.greatest(F.lit(0), "diagonal", F.col("low") - WINDOW).cast("int")
+    end = F.least(F.size("tokens"), F.col("diagonal") + F.size("item_tokens"), F.col("high") + 2 * WINDOW).cast("int")
+    full = full.withColumn("begin", begin).withColumn("n", F.greatest(F.lit(0), end - F.col("begin")))
+    full = full.withColumns({c: F.slice(c, F.col("begin") + 1, F.col("n")) for c in ("tokens", "starts", "ends")}).withColumn("diagonal", F.col("diagonal") - F.col("begin"))
     run, schema = verify(similarity, dict(items.dtypes)["item"], dict(own.dtypes)["key"])
     return full.select("key", "item", "tokens", "starts", "ends", "item_tokens", "diagonal").mapInArrow(run, schema).distinct()
 
