@@ -61,12 +61,65 @@ def test_random_words_are_found_and_ordinary_ones_left(spark):
     assert not any(got[d].more for d in got if d >= 1000)
 
 
+def test_words_of_one_class_and_sequences(spark):
+    """Random words of letters alone are found; ordered and woven sequences are not, however even their symbols."""
+    draw = random.Random(14)
+    letters = ["".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(64)) for _ in range(40)]
+    rows = [(i, f"the words before {w} and the words after it") for i, w in enumerate(letters)]
+    woven = ["a1b2c3d4e5f6g7h8i9j0k1", "aB1cD2eF3gH4iJ5kL6mN7", "abcdefghijklmnopqrstuvwxyzabcdefghijklmnopqrstuvwxyzabcdefghijkl"]
+    rows += [(100 + i, f"see {w} here") for i, w in enumerate(woven)]
+    rows += [(200 + i, "an ordinary report about the quality of water in the northern districts and the income of farms " * 3 + "northerndistrictsandtheincomeoffarmsaboutthequalityofwaterinthem") for i in range(40)]
+    got = {r.doc_id: r for r in secrets.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(bool(got[i].more) for i in range(40)) >= 38
+    assert not any(got[d].more for d in got if d >= 100)
+
+
 def test_battery_on_random_and_regular_symbols():
     draw = random.Random(5)
-    low = sum(secrets.combined(secrets.battery("".join(draw.choice("0123456789abcdef") for _ in range(40)), "hex")) < 0.05 for _ in range(2000))
-    assert low / 2000 < 0.09  # near its level
-    assert secrets.combined(secrets.battery("0123456789abcdef" * 4, "hex")) < 1e-3
-    assert secrets.combined(secrets.battery("aaaa1111" * 5, "hex")) < 1e-6
+    z = secrets.scores(["".join(draw.choice("0123456789abcdef") for _ in range(40)) for _ in range(2000)], "hex")
+    assert (z < secrets.NORMAL.inv_cdf(0.05)).mean() < 0.09  # near its level
+    low = lambda w, name: secrets.NORMAL.cdf(float(secrets.scores([w], name)[0]))
+    assert low("0123456789abcdef" * 4, "hex") < 1e-3 and low("aaaa1111" * 5, "hex") < 1e-6
+    assert low("abcdefghijklmnopqrstuvwxyz", "lower") < 1e-3
+    p = secrets.sidak(np.array([[1e-8], [1.0], [0.5]]))
+    assert 1e-8 < p[0] < 4e-8  # no dull test makes up for a telling one
+
+
+def test_battery_equals_plain_tests():
+    draw = random.Random(15)
+    for name in ("hex", "base62"):
+        k, n = len(secrets.ALPHABETS[name]), 24
+        words = ["".join(draw.choice(secrets.ALPHABETS[name]) for _ in range(n)) for _ in range(20)]
+        x = np.array([[secrets.ALPHABETS[name].index(c) for c in w] for w in words])
+        for got, row in zip(secrets.battery(x, k), x.tolist(), strict=True):
+            two = lambda z: math.erfc(abs(z) / math.sqrt(2))
+            chi = sum((row.count(v) - n / k) ** 2 / (n / k) for v in range(k))
+            up = [v >= k / 2 for v in row]
+            u, d = sum(up), n - sum(up)
+            mean = 1 + 2 * u * d / n
+            runs = 1 + sum(a != b for a, b in zip(up, up[1:], strict=False))
+            serial = [two(sum((a - (k - 1) / 2) * (b - (k - 1) / 2) for a, b in zip(row, row[j:], strict=False)) / ((k * k - 1) / 12 * math.sqrt(n - j))) for j in (1, 2, 3, 4)]
+            want = [two((chi - k + 1) / math.sqrt(2 * (k - 1) * (n - 1) / n)), two((runs - mean) / math.sqrt((mean - 1) * (mean - 2) / (n - 1))), 1 - (1 - min(serial)) ** 4]
+            assert np.allclose(got, want)
+
+
+def test_limits_follow_benjamini_and_hochberg():
+    """The threshold of a stratum is the least score at which expected false discoveries are a hundredth of those found."""
+    ordinary = {"lower": [("water", 5), ("report", 3)], "digit": [("2020", 1)]}
+    null = np.sort(secrets.scores(secrets.null_words(ordinary, "base36", 40), "base36"))
+    draw = np.random.default_rng(3)
+    z = np.concatenate([draw.choice(null, 500), draw.normal(size=30)])
+    bins = np.floor(np.clip(z, -8, 8) / secrets.Z_BIN).astype(int)
+    least = secrets.limits({"base36:40": dict(zip(*np.unique(bins, return_counts=True), strict=True))}, ordinary, 0.01)["base36:40"]
+    chance = lambda v: max((null >= v).mean(), 0.5 * math.erfc((v - null.mean()) / null.std() / math.sqrt(2)))
+    passing = [b * secrets.Z_BIN for b in np.unique(bins) if chance(b * secrets.Z_BIN) * len(z) <= 0.01 * (bins >= b).sum()]
+    assert least == max(min(passing), secrets.NORMAL.inv_cdf(secrets.LEAST_P))
+
+
+def test_many_secrets_in_one_text(spark):
+    text = "token=abcdef0123456789 and a-long-word-with-marks " * 20_000
+    got = secrets.find(spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id int, text string")).collect()
+    assert {r.doc_id: len(r.base) for r in got} == {1: 40_000, 2: 0, 3: 0}
 
 
 # --- personal data ----------------------------------------------------------------------------------------------------
