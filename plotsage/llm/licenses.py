@@ -5,67 +5,164 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Public wording of licence texts and notices, normalised (lower case, other characters as one blank).
+from plotsage.llm.columns import let
+
+# Licences by their SPDX identifiers, and the names that references use, normalised (lower case, other
+# characters as one blank). Of Creative Commons licences the names are made by rule below.
+NAMES: dict[str, tuple[str, ...]] = {
+    "0BSD": ("bsd zero clause license",),
+    "AFL-3.0": ("academic free license version 3 0", "academic free license v3 0"),
+    "AGPL-3.0": ("gnu affero general public license version 3", "gnu affero general public license v3 0", "gnu agpl version 3", "agpl v3", "agpl 3 0"),
+    "Apache-2.0": ("apache license version 2 0", "apache license 2 0", "apache 2 0 license", "apache 2 license"),
+    "Artistic-2.0": ("artistic license 2 0", "artistic license version 2 0"),
+    "BSD-2-Clause": ("bsd 2 clause license", "2 clause bsd license", "simplified bsd license", "freebsd license"),
+    "BSD-3-Clause": ("bsd 3 clause license", "3 clause bsd license", "new bsd license", "modified bsd license"),
+    "BSD-4-Clause": ("bsd 4 clause license", "original bsd license"),
+    "BSL-1.0": ("boost software license version 1 0", "boost software license 1 0"),
+    "CC0-1.0": ("cc0 1 0", "cc0 1 0 universal license"),
+    "CDDL-1.0": ("common development and distribution license version 1 0", "common development and distribution license 1 0"),
+    "EPL-1.0": ("eclipse public license 1 0", "eclipse public license v1 0", "eclipse public license version 1 0"),
+    "EPL-2.0": ("eclipse public license 2 0", "eclipse public license v2 0", "eclipse public license version 2 0"),
+    "EUPL-1.2": ("european union public licence version 1 2", "european union public licence 1 2", "eupl 1 2", "eupl version 1 2"),
+    "GPL-2.0": ("gnu general public license version 2", "gnu general public license v2 0", "gnu gpl version 2", "gpl v2", "gpl 2 0"),
+    "GPL-3.0": ("gnu general public license version 3", "gnu general public license v3 0", "gnu gpl version 3", "gpl v3", "gpl 3 0"),
+    "ISC": ("isc license",),
+    "LGPL-2.1": ("gnu lesser general public license version 2 1", "gnu lesser general public license v2 1", "gnu lgpl version 2 1", "lgpl v2 1", "lgpl 2 1"),
+    "LGPL-3.0": ("gnu lesser general public license version 3", "gnu lesser general public license v3 0", "gnu lgpl version 3", "lgpl v3", "lgpl 3 0"),
+    "MIT": ("mit license", "mit licence", "expat license"),
+    "MPL-1.1": ("mozilla public license version 1 1", "mozilla public license 1 1"),
+    "MPL-2.0": ("mozilla public license version 2 0", "mozilla public license 2 0", "mozilla public license v2 0"),
+    "MS-PL": ("microsoft public license",),
+    "NCSA": ("university of illinois ncsa open source license", "ncsa license"),
+    "OFL-1.1": ("sil open font license version 1 1", "sil open font license 1 1"),
+    "OSL-3.0": ("open software license version 3 0", "open software license v3 0"),
+    "PostgreSQL": ("postgresql license",),
+    "PSF-2.0": ("python software foundation license version 2", "python software foundation license"),
+    "Ruby": ("ruby license",),
+    "Unlicense": ("unlicense",),
+    "UPL-1.0": ("universal permissive license version 1 0", "universal permissive license v 1 0"),
+    "Vim": ("vim license",),
+    "WTFPL": ("wtfpl", "do what the fuck you want to public license"),
+    "X11": ("x11 license",),
+    "Zlib": ("zlib license",),
+    "ZPL-2.1": ("zope public license version 2 1", "zope public license 2 1"),
+}
+for _terms, _words in (("BY", "attribution"), ("BY-SA", "attribution sharealike"), ("BY-NC", "attribution noncommercial"), ("BY-ND", "attribution noderivatives"), ("BY-NC-SA", "attribution noncommercial sharealike"), ("BY-NC-ND", "attribution noncommercial noderivatives")):
+    for _version, _port in (("2.0", "generic"), ("3.0", "unported"), ("4.0", "international")):
+        _v = _version.replace(".", " ")
+        NAMES[f"CC-{_terms}-{_version}"] = (f"cc {_terms.lower().replace('-', ' ')} {_v}", f"creative commons {_words} {_v} {_port} license", f"creative commons {_words} {_v} license")
+
+# How a reference leads up to a name, which may have an article.
+LEADS = ("licensed under", "released under", "distributed under", "available under", "this work is licensed under", "this project is licensed under", "this software is licensed under", "this code is licensed under", "this file is licensed under")
+
+# Public wording of licence texts and notices, normalised.
 SENTENCES: dict[str, str] = {
-    "licensed under the apache license version 2 0": "apache-ref",
     "licensed under the apache license version 2 0 the license": "apache-head",
     "you may not use this file except in compliance with the license": "apache-comply",
     "you may obtain a copy of the license at http www apache org licenses license 2 0": "apache-copy",
+    "you may obtain a copy of the license at https www apache org licenses license 2 0": "apache-copy",
     "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "apache-asis",
-    "this work is licensed under the gnu general public license version 3": "gpl3-ref",
-    "this work is licensed under the gnu general public license version 2": "gpl2-ref",
-    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "gpl3-grant",
-    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "gpl2-grant",
-    "this program is distributed in the hope that it will be useful but without any warranty": "gpl-hope",
     "without even the implied warranty of merchantability or fitness for a particular purpose": "gpl-implied",
-    "released under the mit license": "mit-ref",
-    "licensed under the mit license": "mit-ref",
     "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "mit-grant",
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal with the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "ncsa-grant",
     "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": "mit-notice",
+    "the above copyright notice and this permission notice including the next paragraph shall be included in all copies or substantial portions of the software": "mit-notice",
     "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "mit-asis",
     "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "bsd-grant",
     "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "bsd-source",
     "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "bsd-binary",
-    "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-names",
+    "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimers": "ncsa-source",
+    "all advertising materials mentioning features or use of this software must display the following acknowledgement": "bsd-advertising",
     "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
+    "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "0bsd-grant",
+    "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies": "postgresql-grant",
+    "permission to use copy modify and distribute this software and its documentation for any purpose and without fee is hereby granted": "hpnd-grant",
     "this source code form is subject to the terms of the mozilla public license v 2 0": "mpl-head",
+    "the contents of this file are subject to the mozilla public license version 1 1 the license": "mpl11-head",
+    "the contents of this file are subject to the terms of the common development and distribution license the license": "cddl-head",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0": "epl2-head",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0": "epl2-head",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license v1 0": "epl1-head",
+    "all rights reserved this program and the accompanying materials are made available under the terms of the eclipse public license v1 0": "epl1-head",
     "this is free and unencumbered software released into the public domain": "unlicense-head",
-    "licensed under cc by nc 4 0": "ccbync-ref",
-    "licensed under cc by sa 4 0": "ccbysa-ref",
-    "licensed under cc by 4 0": "ccby-ref",
-    "licensed under cc0 1 0": "cc0-ref",
-    "this work is licensed under a creative commons attribution 4 0 international license": "ccby-ref",
-    "this work is licensed under a creative commons attribution noncommercial 4 0 international license": "ccbync-ref",
-    "this work is licensed under a creative commons attribution sharealike 4 0 international license": "ccbysa-ref",
+    "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means": "unlicense-free",
+    "this software is provided as is without any express or implied warranty": "zlib-asis",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "zlib-grant",
+    "the origin of this software must not be misrepresented": "zlib-origin",
+    "the origin of this software must not be misrepresented you must not claim that you wrote the original software": "zlib-origin",
+    "altered source versions must be plainly marked as such and must not be misrepresented as being the original software": "zlib-altered",
+    "distributed under the boost software license version 1 0": "boost-head",
+    "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following": "boost-grant",
+    "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed": "wtfpl-copy",
+    "you just do what the fuck you want to": "wtfpl-do",
+    "you can redistribute it and or modify it under the same terms as perl itself": "perl-terms",
+    "it is free software you can redistribute it and or modify it under the same terms as perl itself": "perl-terms",
+    "this font software is licensed under the sil open font license version 1 1": "ofl-head",
+    "licensed under the eupl version 1 2 or as soon they will be approved by the european commission subsequent versions of the eupl": "eupl-head",
+    "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work": "cc0-waiver",
     "all rights reserved": "reserved",
 }
+# Whose names clause three of the BSD licence protects.
+for _holder in ("copyright holder", "copyright holders", "university", "author", "project", "company", "organization", "foundation", "regents"):
+    for _others in ("nor the names of its contributors", "nor the names of their contributors", "nor the names of contributors"):
+        SENTENCES[f"neither the name of the {_holder} {_others} may be used to endorse or promote products derived from this software without specific prior written permission"] = "bsd-names"
+# The grants of the GNU licences, by licence, version and what they are about.
+for _family, _name, _versions in (("GPL", "gnu general public license", ("2", "3")), ("LGPL", "gnu lesser general public license", ("2 1", "3")), ("AGPL", "gnu affero general public license", ("3",))):
+    for _of in ("program", "library", "software", "file"):
+        for _v in _versions:
+            _id = f"{_family.lower()}{_v.replace(' ', '.')}"
+            _begin = f"this {_of} is free software you can redistribute it and or modify it under the terms of the {_name}"
+            SENTENCES[f"{_begin} as published by the free software foundation either version {_v} of the license or at your option any later version"] = f"{_id}-grant"
+            SENTENCES[f"{_begin} version {_v} as published by the free software foundation"] = f"{_id}-only"
+            SENTENCES[f"{_begin} as published by the free software foundation version {_v} of the license"] = f"{_id}-only"
+        SENTENCES[f"this {_of} is distributed in the hope that it will be useful but without any warranty"] = "gpl-hope"
+for _licence, _names in NAMES.items():
+    SENTENCES |= {s: f"ref-{_licence}" for n in _names for lead in LEADS for s in (f"{lead} {n}", f"{lead} the {n}") if s not in SENTENCES}
+    for _s in (_licence, f"{_licence}-only", f"{_licence}-or-later"):
+        if _s == _licence or "GPL" in _licence:
+            SENTENCES["spdx license identifier " + _s.lower().replace("-", " ").replace(".", " ")] = f"ref-{_s.removesuffix('-only')}"
 
 # A licence, and the identifiers that stand for it in this order. Others may lie between them.
 RULES: list[tuple[str, list[str]]] = [
+    ("0BSD", ["0bsd-grant"]),
     ("Apache-2.0", ["apache-head", "apache-comply", "apache-asis"]),
-    ("Apache-2.0", ["apache-ref"]),
+    ("Artistic-1.0-Perl", ["perl-terms"]),
     ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
     ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-names"]),
-    ("CC-BY-4.0", ["ccby-ref"]),
-    ("CC-BY-NC-4.0", ["ccbync-ref"]),
-    ("CC-BY-SA-4.0", ["ccbysa-ref"]),
-    ("CC0-1.0", ["cc0-ref"]),
-    ("GPL-2.0", ["gpl2-ref"]),
-    ("GPL-2.0-or-later", ["gpl2-grant", "gpl-hope"]),
-    ("GPL-3.0", ["gpl3-ref"]),
-    ("GPL-3.0-or-later", ["gpl3-grant", "gpl-hope"]),
+    ("BSD-4-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-advertising", "bsd-names"]),
+    ("BSL-1.0", ["boost-grant"]),
+    ("BSL-1.0", ["boost-head"]),
+    ("CC0-1.0", ["cc0-waiver"]),
+    ("CDDL-1.0", ["cddl-head"]),
+    ("EPL-1.0", ["epl1-head"]),
+    ("EPL-2.0", ["epl2-head"]),
+    ("EUPL-1.2", ["eupl-head"]),
+    ("HPND", ["hpnd-grant"]),
     ("ISC", ["isc-grant"]),
     ("MIT", ["mit-grant", "mit-notice"]),
-    ("MIT", ["mit-ref"]),
+    ("MPL-1.1", ["mpl11-head"]),
     ("MPL-2.0", ["mpl-head"]),
+    ("NCSA", ["ncsa-grant", "ncsa-source"]),
+    ("OFL-1.1", ["ofl-head"]),
+    ("PostgreSQL", ["postgresql-grant"]),
     ("Unlicense", ["unlicense-head"]),
+    ("WTFPL", ["wtfpl-copy", "wtfpl-do"]),
+    ("Zlib", ["zlib-asis", "zlib-grant", "zlib-origin"]),
     ("proprietary", ["reserved"]),
 ]
+for _id in sorted({v for v in SENTENCES.values() if v.endswith(("gpl2-grant", "gpl3-grant", "gpl2.1-grant", "gpl2-only", "gpl3-only", "gpl2.1-only"))}):
+    _family, _v = _id.rsplit("-", 1)[0].upper().split("GPL")
+    _licence = f"{_family}GPL-{_v if '.' in _v else _v + '.0'}"
+    RULES.append((f"{_licence}-or-later", [_id, "gpl-hope"]) if _id.endswith("grant") else (_licence, [_id]))
+RULES += [(v.removeprefix("ref-"), [v]) for v in sorted(set(SENTENCES.values())) if v.startswith("ref-")]
 
 #: A rule that another rule of more sentences contains gives way to it where both match.
-GIVES_WAY = {"BSD-2-Clause": "BSD-3-Clause"}
+GIVES_WAY = {"BSD-2-Clause": ("BSD-3-Clause", "BSD-4-Clause"), "BSD-3-Clause": ("BSD-4-Clause",)}
 #: What stands above most free licences as well, and so gives way to all others.
 LAST = "proprietary"
+#: Each sentence holds one of these: a text without them needs no closer look.
+ANCHORS = ("licen", "released", "distribut", "available", "permission", "permitted", "warrant", "reserved", "copyright", "misrepresented", "advertising", "fuck", "perl")
 BREAK = r"[.!?;:][\x09-\x0D\x20]+"
 
 
@@ -77,7 +174,23 @@ def normalised(text: Column) -> Column:
 
 
 def any_of(gap: str) -> str:
-    return "(" + "|".join(s.replace(" ", gap) for s in sorted(SENTENCES, key=len)) + ")"
+    """A pattern of all sentences, as a tree of their words, so that few of them are tried. The shorter come first."""
+    tree: dict = {}
+    for sentence in SENTENCES:
+        node = tree
+        for word in sentence.split(" "):
+            node = node.setdefault(word, {})
+        node[""] = {}
+
+    def drawn(node: dict) -> str:
+        ends, more = "" in node, [w + (drawn(node[w]) if node[w].keys() == {""} else after(node[w])) for w in sorted(node) if w]
+        return ("(?:" + "|".join(more) + ")") if len(more) > 1 else more[0] if more else ""
+
+    def after(node: dict) -> str:
+        rest = gap + drawn(node)
+        return f"(?:|{rest})" if "" in node else rest
+
+    return "(" + drawn(tree) + ")"
 
 
 #: A sentence between ends of lines or sentences, whatever such ends are in it. The shorter are tried first.
@@ -86,9 +199,13 @@ KNOWN = "[\n\x01] ?" + any_of("[ \n\x01]++") + "(?= ?[\n\x01])"
 BOTH = "\x01 ?(?:\n ?" + any_of(" ") + "[ \n]*+|" + any_of(" ") + " ?\n[ \n]*+)(?=\x01)"
 
 
-def in_order(sequence: list[str]) -> str:
-    """A pattern of these identifiers in this order, with or without others between them."""
-    return " " + "(?: .*)? ".join(sequence) + " "
+def in_order(ids: Column, sequence: list[str]) -> Column:
+    """Whether these identifiers stand in this order, with or without others between them: each is looked for behind the
+    first place of the one before, so that no place is tried twice."""
+    at = F.array_position(ids, F.lit(sequence[0]))
+    if len(sequence) == 1:
+        return at > 0
+    return let(at, lambda p: (p > 0) & in_order(F.slice(ids, (p + 1).cast("int"), F.size(ids)), sequence[1:]))
 
 
 def sentence_ids(text: Column) -> Column:
@@ -99,7 +216,21 @@ def sentence_ids(text: Column) -> Column:
     """
     table = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
     units = F.regexp_replace(normalised(text), BOTH, "\x01$1$2\x01$1$2")
-    return F.transform(F.regexp_extract_all(units, F.lit(KNOWN), F.lit(1)), lambda s: table[F.regexp_replace(s, "[ \n\x01]+", " ")])
+    found = F.transform(F.regexp_extract_all(units, F.lit(KNOWN), F.lit(1)), lambda s: table[F.regexp_replace(s, "[ \n\x01]+", " ")])
+    return F.when(F.lower(text).rlike("|".join(ANCHORS)), found).otherwise(F.array().cast("array<string>"))
+
+
+def licences(ids: Column) -> Column:
+    """The licences whose rules the identifiers of a text match, in order of name."""
+    single = F.create_map(*[F.lit(x) for name, sequence in RULES if len(sequence) == 1 for x in (sequence[0], name)])
+    several = F.array(*[F.when(in_order(ids, sequence), F.lit(name)) for name, sequence in RULES if len(sequence) > 1])
+    names = F.array_distinct(F.array_compact(F.concat(F.transform(ids, lambda i: F.try_element_at(single, i)), several)))
+
+    def settled(names: Column) -> Column:
+        less = F.array_compact(F.array(*[F.when(F.arrays_overlap(names, F.array(*map(F.lit, more))), F.lit(name)) for name, more in GIVES_WAY.items()], F.when(F.size(names) > 1, F.lit(LAST))))
+        return F.array_sort(F.array_except(names, less))
+
+    return F.when(F.size(ids) == 0, F.array().cast("array<string>")).otherwise(let(names, settled))
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -109,18 +240,9 @@ def scan(docs: DataFrame) -> DataFrame:
     columns are left out; an empty table gives an empty result. A rule matches if its identifiers stand in its order;
     "all rights reserved" counts only where no other rule matches.
     """
-    ids = docs.select("doc_id", F.array_join(sentence_ids(F.coalesce("text", F.lit(""))), " ").alias("sentences"))
-    padded = F.concat(F.lit(" "), "sentences", F.lit(" "))
-    found: dict[str, Column] = {}
-    for licence, sequence in RULES:
-        hit = padded.rlike(in_order(sequence))
-        found[licence] = found[licence] | hit if licence in found else hit
-    for less, more in GIVES_WAY.items():
-        found[less] = found[less] & ~found[more]
-    for name in found.keys() - {LAST}:
-        found[LAST] = found[LAST] & ~found[name]
-    names = F.array_compact(F.array(*[F.when(found[name], F.lit(name)) for name in sorted(found)]))
-    return ids.withColumn("names", names).select("doc_id", "sentences", F.array_join("names", ",").alias("licenses"), F.size("names").cast("long").alias("n_licenses"))
+    ids = docs.select("doc_id", sentence_ids(F.coalesce("text", F.lit(""))).alias("ids"))
+    named = ids.select("doc_id", F.array_join("ids", " ").alias("sentences"), licences(F.col("ids")).alias("names"))
+    return named.select("doc_id", "sentences", F.array_join("names", ",").alias("licenses"), F.size("names").cast("long").alias("n_licenses"))
 
 
 def scan_sql() -> str:
@@ -128,10 +250,12 @@ def scan_sql() -> str:
     table = "map {" + ", ".join(f"'{s}': '{i}'" for s, i in SENTENCES.items()) + "}"
     cases: dict[str, str] = {}
     for licence, sequence in RULES:
-        test = f"regexp_matches(padded, '{in_order(sequence)}')"
+        test = f"regexp_matches(padded, ' {'(?: .*)? '.join(sequence)} ')"
         cases[licence] = f"{cases[licence]} OR {test}" if licence in cases else test
+    met = dict(cases)
     for less, more in GIVES_WAY.items():
-        cases[less] = f"({cases[less]}) AND NOT ({cases[more]})"
+        cases[less] = " AND NOT ".join(f"({met[name]})" for name in (less, *more))
+    cases[LAST] = f"({cases[LAST]}) AND NOT ({' OR '.join(v for k, v in met.items() if k != LAST)})"
     names = ", ".join(f"CASE WHEN {cases[name]} THEN '{name}' END" for name in sorted(cases))
     return f"""
 WITH s AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?;:])[\\x09-\\x0D\\x20]+', '\\1' || chr(1), 'g'), chr(1)) AS parts FROM documents),
@@ -139,5 +263,6 @@ b AS (SELECT doc_id, flatten(list_transform(parts, lambda p: CASE WHEN contains(
 k AS (SELECT doc_id, list_filter(list_transform(units, lambda u: trim(regexp_replace(lower(u), '[^a-z0-9]+', ' ', 'g'))), lambda u: map_contains({table}, u)) AS known FROM b),
 i AS (SELECT doc_id, array_to_string(list_transform(known, lambda u: element_at({table}, u)[1]), ' ') AS sentences FROM k),
 p AS (SELECT doc_id, sentences, ' ' || sentences || ' ' AS padded FROM i),
-n AS (SELECT doc_id, sentences, list_filter([{names}], lambda x: x IS NOT NULL) AS names FROM p)
+n AS (SELECT doc_id, sentences, list_filter([{names}], lambda x: x IS NOT NULL) AS names FROM p WHERE sentences <> ''
+  UNION ALL SELECT doc_id, sentences, []::VARCHAR[] FROM p WHERE coalesce(sentences, '') = '')
 SELECT doc_id, coalesce(sentences, '') AS sentences, array_to_string(names, ',') AS licenses, CAST(len(names) AS BIGINT) AS n_licenses FROM n"""

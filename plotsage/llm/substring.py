@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plotsage.llm.columns import let
 from plotsage.llm.common import cut, is_blank, mix64, numbers, pieces, powers
 
 #: Top bits that must be zero (one place in 16), least and most characters of a chunk.
@@ -133,11 +134,6 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, bits: int = BITS, least
     return told.join(pairs.select("row", "doc_id").distinct(), "row").select("row", "doc_id", "spans")
 
 
-def let(value, f):
-    """f of the value, which is computed once for each row however often f names it."""
-    return F.transform(F.array(value), f)[0]
-
-
 def runs(items, new):
     """Items cut into arrays before each place (from 1) at which new is true."""
     begins = F.filter(F.sequence(F.lit(1), F.size(items)), lambda i: (i == 1) | new(i))

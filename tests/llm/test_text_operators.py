@@ -298,6 +298,41 @@ def test_standard_notices_are_found_plain_and_in_comments(spark):
     assert got == {k: k.split(" ")[0] for k, _ in rows}
 
 
+MORE = {
+    "Zlib": "This software is provided 'as-is', without any express or implied\nwarranty.  In no event will the authors be held liable for any damages.\n\nPermission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:\n\n1. The origin of this software must not be misrepresented; you must not\n   claim that you wrote the original software.\n",
+    "LGPL-2.1-or-later": "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.\n\nThis library is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without more.\n",
+    "BSL-1.0": "Distributed under the Boost Software License, Version 1.0.\n(See accompanying file)\n",
+    "EPL-2.0": "This program and the accompanying materials are made\navailable under the terms of the Eclipse Public License 2.0\nwhich is available at https://www.eclipse.org/legal/epl-2.0/\n",
+    "GPL-2.0-or-later": "// SPDX-License-Identifier: GPL-2.0-or-later\nint main;\n",
+    "CC-BY-SA-3.0": "some prose\nThis work is licensed under a Creative Commons text.\nLicensed under CC BY-SA 3.0.\n",
+    "BSD-4-Clause": NOTICES["BSD-2-Clause"] + "\n3. All advertising materials mentioning features or use of this software\n   must display the following acknowledgement:\n   This product includes software.\n\n4. Neither the name of the University nor the names of its contributors may\n   be used to endorse or promote products derived from this software without\n   specific prior written permission.\n",
+}
+
+
+def test_more_notices(spark):
+    got = {r.doc_id: r.licenses for r in licenses.scan(spark.createDataFrame(list(MORE.items()), "doc_id string, text string")).collect()}
+    assert got == {k: k for k in MORE}
+
+
+def test_rules_name_known_identifiers_and_order_counts():
+    known = set(licenses.SENTENCES.values())
+    assert len(licenses.SENTENCES) > 150 and all(i in known for _, sequence in licenses.RULES for i in sequence)
+    assert all(any(a in s for a in licenses.ANCHORS) for s in licenses.SENTENCES)
+    assert all(s == " ".join(re.findall("[a-z0-9]+", s)) for s in licenses.SENTENCES)
+
+
+def test_very_many_notices_in_one_text(spark):
+    """A notices file of a thousand licences takes linear time; the rule that no identifier completes is tried once."""
+    import time
+
+    text = (NOTICES["BSD-2-Clause"] + "\n") * 1000
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert licenses.scan(df).first().licenses == "BSD-2-Clause"
+    began = time.perf_counter()
+    assert licenses.scan(df).first().licenses == "BSD-2-Clause"
+    assert time.perf_counter() - began < 4
+
+
 def test_license_scan_equals_sql(spark, corpus):
     import duckdb
 
