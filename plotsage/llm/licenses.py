@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import json
+import operator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -214,10 +218,11 @@ def sentence_ids(text: Column) -> Column:
     A sentence begins and ends where a line or a sentence of the text does. It may be wrapped over lines with comment
     marks, have headings before it, and hold colons, semicolons and full stops itself.
     """
-    table = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
+    table = F.from_json(F.lit(json.dumps(SENTENCES)), "map<string,string>")  # one constant
     units = F.regexp_replace(normalised(text), BOTH, "\x01$1$2\x01$1$2")
     found = F.transform(F.regexp_extract_all(units, F.lit(KNOWN), F.lit(1)), lambda s: table[F.regexp_replace(s, "[ \n\x01]+", " ")])
-    return F.when(F.lower(text).rlike("|".join(ANCHORS)), found).otherwise(F.array().cast("array<string>"))
+    anchored = let(F.lower(text), lambda t: functools.reduce(operator.or_, [F.contains(t, F.lit(a)) for a in ANCHORS]))
+    return F.when(anchored, found).otherwise(F.array().cast("array<string>"))
 
 
 def licences(ids: Column) -> Column:
