@@ -310,6 +310,59 @@ def test_probing_finds_every_code_within_the_radius():
             assert set(found) == set(np.flatnonzero(np.bitwise_count(codes ^ q).sum(1) <= radius))
 
 
+@pytest.mark.parametrize("width", [16, 20])
+def test_index_join_finds_every_code_within_the_radius(spark, width):
+    """The join on substring and value, and blocks, retrieve the same: all within the radius."""
+    draw = np.random.default_rng(9)
+    centres = draw.normal(size=(30, 16))
+    x = centres[np.arange(600) % 30] + 0.1 * draw.normal(size=(600, 16))
+    df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "vec_id long, v array<double>")
+    model = hamming.Codes(hamming.unit(x), 5)
+    bits = model.bits(hamming.unit(x))
+    for radius in (0, 4, 7):
+        got = {(r.query_id, r.vec_id): r.score for r in hamming.by_index(df, df.filter("vec_id % 20 = 0"), model, width, radius).collect()}
+        apart = (bits[:, None, :] != bits[None, ::20, :]).sum(2)
+        assert set(got) == {(20 * q, v) for v, q in zip(*np.nonzero(apart <= radius), strict=True) if v != 20 * q}
+        cosine = hamming.unit(x) @ hamming.unit(x).T
+        assert all(abs(s - cosine[q, v]) < 1e-12 for (q, v), s in got.items())
+
+
+def test_clusters_are_searched_by_the_index(spark, monkeypatch):
+    draw = np.random.default_rng(10)
+    centres = draw.normal(size=(200, 32))
+    rows = [(i, (centres[i % 200] + 0.02 * draw.normal(size=32)).tolist()) for i in range(4000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    used = []
+    monkeypatch.setattr(hamming, "MOST_PROBES", 20_000)
+    monkeypatch.setattr(hamming, "by_index", lambda *a, of=hamming.by_index: used.append(a[-1]) or of(*a))
+    monkeypatch.setattr(hamming, "INDEX_SHARE", 0)
+    got = hamming.nearest(df, df.filter("vec_id % 50 = 0")).collect()
+    assert used
+    x = hamming.unit(np.array([r for _, r in rows]))
+    cosine = x @ x.T
+    np.fill_diagonal(cosine, -1)
+    hit = sum(r.vec_id in np.argsort(-cosine[r.query_id])[:5] for r in got)
+    assert len(got) == 5 * 80 and hit / len(got) > 0.95
+
+
+def test_recall_on_the_tables(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    x = hamming.unit(np.array(df.orderBy("vec_id").toPandas()["embedding"].tolist(), float))
+    ids = np.array([r[0] for r in df.select("vec_id").orderBy("vec_id").collect()])
+    got = hamming.nearest(df, df.filter("vec_id % 50 = 0")).collect()
+    cosine = x @ x.T
+    np.fill_diagonal(cosine, -1)
+    best = {int(ids[i]): set(ids[np.argsort(-cosine[i])[:5]].tolist()) for i in np.flatnonzero(ids % 50 == 0)}
+    assert len(got) == 5 * len(best)
+    assert sum(r.vec_id in best[r.query_id] for r in got) / len(got) >= 0.95
+
+
+def test_very_many_equal_vectors(spark):
+    df = spark.range(20_000).select(F.col("id").alias("vec_id"), F.when(F.col("id") % 3 == 0, F.array(F.lit(1.0), F.lit(2.0))).otherwise(F.array(F.sin("id"), F.cos("id"))).alias("embedding"))
+    got = [r.vec_id for r in hamming.nearest(df, df.filter("vec_id = 0")).orderBy("rank").collect()]
+    assert got == [3, 6, 9, 12, 15]
+
+
 def test_neighbours_of_few_and_none(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [-1.0, 0.0])], "vec_id long, embedding array<double>")
     assert [(r.query_id, r.rank, r.vec_id) for r in hamming.nearest(few, few.filter("vec_id = 0")).orderBy("rank").collect()] == [(0, 1, 1), (0, 2, 2)]
