@@ -33,6 +33,15 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cut_by(df: DataFrame, label: str, key: str, buckets: int) -> DataFrame:
+    """As cut(), in buckets of key: grouping the result by key needs no shuffle of it."""
+    spark, name = df.sparkSession, f"{label}_{uuid.uuid4().hex}".replace("-", "_")
+    df.write.option("compression", "zstd").option("path", f"{shared_folder(spark)}/{name}").bucketBy(buckets, key).format("parquet").saveAsTable(name)
+    found = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # only its entry in the catalog, which the plan needs no more; the files stay
+    return found
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

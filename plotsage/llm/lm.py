@@ -21,11 +21,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plotsage.llm.common import byte_table, cut, id_column, lists, mix64, numbers, pieces, remainder, words
+from plotsage.llm.common import byte_table, cut, cut_by, id_column, lists, mix64, numbers, pieces, remainder, words
 
 ORDER, MASS = 3, 64.0  # of 4, 16 and 64 the mass of least held-out perplexity on sf0.01
 #: Bytes of text of a block (one long text may be more), and n-grams of a shard.
-BLOCK_BYTES, SHARD_GRAMS = 12 << 20, 1 << 21
+BLOCK_BYTES, SHARD_GRAMS = 8 << 20, 1 << 21
 #: Bytes that one task of a shuffle should read at most.
 TASK_BYTES = 64 << 20
 END, BEGIN = (numbers(n, 1)[0] for n in (41, 42))
@@ -59,8 +59,8 @@ def ranked(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     values = values[order]
     new = np.ones(len(values), bool)
     new[1:] = values[1:] != values[:-1]
-    place = np.empty(len(values), np.int64)
-    place[order] = np.cumsum(new) - 1
+    place = np.empty(len(values), np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32) - 1
     return values[new], place, order[new]
 
 
@@ -182,34 +182,41 @@ class Automaton:
     def __init__(self, tokens: np.ndarray, text: np.ndarray, vocabulary: np.ndarray, counts: list[np.ndarray], mass: float, n_all: int, n_types: int):
         order, self.n_words = len(counts), len(vocabulary)
         hashes = vocabulary[tokens]
-        fail_weight, fail_to, keys, weights, ends_at = [np.zeros(1)], [np.zeros(1, np.int64)], [], [], []
+        fail_weight, fail_to, keys, weights, ends_at = [np.zeros(1)], [np.zeros(1, np.int32)], [], [], []
         first_state = 1  # of the n-grams of this order; those that training lacks are numbered, but no arc leads there
         for n in range(1, order + 1):
             gram_hashes, ends = gram_keys(hashes, text, n)
             _, place, one = ranked(gram_hashes)
+            del gram_hashes
             seen, at = counts[n - 1].astype(float), ends[one]  # a token at which each n-gram ends
-            gram_at = np.full(len(tokens), -1, np.int64)  # the n-gram that ends at each token
-            gram_at[ends] = place
             if n == 1:
                 p = (seen + 1) / (n_all + n_types + 1)
-                known, history, suffix = np.ones(len(seen), bool), np.zeros(len(seen), np.int64), np.zeros(len(seen), np.int64)
+                known, history, suffix = np.ones(len(seen), bool), np.zeros(len(seen), np.int64), np.zeros(len(seen), np.int32)
                 self.known, self.word_p = seen[place] > 0, p[place]
             else:
                 known = seen > 0
-                before = last_at[at - 1]
-                p = (seen + mass * last_p[last_at[at]]) / (last_seen[before] + mass)
-                history, suffix = last_first + before, np.where(last_seen[last_at[at]] > 0, last_first + last_at[at], 0)
-            keys.append(history[known] * self.n_words + tokens[at[known]])
-            weights.append(np.log10(p[known]))
-            own = first_state + np.arange(len(seen))
-            ends_at.append((np.where(seen > 0, own, 0) if n < order else suffix)[known])
+                before, shorter = last_at[at - 1], last_at[at]
+                p = (seen + mass * last_p[shorter]) / (last_seen[before] + mass)
+                history, suffix = before.astype(np.int64) + last_first, np.where(last_seen[shorter] > 0, shorter + last_first, 0).astype(np.int32)
+            key = history[known] * self.n_words + tokens[at[known]]
+            sort = np.argsort(key)  # states of longer n-grams have larger numbers: the parts are in order as well
+            keys.append(key[sort])
+            weights.append(np.log10(p[known])[sort])
+            own = np.where(seen > 0, np.arange(first_state, first_state + len(seen)), 0).astype(np.int32) if n < order else suffix
+            ends_at.append(own[known][sort])
             if n < order:
                 fail_weight.append(np.log10(mass / (seen + mass)))
                 fail_to.append(suffix)
-            last_first, last_seen, last_p, last_at = first_state, seen, p, gram_at
+                last_at = np.full(len(tokens), -1, np.int32)  # the n-gram that ends at each token
+                last_at[ends] = place
+                last_first, last_seen, last_p = first_state, seen, p
             first_state += len(seen)
-        sort = np.argsort(key := np.concatenate(keys))
-        self.arc_key, self.arc_weight, self.arc_to = key[sort], np.concatenate(weights)[sort], np.concatenate(ends_at)[sort]
+        del key, sort, own, place, ends, at, one, history, suffix
+        self.arc_key = np.concatenate(keys)
+        del keys
+        self.arc_weight = np.concatenate(weights)
+        del weights
+        self.arc_to = np.concatenate(ends_at)
         self.fail_weight, self.fail_to = np.concatenate(fail_weight), np.concatenate(fail_to)
 
     def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -285,15 +292,15 @@ def score(docs: DataFrame, order: int = ORDER, mass: float = MASS) -> DataFrame:
     held = remainder(F.col("doc_id"), 7) == 2
     doc_id, kind = id_column(docs)
     own = docs.select(doc_id.alias("doc_id"), held.alias("held"), F.coalesce("text", F.lit("")).alias("text"))
-    blocks = cut(blocks_of(own, kind).withColumn("block", F.monotonically_increasing_id()), "lm-blocks")
+    n_bytes = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # in buckets by block: what comes back to the blocks is shuffled to where they lie, they themselves never
+    blocks = cut_by(blocks_of(own, kind).withColumn("block", F.monotonically_increasing_id()), "lm-blocks", "block", max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // TASK_BYTES)))
     size = blocks.agg(F.sum(F.element_at("begins", -1).cast("long"))).first()[0] or 0
     shards = 1 << max(3, math.ceil(math.log2(max(1, size) * order / SHARD_GRAMS)))
-    # about eight bytes for each n-gram asked for, and four for each token of a block and its counts
-    tasks = lambda n_bytes: max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // TASK_BYTES))
-    asks = asked(blocks, order, shards).repartition(tasks(size * order * 8), "shard", "n")
+    # about eight bytes for each n-gram that is asked for
+    n_tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size * order * 8 // TASK_BYTES))
+    asks = asked(blocks, order, shards).repartition(n_tasks, "shard", "n")
     counted = cut(asks.groupBy("shard", "n").applyInArrow(answer, ANSWER), "lm-counts")
     n_all, n_types = counted.agg(F.sum("tokens"), F.sum("types")).first()
     run = score_block(order, mass, n_all or 0, n_types or 0)
-    parts = tasks(size * 4)
-    left, right = blocks.repartition(parts, "block"), counted.select("block", "n", "shard", "counts").repartition(parts, "block")
-    return left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(run, f"doc_id {kind}, {SCORE}")
+    return blocks.groupBy("block").cogroup(counted.select("block", "n", "shard", "counts").groupBy("block")).applyInArrow(run, f"doc_id {kind}, {SCORE}")
