@@ -7,7 +7,10 @@ doubted patterns, an instance by the other patterns that are believed of it. Pat
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import functools
+import operator
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plotsage.llm.common import cut
@@ -29,36 +32,13 @@ CANDIDATE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*
 CORE = r"[\p{L}0-9+].*[\p{L}0-9]"
 CONTEXT = "context"
 ROUNDS, SUPPORT, CONFIDENCE = 3, 5, 0.8
-#: Running sums go by blocks, so that a text with very many matches takes no quadratic time.
-BLOCK = 1000
-
-
-def running(lengths: Column) -> Column:
-    """Sums of the elements before each element."""
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / BLOCK).cast("int")), lambda b: F.slice(lengths, b * BLOCK + 1, F.lit(BLOCK)))
 
-    def sums(parts: Column, start: Column) -> Column:
-        step = lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n))
-        return F.aggregate(parts, F.array(start), step, lambda acc: F.slice(acc, F.lit(1), F.size(acc) - 1))
 
-    totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda acc, n: acc + n))
-    return F.flatten(F.zip_with(blocks, sums(totals, F.lit(0)), sums))
-
-
-def located(text: Column, pattern: str, kind: str) -> Column:
-    """All matches as structs of kind, start, end, value and the end of what lies before, in order."""
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    both = F.zip_with(gaps, values, lambda g, v: F.struct(g.alias("gap"), v.alias("value")))
-    both = F.filter(both, lambda x: x["value"].isNotNull())
-    starts = running(F.transform(both, lambda x: F.length(x["gap"]) + F.length(x["value"])))
-    return F.zip_with(
-        both, starts,
-        lambda x, s: F.struct(
-            F.lit(kind).alias("kind"), (s + F.length(x["gap"])).alias("start"), (s + F.length(x["gap"]) + F.length(x["value"])).alias("end"),
-            x["value"].alias("value"), F.substring(x["gap"], -64, 64).alias("before"),
-        ),
-    )
+def matches(text: Column, pattern: str, kind: str) -> Column:
+    """All matches in order as structs of kind, value, the length of what lies between it and the match before, and the
+    end of that. Where they stand is summed up later, so that a text with very many matches takes no quadratic time."""
+    both = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda g, v: F.struct(F.lit(kind).alias("kind"), v.alias("value"), F.length(g).alias("gap"), F.substring(g, -64, 64).alias("before")))
+    return F.filter(both, lambda x: x["value"].isNotNull())
 
 
 def digits(value: Column) -> Column:
@@ -86,26 +66,42 @@ def valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-NOTHING = "array<struct<kind:string,start:int,end:int,value:string,before:string>>"
+NOTHING = "array<struct<kind:string,value:string,gap:int,before:string>>"
+ORDER = {kind: i for i, kind in enumerate((*KINDS, CONTEXT))}
+
 
+def all_matches(text: Column) -> Column:
+    """Matches of every kind, valid or not, and of words that may be identifiers, those of each kind in order."""
+    hint = lambda k: F.contains(text, F.lit("@")) if k == "email" else text.rlike(HINTS[k])
+    some = lambda test, found: F.when(test, found).otherwise(F.array().cast(NOTHING))
+    return F.concat(*[some(hint(k), matches(text, PATTERNS[k], k)) for k in KINDS], some(text.rlike("[0-9@]"), matches(text, CANDIDATE, CONTEXT)))
 
-def base_spans(text: Column, kind: str) -> Column:
-    hint = F.contains(text, F.lit("@")) if kind == "email" else text.rlike(HINTS[kind])
-    found = F.filter(located(text, PATTERNS[kind], kind), lambda x: valid(kind, x["value"]))
-    return F.when(hint, found).otherwise(F.array().cast(NOTHING))
 
+def located(found: DataFrame) -> DataFrame:
+    """row, kind, start, end, value and before of the valid matches among those of found (row, matches).
 
-def candidates(text: Column) -> Column:
-    """Words that look like identifiers: without outer punctuation at least 6 characters, 4 digits or an @ among them."""
+    Candidates lose their outer punctuation; they have 6 characters at least, and 4 digits or an @ among them."""
+    each = found.filter(F.size("matches") > 0).select("row", F.posexplode("matches").alias("nth", "m")).select("row", "nth", "m.*").repartition("row")
+    before = Window.partitionBy("row", "kind").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
+    end = F.sum(F.col("gap") + F.length("value")).over(before).cast("int")
+    placed = each.withColumn("end", end).withColumn("start", F.col("end") - F.length("value"))
+    placed = placed.filter(functools.reduce(operator.or_, [(F.col("kind") == k) & valid(k, F.col("value")) for k in KINDS], F.col("kind") == CONTEXT))
+    is_candidate = F.col("kind") == CONTEXT
+    core = F.when(is_candidate, F.regexp_extract("value", CORE, 0)).otherwise(F.col("value"))
+    lead = F.when(is_candidate, F.length(F.regexp_extract("value", r"^[^\p{L}0-9+]*", 0))).otherwise(0)
+    placed = placed.select("row", "kind", (F.col("start") + lead).alias("start"), core.alias("value"), "before").withColumn("end", F.col("start") + F.length("value"))
+    return placed.filter((F.col("kind") != CONTEXT) | (F.length("value") >= 6) & ((F.length(digits(F.col("value"))) >= 4) | F.contains("value", F.lit("@")))).select("row", "kind", "start", "end", "value", "before")
 
-    def core(x: Column) -> Column:
-        value = F.regexp_extract(x["value"], CORE, 0)
-        lead = F.length(F.regexp_extract(x["value"], r"^[^\p{L}0-9+]*", 0))
-        return F.struct(x["kind"].alias("kind"), (x["start"] + lead).alias("start"), (x["start"] + lead + F.length(value)).alias("end"), value.alias("value"), x["before"].alias("before"))
 
-    found = F.transform(located(text, CANDIDATE, CONTEXT), core)
-    shaped = F.filter(found, lambda x: (F.length(x["value"]) >= 6) & ((F.length(digits(x["value"])) >= 4) | F.contains(x["value"], F.lit("@"))))
-    return F.when(text.rlike("[0-9@]"), shaped).otherwise(F.array().cast(NOTHING))
+def without_met(spans: DataFrame) -> DataFrame:
+    """Base spans, and the candidates that meet none of their row. Spans are read in order of their starts, and once backwards: base spans
+    may end behind a candidate's start, or begin before its end."""
+    upto = lambda order: Window.partitionBy("row").orderBy(order).rangeBetween(Window.unboundedPreceding, 0)
+    is_base = F.col("kind") != CONTEXT
+    reach = F.max(F.when(is_base, F.col("end"))).over(upto(F.asc("start")))
+    later = F.min(F.when(is_base, F.col("start"))).over(upto(F.desc("start")))
+    met = F.coalesce(reach > F.col("start"), F.lit(False)) | F.coalesce(later < F.col("end"), F.lit(False))
+    return spans.withColumn("met", met).filter(is_base | ~F.col("met")).drop("met")
 
 
 def context(before: Column) -> Column:
@@ -145,20 +141,19 @@ def find(docs: DataFrame) -> DataFrame:
 
     Spans stand by kind (base kinds, then context), then start; positions are code points, the end exclusive. Null and
     empty texts have no spans; null doc_ids and repeated rows are kept; other columns are left out; an empty table gives
-    an empty result. Whole texts are searched. A discovered span never overlaps a base span of its text.
+    an empty result. Whole texts are searched; a context is made of the 64 characters before a value, words cut off there
+    included. A discovered span never overlaps a base span of its text.
     """
     text = F.coalesce("text", F.lit(""))
-    wide = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), *[base_spans(text, k).alias(k) for k in KINDS], candidates(text).alias("all"))
-    base = F.concat(*KINDS)
-    free = F.filter("all", lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"])))
-    found = cut(wide.select("doc_id", "row", base.alias("base"), free.alias("free")), "pii-found")
-
-    each = found.select("row", F.explode(F.concat("base", "free")).alias("x")).select("row", "x.*").withColumn("context", context(F.col("before"))).filter("context IS NOT NULL")
-    patterns = believed_patterns(each.select("context", F.lower("value").alias("value"), (F.col("kind") != CONTEXT).alias("seed")))
-    fresh = each.filter(F.col("kind") == CONTEXT).join(patterns, "context").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "value"))).alias("fresh"))
-    named = F.transform(F.coalesce("fresh", F.array().cast("array<struct<start:int,end:int,value:string>>")), lambda x: F.struct(F.lit(CONTEXT).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value")))
-    plain = F.transform("base", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value")))
-    return found.join(fresh, "row", "left").select("row", "doc_id", F.concat(plain, named).alias("spans"))
+    found = cut(docs.select("doc_id", F.monotonically_increasing_id().alias("row"), all_matches(text).alias("matches")), "pii-found")
+    spans = cut(without_met(located(found.select("row", "matches"))).withColumn("context", context(F.col("before"))).drop("before"), "pii-spans")
+    patterns = believed_patterns(spans.filter("context IS NOT NULL").select("context", F.lower("value").alias("value"), (F.col("kind") != CONTEXT).alias("seed")))
+    base, fresh = spans.filter(F.col("kind") != CONTEXT).drop("context"), spans.filter(F.col("kind") == CONTEXT).join(patterns, "context").drop("context")
+    place = F.create_map(*[F.lit(x) for pair in ORDER.items() for x in pair])[F.col("kind")]
+    rows = base.unionByName(fresh).groupBy("row").agg(F.array_sort(F.collect_list(F.struct(place.alias("place"), "start", "end", "kind", "value"))).alias("spans"))
+    told = F.transform("spans", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value")))
+    none = F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>")
+    return found.select("row", "doc_id").join(rows.select("row", told.alias("spans")), "row", "left").withColumn("spans", F.coalesce("spans", none))
 
 
 def listed(spans: Column) -> Column:

@@ -11,6 +11,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from plotsage.llm import licenses, lm, mixing, pii, quality, queries, secrets
 
@@ -171,6 +172,60 @@ def test_pii_contexts_may_have_as_many_unseen_values_as_seeds(spark):
     assert pii.redact(df).filter("doc_id = 103").first().text == "please write to <context> today"
 
 
+def plain_patterns(pairs, rounds=pii.ROUNDS, support=pii.SUPPORT, confidence=pii.CONFIDENCE):
+    """The graph's scoring with dictionaries."""
+    seeds, of_context, of_value = {v for _, v, s in pairs if s}, collections.defaultdict(set), collections.defaultdict(set)
+    for c, v, _ in pairs:
+        of_context[c].add(v)
+        of_value[v].add(c)
+    few = {c: len(vs) >= support and len(vs & seeds) <= (1 - confidence) * len(vs) for c, vs in of_context.items()}
+    belief, doubted = dict.fromkeys(of_context, 0.0), dict(few)
+    for _ in range(rounds):
+        after_belief, after_doubt = {}, {}
+        for c, vs in of_context.items():
+            mass = against = 0.0
+            for v in vs:
+                others = of_value[v] - {c}
+                score = 1.0 if v in seeds else 1 - math.prod(max(1 - belief[o], 1e-9) for o in others)
+                mass += score
+                against += (1 - score) if any(doubted[o] for o in others) else 0.0
+            told = mass / (mass + against) if mass + against else 0.0
+            after_belief[c] = told if mass >= support and told >= confidence else 0.0
+            after_doubt[c] = few_mass(len(vs), mass, support, confidence) and not after_belief[c]
+        belief, doubted = after_belief, after_doubt
+    return {c for c, b in belief.items() if b > 0}
+
+
+def few_mass(n, mass, support, confidence):
+    return n >= support and mass <= (1 - confidence) * n
+
+
+def test_pattern_graph_equals_plain_scoring(spark):
+    draw = random.Random(16)
+    for _ in range(3):
+        pairs_ = [(f"c{draw.randrange(25)}", f"v{draw.randrange(120)}", draw.random() < draw.choice((0.05, 0.6))) for _ in range(700)]
+        got = {r.context for r in pii.believed_patterns(spark.createDataFrame(pairs_, "context string, value string, seed boolean")).collect()}
+        assert got == plain_patterns(pairs_)
+
+
+def test_candidates_that_meet_base_spans_are_dropped(spark):
+    draw = random.Random(17)
+    rows = [(i, " ".join(draw.choice(["a@b.co,12345x", "(1.2.3.4)", "id-99881", "77-1234-5", "+49 170 1234567", "x1y2z3w4", "word"]) for _ in range(60))) for i in range(30)]
+    spans = pii.located(spark.createDataFrame(rows, "row long, text string").select("row", pii.all_matches(F.col("text")).alias("matches")))
+    every = collections.defaultdict(list)
+    for r in spans.collect():
+        every[r.row].append(r)
+        assert rows[r.row][1][r.start : r.end] == r.value
+    want = sorted((d, s.start, s.end) for d, found in every.items() for s in found if s.kind == "context" and not any(b.start < s.end and b.end > s.start for b in found if b.kind != "context"))
+    assert want and want == sorted((r.row, r.start, r.end) for r in pii.without_met(spans).filter("kind = 'context'").collect())
+
+
+def test_very_many_mails_in_one_text(spark):
+    text = "".join(f"write to user{i}@mail.example.com or call id-{i}9988 now. " for i in range(20_000))
+    row = pii.digest(pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first()
+    assert row.n_email == 20_000
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "mail é a@b.co now 1.2.3.4", 9, "k"), (2, None, 0, "k"), (3, "clean", 5, None)], "doc_id long, text string, n_chars long, row string")
     rows = {r.doc_id: r for r in pii.redact(df).collect()}
