@@ -2,7 +2,9 @@
 
 Texts of equal words are one node with many copies. Nodes that share a band hash are candidates; what candidates connect
 is split into blocks of bounded size, and each pair of blocks is one group, in which the exact Jaccard similarity of
-all its texts is a matrix product. A group returns sums of links and a spanning forest, never its pairs.
+all its texts is a matrix product. A group returns sums of links and a spanning forest, never its pairs. Where candidates
+make a long chain instead of a family, the texts of each band hash are such a group of their own, and a pair counts in the
+first band that it shares.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plotsage.llm.common import byte_table, cut, lists, mix64, numbers, pieces, powers, words
+from plotsage.llm.common import byte_table, cut, id_column, lists, mix64, numbers, pieces, powers, words
 from plotsage.llm.graph import components
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -22,6 +24,8 @@ RECALL, ROWS = 0.9995, 6
 #: Texts, and n-grams, of a block: bounds what one group holds (two blocks).
 BLOCK_TEXTS, BLOCK_GRAMS = 256, 1 << 20
 CHUNK = 4096
+#: A component of more than one block goes by its band hashes if they hold so many times fewer pairs than the whole.
+SPARSE = 4
 
 
 def bands_for(similarity: float, recall: float, rows: int) -> int:
@@ -101,7 +105,7 @@ def signed(docs: DataFrame, width: int, similarity: float, recall: float, rows:
 
 
 def gram_sets(members: DataFrame, width: int) -> DataFrame:
-    """node, comp, n_blocks, copies, and the sorted distinct n-grams of text, which comes last."""
+    """node, comp, n_blocks, copies, nth, bands, and the sorted distinct n-grams of text, which comes last."""
     table = byte_table(lower=False)
 
     def run(batches):
@@ -114,11 +118,11 @@ def gram_sets(members: DataFrame, width: int) -> DataFrame:
                 values = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
                 yield pa.RecordBatch.from_arrays([*(c.slice(at, to - at) for c in batch.columns[:-1]), lists(values.view(np.int64), begin)], names=[*batch.schema.names[:-1], "grams"])
 
-    return members.mapInArrow(run, "node long, comp long, n_blocks long, copies long, grams array<long>")
+    return members.mapInArrow(run, "node long, comp long, n_blocks long, copies long, nth int, bands array<long>, grams array<long>")
 
 
-def links(sets: list[np.ndarray], side: np.ndarray, similarity: float) -> np.ndarray:
-    """Which pairs of sets reach the similarity, as a matrix. side: if it has two values, only pairs across count."""
+def links(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Which pairs of sets reach the similarity, as a matrix."""
     n = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
     _, place = np.unique(np.concatenate(sets), return_inverse=True)
@@ -136,8 +140,6 @@ def links(sets: list[np.ndarray], side: np.ndarray, similarity: float) -> np.nda
             shared[np.ix_(rows, rows)] += flags @ flags.T
     near = shared >= similarity / (1 + similarity) * (sizes[:, None] + sizes[None, :]) - 1e-9
     np.fill_diagonal(near, False)
-    if side.min() != side.max():
-        near &= side[:, None] != side[None, :]
     return near
 
 
@@ -152,16 +154,24 @@ def roots(near: np.ndarray) -> np.ndarray:
 
 
 def verify(similarity: float):
-    def run(table: pa.Table) -> pa.Table:
-        comp, node, block, copies = (table.column(c).to_numpy() for c in ("comp", "node", "block", "copies"))
-        grams_ = table.column("grams").combine_chunks()
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        across = key[2].as_py() != key[3].as_py()  # of two blocks only pairs across count, even if one is empty
+        comp, node, block, copies, nth = (table.column(c).to_numpy() for c in ("comp", "node", "block", "copies", "nth"))
+        grams_, bands_ = table.column("grams").combine_chunks(), table.column("bands").combine_chunks()
         values, begin = grams_.flatten().to_numpy(), np.concatenate([[0], np.cumsum(grams_.value_lengths().to_numpy())])
+        band_values, band_begin = bands_.flatten().to_numpy(), np.concatenate([[0], np.cumsum(bands_.value_lengths().to_numpy())])
         out_node, out_root, out_links = [], [], []
         order = np.argsort(comp, kind="stable")
         for rows in np.split(order, np.flatnonzero(np.diff(comp[order])) + 1):
-            if len(rows) < 2:
+            if len(rows) < 2 or across and block[rows].min() == block[rows].max():
                 continue
-            near = links([values[begin[i] : begin[i + 1]] for i in rows], block[rows], similarity)
+            near = links([values[begin[i] : begin[i + 1]] for i in rows], similarity)
+            if across:
+                near &= block[rows][:, None] != block[rows][None, :]
+            if (before := nth[rows[0]]) > 0:  # a pair that shares an earlier band counts there
+                bands = np.stack([band_values[band_begin[i] : band_begin[i] + before] for i in rows])
+                for j in range(before):
+                    near &= bands[:, j, None] != bands[None, :, j]
             hit = np.flatnonzero(near.any(1))
             out_node.append(node[rows[hit]])
             out_root.append(node[rows[roots(near)[hit]]])
@@ -172,6 +182,29 @@ def verify(similarity: float):
     return run
 
 
+def placed(sized: DataFrame, banded: DataFrame) -> tuple[DataFrame, int]:
+    """node, row, comp, n_blocks, nth and bands of each text to be verified, and in how many packs small groups go.
+
+    sized: node, row, comp, n_words of the texts of all candidate components. Components of one block, and families, are
+    groups as they are. Chains, whose band hashes hold far fewer pairs than the whole, make a group of each band hash;
+    comp is the hash's then, nth the band's number, and bands the text's bands."""
+    blocks = F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("n_words") / BLOCK_GRAMS)).alias("n_blocks")
+    measured = [blocks, F.count("*").alias("n"), F.sum("n_words").alias("words")]
+    comps = cut(sized.groupBy("comp").agg(*measured), "near-comps")
+    none = F.array().cast("array<bigint>").alias("bands")
+    big = comps.filter("n_blocks > 1")
+    in_big = sized.join(big.select("comp"), "comp").join(banded.select("node", "bands"), "node").select("comp", "node", "row", "n_words", "bands", F.posexplode("bands").alias("nth", "band"))
+    work = in_big.groupBy("comp", "nth", "band").agg(F.count("*").alias("n")).groupBy("comp").agg(F.sum(F.col("n") * F.col("n")).alias("work"))
+    chains = cut(big.join(work, "comp").filter(F.col("work") * SPARSE < F.col("n") * F.col("n")).select("comp"), "near-chains")
+    whole = comps.join(chains, "comp", "left_anti")
+    each = in_big.join(chains, "comp", "left_semi").withColumn("comp", F.xxhash64("comp", "nth", "band"))
+    hashes = cut(each.groupBy("comp").agg(*measured).filter("n > 1"), "near-hashes")
+    out = sized.join(whole.select("comp", "n_blocks"), "comp").select("node", "row", "comp", "n_blocks", F.lit(0).alias("nth"), none)
+    out = out.unionByName(each.join(hashes.select("comp", "n_blocks"), "comp").select("node", "row", "comp", "n_blocks", "nth", "bands"))
+    small = whole.unionByName(hashes).filter("n_blocks = 1").agg(F.sum("n"), F.sum("words")).first()
+    return out, max((small[0] or 0) // BLOCK_TEXTS, (small[1] or 0) // BLOCK_GRAMS) + 1
+
+
 def group(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, recall: float = RECALL, rows: int = ROWS) -> DataFrame:
     """The columns of docs by place (c0, c1, ...) and class_id, n_links and kept.
 
@@ -182,11 +215,12 @@ def group(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, r
     beside doc_id and text may have any name. An empty table gives an empty result.
     """
     names = docs.columns
+    kind = id_column(docs)[1]
     at_text = f"c{names.index('text')}"
     inner = docs.toDF(*[f"c{i}" for i in range(len(names))])
     rest = [c for c in inner.columns if c != at_text]
     # the text comes last, where signed() looks for it
-    own = inner.select(*rest, F.col(f"c{names.index('doc_id')}").cast("long").alias("id"), at_text)
+    own = inner.select(*rest, F.col(f"c{names.index('doc_id')}").cast(kind).alias("id"), at_text)
     done = cut(signed(own, width, similarity, recall, rows).toDF(*rest, "id", at_text, "d1", "d2", "n_words", "bands").withColumn("row", F.monotonically_increasing_id()), "near-signed")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")
     nodes = done.filter("n_words > 0").groupBy("d1", "d2").agg(first, F.count("*").alias("copies"), F.min("row").alias("row"))
@@ -200,19 +234,16 @@ def group(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, r
     apart = components(pairs)
     members = apart.unionByName(apart.select(F.col("root").alias("node"), "root").distinct())
     sized = cut(members.withColumnRenamed("root", "comp").join(banded.select("node", "row", "n_words"), "node"), "near-members")
-    blocks = F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("n_words") / BLOCK_GRAMS)).alias("n_blocks")
-    comps = cut(sized.groupBy("comp").agg(blocks, F.count("*").alias("n")), "near-comps")
-    placed = sized.select("node", "row", "comp").join(comps, "comp").join(nodes.select("node", "copies"), "node")
+    to_verify, n_packs = placed(sized, banded)
 
-    # verification: texts of a candidate component meet by pairs of blocks; small components share groups
-    texts = placed.join(done.select("row", F.col(at_text).alias("text")), "row").select("node", "comp", "n_blocks", "copies", "text")
+    # verification: texts of a group meet by pairs of blocks; small groups share packs
+    texts = to_verify.join(nodes.select("node", "copies"), "node").join(done.select("row", F.col(at_text).alias("text")), "row").select("node", "comp", "n_blocks", "copies", "nth", "bands", "text")
     sets = gram_sets(texts, width)
-    n_packs = int((comps.filter("n_blocks = 1").agg(F.sum("n")).first()[0] or 0) // BLOCK_TEXTS) + 1
     block = F.pmod(F.xxhash64("node"), F.col("n_blocks"))
     met = sets.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)))
     met = met.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
-    met = met.withColumn("pack", F.when(F.col("n_blocks") > 1, F.col("comp") + n_packs).otherwise(F.pmod(F.xxhash64("comp"), F.lit(n_packs))))
-    found = cut(met.groupBy("pack", "lo", "hi").applyInArrow(verify(similarity), "node long, root long, links long"), "near-found")
+    met = met.withColumn("packed", F.col("n_blocks") == 1).withColumn("pack", F.when(F.col("packed"), F.pmod(F.xxhash64("comp"), F.lit(n_packs))).otherwise(F.col("comp")))
+    found = cut(met.groupBy("packed", "pack", "lo", "hi").applyInArrow(verify(similarity), "node long, root long, links long"), "near-found")
 
     tied = components(found.filter("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")))
     rooted = nodes.join(tied, "node", "left").select("node", "d1", "d2", "first", "copies", F.coalesce("root", "node").alias("root"))

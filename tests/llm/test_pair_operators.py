@@ -96,6 +96,30 @@ def test_near_copies_equal_brute_force(copies, monkeypatch, block):
     assert sum(r.kept for r in got) == n
 
 
+def test_chains_of_candidates_go_by_their_bands(spark, copies, monkeypatch):
+    """Each text shares words with the next: a long chain of candidates, few of them near. Links are those of brute force,
+    by whole components and by band hashes, and a pair that shares several bands counts once."""
+    draw = random.Random(18)
+    v = vocabulary(draw, 3000)
+    run = [draw.choice(v) for _ in range(3000)]
+    rows = [(i, " ".join(run[9 * i : 9 * i + (60 if i % 5 else 64)])) for i in range(300)] + [(1000 + i, " ".join(run[90 * i : 90 * i + 58])) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").unionByName(copies.select((F.col("doc_id") + 5000).alias("doc_id"), "text"))
+    want, _ = classes([tuple(r) for r in df.collect()])
+    monkeypatch.setattr(near, "BLOCK_TEXTS", 8)
+    for sparse in (4, 1e-9):
+        monkeypatch.setattr(near, "SPARSE", sparse)
+        same([(r.doc_id, r.class_id, r.n_links) for r in near.near_copies(df).collect()], want)
+
+
+def test_blocks_that_stay_empty_count_nothing_twice(spark, monkeypatch):
+    monkeypatch.setattr(near, "BLOCK_GRAMS", 300)
+    draw = random.Random(19)
+    words = [draw.choice(vocabulary(draw, 500)) for _ in range(400)]
+    rows = [(i, " ".join(words[:-1] + [f"end{i}"])) for i in range(3)]
+    got = near.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in got) == [(0, 0, 2), (1, 0, 2), (2, 0, 2)]
+
+
 def test_representatives_keep_columns(corpus, nothing):
     kept = near.representatives(corpus)
     assert kept.columns == corpus.columns and kept.filter("doc_id = 0").count() == 1 and kept.filter("doc_id between 200 and 229").count() == 0
