@@ -27,10 +27,22 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it again: ends its lineage, and survives lost executors."""
+    """Write df to the shared folder and read it again: ends its lineage, and survives lost executors.
+
+    The folder keeps the tables that results read, until its owner clears it."""
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found.cut_path = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what cut() wrote for tables that no later plan reads."""
+    for table in tables:
+        jvm, spark = table.sparkSession._jvm, table.sparkSession
+        path = jvm.org.apache.hadoop.fs.Path(table.cut_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_by(df: DataFrame, label: str, key: str, buckets: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plotsage.llm.common import cut
+from plotsage.llm.common import cut, discard
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -18,9 +18,12 @@ def _stars(edges: DataFrame) -> DataFrame:
     least = cut(ways.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "graph-least")
     large = ways.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
     large = cut(large, "graph-large")  # u > v from here on
+    discard(least)
     least = cut(large.groupBy("u").agg(F.min("v").alias("m")), "graph-least")
     small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
-    return cut(small.filter("u <> v").distinct(), "graph-small")
+    found = cut(small.filter("u <> v").distinct(), "graph-small")
+    discard(large, least)
+    return found
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -33,7 +36,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     mark = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     before = mark(at)
     for _ in range(rounds):
-        at = _stars(at)
+        last, at = at, _stars(at)
+        discard(last)
         after = mark(at)
         if after == before:
             return at.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -20,6 +20,8 @@ from plotsage.llm.common import WORD, cut
 LEAF_ROWS = 4096
 #: A document with more than one part in so many of a node's words is balanced by all its other documents.
 LARGE = 64
+#: Repeats of a row that are unrolled at a time.
+RUN = 10_000
 SEED = 20240
 EPSILON = 1e-9
 
@@ -36,7 +38,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, c
     total = ranked.agg(F.sum("source_size")).first()[0] or 0
     level = F.lit(0.0)
     capped = F.lit(False)
-    for _ in range(1000):  # each round caps more sources, or is the last
+    while True:  # each round caps more sources than the one before, or is the last
         kept, free, n = ranked.agg(F.sum(F.when(capped, F.col("source_size") * cap)), F.sum(F.when(~capped, F.col("weight"))), F.count_if(capped)).first()
         if not free or not total:
             break
@@ -141,6 +143,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
     for part in done[1:]:
         rounded = rounded.unionByName(part)
     copies = (F.col("whole") + F.round("p").cast("long")).alias("unit_copies")
-    each = rounded.select(*columns, copies, F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("nth"))
+    # in runs of bounded length: a row may be repeated any number of times
+    runs = rounded.select(*columns, copies, F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(times - 1) div {RUN}"))).alias("run"))
+    each = runs.select(*columns, "unit_copies", F.explode(F.sequence(F.col("run") * RUN + 1, F.least(F.col("times"), (F.col("run") + 1) * RUN))).alias("nth"))
     own = (F.floor(F.col("unit_copies") / F.col("times")) + F.when(F.col("nth") <= F.col("unit_copies") % F.col("times"), 1).otherwise(0)).alias("copies")
     return each.select("doc_id", "source", "size", "source_size", "target", own).withColumn("taken", F.col("size") * F.col("copies"))

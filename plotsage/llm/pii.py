@@ -13,7 +13,7 @@ import operator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plotsage.llm.common import cut
+from plotsage.llm.common import cut, discard
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -132,7 +132,8 @@ def believed_patterns(pairs: DataFrame, rounds: int = ROUNDS, support: int = SUP
         summed = scored.groupBy("context").agg(F.count("*").alias("n"), F.sum("score").alias("mass"), F.sum(F.when(F.col("against"), 1 - F.col("score")).otherwise(0.0)).alias("against"))
         belief = F.col("mass") / (F.col("mass") + F.col("against"))
         believed = (F.col("mass") >= support) & (belief >= confidence)
-        patterns = cut(summed.select("context", F.when(believed, belief).otherwise(0.0).alias("belief"), (few & ~F.coalesce(believed, F.lit(False))).alias("doubted")), "pii-patterns")
+        last, patterns = patterns, cut(summed.select("context", F.when(believed, belief).otherwise(0.0).alias("belief"), (few & ~F.coalesce(believed, F.lit(False))).alias("doubted")), "pii-patterns")
+        discard(last)
     return patterns.filter("belief > 0").select("context")
 
 

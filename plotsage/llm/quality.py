@@ -131,7 +131,9 @@ class Machine:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Machine:
-    """Fit on at most sample_rows labelled rows whose remainder is not 2; ties and repeated rows count as they are."""
+    """Fit on at most sample_rows labelled rows whose remainder is not 2; ties and repeated rows count as they are.
+
+    Where ids occur more than once in docs, the bound holds for the rows that are found."""
     known = labels.select(F.col("doc_id").alias("id"), F.col("quality").cast("double").alias("label")).filter("label in (0, 1) and id is not null")
     known = known.filter(remainder(F.col("id"), 4) != 2)
     # the bound comes before the join with the texts: what is joined and gathered stays bounded
@@ -146,7 +148,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(at, to - at), batch.column("label").slice(at, to - at), pa.array(list(stats)), *lists], names=["id", "label", "stats", "bucket", "value"])
 
     joined = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "id")  # bounded by sample_rows
-    rows = joined.mapInArrow(extract, "id long, label double, stats array<double>, bucket array<smallint>, value array<float>").toArrow().sort_by([("id", "ascending"), ("label", "ascending")])
+    joined = joined.orderBy(F.xxhash64("id", F.lit(3)), F.xxhash64("text"), "label").limit(sample_rows).select(F.col("id").cast("string").alias("id"), "label", "text")
+    rows = joined.mapInArrow(extract, "id string, label double, stats array<double>, bucket array<smallint>, value array<float>").toArrow().sort_by([("id", "ascending"), ("label", "ascending")])
     if not len(rows):
         return Machine().fit(np.zeros((0, len(STATISTICS))), *[np.zeros(0, int)] * 2, np.zeros(0), np.zeros(0))
     buckets, values = rows.column("bucket").combine_chunks(), rows.column("value").combine_chunks()
@@ -156,7 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
 
 def scored(docs: DataFrame, model: Machine) -> DataFrame:
-    """docs with a last column _score; its text is looked up by position, so that columns of any names may be there."""
+    """The columns of docs by place (c0, c1, ...), whatever their names, and score."""
     table = byte_table(lower=False)
     at_text = docs.columns.index("text")
     inner = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
@@ -166,9 +169,9 @@ def scored(docs: DataFrame, model: Machine) -> DataFrame:
             out = np.zeros(len(batch))
             for at, to, *x in features(batch.column(at_text), table):
                 out[at:to] = model.scores(*x)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, "_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, "score"])
 
-    return inner.mapInArrow(run, inner.withColumn("_score", F.lit(0.0)).schema).toDF(*docs.columns, "_score")
+    return inner.mapInArrow(run, inner.withColumn("score", F.lit(0.0)).schema)
 
 
 def score(docs: DataFrame, model: Machine, threshold: float = THRESHOLD) -> DataFrame:
@@ -178,10 +181,13 @@ def score(docs: DataFrame, model: Machine, threshold: float = THRESHOLD) -> Data
     no inputs. Null doc_ids (held_out false) and repeated rows are kept; other columns are left out; an empty table gives
     an empty result.
     """
-    known = scored(docs.select("doc_id", "text"), model).drop("text")
-    return known.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
+    known = scored(docs.select("doc_id", "text"), model)
+    return known.select(F.col("c0").alias("doc_id"), (remainder(F.col("c0"), 4) == 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, model: Machine, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs whose score reaches the threshold, with all their columns."""
-    return scored(docs, model).filter(F.col("_score") >= threshold).drop("_score")
+    """The rows of docs whose score reaches the threshold, with all their columns, of whatever names.
+
+    Null and empty texts have the score of a text without words; equal rows are kept or go together; an empty table gives
+    an empty result."""
+    return scored(docs, model).filter(F.col("score") >= threshold).drop("score").toDF(*docs.columns)

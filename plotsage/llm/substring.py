@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plotsage.llm.columns import let
-from plotsage.llm.common import cut, is_blank, mix64, numbers, pieces, powers
+from plotsage.llm.common import cut, id_column, is_blank, mix64, numbers, pieces, powers
 
 #: Top bits that must be zero (one place in 16), least and most characters of a chunk.
 BITS, LEAST, MOST = 4, 12, 128
@@ -99,7 +99,7 @@ def chunked(docs: DataFrame, bits: int = BITS, least: int = LEAST, most: int = M
                 take = pa.array(at + text)
                 yield pa.RecordBatch.from_arrays([batch.column("row").take(take), batch.column("doc_id").take(take), pa.array(packed), pa.array(digest_.view(np.int64))], names=["row", "doc_id", "at", "digest"])
 
-    return docs.select("row", "doc_id", "text").mapInArrow(run, "row long, doc_id long, at long, digest long")
+    return docs.select("row", "doc_id", "text").mapInArrow(run, f"row long, doc_id {id_column(docs)[1]}, at long, digest long")
 
 
 def _firsts(text: np.ndarray, digest_: np.ndarray) -> np.ndarray:
@@ -115,10 +115,12 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, bits: int = BITS, least
     spans: start and end (code points, end exclusive), words, and copy: whether each of its chunk pairs occurs before, in
     the table as it was read or earlier in the text, so that dropping all copies keeps one of each. A passage is a
     stretch of chunks whose every neighbouring pair occurs elsewhere too, in the same or another text, and that holds at
-    least min_words words or 400 characters; where it holds that much of copies beside other pairs, it is told in parts. Null and empty texts have none; null doc_ids are kept; repeated rows are repeats of each
+    least min_words words or 400 characters; where it holds that much of copies beside other pairs, it is told in parts. The
+    pairs of a stretch may recur in different texts. Pairs are told by 64-bit digests: two that differ may share one in very
+    large tables, but a stretch needs several in a row. Null and empty texts have none; null doc_ids are kept; repeated rows are repeats of each
     other; other columns are left out; an empty table gives an empty result.
     """
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("row", F.monotonically_increasing_id())
+    keyed = docs.select(id_column(docs)[0].alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("row", F.monotonically_increasing_id())
     pairs = cut(chunked(keyed, bits, least, most), "substring-pairs")
     many = pairs.groupBy("digest").agg(F.min("row").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
     hits = pairs.select("digest", "row", "at").join(cut(many, "substring-many"), "digest")
@@ -131,7 +133,9 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, bits: int = BITS, least
         return F.struct(start.alias("start"), middle.alias("middle"), (middle + bits_(8, 8)).alias("end"), bits_(16, 8).alias("words"), bits_(1, 7).alias("more_words"), (x["later"] | (bits_(0, 1) == 1)).alias("copy"))
 
     told = gathered.select("row", F.transform("packed", opened).alias("hits")).select("row", stretches(F.col("hits"), min_words).alias("spans")).filter(F.size("spans") > 0)
-    return told.join(pairs.select("row", "doc_id").distinct(), "row").select("row", "doc_id", "spans")
+    # each text has one pair at its very beginning, which tells its id
+    ids = pairs.filter(F.shiftright("at", 32) == 0).select("row", "doc_id")
+    return told.join(ids, "row").select("row", "doc_id", "spans")
 
 
 def runs(items, new):

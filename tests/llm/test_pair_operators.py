@@ -182,6 +182,56 @@ def test_copies_beside_first_passages_are_told_apart(spark):
     assert abs(first.words + rest.words - 160) <= 20
 
 
+def touching(spans):
+    """Spans in order, those that follow each other without a gap as one."""
+    whole = []
+    for start, end in spans:
+        if whole and start == whole[-1][1]:
+            whole[-1] = (whole[-1][0], end)
+        else:
+            whole.append((start, end))
+    return whole
+
+
+def test_spans_equal_plain_pairs_of_chunks(spark):
+    """Chunks, their pairs as texts, and stretches of pairs that occur twice and more, with dictionaries."""
+    draw = random.Random(20)
+    v = vocabulary(draw, 300)
+    prose = lambda n: " ".join(draw.choice(v) for _ in range(n))
+    shared = [prose(draw.randrange(8, 90)) for _ in range(12)]
+    rows = [(i, " ".join(prose(draw.randrange(30)) if draw.random() < 0.5 else draw.choice(shared) for _ in range(8))) for i in range(60)]
+    points = np.array([ord(c) for _, t in rows for c in t], np.uint32)
+    begins = np.concatenate([[0], np.cumsum([len(t) for _, t in rows])])
+    ends, per_text = substring.boundaries(points, begins, substring.BITS, substring.LEAST, substring.MOST)
+    pairs_, at = {}, 0
+    for (d, t), n, b in zip(rows, per_text, begins, strict=False):
+        cuts = [0, *(int(e - b) for e in ends[at : at + n])]
+        at += n
+        pairs_[d] = [(cuts[i], cuts[i + 1], cuts[i + 2]) for i in range(len(cuts) - 2)] or [(0, len(t), len(t))]
+    times = collections.Counter(rows[d][1][a:c] for d, found in pairs_.items() for a, _, c in found)
+    want = {}
+    for d, found in pairs_.items():
+        runs = []
+        for a, m, c in (p for p in found if times[rows[d][1][p[0] : p[2]]] > 1):
+            if runs and a <= runs[-1][1]:
+                runs[-1][1:] = [m, c]
+            else:
+                runs.append([a, m, c])
+        starts = lambda a, c, t=rows[d][1]: sum(not t[i].isspace() and (i == 0 or t[i - 1].isspace()) for i in range(a, c))
+        kept = [(a, c) for a, _, c in runs if starts(a, c) >= substring.MIN_WORDS or c - a >= substring.MIN_CHARS]
+        if kept:
+            want[d] = touching(kept)
+    got = {}
+    for r in substring.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r.doc_id] = touching([(s.start, s.end) for s in r.spans])
+    assert got == want
+
+
+def test_repeats_of_an_empty_table(spark):
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert substring.repeats(none).count() == 0 and substring.digest(substring.repeats(none)).count() == 0
+
+
 def test_chunks_are_those_of_a_rolling_hash():
     draw = random.Random(6)
     texts = ["".join(draw.choice("abcdeé \n😀") for _ in range(draw.randrange(0, 900))) for _ in range(30)]
@@ -408,6 +458,13 @@ def test_queries_apart_from_all_others_are_served(spark):
 # --- pipeline -----------------------------------------------------------------------------------------------------------------------------
 
 
+def test_pipeline_of_an_empty_table(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, sf_dir)
+        assert docs.count() == 0, name
+
+
 def test_pipeline_keeps_its_promises(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     columns, kept = docs.columns, []

@@ -475,6 +475,35 @@ def test_text_ids(spark):
     assert {r.doc_id: r.n_tokens for r in lm.score(docs).collect()} == {"a": 3, None: 1}
 
 
+# --- quality: plain scores ---------------------------------------------------------------------------------------------------
+
+
+def test_scores_equal_a_plain_factorisation_machine(spark, corpus):
+    """All pairs of features, one by one."""
+    draw = np.random.default_rng(2)
+    model = quality.Machine()
+    model.bias, model.w, model.v = 0.3, draw.normal(0, 0.3, len(model.w)), draw.normal(0, 0.3, model.v.shape)
+    texts = ["one two two three", "", None, "Ünï 42! x\ny. z", "word " * 40]
+    got = [r.score for r in quality.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), model).orderBy("doc_id").collect()]
+    import pyarrow as pa
+
+    for text, score in zip(texts, got, strict=True):
+        (_, _, stats, owner, bucket, value), = quality.features(pa.array([text], pa.string()), quality.byte_table(lower=False))
+        _, index, x = model.inputs(stats, owner, bucket, value)
+        margin = model.bias + sum(model.w[i] * v for i, v in zip(index, x, strict=True))
+        for a in range(len(index)):
+            for b in range(a + 1, len(index)):
+                margin += float(model.v[index[a]] @ model.v[index[b]]) * x[a] * x[b]
+        assert score == pytest.approx(1 / (1 + math.exp(-margin)), rel=1e-9)
+
+
+def test_training_is_bounded_where_ids_repeat_and_columns_may_have_any_name(spark):
+    docs = spark.range(600).select((F.col("id") % 3).alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"), F.lit("x").alias("_score"), F.lit(1).alias("score"))
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 1)], "doc_id long, quality int")
+    model = quality.train(docs, labels, sample_rows=50)
+    assert quality.accepted(docs, model, 0.0).columns == docs.columns and quality.accepted(docs, model, 0.0).count() == 600
+
+
 # --- mixing -------------------------------------------------------------------------------------------------------------------
 
 
@@ -494,6 +523,13 @@ def filled(sizes, weights=(3.0, 1.0, 2.0), share=1.5, cap=2.0):
             free.discard(s)
 
 
+def test_a_row_repeated_very_often(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RUN", 7)
+    df = spark.range(100).select(F.lit(1).cast("long").alias("doc_id"), F.lit("a b").alias("text"), F.lit("s").alias("source"))
+    rows = mixing.mix(df).collect()
+    assert len(rows) == 100 and sum(r.taken for r in rows) == 300 and max(r.taken for r in rows) <= 4
+
+
 def test_mixing(spark, corpus):
     rows = mixing.mix(corpus).collect()
     sized = [(r.doc_id, r.source, len([w for w in re.split(BLANK, r.text or "") if w])) for r in corpus.select("doc_id", "source", "text").collect()]
