@@ -18,7 +18,7 @@ OPEN, SHUT = '{"type":"FeatureCollection","features":[', "]}"
 SALT = "plotsage.reference-verification.v1"
 VALID_DAYS, POLICY_VERSION, CUTOFF, APPLIES_FROM = 365, "2026-06-17", "2020-12-31", "2026-12-30"
 # The eight legal areas that a statement names and does not assess.
-LEGAL_AREAS = ("land_use_rights", "environmental_protection", "forest_rules", "third_party_rights", "labour_rights", "human_rights", "free_prior_informed_consent", "tax_anticorruption_trade_customs")
+LEGAL_AREAS = ("land_use_rights", "environmental_protection", "forest_related", "third_parties_rights", "labour_rights", "human_rights", "fpic", "tax_anticorruption_trade_customs")
 
 
 def coordinates_json(gtype: Column, parts: Column) -> Column:
@@ -60,8 +60,8 @@ def issues(gtype: Column, parts: Column, crossing: Column | None = None) -> Colu
 
 
 def eligible(plots: DataFrame) -> DataFrame:
-    """Plots (with risk, gtype, parts) that a statement may hold: assessed, and without issues."""
-    return plots.filter(F.col("risk").isNotNull() & (F.size(issues(F.col("gtype"), F.col("parts"))) == 0))
+    """Plots (with risk, and issues as jobs.feature_issues makes them) that a statement may hold: assessed, without issues."""
+    return plots.filter(F.col("risk").isNotNull() & (F.size("issues") == 0))
 
 
 def payload_bytes(plots: DataFrame) -> DataFrame:
@@ -90,16 +90,18 @@ def legality() -> Column:
 
 
 def statements(plots: DataFrame, countries: DataFrame, day: Column, run_id: Column, salt: str = SALT) -> DataFrame:
-    """One row for each consignment of plots (plot_id, consignment, operator, country, risk, gtype, parts).
+    """One row for each consignment of the eligible among plots (plot_id, consignment, operator, country, risk, gtype, parts,
+    issues): header, plot_ids, geojson, legality (a map of areas, none assessed) and numbers.
 
     countries: country, risk_class, due_diligence_path. day and run_id fix dates and reference numbers; nothing reads the
     clock. A consignment over the size cap has conformant false and no numbers.
     """
+    plots = eligible(plots)
     head = plots.groupBy("consignment").agg(F.min("operator").alias("operator"), F.min("country").alias("country"), highest(F.col("risk")).alias("determination"))
-    full = head.join(payload_bytes(plots), "consignment").join(F.broadcast(countries), "country", "left")
+    full = head.join(collections(plots), "consignment").join(F.broadcast(countries), "country", "left")
     reference = F.when(F.col("conformant"), reference_number(F.col("consignment").cast("string"), day, run_id))
     full = full.withColumn("operator", F.coalesce("operator", F.lit(""))).withColumn("reference_number", reference)
     return full.withColumns({
         "verification_number": verification_number(F.col("reference_number"), salt), "valid_from": day, "valid_until": F.date_add(day, VALID_DAYS), "annual_review_required": F.lit(True),
-        "legality_status": F.lit("NOT_ASSESSED"), "compliance_complete": F.lit(False), "policy_version": F.lit(POLICY_VERSION), "cutoff_date": F.to_date(F.lit(CUTOFF)), "application_date": F.to_date(F.lit(APPLIES_FROM)),
+        "legality": legality(), "legality_status": F.lit("NOT_ASSESSED"), "compliance_complete": F.lit(False), "policy_version": F.lit(POLICY_VERSION), "cutoff_date": F.to_date(F.lit(CUTOFF)), "application_date": F.to_date(F.lit(APPLIES_FROM)),
     })

@@ -100,12 +100,11 @@ def findings(plots: DataFrame, repairs: DataFrame | None = None) -> DataFrame:
     made = made.withColumn("_ha", F.when(F.col("gtype").isin("Polygon", "MultiPolygon"), geo.total(F.col("parts"), geo.geodesic_ring)).otherwise(0.0))
     made = made.withColumn("_spike", F.col("_ring").isNotNull() & F.col("repair").isNull() & has_spike(F.col("_ring")))
     rule = F.coalesce(F.col("_place.rule_id"), F.lit(""))
-    named = F.upper("crs")
     least = F.array_min(F.transform("_points", lambda p: F.greatest(g.decimals(p["x"]), g.decimals(p["y"]))))
     pairs = F.exists(F.sequence(F.lit(1), F.greatest(F.size("_ring") - 1, F.lit(1))), lambda i: F.get(F.col("_ring"), i) == F.get(F.col("_ring"), i - 1))
     every = F.array(
         F.col("_place"),
-        F.when(F.col("crs").isNotNull() & ~F.contains(named, F.lit("4326")) & ~F.contains(named, F.lit("CRS84")) & ~rule.isin("lat_lon_swap", "coordinate_out_of_range"), finding("unknown_mixed_crs", "ERROR", REVIEW)),
+        F.when(foreign(F.col("crs")) & ~rule.isin("lat_lon_swap", "coordinate_out_of_range"), finding("unknown_mixed_crs", "ERROR", REVIEW)),
         F.when((F.col("gtype") == "Point") & (F.col("asserted_area_ha") >= geo.THRESHOLD_HA), finding("geometry_type_vs_asserted_area", "ERROR", REVIEW)),
         F.when(is_open(F.col("raw")), finding("unclosed_ring", "WARNING", FIXED)),
         F.when(F.col("repair") == FIXED, finding("invalid_geometry", "ERROR", FIXED, g.repeated_vertex(F.col("_ring")))).when(F.col("repair").isNotNull(), finding("invalid_geometry", "ERROR", REVIEW, g.repeated_vertex(F.col("_ring")))),
@@ -135,6 +134,17 @@ def sampleable(found: Column) -> Column:
     return ~F.arrays_overlap(F.transform(found, lambda f: f["rule_id"]), F.array(*map(F.lit, BLOCKING)))
 
 
+def foreign(crs: Column) -> Column:
+    """Whether a reference system is named that is not the expected one."""
+    named = F.upper(crs)
+    return crs.isNotNull() & ~F.contains(named, F.lit("4326")) & ~F.contains(named, F.lit("CRS84"))
+
+
+def blocked(parts: Column, crs: Column) -> Column:
+    """Whether one of the blocking rules holds, without the other rules: the same as not sampleable(findings)."""
+    return place_finding(g.coordinates(parts)).isNotNull() | foreign(crs)
+
+
 def long_findings(validated: DataFrame) -> DataFrame:
     """One row for each finding: plot_id, nth, and its fields."""
     return validated.select("plot_id", F.posexplode("findings").alias("nth", "f")).select("plot_id", "nth", "f.*")

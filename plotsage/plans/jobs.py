@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from plotsage.functions import geodesy as geo
 from plotsage.functions import geometry as g
-from plotsage.operators import crossings, overlap, risk, statements, validation, zonal
-from plotsage.plans import derive
+from plotsage.operators import crossings, risk, statements, validation, zonal
 
 
 def with_hash(plots: DataFrame) -> DataFrame:
@@ -52,21 +51,8 @@ def as_rings(boxes: DataFrame) -> DataFrame:
     return boxes.select("plot_id", F.lit("Polygon").alias("gtype"), F.array(F.array(ring)).alias("parts"))
 
 
-def sample_boxes(spark: SparkSession, plots: DataFrame) -> DataFrame:
-    """Samples of plots that are boxes, in whole numbers."""
-    found = overlap.boxes(plots)
-    overlay = zonal.box_overlay(found, derive.layers(spark), derive.cells(spark))
-    sized = plots.select("plot_id", geo.total(F.col("parts"), geo.geodesic_ring).alias("plot_ha"))
-    return zonal.samples(overlay, derive.layers(spark), sized)
-
-
-def assessed_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The clean plots with risk, beside consignment, operator, country, gtype and parts."""
-    plots = derive.plots(spark, sf_dir).filter("kind in (10, 13, 14, 15)")
-    return risk.assess(sample_boxes(spark, plots)).join(plots.select("plot_id", "consignment", "operator", "country", "gtype", "parts"), "plot_id")
-
-
 def feature_issues(plots: DataFrame) -> DataFrame:
+    """plots with issues: why a plot may not go into a statement, rings that cross themselves among it."""
     crossing = crossings.meetings(closed(plots)).filter("part = o_part and ring = o_ring").select("plot_id").distinct().withColumn("crossing", F.lit(True))
     return plots.join(crossing, "plot_id", "left").withColumn("issues", statements.issues(F.col("gtype"), F.col("parts"), F.col("crossing")))
 

@@ -139,7 +139,21 @@ def findings_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.long_findings(jobs.validate(jobs.with_raw(derive.plots(spark, sf_dir)))).groupBy("rule_id").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {PLOTS} SELECT plot_id, CASE WHEN kind = 6 THEN 'NEEDS_REVIEW' ELSE 'AUTO_FIXED' END AS repair, CAST(CASE WHEN kind = 6 THEN 1 ELSE 0 END AS BIGINT) AS n_cross, CAST(CASE WHEN kind = 11 THEN 1 ELSE 0 END AS BIGINT) AS n_overlap FROM plots WHERE kind IN (6, 11)")
+RINGS = """rg AS (SELECT plot_id, nth, CASE WHEN r[1] <> r[len(r)] THEN list_append(r, r[1]) ELSE r END AS r FROM (SELECT plot_id, generate_subscripts(rings, 1) AS nth, unnest(rings) AS r FROM plots WHERE gtype = 'Polygon'))"""
+TURN = "sign((({b}).x - ({a}).x) * (({c}).y - ({a}).y) - (({b}).y - ({a}).y) * (({c}).x - ({a}).x))"
+WITHIN = "(({c}).x BETWEEN least(({a}).x, ({b}).x) AND greatest(({a}).x, ({b}).x) AND ({c}).y BETWEEN least(({a}).y, ({b}).y) AND greatest(({a}).y, ({b}).y))"
+D4 = [TURN.format(a=x, b=y, c=z) for x, y, z in (("a", "b", "o_a"), ("a", "b", "o_b"), ("o_a", "o_b", "a"), ("o_a", "o_b", "b"))]
+ON = " OR ".join(f"(d{i} = 0 AND {WITHIN.format(a=x, b=y, c=z)})" for i, (x, y, z) in enumerate((("a", "b", "o_a"), ("a", "b", "o_b"), ("o_a", "o_b", "a"), ("o_a", "o_b", "b")), 1))
+SHARED = "least(greatest(a.{v}, b.{v}), greatest(o_a.{v}, o_b.{v})) - greatest(least(a.{v}, b.{v}), least(o_a.{v}, o_b.{v}))"
+#: Pairs of segments of one ring that meet wrongly, by coordinates: every pair is compared.
+MEET = f"""{RINGS}, tidy AS (SELECT plot_id, list_filter(r, lambda p, i: i = 1 OR p <> r[i - 1]) AS r FROM rg),
+sg AS (SELECT plot_id, i, r[i] AS a, r[i + 1] AS b, len(r) - 1 AS n FROM (SELECT plot_id, r, unnest(range(1, len(r))) AS i FROM tidy)),
+sp AS (SELECT *, {', '.join(f'{d} AS d{i}' for i, d in enumerate(D4, 1))} FROM (SELECT s.plot_id, s.i, s.n, s.a, s.b, t.i AS o_i, t.a AS o_a, t.b AS o_b FROM sg s JOIN sg t ON s.plot_id = t.plot_id AND s.i < t.i)),
+mt AS (SELECT plot_id, CASE WHEN d1 * d2 < 0 AND d3 * d4 < 0 THEN 'cross' WHEN d1 = 0 AND d2 = 0 AND ({ON}) AND greatest({SHARED.format(v='x')}, {SHARED.format(v='y')}) > 0 THEN 'overlap' WHEN ({ON}) AND NOT (o_i - i = 1 OR o_i - i = n - 1) THEN 'touch' END AS kind FROM sp),
+met AS (SELECT plot_id, count(*) FILTER (kind = 'cross') AS n_cross, count(*) FILTER (kind = 'overlap') AS n_overlap FROM mt WHERE kind IS NOT NULL GROUP BY plot_id)"""
+
+
+@query(f"WITH {PLOTS}, {MEET} SELECT plot_id, CASE WHEN n_cross > 0 THEN 'NEEDS_REVIEW' ELSE 'AUTO_FIXED' END AS repair, n_cross, n_overlap FROM met")
 def invalid_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     closed = jobs.closed(derive.plots(spark, sf_dir))
     return crossings.repairs(closed).select("plot_id", "repair", "n_cross", "n_overlap")
@@ -147,9 +161,6 @@ def invalid_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- areas -------------------------------------------------------------------------------------------------------------
 
-CLEAN = f"{PLOTS}, sq AS (SELECT * FROM plots WHERE kind IN (10, 13, 14, 15))"
-
-
 def q_sql(y: str) -> str:
     s = f"sin(radians(({y}) / 1e6))"
     return f"({1 - geo.E2!r} * ({s} / (1 - {geo.E2!r} * {s} * {s}) - ln((1 - {geo.E!r} * {s}) / (1 + {geo.E!r} * {s})) / {2 * geo.E!r}))"
@@ -167,12 +178,20 @@ def box_ha_sql(y0: str, y1: str, width: str) -> str:
     return f"(abs({excess_sql(y1, width)} - {excess_sql(y0, width)}) * {geo.R2!r} / 1e4)"
 
 
-@query(f"""WITH {CLEAN}, a AS (SELECT plot_id, {box_ha_sql('y0', 'y0 + s', 's')} AS geo_ha, radians(s / 1e6) * {geo.A!r} * {geo.A!r} / 2 * ({q_sql('y0 + s')} - {q_sql('y0')}) / 1e4 AS ea_ha,
-  radians(s / 1e6) * {geo.A!r} * {geo.A!r} * (ln(tan(pi() / 4 + radians((y0 + s) / 1e6) / 2)) - ln(tan(pi() / 4 + radians(y0 / 1e6) / 2))) / 1e4 AS wm_ha FROM sq)
-SELECT plot_id, round(geo_ha, 6) AS geodesic_ha, round(ea_ha, 6) AS epsg6933_ha, round(wm_ha, 6) AS epsg3857_ha, round(100 * (wm_ha - geo_ha) / geo_ha, 4) AS delta_3857_pct, CASE WHEN geo_ha < 4 THEN 'point' ELSE 'polygon' END AS required_format, abs(geo_ha - 4) <= 0.1 AS borderline FROM a""")
+EDGES = "list_sum(list_transform(range(2, len(r) + 1), lambda i: {term}))"
+FLAT = "(l[i - 1] - l[1]) * ({v}[i] - {v}[1]) - (l[i] - l[1]) * ({v}[i - 1] - {v}[1])"
+#: Areas of all rings, edge by edge; exteriors less holes.
+AREAS = f"""{RINGS}, rv AS (SELECT plot_id, nth, r, list_transform(r, lambda p: radians(p.x / 1e6)) AS l, list_transform(r, lambda p: {t_sql('p.y')}) AS t, list_transform(r, lambda p: {q_sql('p.y')}) AS q, list_transform(r, lambda p: ln(tan(pi() / 4 + radians(p.y / 1e6) / 2))) AS m FROM rg),
+ra AS (SELECT plot_id, CASE WHEN nth = 1 THEN 1 ELSE -1 END AS turn, abs({EDGES.format(term='2 * atan2(tan((l[i] - l[i - 1]) / 2) * (t[i - 1] + t[i]), 1 + t[i - 1] * t[i])')}) * {geo.R2!r} / 1e4 AS geo_ha,
+  abs({EDGES.format(term=FLAT.format(v='q'))}) * {geo.A!r} * {geo.A!r} / 4 / 1e4 AS ea_ha, abs({EDGES.format(term=FLAT.format(v='m'))}) * {geo.A!r} * {geo.A!r} / 2 / 1e4 AS wm_ha FROM rv),
+sa AS (SELECT plot_id, sum(turn * geo_ha) AS geo_ha, sum(turn * ea_ha) AS ea_ha, sum(turn * wm_ha) AS wm_ha FROM ra GROUP BY plot_id),
+a AS (SELECT plot_id, coalesce(geo_ha, 0) AS geo_ha, coalesce(ea_ha, 0) AS ea_ha, coalesce(wm_ha, 0) AS wm_ha FROM plots LEFT JOIN sa USING (plot_id))"""
+
+
+@query(f"""WITH {PLOTS}, {AREAS} SELECT plot_id, round(geo_ha, 6) AS geodesic_ha, round(ea_ha, 6) AS epsg6933_ha, round(wm_ha, 6) AS epsg3857_ha, round(CASE WHEN geo_ha > 0 THEN 100 * (wm_ha - geo_ha) / geo_ha END, 4) AS delta_3857_pct, CASE WHEN geo_ha < 4 THEN 'point' ELSE 'polygon' END AS required_format, abs(geo_ha - 4) <= 0.1 AS borderline FROM a""")
 def area_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clean = derive.plots(spark, sf_dir).filter("kind in (10, 13, 14, 15)")
-    measured = jobs.measure(clean)
+    """All plots; those without an area have 0."""
+    measured = jobs.measure(jobs.closed(derive.plots(spark, sf_dir)))
     return measured.select("plot_id", *[F.round(c, 6).alias(c) for c in ("geodesic_ha", "epsg6933_ha", "epsg3857_ha")], F.round("delta_3857_pct", 4).alias("delta_3857_pct"), "required_format", "borderline")
 
 
@@ -187,15 +206,16 @@ def utm_sql(x: str, y: str) -> tuple[str, str]:
 
 
 def _utm_oracle() -> str:
-    corners = [("x0", "y0"), ("x0 + s", "y0"), ("x0 + s", "y0 + s"), ("x0", "y0 + s")]
-    columns = ", ".join(f"{e} AS e{i}, {n} AS n{i}" for i, (e, n) in enumerate(utm_sql(x, y) for x, y in corners))
-    area = "abs((e1 - e0) * (n2 - n0) - (e2 - e0) * (n1 - n0) + (e2 - e0) * (n3 - n0) - (e3 - e0) * (n2 - n0)) / 2 / 1e4"
-    return f"WITH {CLEAN}, c AS (SELECT plot_id, {columns} FROM sq) SELECT plot_id, round({area}, 5) AS utm_ha FROM c"
+    e, n = utm_sql("p.x", "p.y")
+    return f"""WITH {PLOTS}, {RINGS}, pt AS (SELECT plot_id, nth, generate_subscripts(r, 1) AS i, unnest(r) AS p FROM rg), en AS (SELECT plot_id, nth, i, {e} AS e, {n} AS n FROM pt),
+ls AS (SELECT plot_id, nth, list(e ORDER BY i) AS e, list(n ORDER BY i) AS n FROM en GROUP BY plot_id, nth),
+ra AS (SELECT plot_id, CASE WHEN nth = 1 THEN 1 ELSE -1 END * abs(list_sum(list_transform(range(2, len(e) + 1), lambda i: (e[i - 1] - e[1]) * (n[i] - n[1]) - (e[i] - e[1]) * (n[i - 1] - n[1])))) / 2 / 1e4 AS ha FROM ls)
+SELECT plot_id, round(coalesce(sum(ha), 0), 5) AS utm_ha FROM plots LEFT JOIN ra USING (plot_id) GROUP BY plot_id"""
 
 
 @query(_utm_oracle())
 def area_utm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.measure(derive.plots(spark, sf_dir).filter("kind in (10, 13, 14, 15)")).select("plot_id", F.round("utm_ha", 5).alias("utm_ha"))
+    return jobs.measure(jobs.closed(derive.plots(spark, sf_dir))).select("plot_id", F.round("utm_ha", 5).alias("utm_ha"))
 
 
 @query(f"WITH {PLOTS} SELECT plot_id, round(1 / power(cos(radians(y0 / 1e6)), 2), 9) AS inflation FROM plots")
@@ -207,36 +227,57 @@ def webmercator_inflation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 U = 9
 LAYER_ROWS = "layers(layer, cell, west, north, n_rows, n_cols) AS (VALUES " + ", ".join(str(x) for x in derive.LAYERS) + ")"
-OVERLAY = f"""{CLEAN}, {LAYER_ROWS}, cells AS ({derive.cells_sql(D)}),
-g AS (SELECT plot_id, x0, y0, x0 + s AS x1, y0 + s AS y1, s, layer, cell, west, north FROM sq, layers),
-rc AS (SELECT *, unnest(range((north - y1 * {U}) // cell, (north - y0 * {U} - 1) // cell + 1)) AS row FROM g),
-cc AS (SELECT *, unnest(range((x0 * {U} - west) // cell, (x1 * {U} - west - 1) // cell + 1)) AS col FROM rc),
+OVERLAY = f"""{PLACE}, {LAYER_ROWS}, cells AS ({derive.cells_sql(D)}),
+sq AS (SELECT plot_id, list_min(list_transform(pts, lambda p: p.x)) AS x0, list_min(list_transform(pts, lambda p: p.y)) AS y0, list_max(list_transform(pts, lambda p: p.x)) AS x1, list_max(list_transform(pts, lambda p: p.y)) AS y1 FROM w WHERE place IS NULL AND (crs IS NULL OR contains(upper(crs), '4326'))),
+g AS (SELECT sq.*, layer, cell, west, north, n_rows, n_cols FROM sq, layers),
+rc AS (SELECT *, unnest(range(greatest((north - y1 * {U}) // cell, 0), least((north - y0 * {U} - 1) // cell + 1, n_rows))) AS row FROM g),
+cc AS (SELECT *, unnest(range(greatest((x0 * {U} - west) // cell, 0), least((x1 * {U} - west - 1) // cell + 1, n_cols))) AS col FROM rc),
 cov AS (SELECT cc.*, value, (least(x1 * {U}, west + (col + 1) * cell) - greatest(x0 * {U}, west + col * cell)) * (least(y1 * {U}, north - row * cell) - greatest(y0 * {U}, north - (row + 1) * cell)) AS covered FROM cc JOIN cells USING (layer, row, col)),
-smp AS (SELECT plot_id, coalesce(list_sort(list_distinct(list(CAST(value AS INT)) FILTER (layer = 'lossyear' AND value BETWEEN 21 AND 25))), []) AS post, coalesce(list_sort(list_distinct(list(CAST(value AS INT)) FILTER (layer = 'lossyear' AND value BETWEEN 1 AND 20))), []) AS pre,
-  coalesce(sum(CASE WHEN layer = 'lossyear' AND value BETWEEN 21 AND 25 THEN covered * {box_ha_sql('(north - (row + 1) * cell) / 9.0', '(north - row * cell) / 9.0', 'cell / 9.0')} / (cell * cell) END), 0) AS loss_ha,
+sm AS (SELECT plot_id, list_sort(list_distinct(list(CAST(value AS INT)) FILTER (layer = 'lossyear' AND value BETWEEN 21 AND 25))) AS post, list_sort(list_distinct(list(CAST(value AS INT)) FILTER (layer = 'lossyear' AND value BETWEEN 1 AND 20))) AS pre,
+  sum(CASE WHEN layer = 'lossyear' AND value BETWEEN 21 AND 25 THEN covered * {box_ha_sql('(north - (row + 1) * cell) / 9.0', '(north - row * cell) / 9.0', 'cell / 9.0')} / (cell * cell) END) AS loss_ha,
   sum(CASE WHEN layer = 'forest_2020' AND value = 1 THEN covered ELSE 0 END) / sum(CASE WHEN layer = 'forest_2020' THEN covered END) AS forest,
   sum(CASE WHEN layer = 'landcover_context' AND value = 40 THEN covered ELSE 0 END) / sum(CASE WHEN layer = 'landcover_context' THEN covered END) AS crop,
-  count(*) AS covered_cells, any_value({box_ha_sql('y0', 'y1', 's')}) AS plot_ha FROM cov GROUP BY plot_id),
-tree AS (SELECT *, loss_ha / plot_ha AS fraction, CASE WHEN forest < 0.5 THEN 'low.outside_2020_forest' WHEN crop >= 0.5 THEN 'low.crop_context_downgrade' WHEN len(pre) > 0 AND len(post) = 0 THEN 'low.pre_cutoff_disturbance_only'
-  WHEN post = [21] THEN 'mins.band21_latency' WHEN len(post) > 0 AND loss_ha / plot_ha >= 0.1 THEN 'high.inside_forest_post_cutoff_loss' WHEN len(post) > 0 THEN 'mins.sub_threshold_loss' ELSE 'mins.inside_forest_no_context' END AS rule_id FROM smp),
+  count(*) AS covered_cells FROM cov WHERE covered > 0 GROUP BY plot_id),
+smp AS (SELECT plot_id, coalesce(post, []) AS post, coalesce(pre, []) AS pre, coalesce(loss_ha, 0) AS loss_ha, coalesce(forest, 0) AS forest, coalesce(crop, 0) AS crop, coalesce(covered_cells, 0) AS covered_cells, {box_ha_sql('y0', 'y1', '(x1 - x0)')} AS plot_ha FROM sq LEFT JOIN sm USING (plot_id)),
+tree AS (SELECT *, CASE WHEN plot_ha > 0 THEN loss_ha / plot_ha ELSE 0 END AS fraction, CASE WHEN forest < 0.5 THEN 'low.outside_2020_forest' WHEN crop >= 0.5 THEN 'low.crop_context_downgrade' WHEN len(pre) > 0 AND len(post) = 0 THEN 'low.pre_cutoff_disturbance_only'
+  WHEN post = [21] THEN 'mins.band21_latency' WHEN len(post) > 0 AND plot_ha > 0 AND loss_ha / plot_ha >= 0.1 THEN 'high.inside_forest_post_cutoff_loss' WHEN len(post) > 0 THEN 'mins.sub_threshold_loss' ELSE 'mins.inside_forest_no_context' END AS rule_id FROM smp),
 risks AS (SELECT *, CASE split_part(rule_id, '.', 1) WHEN 'mins' THEN 'more-info-needed' ELSE split_part(rule_id, '.', 1) END AS risk, rule_id = 'mins.band21_latency' AS boundary_uncertain FROM tree)"""
 
 
+def sampled_boxes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All plots that may be sampled, and the samples of their bounding boxes, in whole numbers.
+
+    A box shows what lies at a plot before its own ring is cut (see processed_plots); a point has a box without area, and
+    no cells."""
+    # kept: else the arithmetic that derives the plots would be computed again wherever one of their columns is named
+    plots = jobs.closed(derive.plots(spark, sf_dir)).persist()
+    plots = plots.filter(~validation.blocked(F.col("parts"), F.col("crs")))
+    found, layers = overlap.boxes(plots).persist(), derive.layers(spark)
+    sized = jobs.as_rings(found).select("plot_id", geo.total(F.col("parts"), geo.geodesic_ring).alias("plot_ha"))
+    return plots, zonal.samples(zonal.box_overlay(found, layers, derive.cells(spark)), layers, sized)
+
+
+def assessed_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those plots with the risk of their boxes, beside consignment, operator, country, gtype and parts."""
+    plots, sampled = sampled_boxes(spark, sf_dir)
+    return risk.assess(sampled).join(plots.select("plot_id", "consignment", "operator", "country", "gtype", "parts"), "plot_id")
+
+
 @query(f"WITH {OVERLAY} SELECT plot_id, array_to_string(post, ',') AS post_bands, array_to_string(pre, ',') AS pre_bands, round(loss_ha, 6) AS loss_ha, round(forest, 9) AS forest_fraction, round(crop, 9) AS cropland_fraction, covered_cells FROM smp")
 def zonal_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = jobs.sample_boxes(spark, derive.plots(spark, sf_dir).filter("kind in (10, 13, 14, 15)"))
+    _, found = sampled_boxes(spark, sf_dir)
     words = lambda c: F.array_join(F.transform(c, lambda v: v.cast("string")), ",").alias(c)
     return found.select("plot_id", words("post_bands"), words("pre_bands"), F.round("loss_ha", 6).alias("loss_ha"), F.round("forest_fraction", 9).alias("forest_fraction"), F.round("cropland_fraction", 9).alias("cropland_fraction"), "covered_cells")
 
 
 @query(f"WITH {OVERLAY} SELECT plot_id, risk, rule_id, boundary_uncertain, round(fraction, 6) AS loss_fraction FROM risks")
 def risk_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.assessed_boxes(spark, sf_dir).select("plot_id", "risk", "rule_id", "boundary_uncertain", F.round("loss_fraction", 6).alias("loss_fraction"))
+    return assessed_boxes(spark, sf_dir).select("plot_id", "risk", "rule_id", "boundary_uncertain", F.round("loss_fraction", 6).alias("loss_fraction"))
 
 
 @query(f"WITH {OVERLAY}, n AS (SELECT risk, count(*) AS n FROM risks GROUP BY risk) SELECT t.risk, coalesce(n, 0) AS n FROM (VALUES ('low'), ('more-info-needed'), ('high'), ('not assessed')) AS t(risk) LEFT JOIN n USING (risk)")
 def risk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return risk.tier_counts(jobs.assessed_boxes(spark, sf_dir))
+    return risk.tier_counts(assessed_boxes(spark, sf_dir))
 
 
 @query(f"""WITH {OVERLAY}, e AS (SELECT plot_id, risk, rule_id, unnest([{{'layer_order': 0, 'dataset_name': 'annual loss', 'dataset_version': 'v1.13', 'pixel_value': CAST(coalesce(list_max(post), list_max(pre), 0) AS DOUBLE), 'covered_fraction': fraction, 'verdict': ''}},
@@ -244,14 +285,14 @@ def risk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
   {{'layer_order': 2, 'dataset_name': 'land cover', 'dataset_version': 'v200', 'pixel_value': CASE WHEN crop >= 0.5 THEN 40.0 ELSE 0.0 END, 'covered_fraction': crop, 'verdict': CASE WHEN crop >= 0.5 THEN 'cropland_context' ELSE 'no_cropland_context' END}}]) AS r FROM risks)
 SELECT 'run-1' AS run_id, plot_id, r.layer_order, r.dataset_name, r.dataset_version, rule_id, CAST(r.pixel_value AS DOUBLE) AS pixel_value, round(r.covered_fraction, 6) AS covered_fraction, CASE WHEN r.layer_order = 0 THEN risk ELSE risk || '|' || r.verdict END AS reading FROM e""")
 def evidence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = risk.evidence(jobs.assessed_boxes(spark, sf_dir), derive.datasets(spark), "run-1")
+    rows = risk.evidence(assessed_boxes(spark, sf_dir), derive.datasets(spark), "run-1")
     reading = F.when(F.col("layer_order") == 0, F.split("verdict", r"\|")[0]).otherwise(F.col("verdict"))  # the formatted fraction is tested apart
     return rows.select("run_id", "plot_id", "layer_order", "dataset_name", "dataset_version", "rule_id", "pixel_value", F.round("covered_fraction", 6).alias("covered_fraction"), reading.alias("reading"))
 
 
 @query(f"WITH {OVERLAY} SELECT consignment, min(plot_id) AS plot_id FROM risks JOIN plots USING (plot_id) WHERE boundary_uncertain GROUP BY consignment")
 def first_uncertain_plot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = jobs.assessed_boxes(spark, sf_dir).filter("boundary_uncertain")
+    found = assessed_boxes(spark, sf_dir).filter("boundary_uncertain")
     return found.groupBy("consignment").agg(F.min_by("plot_id", "plot_id").alias("plot_id"))
 
 
@@ -323,7 +364,7 @@ TIER_RANK = "CASE risk WHEN 'high' THEN 2 WHEN 'more-info-needed' THEN 1 ELSE 0
 
 @query(f"WITH {OVERLAY} SELECT consignment, ['low', 'more-info-needed', 'high'][max({TIER_RANK}) + 1] AS determination, count(*) AS n FROM risks JOIN plots USING (plot_id) GROUP BY consignment")
 def consignment_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.assessed_boxes(spark, sf_dir).groupBy("consignment").agg(risk.highest(F.col("risk")).alias("determination"), F.count("*").alias("n"))
+    return assessed_boxes(spark, sf_dir).groupBy("consignment").agg(risk.highest(F.col("risk")).alias("determination"), F.count("*").alias("n"))
 
 
 FEATURE = f"""'{{"type":"Feature","properties":{{"ProducerName":"","ProductionPlace":"' || plot_id || '","Area":null}},"geometry":{{"type":"' || gtype || '","coordinates":' || CASE WHEN gtype = 'Point' THEN '[' || {num_sql('rings[1][1].x')} || ',' || {num_sql('rings[1][1].y')} || ']' ELSE '[' || list_aggregate(list_transform(closed, lambda r: '[' || list_aggregate(list_transform(r, lambda p: '[' || {num_sql('p.x')} || ',' || {num_sql('p.y')} || ']'), 'string_agg', ',') || ']'), 'string_agg', ',') || ']' END || '}}}}'"""
@@ -341,7 +382,10 @@ def consignment_geojson(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("consignment", "n_plots", "bytes", "conformant", F.sha2("geojson", 256).alias("geojson_sha256"))
 
 
-@query(f"""WITH {PLOTS} SELECT plot_id, array_to_string(list_filter([CASE WHEN kind = 5 THEN 'interior rings' END, CASE WHEN kind = 4 THEN 'not closed' END, CASE WHEN kind IN (6, 11) THEN 'self-crossing ring' END], lambda x: x IS NOT NULL), ',') AS issues FROM plots""")
+ISSUES = f"""{MEET}, iss AS (SELECT plot_id, list_filter([CASE WHEN hole IS NOT NULL THEN 'interior rings' END, CASE WHEN gtype = 'Polygon' AND ring[1] <> ring[len(ring)] THEN 'not closed' END, CASE WHEN n_cross IS NOT NULL THEN 'self-crossing ring' END], lambda x: x IS NOT NULL) AS issues FROM plots LEFT JOIN met USING (plot_id))"""
+
+
+@query(f"WITH {PLOTS}, {ISSUES} SELECT plot_id, array_to_string(issues, ',') AS issues FROM iss")
 def feature_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.feature_issues(derive.plots(spark, sf_dir)).select("plot_id", F.array_join("issues", ",").alias("issues"))
 
@@ -349,12 +393,39 @@ def feature_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 COUNTRIES = (("R0", "low", "simplified_dd"), ("R1", "standard", "full_dd"), ("R2", "low", "simplified_dd"), ("R3", "high", "full_dd"), ("R4", "standard", "full_dd"))
 
 
-@query(f"""WITH {OVERLAY}, co(country, risk_class, due_diligence_path) AS (VALUES {', '.join(map(str, COUNTRIES))}), h AS (SELECT consignment, min(operator) AS operator, min(country) AS country, ['low', 'more-info-needed', 'high'][max({TIER_RANK}) + 1] AS determination, count(*) AS n_plots FROM risks JOIN plots USING (plot_id) GROUP BY consignment)
-SELECT consignment, operator, determination, n_plots, risk_class, due_diligence_path, 'EUDR-2026-' || consignment || '-09937884' AS reference_number, '2027-06-18' AS valid_until, 'NOT_ASSESSED' AS legality_status, false AS compliance_complete FROM h JOIN co USING (country)""")
-def statement_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+DDS = f"""{OVERLAY}, {ISSUES}, cl AS (SELECT *, rings AS closed FROM plots), ft AS (SELECT plot_id, {FEATURE} AS feature FROM cl), ok AS (SELECT plot_id, consignment, operator, country, risk, feature FROM risks JOIN plots USING (plot_id) JOIN iss USING (plot_id) JOIN ft USING (plot_id) WHERE len(issues) = 0)"""
+
+
+def eligible_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assessed plots with the issues of their own geometry as it was submitted (rings are not closed here)."""
+    plots = assessed_boxes(spark, sf_dir).drop("parts")
+    return jobs.feature_issues(plots.join(derive.plots(spark, sf_dir).select("plot_id", "parts"), "plot_id"))
+
+
+@query(f"WITH {DDS} SELECT plot_id, consignment, risk FROM ok")
+def dds_eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statements.eligible(eligible_boxes(spark, sf_dir)).select("plot_id", "consignment", "risk")
+
+
+def _statement_sql() -> str:
+    rows = ", ".join(map(str, COUNTRIES))
+    areas = ",".join(f"{a}=NOT_ASSESSED" for a in statements.LEGAL_AREAS)
+    return f"""WITH {DDS}, co(country, risk_class, due_diligence_path) AS (VALUES {rows}), h AS (SELECT consignment, min(operator) AS operator, min(country) AS country, ['low', 'more-info-needed', 'high'][max({TIER_RANK}) + 1] AS determination, count(*) AS n_plots, string_agg(CAST(plot_id AS VARCHAR), ',' ORDER BY plot_id) AS plot_ids, '{statements.OPEN}' || string_agg(feature, ',' ORDER BY plot_id) || '{statements.SHUT}' AS geojson FROM ok GROUP BY consignment)
+SELECT consignment, operator, determination, n_plots, plot_ids, geojson, '{areas}' AS legality, risk_class, due_diligence_path, 'EUDR-2026-' || consignment || '-09937884' AS reference_number, '2026-06-18' AS valid_from, '2027-06-18' AS valid_until, 'NOT_ASSESSED' AS legality_status, false AS compliance_complete FROM h LEFT JOIN co USING (country)"""
+
+
+@query(_statement_sql())
+def statement_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole statements of all eligible plots: ids, features and legal areas in the row."""
     countries = spark.createDataFrame(list(COUNTRIES), "country string, risk_class string, due_diligence_path string")
-    found = statements.statements(jobs.assessed_boxes(spark, sf_dir), countries, F.to_date(F.lit("2026-06-18")), F.lit("09937884b63dade7"))
-    return found.select("consignment", "operator", "determination", "n_plots", "risk_class", "due_diligence_path", "reference_number", F.col("valid_until").cast("string").alias("valid_until"), "legality_status", "compliance_complete")
+    found = statements.statements(eligible_boxes(spark, sf_dir), countries, F.to_date(F.lit("2026-06-18")), F.lit("09937884b63dade7"))
+    listed = F.array_join(F.transform(F.array(*map(F.lit, statements.LEGAL_AREAS)), lambda a: F.concat_ws("=", a, F.col("legality")[a])), ",")
+    return found.select("consignment", "operator", "determination", "n_plots", F.array_join(F.transform("plot_ids", lambda i: i.cast("string")), ",").alias("plot_ids"), "geojson", listed.alias("legality"), "risk_class", "due_diligence_path", "reference_number", F.col("valid_from").cast("string").alias("valid_from"), F.col("valid_until").cast("string").alias("valid_until"), "legality_status", "compliance_complete")
+
+
+@query(f"SELECT consignment, operator, determination, n_plots, risk_class, due_diligence_path, reference_number, valid_until, legality_status, compliance_complete FROM ({_statement_sql()})")
+def statement_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statement_rows(spark, sf_dir).select("consignment", "operator", "determination", "n_plots", "risk_class", "due_diligence_path", "reference_number", "valid_until", "legality_status", "compliance_complete")
 
 
 def _hmac_oracle() -> str:

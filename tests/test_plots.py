@@ -154,6 +154,7 @@ def test_evidence_and_mutation(spark):
 
 def test_statement(spark):
     plots = parsed(spark, "POINT (108.005309 12.644637)", square(108.0, 12.67, 0.001)).withColumns({"consignment": F.lit("C1"), "operator": F.lit("op"), "country": F.lit("VN"), "risk": F.when(F.col("plot_id") == 0, "low").otherwise("high")})
+    bowtie = parsed(spark, "POLYGON((108.0294 12.6694, 108.0306 12.6706, 108.0306 12.6694, 108.0294 12.6706, 108.0294 12.6694))").withColumns({"plot_id": F.lit(7).cast("long"), "consignment": F.lit("C1"), "operator": F.lit("op"), "country": F.lit("VN"), "risk": F.lit("high")})
     made = statements.collections(plots).first()
     assert made.conformant and made.plot_ids == [0, 1] and made.bytes == len(made.geojson.encode())
     import json
@@ -162,7 +163,8 @@ def test_statement(spark):
     assert features[0]["geometry"] == {"type": "Point", "coordinates": [108.005309, 12.644637]}
     assert features[1]["properties"] == {"ProducerName": "", "ProductionPlace": "1", "Area": None}
     countries = spark.createDataFrame([("VN", "low", "simplified_dd")], "country string, risk_class string, due_diligence_path string")
-    row = statements.statements(plots, countries, F.to_date(F.lit("2026-06-18")), F.lit("09937884b63dade7")).first()
+    row = statements.statements(jobs.feature_issues(plots.unionByName(bowtie.select(*plots.columns))), countries, F.to_date(F.lit("2026-06-18")), F.lit("09937884b63dade7")).first()
+    assert row.plot_ids == [0, 1] and row.geojson == made.geojson and len(row.legality) == 8  # a bowtie is not eligible
     assert row.reference_number == "EUDR-2026-C1-09937884" and row.determination == "high"
     assert not row.compliance_complete and row.legality_status == "NOT_ASSESSED" and str(row.valid_until) == "2027-06-18"
     assert len(spark.range(1).select(statements.legality().alias("l")).first().l) == 8
