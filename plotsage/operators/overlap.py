@@ -9,9 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plotsage.functions.geometry import let
+from plotsage.functions.geometry import closed, let
+from plotsage.operators.crossings import without_spurs
 
 CELL = 2000
+#: Grids of cells STEP times as long as those of the one before; a box covers at most MOST_CELLS + 1 cells a side of its own.
+LEVELS, STEP, MOST_CELLS = 4, 32, 8
 
 
 def boxes(plots: DataFrame) -> DataFrame:
@@ -24,18 +27,32 @@ def boxes(plots: DataFrame) -> DataFrame:
 def candidates(found: DataFrame, cell: int = CELL) -> DataFrame:
     """Pairs of boxes (a_ and b_ columns, a's plot_id less) that touch or overlap, each once.
 
-    Rows without any bound are left out. A cell holds what lies close together, so its candidates do not grow with the
-    whole table; a very dense cell is a skewed key of the join, which adaptive execution splits.
+    Rows without any bound are left out. A box belongs to the finest of four grids in which it covers few cells, so that no
+    box makes many rows; it is also placed in the coarser grids that other boxes belong to, and each pair meets in the grid
+    of the larger one. A cell holds what lies close together, so its candidates do not grow with the whole table; a very
+    dense cell is a skewed key of the join, which adaptive execution splits.
     """
-    low = lambda c: F.floor(F.col(c) / cell)
-    placed = found.select("plot_id", "x0", "y0", "x1", "y1", F.explode(F.sequence(low("x0"), low("x1"))).alias("cx"), low("y0").alias("cy0"), low("y1").alias("cy1"))
-    placed = placed.select("plot_id", "x0", "y0", "x1", "y1", "cx", F.explode(F.sequence("cy0", "cy1")).alias("cy"))
     names = ("plot_id", "x0", "y0", "x1", "y1")
-    a = placed.select("cx", "cy", *[F.col(c).alias(f"a_{c}") for c in names])
-    b = placed.select("cx", "cy", *[F.col(c).alias(f"b_{c}") for c in names])
-    met = a.join(b, ["cx", "cy"]).filter("a_plot_id < b_plot_id and a_x0 <= b_x1 and b_x0 <= a_x1 and a_y0 <= b_y1 and b_y0 <= a_y1")
-    own = (F.col("cx") == F.floor(F.greatest("a_x0", "b_x0") / cell)) & (F.col("cy") == F.floor(F.greatest("a_y0", "b_y0") / cell))
-    return met.filter(own).drop("cx", "cy")
+    wide = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+    own = F.lit(LEVELS - 1)
+    for level in reversed(range(LEVELS - 1)):
+        own = F.when(wide <= MOST_CELLS * cell * STEP**level, level).otherwise(own)
+    sized = found.select(*names).withColumn("own", own.cast("int")).dropna(subset=["x0", "y0", "x1", "y1"])
+    # at most LEVELS rows, whatever the table
+    used = F.broadcast(sized.select(F.col("own").alias("level")).distinct())
+    placed = sized.withColumn("level", F.explode(F.sequence("own", F.lit(LEVELS - 1)))).join(used, "level")
+    side = F.element_at(F.array(*[F.lit(cell * STEP**level).cast("long") for level in range(LEVELS)]), F.col("level") + 1)
+    low = lambda c: F.floor(F.col(c) / F.col("side"))
+    placed = placed.withColumn("side", side).withColumn("cx", F.explode(F.sequence(low("x0"), low("x1")))).withColumn("cy", F.explode(F.sequence(low("y0"), low("y1"))))
+    keys = ("level", "side", "cx", "cy")
+    large = placed.filter("own = level").select(*keys, *[F.col(c).alias(f"p_{c}") for c in names])
+    small = placed.select(*keys, "own", *[F.col(c).alias(f"q_{c}") for c in names])
+    met = large.join(small, list(keys)).filter("(own < level or p_plot_id < q_plot_id) and p_x0 <= q_x1 and q_x0 <= p_x1 and p_y0 <= q_y1 and q_y0 <= p_y1")
+    first = lambda c: F.floor(F.greatest(f"p_{c}", f"q_{c}") / F.col("side"))
+    met = met.filter((F.col("cx") == first("x0")) & (F.col("cy") == first("y0")))
+    less = F.col("p_plot_id") < F.col("q_plot_id")
+    of = lambda one, other: [F.when(less, F.col(f"{one}_{c}")).otherwise(F.col(f"{other}_{c}")) for c in names]
+    return met.select(*[v.alias(f"a_{c}") for v, c in zip(of("p", "q"), names)], *[v.alias(f"b_{c}") for v, c in zip(of("q", "p"), names)])
 
 
 def touching(found: DataFrame, cell: int = CELL) -> DataFrame:
@@ -55,14 +72,24 @@ def _turn(a, b, c):
     return F.signum(((b["x"] - a["x"]) * (c["y"] - a["y"]) - (b["y"] - a["y"]) * (c["x"] - a["x"])).cast("double"))
 
 
-def _sides(ring):
-    """Segments of a closed ring, all points doubled so that middles are whole numbers."""
-    double = F.transform(ring, lambda p: F.struct((p["x"] * 2).alias("x"), (p["y"] * 2).alias("y")))
-    return let(double, lambda r: F.transform(F.sequence(F.lit(1), F.size(r) - 1), lambda i: F.struct(r[i - 1].alias("a"), r[i].alias("b"))))
+def _sides(rings):
+    """Segments of closed rings, all points doubled so that middles are whole numbers."""
+    double = lambda ring: F.transform(ring, lambda p: F.struct((p["x"] * 2).alias("x"), (p["y"] * 2).alias("y")))
+    ring_sides = lambda ring: let(double(ring), lambda r: F.when(F.size(r) > 1, F.transform(F.sequence(F.lit(1), F.size(r) - 1), lambda i: F.struct(r[i - 1].alias("a"), r[i].alias("b")))).otherwise(F.array()))
+    return F.filter(F.flatten(F.transform(rings, ring_sides)), lambda s: s["a"] != s["b"])
+
+
+def _middles(sides, others):
+    """A point within every stretch of the sides between their ends and the others' corners that lie on them."""
+    on = lambda s: F.filter(F.transform(others, lambda t: t["a"]), lambda p: (_turn(s["a"], s["b"], p) == 0) & p["x"].between(F.least(s["a"]["x"], s["b"]["x"]), F.greatest(s["a"]["x"], s["b"]["x"])) & p["y"].between(F.least(s["a"]["y"], s["b"]["y"]), F.greatest(s["a"]["y"], s["b"]["y"])))
+    stops = lambda s: F.array_sort(F.array_distinct(F.concat(F.array(s["a"], s["b"]), on(s))))
+    half = lambda v, w, c: ((v[c] + w[c]) / 2).cast("long").alias(c)
+    between = lambda ps: F.transform(F.sequence(F.lit(1), F.size(ps) - 1), lambda i: F.struct(half(ps[i - 1], ps[i], "x"), half(ps[i - 1], ps[i], "y")))
+    return F.flatten(F.transform(sides, lambda s: let(stops(s), between)))
 
 
 def _place(p, sides):
-    """1 inside a ring, 0 on it, -1 outside."""
+    """1 inside, 0 on a side, -1 outside; holes and parts by the number of sides to one hand."""
     on = F.exists(sides, lambda s: (_turn(s["a"], s["b"], p) == 0) & p["x"].between(F.least(s["a"]["x"], s["b"]["x"]), F.greatest(s["a"]["x"], s["b"]["x"])) & p["y"].between(F.least(s["a"]["y"], s["b"]["y"]), F.greatest(s["a"]["y"], s["b"]["y"])))
     up = lambda s: (s["a"]["y"] <= p["y"]) & (s["b"]["y"] > p["y"]) & (_turn(s["a"], s["b"], p) > 0)
     down = lambda s: (s["b"]["y"] <= p["y"]) & (s["a"]["y"] > p["y"]) & (_turn(s["a"], s["b"], p) < 0)
@@ -71,19 +98,24 @@ def _place(p, sides):
 
 
 def polygon_overlaps(plots: DataFrame, cell: int = CELL) -> DataFrame:
-    """plot_a, plot_b of simple polygons (one ring each) that share area while neither covers the other.
+    """plot_a, plot_b of polygons and multipolygons that share area while neither covers the other.
 
-    Pairs come from the boxes. Two such polygons overlap if sides cross, or a corner or the middle of a side of one lies
-    inside the other; one covers the other if no sides cross and none of those points lie outside. All in whole numbers.
+    Pairs come from the boxes. Holes are no part of a plot; spurs are left off, rings are closed, and a ring that crosses
+    itself bounds its lobes. Two plots overlap if sides cross, or a stretch of the sides of one runs inside the other; one
+    covers the other if no sides cross, none of the other's sides runs outside it and none of its own inside the other.
+    All in whole numbers. Plots whose whole outlines lie on each other's count as covered. Rows without points, and
+    geometries of other types, take no part.
     """
-    own = plots.filter((F.col("gtype") == "Polygon") & (F.size("parts") > 0)).select("plot_id", "parts")
-    sided = own.select("plot_id", _sides(F.col("parts")[0][0]).alias("sides"))
-    pairs = candidates(boxes(own), cell).select("a_plot_id", "b_plot_id")
+    areal = plots.filter(F.col("gtype").isin("Polygon", "MultiPolygon") & (F.size(F.flatten(F.flatten("parts"))) > 0)).select("plot_id", "parts")
+    rings = F.transform(F.filter(F.flatten("parts"), lambda r: F.size(r) > 0), lambda r: without_spurs(closed(r)))
+    sided = areal.select("plot_id", _sides(rings).alias("sides"))
+    pairs = candidates(boxes(areal), cell).select("a_plot_id", "b_plot_id")
     both = pairs.join(sided.toDF("a_plot_id", "a"), "a_plot_id").join(sided.toDF("b_plot_id", "b"), "b_plot_id")
     crossing = F.exists("a", lambda s: F.exists("b", lambda t: (_turn(s["a"], s["b"], t["a"]) * _turn(s["a"], s["b"], t["b"]) < 0) & (_turn(t["a"], t["b"], s["a"]) * _turn(t["a"], t["b"], s["b"]) < 0)))
-    middle = lambda s: F.struct(((s["a"]["x"] + s["b"]["x"]) / 2).cast("long").alias("x"), ((s["a"]["y"] + s["b"]["y"]) / 2).cast("long").alias("y"))
-    marks = lambda of, against: F.flatten(F.transform(of, lambda s: F.array(_place(s["a"], F.col(against)), _place(middle(s), F.col(against)))))
-    told = both.select("a_plot_id", "b_plot_id", crossing.alias("cross"), marks("a", "b").alias("a_in"), marks("b", "a").alias("b_in"))
-    shared = F.col("cross") | F.array_contains("a_in", 1) | F.array_contains("b_in", 1)
-    covers = ~F.col("cross") & (~F.array_contains("a_in", -1) | ~F.array_contains("b_in", -1))
-    return told.filter(shared & ~covers).select(F.col("a_plot_id").alias("plot_a"), F.col("b_plot_id").alias("plot_b"))
+    crossed = both.withColumn("cross", crossing)
+    # where sides cross, the plots overlap and nothing else is asked
+    marks = lambda of, against: F.when(~F.col("cross"), F.transform(_middles(F.col(of), F.col(against)), lambda p: _place(p, F.col(against))))
+    told = crossed.withColumn("a_in", marks("a", "b")).withColumn("b_in", marks("b", "a"))
+    has = lambda side, mark: F.array_contains(side, mark)
+    covers = (~has("b_in", -1) & ~has("a_in", 1)) | (~has("a_in", -1) & ~has("b_in", 1))
+    return told.filter(F.col("cross") | ((has("a_in", 1) | has("b_in", 1)) & ~covers)).select(F.col("a_plot_id").alias("plot_a"), F.col("b_plot_id").alias("plot_b"))

@@ -183,3 +183,58 @@ def test_duplicate_ids_and_dominating(spark):
     assert [(r.id, r.n) for r in validation.duplicate_ids(df).collect()] == [("a", 2)]
     row = jobs.validate(parsed(spark, "POINT(0 12.6)")).select(validation.dominating(F.col("findings"))["rule_id"].alias("r")).first()
     assert row.r == "null_island"
+
+
+def cells_of(shape, n=24):
+    """Unit cells of parts of rectangles: (x0, y0, x1, y1) less holes."""
+    cells = set()
+    for (x0, y0, x1, y1), hole in shape:
+        cells |= {(x, y) for x in range(x0, x1) for y in range(y0, y1)}
+        if hole:
+            cells -= {(x, y) for x in range(hole[0], hole[2]) for y in range(hole[1], hole[3])}
+    return cells
+
+
+def rectangle(x0, y0, x1, y1):
+    return [(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)]
+
+
+def test_overlaps_of_plots_with_holes_and_parts_equal_unit_cells(spark):
+    import random
+
+    draw = random.Random(7)
+    shapes = [[((0, 0, 9, 9), (3, 3, 6, 6))], [((3, 3, 6, 6), None)], [((4, 4, 8, 8), None)], [((2, 2, 7, 7), None)], [((0, 0, 9, 9), None)], [((0, 0, 9, 9), (3, 3, 6, 6))], [((4, 4, 5, 5), None)]]
+    for _ in range(40):
+        x, y, w, h = draw.randrange(12), draw.randrange(12), draw.choice((3, 4, 6)), draw.choice((3, 5, 6))
+        hole = (x + 1, y + 1, x + w - 1, y + h - 1) if draw.random() < 0.5 else None
+        second = [((x + w + 1, y, x + w + 3, y + 2), None)] if draw.random() < 0.4 else []
+        shapes.append([((x, y, x + w, y + h), hole), *second])
+    rows = [(i, "Polygon" if len(s) == 1 else "MultiPolygon", [[rectangle(*box), *([rectangle(*hole)] if hole else [])] for box, hole in s]) for i, s in enumerate(shapes)]
+    df = spark.createDataFrame(rows, "plot_id long, gtype string, parts array<array<array<struct<x:bigint,y:bigint>>>>")
+    held = [cells_of(s) for s in shapes]
+    want = {(i, j) for i in range(len(held)) for j in range(i + 1, len(held)) if held[i] & held[j] and held[i] - held[j] and held[j] - held[i]}
+    assert (0, 2) in want and (0, 1) not in want and (0, 3) in want and (0, 5) not in want
+    for cell in (1, 5, 2000):
+        assert {tuple(r) for r in overlap.polygon_overlaps(df, cell).collect()} == want
+
+
+def test_overlaps_of_slanted_and_broken_rings(spark):
+    rings = {
+        1: [(0, 0), (8, 8), (8, 0), (0, 8), (0, 0)],  # a bowtie: lobes to the left and to the right
+        2: [(3, 0), (5, 0), (4, 2), (3, 0)],  # below its middle, outside both lobes
+        3: [(1, 3), (1, 5), (-4, 4), (1, 3)],  # reaches into the left lobe
+        4: [(20, 0), (24, 4), (20, 8), (16, 4), (20, 0)],
+        5: [(20, 0), (20, 8), (30, 8), (30, 0), (20, 0)],  # crosses 4 at its corners only
+        6: [(40, 0), (44, 0), (44, -9), (44, 0), (48, 0), (48, 4), (40, 4)],  # open, with a spur
+        7: [(43, -5), (45, -5), (45, -1), (43, -1), (43, -5)],  # meets the spur alone
+        8: [],
+    }
+    df = spark.createDataFrame([(k, "Polygon", [[r]]) for k, r in rings.items()] + [(9, "Polygon", None), (10, "Point", [[[(4, 4)]]])], "plot_id long, gtype string, parts array<array<array<struct<x:bigint,y:bigint>>>>")
+    assert {tuple(r) for r in overlap.polygon_overlaps(df, 3).collect()} == {(1, 3), (4, 5)}
+    assert overlap.polygon_overlaps(df.limit(0)).count() == 0
+
+
+def test_boxes_of_very_different_sizes_meet_once(spark):
+    rows = [(1, 0, 0, 10, 10), (2, 5, 5, 100_000, 100_000), (3, -(10**8), -(10**8), 10**8, 10**8), (4, 9, 9, 12, 12), (5, 99_000, 99_000, 99_010, 99_010), (6, None, 0, 1, 1)]
+    df = spark.createDataFrame(rows, "plot_id long, x0 long, y0 long, x1 long, y1 long")
+    assert sorted(tuple(r) for r in overlap.touching(df, 4).collect()) == [(1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (2, 5), (3, 4), (3, 5)]
