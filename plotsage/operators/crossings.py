@@ -110,3 +110,26 @@ def repairs(plots: DataFrame) -> DataFrame:
     )
     bad = (F.col("n_cross") + F.col("n_touch") + F.col("n_overlap") + F.col("n_between") > 0) | ((F.col("gtype") == "Polygon") & flat)
     return shape.filter(bad).select("plot_id", "n_cross", "n_touch", "n_overlap", repair.alias("repair"))
+
+
+def repaired(plots: DataFrame, found: DataFrame) -> DataFrame:
+    """plots with repaired_wkt: canonical text of what is valid or can be fixed by closing rings and taking off spurs; null for the rest.
+
+    found: repairs(plots). Overlapping parts of a multipolygon are not united here: null as well.
+    """
+    fixed = g.each_ring(F.col("parts"), lambda r: without_spurs(g.closed(r)))
+    able = F.col("repair").isNull() | ((F.col("repair") == FIXED) & (F.col("gtype") == "Polygon"))
+    areal = F.col("gtype").isin("Polygon", "MultiPolygon")
+    text = F.when(able & F.col("parts").isNotNull(), g.canonical_wkt(F.col("gtype"), F.when(areal, fixed).otherwise(F.col("parts"))))
+    return plots.join(found.select("plot_id", "repair"), "plot_id", "left").withColumn("repaired_wkt", text).drop("repair")
+
+
+def validity(plots: DataFrame) -> DataFrame:
+    """plot_id, is_valid, reason and repaired_wkt of all plots. reason: what meets first among crossing, no area, overlapping, touching."""
+    found = repairs(plots)
+    reason = (
+        F.when(F.col("n_cross") > 0, "Self-intersection").when(F.col("n_overlap") > 0, "Ring overlaps itself").when(F.col("n_touch") > 0, "Ring Self-intersection")
+        .when(F.col("n_cross").isNotNull(), "No area or overlapping parts").otherwise("Valid Geometry")
+    )
+    counted = repaired(plots, found).join(found.select("plot_id", "n_cross", "n_overlap", "n_touch"), "plot_id", "left")
+    return counted.select("plot_id", F.col("n_cross").isNull().alias("is_valid"), reason.alias("reason"), "repaired_wkt")

@@ -21,7 +21,9 @@ def boxes(plots: DataFrame) -> DataFrame:
     """plot_id and the bounding box x0, y0, x1, y1 of each plot's points."""
     points = F.flatten(F.flatten("parts"))
     bound = lambda f, c: f(F.transform(points, lambda p: p[c]))
-    return plots.select("plot_id", bound(F.array_min, "x").alias("x0"), bound(F.array_min, "y").alias("y0"), bound(F.array_max, "x").alias("x1"), bound(F.array_max, "y").alias("y1"))
+    box = F.struct(bound(F.array_min, "x").alias("x0"), bound(F.array_min, "y").alias("y0"), bound(F.array_max, "x").alias("x1"), bound(F.array_max, "y").alias("y1"))
+    # a generator's columns are made once, however often what follows names them
+    return plots.select("plot_id", F.inline(F.array(box)))
 
 
 def candidates(found: DataFrame, cell: int = CELL) -> DataFrame:
@@ -112,10 +114,10 @@ def polygon_overlaps(plots: DataFrame, cell: int = CELL) -> DataFrame:
     pairs = candidates(boxes(areal), cell).select("a_plot_id", "b_plot_id")
     both = pairs.join(sided.toDF("a_plot_id", "a"), "a_plot_id").join(sided.toDF("b_plot_id", "b"), "b_plot_id")
     crossing = F.exists("a", lambda s: F.exists("b", lambda t: (_turn(s["a"], s["b"], t["a"]) * _turn(s["a"], s["b"], t["b"]) < 0) & (_turn(t["a"], t["b"], s["a"]) * _turn(t["a"], t["b"], s["b"]) < 0)))
-    crossed = both.withColumn("cross", crossing)
-    # where sides cross, the plots overlap and nothing else is asked
-    marks = lambda of, against: F.when(~F.col("cross"), F.transform(_middles(F.col(of), F.col(against)), lambda p: _place(p, F.col(against))))
-    told = crossed.withColumn("a_in", marks("a", "b")).withColumn("b_in", marks("b", "a"))
+    marks = lambda of, against: F.transform(_middles(F.col(of), F.col(against)), lambda p: _place(p, F.col(against)))
     has = lambda side, mark: F.array_contains(side, mark)
-    covers = (~has("b_in", -1) & ~has("a_in", 1)) | (~has("a_in", -1) & ~has("b_in", 1))
-    return told.filter(F.col("cross") | ((has("a_in", 1) | has("b_in", 1)) & ~covers)).select(F.col("a_plot_id").alias("plot_a"), F.col("b_plot_id").alias("plot_b"))
+    # one value each, made once: a filter over columns of these would make them again wherever it names them
+    shares = lambda i: (has(i["a"], 1) | has(i["b"], 1)) & (has(i["b"], -1) | has(i["a"], 1)) & (has(i["a"], -1) | has(i["b"], 1))
+    # where sides cross, the plots overlap and nothing else is asked
+    overlap = crossing | let(F.struct(marks("a", "b").alias("a"), marks("b", "a").alias("b")), shares)
+    return both.filter(overlap).select(F.col("a_plot_id").alias("plot_a"), F.col("b_plot_id").alias("plot_b"))

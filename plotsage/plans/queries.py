@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from plotsage.functions import geodesy as geo
 from plotsage.functions import geometry as g
-from plotsage.functions import text
+from plotsage.functions import sql, text
 from plotsage.operators import agreement, crossings, ledger, overlap, risk, statements, validation, zonal
 from plotsage.plans import derive, jobs
+from plotsage.sources import submissions, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -89,6 +90,50 @@ def wkt_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select("plot_id", "gtype", g.canonical_wkt(F.col("gtype"), F.col("parts")).alias("same_text"))
 
 
+CSV_TEXT = "concat('\"', lon, '\",\"', lat, '\",\"', area, '\",\"line ', CAST(pos AS VARCHAR(19)), '\n\"\"two\"\", end\"')"
+
+
+@query(f"""WITH c AS (SELECT *, pos // 500 AS file, trim(area) AS a FROM ({derive.csv_sql(D)})), n AS (SELECT file, row_number() OVER (PARTITION BY file ORDER BY pos) - 1 AS nth, pos, lon, lat, a FROM c)
+SELECT CAST(file AS VARCHAR) AS submission, CAST(nth AS INT) AS pos, 'row-' || nth AS external_id, CAST(round_even(TRY_CAST(replace(lon, ',', '.') AS DOUBLE) * 1e6, 0) AS BIGINT) AS x, CAST(round_even(TRY_CAST(replace(trim(lat), ',', '.') AS DOUBLE) * 1e6, 0) AS BIGINT) AS y,
+  TRY_CAST(replace(a, ',', '.') AS DOUBLE) AS asserted_area_ha, 'line ' || pos || chr(10) || '"two", end' AS note FROM n""")
+def csv_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CSV texts of 500 records each, all cells in quotes, with commas, quotes and line ends inside, read back as features."""
+    found = csv_submissions(spark, sf_dir)
+    at = F.col("parts")[0][0][0]
+    return found.select("submission", "pos", "external_id", at["x"].alias("x"), at["y"].alias("y"), "asserted_area_ha", F.col("properties")["note"].alias("note"))
+
+
+def csv_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = derive.csv_rows(spark, sf_dir).withColumn("file", F.expr("CAST(pos div 500 AS STRING)")).withColumn("line", F.expr(CSV_TEXT.replace("\n", "\\n").replace("VARCHAR(19)", "STRING")))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda r: r["line"]), "\r\n")
+    files = rows.groupBy(F.col("file").alias("submission")).agg(F.concat(F.lit("\ufeffLon, LAT ,asserted_area_ha,Note\r\n"), lines, F.lit("\r\n")).alias("value"))
+    return submissions.parse_csv_text(files)
+
+
+@query(f"""WITH c AS (SELECT *, pos // 500 AS file FROM ({derive.csv_sql(D)})), n AS (SELECT file, row_number() OVER (PARTITION BY file ORDER BY pos) - 1 AS nth, area FROM c)
+SELECT CAST(file AS VARCHAR) AS submission, CAST(nth AS INT) AS pos, 'row-' || nth AS external_id, 'asserted_area_ha' AS field, area AS cell FROM n WHERE area <> '' AND TRY_CAST(replace(area, ',', '.') AS DOUBLE) IS NULL""")
+def rejected_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return submissions.rejected(csv_submissions(spark, sf_dir))
+
+
+@query(f"""WITH {PLOTS} SELECT plot_id, asserted_area_ha, CASE WHEN plot_id % 4 = 0 THEN 'own' ELSE CAST(external_id AS VARCHAR) END AS id, asserted_area_ha IS NOT NULL AS has_area FROM plots""")
+def merged_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = F.when(F.expr("plot_id % 4 = 0"), F.create_map(F.lit("id"), F.lit("own")))
+    merged = submissions.validation_properties(derive.plots(spark, sf_dir).withColumn("properties", own))
+    area = F.try_element_at("properties", F.lit("asserted_area_ha"))
+    return merged.select("plot_id", area.cast("double").alias("asserted_area_ha"), F.col("properties")["id"].alias("id"), F.map_contains_key("properties", "asserted_area_ha").alias("has_area"))
+
+
+@query(f"WITH {PLOTS} SELECT plot_id, gtype, operator, asserted_area_ha FROM plots WHERE consignment = 7 ORDER BY plot_id")
+def consignment_plots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.plots_of_consignment(derive.plots(spark, sf_dir), 7).select("plot_id", "gtype", "operator", "asserted_area_ha")
+
+
+@query(f"WITH res AS ({derive.RESULTS_SQL}) SELECT DISTINCT plot_id FROM res WHERE run_id = 3 ORDER BY plot_id")
+def run_plots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.plots_of_run(derive.results(spark, sf_dir).select("plot_id", "run_id").distinct(), 3).select("plot_id")
+
+
 # --- validation ------------------------------------------------------------------------------------------------------
 
 IN = "({x} BETWEEN 107000000 AND 109100000 AND {y} BETWEEN 11900000 AND 14500000)"
@@ -159,6 +204,11 @@ def invalid_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crossings.repairs(closed).select("plot_id", "repair", "n_cross", "n_overlap")
 
 
+@query(f"WITH {PLOTS}, {MEET} SELECT plot_id, n_cross IS NULL AS is_valid, CASE WHEN n_cross > 0 THEN 'Self-intersection' WHEN n_overlap > 0 THEN 'Ring overlaps itself' WHEN n_cross = 0 THEN 'Ring Self-intersection' ELSE 'Valid Geometry' END AS reason, coalesce(n_cross, 0) = 0 AS repairable FROM plots LEFT JOIN met USING (plot_id)")
+def plot_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crossings.validity(jobs.closed(derive.plots(spark, sf_dir))).select("plot_id", "is_valid", "reason", F.col("repaired_wkt").isNotNull().alias("repairable"))
+
+
 # --- areas -------------------------------------------------------------------------------------------------------------
 
 def q_sql(y: str) -> str:
@@ -188,6 +238,14 @@ sa AS (SELECT plot_id, sum(turn * geo_ha) AS geo_ha, sum(turn * ea_ha) AS ea_ha,
 a AS (SELECT plot_id, coalesce(geo_ha, 0) AS geo_ha, coalesce(ea_ha, 0) AS ea_ha, coalesce(wm_ha, 0) AS wm_ha FROM plots LEFT JOIN sa USING (plot_id))"""
 
 
+@query(f"""WITH {PLOTS}, {AREAS} SELECT plot_id, round(geo_ha, 6) AS geography_ha, round(ea_ha, 6) AS epsg6933_ha FROM a""")
+def area_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The areas by the session's SQL function."""
+    sql.register(spark)
+    measured = jobs.closed(derive.plots(spark, sf_dir)).selectExpr("plot_id", "fn_area_hectares(parts) AS a")
+    return measured.select("plot_id", F.round("a.geography_ha", 6).alias("geography_ha"), F.round("a.epsg6933_ha", 6).alias("epsg6933_ha"))
+
+
 @query(f"""WITH {PLOTS}, {AREAS} SELECT plot_id, round(geo_ha, 6) AS geodesic_ha, round(ea_ha, 6) AS epsg6933_ha, round(wm_ha, 6) AS epsg3857_ha, round(CASE WHEN geo_ha > 0 THEN 100 * (wm_ha - geo_ha) / geo_ha END, 4) AS delta_3857_pct, CASE WHEN geo_ha < 4 THEN 'point' ELSE 'polygon' END AS required_format, abs(geo_ha - 4) <= 0.1 AS borderline FROM a""")
 def area_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All plots; those without an area have 0."""
@@ -319,6 +377,13 @@ def overlap_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.polygon_overlaps(jobs.as_rings(derive.bench_boxes(spark, sf_dir)))
 
 
+@query()
+def overlap_plots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plots of all kinds, holes, bowties, spurs and open rings among them, as far as their places and systems allow."""
+    plots = derive.plots(spark, sf_dir)
+    return overlap.polygon_overlaps(plots.filter(~F.coalesce(validation.blocked(F.col("parts"), F.col("crs")), F.lit(False))))
+
+
 # --- ledger and results ----------------------------------------------------------------------------------------------------
 
 RESULTS = f"res AS ({derive.RESULTS_SQL})"

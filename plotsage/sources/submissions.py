@@ -83,9 +83,11 @@ def read_geojson(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All cells are text; pos is the order in the file (files are read whole: one task for each)."""
+    """Files of one header. All cells are text; pos is the order in the file: a file of many lines is one task's, read in order."""
     lines = spark.read.option("header", True).option("multiLine", True).option("encoding", "UTF-8").csv(path)
-    return parse_cells(lines.withColumn("submission", F.input_file_name()).withColumn("pos", (F.monotonically_increasing_id() % (1 << 33)).cast("int")))
+    told = lines.withColumn("submission", F.input_file_name()).withColumn("_at", F.monotonically_increasing_id())
+    first = told.groupBy("submission").agg(F.min("_at").alias("_first"))
+    return parse_cells(told.join(first, "submission").withColumn("pos", (F.col("_at") - F.col("_first")).cast("int")).drop("_at", "_first"))
 
 
 def source_format(path: Column, value: Column) -> Column:
@@ -103,13 +105,20 @@ def read_submissions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_csv_text(files: DataFrame) -> DataFrame:
-    """Features of CSV texts (submission, value) of any headers: cells are split outside quotes, by position in the header."""
-    cell = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
-    clean = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, '^\\s*"|"\\s*$', ""), '""', '"'))
-    lines = files.select("submission", F.filter(F.split(F.regexp_replace("value", "^﻿|\r", ""), "\n"), lambda x: F.trim(x) != "").alias("lines"))
-    head = F.transform(F.split(F.col("lines")[0], cell), lambda c: F.lower(clean(c)))
+    """Features of CSV texts (submission, value) of any headers: cells are named by position in the header.
+
+    Records end at line ends outside quotes, cells at commas outside quotes; a doubled quote is one. A quote that is never
+    closed runs to the end of the text. Records without anything in them are no rows. Each character is read once.
+    """
+    text = F.regexp_replace(F.regexp_replace("value", "^﻿", ""), "\r\n?", "\n")
+    records = F.filter(F.regexp_extract_all(text, F.lit(r'(?:[^"\n]++|"[^"]*+"?+)++'), F.lit(0)), lambda x: F.trim(x) != "")
+    cells = lambda record: F.regexp_extract_all(F.concat(F.lit(","), record), F.lit(r',((?:[^",]++|"[^"]*+"?+)*+)'), F.lit(1))
+    inner = lambda c: F.regexp_replace(F.regexp_extract(c, r'(?s)^\s*"(.*?)"?\s*$', 1), '""', '"')
+    clean = lambda c: F.trim(F.when(c.rlike(r'^\s*"'), inner(c)).otherwise(c))
+    lines = files.select("submission", records.alias("lines"))
+    head = F.transform(cells(F.get("lines", F.lit(0))), lambda c: F.lower(clean(c)))
     each = lines.select("submission", head.alias("head"), F.posexplode(F.slice("lines", F.lit(2), F.size("lines"))).alias("pos", "line"))
-    values = F.transform(F.split("line", cell, -1), clean)
+    values = F.transform(cells(F.col("line")), clean)
     pairs = F.filter(F.arrays_zip(F.col("head").alias("k"), values.alias("v")), lambda p: p["k"].isNotNull() & (p["k"] != ""))
     mapped = each.select("submission", "pos", F.map_from_entries(F.transform(pairs, lambda p: F.struct(p["k"], F.coalesce(p["v"], F.lit(""))))).alias("properties"))
     raw = t.first_present(F.col("properties"), ("wkt", "geom_wkt", "geometry_wkt"))
@@ -122,6 +131,26 @@ def parse_csv_text(files: DataFrame) -> DataFrame:
     return finished(made.select("submission", F.lit("csv").alias("source_format"), "pos", F.lit("row-").alias("fallback"), F.lit(None).cast("string").alias("own_id"), kind.alias("geometry_type"), "parts", "raw", "properties"))
 
 
+def rejected(features: DataFrame) -> DataFrame:
+    """The reject table: submission, pos, external_id, field and cell of each number of a feature that is none."""
+    numbers = {"asserted_area_ha": t.AREA_KEYS, "lon": ("lon", "longitude", "x"), "lat": ("lat", "latitude", "y")}
+    cells = F.array(*[F.struct(F.lit(name).alias("field"), t.first_present(F.col("properties"), keys).alias("cell")) for name, keys in numbers.items()])
+    return features.select("submission", "pos", "external_id", F.explode(F.filter(cells, lambda c: t.is_bad_number(c["cell"]))).alias("c")).select("submission", "pos", "external_id", "c.*")
+
+
+def rejected_labels(spark: SparkSession, path: str) -> DataFrame:
+    """point_id and text of labels whose spelling is not known."""
+    found = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,string>")).alias("point_id", "text"))
+    return found.filter(~F.col("point_id").startswith("_") & t.label(F.col("text")).isNull())
+
+
+def validation_properties(features: DataFrame) -> DataFrame:
+    """features whose properties also hold the asserted area and the id, unless these are there already; a null area adds nothing."""
+    there = F.coalesce(F.col("properties"), F.create_map().cast("map<string,string>"))
+    more = F.map_filter(F.create_map(F.lit("asserted_area_ha"), F.col("asserted_area_ha").cast("string"), F.lit("id"), F.col("external_id").cast("string")), lambda k, v: v.isNotNull() & ~F.map_contains_key(there, k))
+    return features.withColumn("properties", F.map_concat(there, more))
+
+
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
     """point_id and label of a JSON object of labels; keys that begin with _ are remarks. An unknown label is null."""
     found = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,string>")).alias("point_id", "text"))

@@ -10,10 +10,12 @@ from plotsage.operators.validation import first_of_each_hash
 
 
 def read_or_empty(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    """The table, or no rows of the same columns if it is not there yet."""
+    """The table, or no rows of the same columns if nothing is at the path yet. Other errors are the caller's."""
     try:
         return spark.read.schema(like.schema).parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return like.limit(0)
 
 
@@ -53,6 +55,27 @@ def append_ledger(evidence: DataFrame, path: str) -> None:
     append_new(evidence, path, "run_id", partition_by="run_id")
 
 
+def plots_of_run(plots: DataFrame, run_id: str) -> DataFrame:
+    """Plots of one ingestion run, in the order of their ids."""
+    return plots.filter(F.col("run_id") == run_id).orderBy("plot_id")
+
+
+def plots_of_consignment(plots: DataFrame, consignment: str) -> DataFrame:
+    """Plots of one consignment, in the order of their ids."""
+    return plots.filter(F.col("consignment") == consignment).orderBy("plot_id")
+
+
+def append_consignments(fresh: DataFrame, path: str) -> None:
+    """Consignments (consignment, operator) that the table does not hold, the first by name of equal ids; others stay as they are."""
+    append_new(fresh.filter("consignment is not null").groupBy("consignment").agg(F.min("operator").alias("operator")), path, "consignment")
+
+
+def results_from_json(results: DataFrame, like: DataFrame) -> DataFrame:
+    """Stored results with the nested columns of like read back from their JSON."""
+    nested = {f.name: f.dataType for f in like.schema.fields if f.dataType.typeName() in ("struct", "array", "map")}
+    return results.withColumns({c: F.from_json(c, kind) for c, kind in nested.items() if c in results.columns})
+
+
 def with_consignments(plots: DataFrame, fresh: DataFrame) -> DataFrame:
     """plots with the consignment of fresh (plot_id, consignment) where it names one, else their own."""
     new = fresh.select("plot_id", F.col("consignment").alias("_new"))

@@ -101,3 +101,73 @@ def test_map_export(spark, tmp_path):
     exports.write_map(done, f"{tmp_path}/map")
     assert spark.read.text(f"{tmp_path}/map").count() == 2
     assert sum(r.n for r in exports.index(done).collect()) == 2
+
+
+def test_csv_records_and_cells_in_quotes(spark):
+    text = '﻿Id,"No, te",Lon,LAT\r\n1,"two\nlines, ""x""",108.1,12.6\r\n\r\n2, plain ,108.2,12.7\n,,"108,3",12.8\n4,"",108.4,n/a\n5,"never closed,108.5'
+    files = spark.createDataFrame([("f", text), ("g", ""), ("h", None), ("i", "id,lon,lat")], "submission string, value string")
+    found = submissions.parse_csv_text(files)
+    rows = {r.pos: r for r in found.collect()}
+    assert sorted(rows) == [0, 1, 2] and {r.submission for r in rows.values()} == {"f"}
+    assert rows[0].properties["no, te"] == 'two\nlines, "x"' and rows[1].properties["no, te"] == "plain" and rows[2].external_id == "row-2"
+    assert rows[2].parts[0][0][0].x == 108_300_000
+
+
+def test_long_csv_cells_take_time_in_proportion(spark):
+    import time
+
+    wkt = "POLYGON((" + ", ".join(f"108.{i % 1000:03d} 12.5" for i in range(60_000)) + "))"
+    files = spark.createDataFrame([("f", "id,wkt\n" + f'a,"{wkt}"\n' * 3)], "submission string, value string")
+    begun = time.time()
+    assert [r.n for r in submissions.parse_csv_text(files).select(F.length("raw").alias("n")).collect()] == [len(wkt)] * 3
+    assert time.time() - begun < 30
+
+
+def test_csv_positions_are_counted_by_file(spark, tmp_path):
+    for i in range(30):
+        (tmp_path / f"{i}.csv").write_text(f'id,lon,lat\na{i},108.1,12.6\n"b\n{i}",108.2,12.6\n')
+    for read in (submissions.read_csv, submissions.read_submissions):
+        rows = read(spark, str(tmp_path)).collect()
+        assert len(rows) == 60 and {(r.external_id[0], r.pos) for r in rows} == {("a", 0), ("b", 1)}
+
+
+def test_reject_tables(spark, tmp_path):
+    files = spark.createDataFrame([("f", "id,wkt,lon,area_ha\na,POINT(1 2),east,1.5\nb,POINT(1 2),,n/a\nc,POINT(1 2),nan,\n")], "submission string, value string")
+    found = submissions.rejected(submissions.parse_csv_text(files))
+    assert {tuple(r) for r in found.collect()} == {("f", 0, "a", "lon", "east"), ("f", 1, "b", "asserted_area_ha", "n/a")}
+    (tmp_path / "l.json").write_text('{"_note": "remark", "p1": "LOW RISK", "p2": "odd"}')
+    assert [tuple(r) for r in submissions.rejected_labels(spark, f"{tmp_path}/l.json").collect()] == [("p2", "odd")]
+
+
+def test_properties_are_merged_without_overwriting(spark):
+    rows = [("a", 1.5, {"id": "own", "x": "y"}), ("b", None, None), ("c", 2.0, {"asserted_area_ha": "7"})]
+    df = spark.createDataFrame(rows, "external_id string, asserted_area_ha double, properties map<string,string>")
+    got = [r.properties for r in submissions.validation_properties(df).collect()]
+    assert got == [{"id": "own", "x": "y", "asserted_area_ha": "1.5"}, {"id": "b"}, {"asserted_area_ha": "7", "id": "c"}]
+
+
+def test_consignments_are_inserted_once_and_results_read_back(spark, tmp_path):
+    fresh = spark.createDataFrame([("c1", "B"), ("c1", "A"), (None, "x")], "consignment string, operator string")
+    tables.append_consignments(fresh, f"{tmp_path}/c")
+    tables.append_consignments(fresh.withColumn("operator", F.lit("Z")), f"{tmp_path}/c")
+    assert [tuple(r) for r in spark.read.parquet(f"{tmp_path}/c").collect()] == [("c1", "A")]
+    rows = spark.createDataFrame([("r", 2, [1, 2]), ("r", 1, None)], "run_id string, plot_id long, risk array<int>")
+    tables.append_results(rows, f"{tmp_path}/r")
+    stored = tables.results_from_json(spark.read.parquet(f"{tmp_path}/r"), rows)
+    assert [tuple(r) for r in tables.plots_of_run(stored, "r").collect()] == [("r", 1, None), ("r", 2, [1, 2])]
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad/x.parquet").write_text("no table")
+    with pytest.raises(Exception):
+        tables.append_new(rows.select("run_id"), f"{tmp_path}/bad", "run_id")
+
+
+def test_validity_and_repair(spark):
+    from test_geometry import parsed
+
+    from plotsage.operators import crossings
+
+    df = jobs.closed(parsed(spark, "POLYGON((0 0, 2 0, 2 2, 0 2, 0 0))", "POLYGON((0 0, 2 2, 2 0, 0 2, 0 0))", "POLYGON((0 0, 1 0, 1 -0.001, 1 0, 2 0, 2 2, 0 2, 0 0))", "POINT(1 1)"))
+    rows = {r.plot_id: r for r in crossings.validity(df).collect()}
+    assert [rows[i].is_valid for i in range(4)] == [True, False, False, True]
+    assert [rows[i].reason for i in range(4)] == ["Valid Geometry", "Self-intersection", "Ring overlaps itself", "Valid Geometry"]
+    assert rows[1].repaired_wkt is None and rows[2].repaired_wkt == "SRID=4326;POLYGON ((0 0, 1 0, 2 0, 2 2, 0 2, 0 0))" and rows[3].repaired_wkt == "SRID=4326;POINT (1 1)"
