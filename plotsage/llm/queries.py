@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plotsage.llm import decontaminate, hamming, licenses, lm, mixing, near, pii, quality, secrets, substring
+from plotsage.llm import decontaminate, hamming, infill, licenses, lm, mixing, near, pii, quality, quantise, secrets, spotsigs, substring
 from plotsage.llm.common import read
 
 
@@ -52,5 +52,17 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_secret_scan, op3_nearest_neighbours, op4_benchmark_decontamination, op5_license_scan, op6_ngram_jaccard, op7_source_mixing, op8_quality_classifier, op9_personal_data, op10_language_model)}
-ORACLE_SQL: dict[str, str] = {"op5_license_scan": licenses.scan_sql()}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantise.digest(*quantise.compress(read(spark, sf_dir, "embeddings")))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digest(infill.transform(read(spark, sf_dir, "documents")))
+
+
+def op13_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.digest(spotsigs.edits(read(spark, sf_dir, "documents")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_secret_scan, op3_nearest_neighbours, op4_benchmark_decontamination, op5_license_scan, op6_ngram_jaccard, op7_source_mixing, op8_quality_classifier, op9_personal_data, op10_language_model, op11_vector_codes, op12_fill_in_middle, op13_spot_signatures)}
+ORACLE_SQL: dict[str, str] = {"op5_license_scan": licenses.scan_sql(), "op11_vector_codes": quantise.digest_sql(), "op12_fill_in_middle": infill.digest_sql(), "op13_spot_signatures": spotsigs.digest_sql()}
