@@ -197,6 +197,6 @@ def test_linked_equals_brute_force(spark, similarity):
 def test_near_documents_are_classes_and_links(spark):
     base = " ".join(f"the word{i} of text{i}" for i in range(60))
     rows = [(1, base), (2, base + " and more here now"), (3, base), (4, "the other of all things and much else"), (5, None), (6, ""), (None, base)]
-    members, links = spotsigs.near_documents(spark.createDataFrame(rows, "doc_id long, text string"))
+    members, links = spotsigs.near_documents(spark.createDataFrame(rows, "doc_id long, text string"), common=["and", "of", "the"])
     assert {r.doc_id: r["class"] for r in members.collect()} == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5, 6: 5}
     assert {(r.a, r.b) for r in links.collect()} == {(1, 2)}
