@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Where the setting is missing, which can only be made before Spark starts: the folder of each application on one machine.
+_own_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors see. On one machine without the setting, a temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -21,9 +25,10 @@ def shared_folder(spark: SparkSession) -> str:
         return found
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    found = "file://" + tempfile.mkdtemp(prefix="plotsage-")
-    spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    application = spark.sparkContext.applicationId
+    if application not in _own_folders:
+        _own_folders[application] = "file://" + tempfile.mkdtemp(prefix="plotsage-")
+    return _own_folders[application]
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:

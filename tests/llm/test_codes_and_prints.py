@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import os
 import random
 import re
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -14,6 +18,24 @@ from pyspark.sql import functions as F
 
 from plotsage.llm import infill, quantise, queries, spotsigs
 
+ALONE = """
+from pyspark.sql import SparkSession
+from plotsage.llm import common, quantise
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+assert spark.conf.get("spark.checkpoint.dir", None) is None
+assert common.shared_folder(spark) == common.shared_folder(spark)
+vectors = spark.createDataFrame([(i, i % 2, [float(i)] * 8) for i in range(20)], "vec_id long, label int, embedding array<double>")
+assert quantise.digest(*quantise.compress(vectors)).count() == 20
+"""
+
+
+def test_tables_are_cut_without_any_setting(tmp_path):
+    """A Spark of its own, with an empty folder of settings."""
+    root = str(Path(__file__).resolve().parents[2])
+    done = subprocess.run([sys.executable, "-c", ALONE], cwd=tmp_path, env=os.environ | {"SPARK_CONF_DIR": str(tmp_path), "PYTHONPATH": root}, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
+
+
 BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
 
 
