@@ -29,9 +29,6 @@ BLOCK_BYTES, SHARD_GRAMS = 8 << 20, 1 << 21
 #: Bytes that one task of a shuffle should read at most.
 TASK_BYTES = 64 << 20
 END, BEGIN = (numbers(n, 1)[0] for n in (41, 42))
-#: The chance that an n-gram of two and more words shares its hash with another is two to the minus this at most, while 64
-#: bits suffice (to 10**12 n-grams). Words have all 64 always.
-SAFETY = 24
 #: Texts are read in stretches of so many tokens, side by side.
 STRETCH = 64
 
@@ -119,29 +116,23 @@ def opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return unpack(row["vocabulary"], np.uint64), tokens, np.repeat(np.arange(len(begins) - 1), np.diff(begins)), begins
 
 
-def width_for(n_grams: int) -> int:
-    """Bits of a hash that so many n-grams need."""
-    return min(64, max(40, math.ceil(math.log2(max(2, n_grams))) + SAFETY))
-
-
-def gram_keys(hashes: np.ndarray, text: np.ndarray, order: int, width: int = 64) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (width bits) of the n-grams of that order that lie within one text, by the tokens at which they end; and those
-    tokens."""
+def gram_keys(hashes: np.ndarray, text: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the n-grams of that order that lie within one text, by the tokens at which they end; and those tokens."""
     if order == 1:
         return hashes, np.arange(len(hashes))
     ends = np.flatnonzero(text[order - 1 :] == text[: len(text) - order + 1]) + order - 1
     out = hashes[ends] * np.uint64(0x9E3779B97F4A7C15)
     for k in range(1, order):
         out += hashes[ends - k] * numbers(50 + k, 1)[0]
-    return mix64(out) >> np.uint64(64 - width), ends
+    return mix64(out), ends
 
 
 ASKED = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("n", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 
 
-def asked(blocks: DataFrame, order: int, shards: int, width: int) -> DataFrame:
+def asked(blocks: DataFrame, order: int, shards: int) -> DataFrame:
     """shard, block, n (order), keys and counts (in training) of each block's n-grams."""
-    low = lambda n: np.uint64((64 if n == 1 else width) - int(math.log2(shards)))
+    low = np.uint64(64 - int(math.log2(shards)))
 
     def run(batches):
         for batch in batches:
@@ -150,10 +141,10 @@ def asked(blocks: DataFrame, order: int, shards: int, width: int) -> DataFrame:
                 hashes = vocabulary[tokens]
                 learns = ~np.asarray(row["held"], bool)[text]
                 for n in range(1, order + 1):
-                    keys, ends = gram_keys(hashes, text, n, width)
+                    keys, ends = gram_keys(hashes, text, n)
                     keys, place, _ = ranked(keys)
                     counts = np.bincount(place, learns[ends], minlength=len(keys)).astype(np.uint32)
-                    edges = np.searchsorted(keys >> low(n), np.arange(shards + 1, dtype=np.uint64)) if shards > 1 else np.array([0, len(keys)])
+                    edges = np.searchsorted(keys >> low, np.arange(shards + 1, dtype=np.uint64)) if shards > 1 else np.array([0, len(keys)])
                     out = []
                     for s in np.flatnonzero(np.diff(edges)):
                         part = slice(edges[s], edges[s + 1])
@@ -188,13 +179,13 @@ class Automaton:
     fail_weight and fail_to: the failure arc of each state.
     """
 
-    def __init__(self, tokens: np.ndarray, text: np.ndarray, vocabulary: np.ndarray, counts: list[np.ndarray], mass: float, n_all: int, n_types: int, width: int = 64):
+    def __init__(self, tokens: np.ndarray, text: np.ndarray, vocabulary: np.ndarray, counts: list[np.ndarray], mass: float, n_all: int, n_types: int):
         order, self.n_words = len(counts), len(vocabulary)
         hashes = vocabulary[tokens]
         fail_weight, fail_to, keys, weights, ends_at = [np.zeros(1)], [np.zeros(1, np.int32)], [], [], []
         first_state = 1  # of the n-grams of this order; those that training lacks are numbered, but no arc leads there
         for n in range(1, order + 1):
-            gram_hashes, ends = gram_keys(hashes, text, n, width)
+            gram_hashes, ends = gram_keys(hashes, text, n)
             _, place, one = ranked(gram_hashes)
             del gram_hashes
             seen, at = counts[n - 1].astype(float), ends[one]  # a token at which each n-gram ends
@@ -271,14 +262,14 @@ class Automaton:
 SCORE = "held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score_block(order: int, mass: float, n_all: int, n_types: int, width: int):
+def score_block(order: int, mass: float, n_all: int, n_types: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
         vocabulary, tokens, text, begins = opened(row)
         right = right.sort_by([("n", "ascending"), ("shard", "ascending")])
         which, packed = right.column("n").to_numpy(), right.column("counts")
         counts = [np.concatenate([unpack(packed[int(i)].as_py(), np.uint32) for i in np.flatnonzero(which == n)] or [np.zeros(0, np.uint32)]) for n in range(1, order + 1)]
-        model = Automaton(tokens, text, vocabulary, counts, mass, n_all, n_types, width)
+        model = Automaton(tokens, text, vocabulary, counts, mass, n_all, n_types)
         real = np.ones(len(tokens), bool)
         real[begins[:-1]] = False
         sums = lambda x: np.add.reduceat(np.where(real, x, 0), begins[:-1])
@@ -308,9 +299,8 @@ def score(docs: DataFrame, order: int = ORDER, mass: float = MASS) -> DataFrame:
     shards = 1 << max(3, math.ceil(math.log2(max(1, size) * order / SHARD_GRAMS)))
     # about eight bytes for each n-gram that is asked for
     n_tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size * order * 8 // TASK_BYTES))
-    width = width_for(size * order)
-    asks = asked(blocks, order, shards, width).repartition(n_tasks, "shard", "n")
+    asks = asked(blocks, order, shards).repartition(n_tasks, "shard", "n")
     counted = cut(asks.groupBy("shard", "n").applyInArrow(answer, ANSWER), "lm-counts")
     n_all, n_types = counted.agg(F.sum("tokens"), F.sum("types")).first()
-    run = score_block(order, mass, n_all or 0, n_types or 0, width)
+    run = score_block(order, mass, n_all or 0, n_types or 0)
     return blocks.groupBy("block").cogroup(counted.select("block", "n", "shard", "counts").groupBy("block")).applyInArrow(run, f"doc_id {kind}, {SCORE}")
