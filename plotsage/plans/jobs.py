@@ -57,6 +57,22 @@ def feature_issues(plots: DataFrame) -> DataFrame:
     return plots.join(crossing, "plot_id", "left").withColumn("issues", statements.issues(F.col("gtype"), F.col("parts"), F.col("crossing")))
 
 
+def footprints(plots: DataFrame) -> DataFrame:
+    """plot_id, parts and plot_ha of what is sampled of each plot: its rings, or the footprint of 50 m around a point."""
+    at = F.col("parts")[0][0][0]
+    around = F.transform(geo.footprint(at["x"], at["y"]), lambda p: g.point(F.rint(p["x"]), F.rint(p["y"])))
+    shape = F.when(F.col("gtype") == "Point", F.array(F.array(around))).otherwise(F.col("parts"))
+    # a generator's column is made once for all that names it
+    shaped = plots.select("plot_id", F.explode(F.array(shape)).alias("parts"))
+    return shaped.withColumn("plot_ha", geo.total(F.col("parts"), geo.geodesic_ring))
+
+
+def sampled(plots: DataFrame, layers: DataFrame, runs: DataFrame) -> DataFrame:
+    """Samples (see zonal.samples) of plots that may be sampled; runs are those of the rasters."""
+    sized = footprints(plots)
+    return zonal.samples(zonal.overlay(sized.select("plot_id", "parts"), layers, runs), layers, sized)
+
+
 def process(spark: SparkSession, plots: DataFrame, layers: DataFrame, cells: DataFrame, provider=None) -> DataFrame:
     """Findings for all plots; area, samples and risk for those that can be sampled and have a geometry.
 
@@ -66,10 +82,7 @@ def process(spark: SparkSession, plots: DataFrame, layers: DataFrame, cells: Dat
     checked = validate(plots)
     able = checked.filter(validation.sampleable(F.col("findings")) & F.col("parts").isNotNull())
     measured = measure(able)
-    round_ring = F.transform(geo.footprint(F.col("parts")[0][0][0]["x"], F.col("parts")[0][0][0]["y"]), lambda p: g.point(F.rint(p["x"]), F.rint(p["y"])))
-    shaped = measured.withColumn("shape", F.when(F.col("gtype") == "Point", F.array(F.array(round_ring))).otherwise(F.col("parts")))
-    sized = shaped.select("plot_id", F.col("shape").alias("parts"), geo.total(F.col("shape"), geo.geodesic_ring).alias("plot_ha"))
-    sample = provider(sized) if provider else zonal.samples(zonal.polygon_overlay(sized, layers, cells), layers, sized)
+    sample = provider(footprints(measured)) if provider else sampled(measured, layers, zonal.raster_runs(cells))
     tiers = risk.assess(sample).select("plot_id", "risk", "rule_id", "boundary_uncertain", "rationale", "loss_fraction", "forest_fraction", "cropland_fraction", "covered_cells")
     areas = measured.select("plot_id", "geodesic_ha", "epsg6933_ha", "epsg3857_ha", "utm_ha", "required_format", "borderline")
     return checked.join(areas, "plot_id", "left").join(tiers, "plot_id", "left").withColumn("assessed", F.col("risk").isNotNull())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -283,59 +284,91 @@ def webmercator_inflation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- overlay and risk ----------------------------------------------------------------------------------------------------
 
+#: Rings of the plots that may be sampled: those of polygons, closed, and around points the footprint, corner by corner.
+def _footprint_sql() -> str:
+    e, n = utm_sql("p.x", "p.y")
+    back = lambda of, trig: of + " - (" + " + ".join(f"({b!r} * {trig.format(j=2 * j)})" for j, b in enumerate(geo.BETA, 1)) + ")"
+    tau = "tau0"
+    steps = []
+    for i in range(5):  # Newton
+        root = f"sqrt(1 + {tau} * {tau})"
+        sigma = f"sinh({geo.E!r} * atanh({geo.E!r} * {tau} / {root}))"
+        now = f"({tau} * sqrt(1 + {sigma} * {sigma}) - {sigma} * {root})"
+        gain = f"((1 + {1 - geo.E2!r} * {tau} * {tau}) / ({1 - geo.E2!r} * {root}))"
+        steps.append(f"nw{i} AS (SELECT *, {tau} + (goal - {now}) / sqrt(1 + {now} * {now}) * {gain} AS tau{i + 1} FROM {'gl' if not i else f'nw{i - 1}'})")
+        tau = f"tau{i + 1}"
+    k = geo.K0 * geo.RECTIFYING
+    return f"""pn AS (SELECT plot_id, pts[1] AS p FROM w WHERE gtype = 'Point' AND place IS NULL AND {NEAR}),
+en AS (SELECT plot_id, {e} AS e, {n} AS n FROM pn), cr AS (SELECT plot_id, i, (e + {geo.FOOTPRINT_M} * cos(i % {geo.FOOTPRINT_SIDES} * {2 * math.pi / geo.FOOTPRINT_SIDES!r})) / {k!r} AS eta, (n + {geo.FOOTPRINT_M} * sin(i % {geo.FOOTPRINT_SIDES} * {2 * math.pi / geo.FOOTPRINT_SIDES!r})) / {k!r} AS xi FROM en, range({geo.FOOTPRINT_SIDES + 1}) t(i)),
+bk AS (SELECT plot_id, i, {back('xi', 'sin({j} * xi) * cosh({j} * eta)')} AS bx, {back('eta', 'cos({j} * xi) * sinh({j} * eta)')} AS be FROM cr),
+gl AS (SELECT *, sin(bx) / sqrt(sinh(be) * sinh(be) + cos(bx) * cos(bx)) AS goal, sin(bx) / sqrt(sinh(be) * sinh(be) + cos(bx) * cos(bx)) / {1 - geo.E2!r} AS tau0 FROM bk),
+{", ".join(steps)},
+fp AS (SELECT plot_id, list({{'x': CAST(round_even((111.0 + degrees(atan2(sinh(be), cos(bx)))) * 1e6, 0) AS BIGINT), 'y': CAST(round_even(degrees(atan({tau})) * 1e6, 0) AS BIGINT)}} ORDER BY i) AS r FROM nw4 GROUP BY plot_id)"""
+
+
 U = 9
+NEAR = "(crs IS NULL OR contains(upper(crs), '4326'))"
 LAYER_ROWS = "layers(layer, cell, west, north, n_rows, n_cols) AS (VALUES " + ", ".join(str(x) for x in derive.LAYERS) + ")"
-OVERLAY = f"""{PLACE}, {LAYER_ROWS}, cells AS ({derive.cells_sql(D)}),
-sq AS (SELECT plot_id, list_min(list_transform(pts, lambda p: p.x)) AS x0, list_min(list_transform(pts, lambda p: p.y)) AS y0, list_max(list_transform(pts, lambda p: p.x)) AS x1, list_max(list_transform(pts, lambda p: p.y)) AS y1 FROM w WHERE place IS NULL AND (crs IS NULL OR contains(upper(crs), '4326'))),
-g AS (SELECT sq.*, layer, cell, west, north, n_rows, n_cols FROM sq, layers),
-rc AS (SELECT *, unnest(range(greatest((north - y1 * {U}) // cell, 0), least((north - y0 * {U} - 1) // cell + 1, n_rows))) AS row FROM g),
-cc AS (SELECT *, unnest(range(greatest((x0 * {U} - west) // cell, 0), least((x1 * {U} - west - 1) // cell + 1, n_cols))) AS col FROM rc),
-cov AS (SELECT cc.*, value, (least(x1 * {U}, west + (col + 1) * cell) - greatest(x0 * {U}, west + col * cell)) * (least(y1 * {U}, north - row * cell) - greatest(y0 * {U}, north - (row + 1) * cell)) AS covered FROM cc JOIN cells USING (layer, row, col)),
+#: Every edge against every cell in the box of its plot: the area to the right of the edge in the cell, by how much of the
+#: edge lies left of the cell, within its columns, and right of it.
+OVER = f"""{LAYER_ROWS}, cells AS ({derive.cells_sql(D)}),
+{_footprint_sql()},
+shp AS (SELECT plot_id, 1 AS nth, r FROM fp UNION ALL SELECT plot_id, nth, CASE WHEN r[1] <> r[len(r)] THEN list_append(r, r[1]) ELSE r END FROM (SELECT plot_id, generate_subscripts(rings, 1) AS nth, unnest(rings) AS r FROM w WHERE gtype = 'Polygon' AND place IS NULL AND {NEAR})),
+grids AS (SELECT DISTINCT cell, west, north, n_rows, n_cols FROM layers),
+ed AS (SELECT plot_id, nth, r[i].x * {U} - west AS u1, north - r[i].y * {U} AS v1, r[i + 1].x * {U} - west AS u2, north - r[i + 1].y * {U} AS v2, cell, west, north, n_rows, n_cols FROM (SELECT *, unnest(range(1, len(r))) AS i FROM shp), grids),
+bx AS (SELECT plot_id, cell, west, north, greatest(min(least(u1, u2)) // cell, 0) AS c0, least(max(greatest(u1, u2)) // cell, n_cols - 1) AS c1, n_rows FROM ed WHERE greatest(u1, u2) >= 0 GROUP BY plot_id, cell, west, north, n_rows, n_cols),
+er AS (SELECT *, greatest(row * cell, least((row + 1) * cell, v1)) AS va, greatest(row * cell, least((row + 1) * cell, v2)) AS vb FROM (SELECT *, unnest(range(greatest(least(v1, v2) // cell, 0), least(greatest(v1, v2) // cell + 1, n_rows))) AS row FROM ed WHERE v1 <> v2)),
+es AS (SELECT plot_id, nth, cell, west, north, row, vb - va AS dv, u1 + (va - v1) * ((u2 - u1) / (v2 - v1)) AS ua, CASE WHEN vb = v2 THEN CAST(u2 AS DOUBLE) ELSE u1 + (vb - v1) * ((u2 - u1) / (v2 - v1)) END AS ub FROM er WHERE va <> vb),
+ec AS (SELECT es.plot_id, es.nth, es.cell, es.west, es.north, row, col, dv, (col + 1) * es.cell - greatest(ua, ub) AS lo, (col + 1) * es.cell - least(ua, ub) AS hi FROM es JOIN (SELECT *, unnest(range(c0, c1 + 1)) AS col FROM bx) b ON es.plot_id = b.plot_id AND es.cell = b.cell AND es.west = b.west AND es.north = b.north),
+ac AS (SELECT plot_id, nth, cell, west, north, row, col, sum(dv * CASE WHEN lo = hi THEN greatest(0, least(lo, cell)) ELSE (greatest(0, least(hi, cell) - greatest(lo, 0)) * (greatest(lo, 0) + least(hi, cell)) / 2 + greatest(0, hi - greatest(lo, cell)) * cell) / (hi - lo) END) AS a FROM ec GROUP BY ALL),
+pc AS (SELECT plot_id, cell, west, north, row, col, sum(CASE WHEN nth = 1 THEN abs(a) ELSE -abs(a) END) AS covered FROM ac GROUP BY ALL),
+cov AS (SELECT plot_id, layer, pc.cell, pc.north, row, col, value, covered FROM pc JOIN layers USING (cell, west, north) JOIN cells USING (layer, row, col) WHERE covered > {zonal.LEAST_COVERED}),
 sm AS (SELECT plot_id, list_sort(list_distinct(list(CAST(value AS INT)) FILTER (layer = 'lossyear' AND value BETWEEN 21 AND 25))) AS post, list_sort(list_distinct(list(CAST(value AS INT)) FILTER (layer = 'lossyear' AND value BETWEEN 1 AND 20))) AS pre,
   sum(CASE WHEN layer = 'lossyear' AND value BETWEEN 21 AND 25 THEN covered * {box_ha_sql('(north - (row + 1) * cell) / 9.0', '(north - row * cell) / 9.0', 'cell / 9.0')} / (cell * cell) END) AS loss_ha,
   sum(CASE WHEN layer = 'forest_2020' AND value = 1 THEN covered ELSE 0 END) / sum(CASE WHEN layer = 'forest_2020' THEN covered END) AS forest,
   sum(CASE WHEN layer = 'landcover_context' AND value = 40 THEN covered ELSE 0 END) / sum(CASE WHEN layer = 'landcover_context' THEN covered END) AS crop,
-  count(*) AS covered_cells FROM cov WHERE covered > 0 GROUP BY plot_id),
-smp AS (SELECT plot_id, coalesce(post, []) AS post, coalesce(pre, []) AS pre, coalesce(loss_ha, 0) AS loss_ha, coalesce(forest, 0) AS forest, coalesce(crop, 0) AS crop, coalesce(covered_cells, 0) AS covered_cells, {box_ha_sql('y0', 'y1', '(x1 - x0)')} AS plot_ha FROM sq LEFT JOIN sm USING (plot_id)),
+  count(*) AS covered_cells FROM cov GROUP BY plot_id),
+hv AS (SELECT plot_id, nth, list_transform(r, lambda p: radians(p.x / 1e6)) AS l, list_transform(r, lambda p: {t_sql('p.y')}) AS t, r FROM shp),
+ph AS (SELECT plot_id, sum(CASE WHEN nth = 1 THEN 1 ELSE -1 END * abs({EDGES.format(term='2 * atan2(tan((l[i] - l[i - 1]) / 2) * (t[i - 1] + t[i]), 1 + t[i - 1] * t[i])')}) * {geo.R2!r} / 1e4) AS plot_ha FROM hv GROUP BY plot_id),
+smp AS (SELECT plot_id, coalesce(post, []) AS post, coalesce(pre, []) AS pre, coalesce(loss_ha, 0) AS loss_ha, coalesce(forest, 0) AS forest, coalesce(crop, 0) AS crop, coalesce(covered_cells, 0) AS covered_cells, plot_ha FROM ph LEFT JOIN sm USING (plot_id)),
 tree AS (SELECT *, CASE WHEN plot_ha > 0 THEN loss_ha / plot_ha ELSE 0 END AS fraction, CASE WHEN forest < 0.5 THEN 'low.outside_2020_forest' WHEN crop >= 0.5 THEN 'low.crop_context_downgrade' WHEN len(pre) > 0 AND len(post) = 0 THEN 'low.pre_cutoff_disturbance_only'
   WHEN post = [21] THEN 'mins.band21_latency' WHEN len(post) > 0 AND plot_ha > 0 AND loss_ha / plot_ha >= 0.1 THEN 'high.inside_forest_post_cutoff_loss' WHEN len(post) > 0 THEN 'mins.sub_threshold_loss' ELSE 'mins.inside_forest_no_context' END AS rule_id FROM smp),
 risks AS (SELECT *, CASE split_part(rule_id, '.', 1) WHEN 'mins' THEN 'more-info-needed' ELSE split_part(rule_id, '.', 1) END AS risk, rule_id = 'mins.band21_latency' AS boundary_uncertain FROM tree)"""
 
+OVERLAY = f"{PLACE}, {OVER}"
 
-def sampled_boxes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """All plots that may be sampled, and the samples of their bounding boxes, in whole numbers.
 
-    A box shows what lies at a plot before its own ring is cut (see processed_plots); a point has a box without area, and
-    no cells."""
-    # kept: else the arithmetic that derives the plots would be computed again wherever one of their columns is named
-    plots = jobs.closed(derive.plots(spark, sf_dir)).persist()
-    plots = plots.filter(~validation.blocked(F.col("parts"), F.col("crs")))
-    found, layers = overlap.boxes(plots).persist(), derive.layers(spark)
-    sized = jobs.as_rings(found).select("plot_id", geo.total(F.col("parts"), geo.geodesic_ring).alias("plot_ha"))
-    return plots, zonal.samples(zonal.box_overlay(found, layers, derive.cells(spark)), layers, sized)
+def sampleable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All plots that may be sampled: parts has closed rings, raw_parts those that were submitted."""
+    plots = jobs.closed(derive.plots(spark, sf_dir).withColumn("raw_parts", F.col("parts")))
+    return plots.filter(~validation.blocked(F.col("parts"), F.col("crs")))
 
 
-def assessed_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Those plots with the risk of their boxes, beside consignment, operator, country, gtype and parts."""
-    plots, sampled = sampled_boxes(spark, sf_dir)
-    return risk.assess(sampled).join(plots.select("plot_id", "consignment", "operator", "country", "gtype", "parts"), "plot_id")
+def samples_of(spark: SparkSession, plots: DataFrame) -> DataFrame:
+    return jobs.sampled(plots, derive.layers(spark), zonal.raster_runs(derive.cells(spark)))
+
+
+def assessed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those plots with their risk, beside consignment, operator, country, gtype, parts and raw_parts."""
+    plots = sampleable(spark, sf_dir)
+    return risk.assess(samples_of(spark, plots)).join(plots.select("plot_id", "consignment", "operator", "country", "gtype", "parts", "raw_parts"), "plot_id")
 
 
 @query(f"WITH {OVERLAY} SELECT plot_id, array_to_string(post, ',') AS post_bands, array_to_string(pre, ',') AS pre_bands, round(loss_ha, 6) AS loss_ha, round(forest, 9) AS forest_fraction, round(crop, 9) AS cropland_fraction, covered_cells FROM smp")
 def zonal_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, found = sampled_boxes(spark, sf_dir)
+    found = samples_of(spark, sampleable(spark, sf_dir))
     words = lambda c: F.array_join(F.transform(c, lambda v: v.cast("string")), ",").alias(c)
     return found.select("plot_id", words("post_bands"), words("pre_bands"), F.round("loss_ha", 6).alias("loss_ha"), F.round("forest_fraction", 9).alias("forest_fraction"), F.round("cropland_fraction", 9).alias("cropland_fraction"), "covered_cells")
 
 
 @query(f"WITH {OVERLAY} SELECT plot_id, risk, rule_id, boundary_uncertain, round(fraction, 6) AS loss_fraction FROM risks")
 def risk_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assessed_boxes(spark, sf_dir).select("plot_id", "risk", "rule_id", "boundary_uncertain", F.round("loss_fraction", 6).alias("loss_fraction"))
+    return assessed(spark, sf_dir).select("plot_id", "risk", "rule_id", "boundary_uncertain", F.round("loss_fraction", 6).alias("loss_fraction"))
 
 
 @query(f"WITH {OVERLAY}, n AS (SELECT risk, count(*) AS n FROM risks GROUP BY risk) SELECT t.risk, coalesce(n, 0) AS n FROM (VALUES ('low'), ('more-info-needed'), ('high'), ('not assessed')) AS t(risk) LEFT JOIN n USING (risk)")
 def risk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return risk.tier_counts(assessed_boxes(spark, sf_dir))
+    return risk.tier_counts(assessed(spark, sf_dir))
 
 
 @query(f"""WITH {OVERLAY}, e AS (SELECT plot_id, risk, rule_id, unnest([{{'layer_order': 0, 'dataset_name': 'annual loss', 'dataset_version': 'v1.13', 'pixel_value': CAST(coalesce(list_max(post), list_max(pre), 0) AS DOUBLE), 'covered_fraction': fraction, 'verdict': ''}},
@@ -343,14 +376,14 @@ def risk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
   {{'layer_order': 2, 'dataset_name': 'land cover', 'dataset_version': 'v200', 'pixel_value': CASE WHEN crop >= 0.5 THEN 40.0 ELSE 0.0 END, 'covered_fraction': crop, 'verdict': CASE WHEN crop >= 0.5 THEN 'cropland_context' ELSE 'no_cropland_context' END}}]) AS r FROM risks)
 SELECT 'run-1' AS run_id, plot_id, r.layer_order, r.dataset_name, r.dataset_version, rule_id, CAST(r.pixel_value AS DOUBLE) AS pixel_value, round(r.covered_fraction, 6) AS covered_fraction, CASE WHEN r.layer_order = 0 THEN risk ELSE risk || '|' || r.verdict END AS reading FROM e""")
 def evidence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = risk.evidence(assessed_boxes(spark, sf_dir), derive.datasets(spark), "run-1")
+    rows = risk.evidence(assessed(spark, sf_dir), derive.datasets(spark), "run-1")
     reading = F.when(F.col("layer_order") == 0, F.split("verdict", r"\|")[0]).otherwise(F.col("verdict"))  # the formatted fraction is tested apart
     return rows.select("run_id", "plot_id", "layer_order", "dataset_name", "dataset_version", "rule_id", "pixel_value", F.round("covered_fraction", 6).alias("covered_fraction"), reading.alias("reading"))
 
 
 @query(f"WITH {OVERLAY} SELECT consignment, min(plot_id) AS plot_id FROM risks JOIN plots USING (plot_id) WHERE boundary_uncertain GROUP BY consignment")
 def first_uncertain_plot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = assessed_boxes(spark, sf_dir).filter("boundary_uncertain")
+    found = assessed(spark, sf_dir).filter("boundary_uncertain")
     return found.groupBy("consignment").agg(F.min_by("plot_id", "plot_id").alias("plot_id"))
 
 
@@ -429,7 +462,7 @@ TIER_RANK = "CASE risk WHEN 'high' THEN 2 WHEN 'more-info-needed' THEN 1 ELSE 0
 
 @query(f"WITH {OVERLAY} SELECT consignment, ['low', 'more-info-needed', 'high'][max({TIER_RANK}) + 1] AS determination, count(*) AS n FROM risks JOIN plots USING (plot_id) GROUP BY consignment")
 def consignment_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assessed_boxes(spark, sf_dir).groupBy("consignment").agg(risk.highest(F.col("risk")).alias("determination"), F.count("*").alias("n"))
+    return assessed(spark, sf_dir).groupBy("consignment").agg(risk.highest(F.col("risk")).alias("determination"), F.count("*").alias("n"))
 
 
 FEATURE = f"""'{{"type":"Feature","properties":{{"ProducerName":"","ProductionPlace":"' || plot_id || '","Area":null}},"geometry":{{"type":"' || gtype || '","coordinates":' || CASE WHEN gtype = 'Point' THEN '[' || {num_sql('rings[1][1].x')} || ',' || {num_sql('rings[1][1].y')} || ']' ELSE '[' || list_aggregate(list_transform(closed, lambda r: '[' || list_aggregate(list_transform(r, lambda p: '[' || {num_sql('p.x')} || ',' || {num_sql('p.y')} || ']'), 'string_agg', ',') || ']'), 'string_agg', ',') || ']' END || '}}}}'"""
@@ -461,15 +494,14 @@ COUNTRIES = (("R0", "low", "simplified_dd"), ("R1", "standard", "full_dd"), ("R2
 DDS = f"""{OVERLAY}, {ISSUES}, cl AS (SELECT *, rings AS closed FROM plots), ft AS (SELECT plot_id, {FEATURE} AS feature FROM cl), ok AS (SELECT plot_id, consignment, operator, country, risk, feature FROM risks JOIN plots USING (plot_id) JOIN iss USING (plot_id) JOIN ft USING (plot_id) WHERE len(issues) = 0)"""
 
 
-def eligible_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Assessed plots with the issues of their own geometry as it was submitted (rings are not closed here)."""
-    plots = assessed_boxes(spark, sf_dir).drop("parts")
-    return jobs.feature_issues(plots.join(derive.plots(spark, sf_dir).select("plot_id", "parts"), "plot_id"))
+    return jobs.feature_issues(assessed(spark, sf_dir).withColumn("parts", F.col("raw_parts")))
 
 
 @query(f"WITH {DDS} SELECT plot_id, consignment, risk FROM ok")
 def dds_eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return statements.eligible(eligible_boxes(spark, sf_dir)).select("plot_id", "consignment", "risk")
+    return statements.eligible(eligible(spark, sf_dir)).select("plot_id", "consignment", "risk")
 
 
 def _statement_sql() -> str:
@@ -483,7 +515,7 @@ SELECT consignment, operator, determination, n_plots, plot_ids, geojson, '{areas
 def statement_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole statements of all eligible plots: ids, features and legal areas in the row."""
     countries = spark.createDataFrame(list(COUNTRIES), "country string, risk_class string, due_diligence_path string")
-    found = statements.statements(eligible_boxes(spark, sf_dir), countries, F.to_date(F.lit("2026-06-18")), F.lit("09937884b63dade7"))
+    found = statements.statements(eligible(spark, sf_dir), countries, F.to_date(F.lit("2026-06-18")), F.lit("09937884b63dade7"))
     listed = F.array_join(F.transform(F.array(*map(F.lit, statements.LEGAL_AREAS)), lambda a: F.concat_ws("=", a, F.col("legality")[a])), ",")
     return found.select("consignment", "operator", "determination", "n_plots", F.array_join(F.transform("plot_ids", lambda i: i.cast("string")), ",").alias("plot_ids"), "geojson", listed.alias("legality"), "risk_class", "due_diligence_path", "reference_number", F.col("valid_from").cast("string").alias("valid_from"), F.col("valid_until").cast("string").alias("valid_until"), "legality_status", "compliance_complete")
 
@@ -548,7 +580,7 @@ def policy_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- whole pipeline, rows only ----------------------------------------------------------------------------------------------------
 
 
-@query()
+@query(f"WITH {RULES_SQL}, {OVER}, {AREAS} SELECT plot_id, disposition, risk IS NOT NULL AS assessed, CASE WHEN risk IS NOT NULL THEN round(geo_ha, 6) END AS geodesic_ha, risk, rule_id FROM disp JOIN a USING (plot_id) LEFT JOIN risks USING (plot_id)")
 def processed_plots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Validation for all plots; area and risk, by exact clipping of rings and footprints, for those that can be sampled."""
-    return jobs.process(spark, jobs.with_raw(derive.plots(spark, sf_dir)), derive.layers(spark), derive.cells(spark)).select("plot_id", "disposition", "assessed", "geodesic_ha", "risk", "rule_id")
+    return jobs.process(spark, jobs.with_raw(derive.plots(spark, sf_dir)), derive.layers(spark), derive.cells(spark)).select("plot_id", "disposition", "assessed", F.round("geodesic_ha", 6).alias("geodesic_ha"), "risk", "rule_id")

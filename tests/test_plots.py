@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+from fractions import Fraction
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,8 +100,8 @@ def test_benchmark_plots(spark):
 
 def test_polygon_coverage_sums_to_its_area(spark):
     df = parsed(spark, "POLYGON((108.0101 12.6401, 108.0149 12.6412, 108.0133 12.6444, 108.0101 12.6401))", square(108.0101, 12.6401, 0.0031))
-    overlay = zonal.polygon_overlay(df.select("plot_id", "parts"), derive.layers(spark), derive.cells(spark))
-    sums = {(r.plot_id, r.layer): r.a for r in overlay.groupBy("plot_id", "layer").agg(F.sum("covered").alias("a")).collect()}
+    overlay = zonal.overlay(df.select("plot_id", "parts"), derive.layers(spark), zonal.raster_runs(derive.cells(spark)))
+    sums = {(r.plot_id, r.layer): r.a for r in overlay.groupBy("plot_id", "layer").agg(F.sum(F.col("covered") * F.col("n")).alias("a")).collect()}
     area = {r.plot_id: r.a for r in df.select("plot_id", (F.abs(g.twice_area(F.col("parts")[0][0])) / 2 * 81).alias("a")).collect()}
     assert len(sums) == 6
     for (plot, _), a in sums.items():
@@ -107,6 +110,68 @@ def test_polygon_coverage_sums_to_its_area(spark):
     assert boxes.groupBy("layer").agg(F.sum("covered").alias("a")).select("a").distinct().first().a == area[1]
 
 
+def clipped(ring, x0, y0, x1, y1):
+    """Signed area of a ring within a box, in fractions: cut along the four sides in turn."""
+    points = [(Fraction(x), Fraction(y)) for x, y in ring[:-1]]
+    for axis, bound, sign in ((0, x0, 1), (0, x1, -1), (1, y0, 1), (1, y1, -1)):
+        out = []
+        for i, p in enumerate(points):
+            q = points[i - 1]
+            if ((p[axis] - bound) * sign >= 0) != ((q[axis] - bound) * sign >= 0):
+                t = (bound - q[axis]) / (p[axis] - q[axis])
+                out.append((q[0] + t * (p[0] - q[0]), q[1] + t * (p[1] - q[1])))
+            if (p[axis] - bound) * sign >= 0:
+                out.append(p)
+        points = out
+    return sum(points[i - 1][0] * p[1] - p[0] * points[i - 1][1] for i, p in enumerate(points)) / 2
+
+
+def test_coverage_equals_clipping_by_fractions(spark):
+    """Rings of any shape, with holes, in parts, crossing themselves, and beyond all sides of the grid."""
+    draw = random.Random(11)
+    place = lambda spread: (draw.randrange(-spread, 30 + spread), draw.randrange(-spread, 30 + spread))
+    shapes = []
+    for i in range(60):
+        rings = []
+        for _ in range(1 + i % 3):
+            ring = [place(0 if i < 30 else 25) for _ in range(draw.randrange(3, 9))]
+            rings.append([*ring, ring[0]])
+        shapes.append([rings] if i % 2 else [[r] for r in rings])
+    rows = [(i, [[[{"x": x, "y": y} for x, y in r] for r in p] for p in parts]) for i, parts in enumerate(shapes)]
+    plots = spark.createDataFrame(rows, f"plot_id long, parts {g.PARTS}")
+    layers = spark.createDataFrame([("a", 45, 0, 270, 6, 6), ("b", 45, 0, 270, 6, 6), ("c", 63, 27, 270, 4, 3)], derive.LAYER_COLUMNS)
+    got = {}
+    for r in zonal.coverage(plots, layers).collect():
+        for col in range(r["first"], r["last"] + 1):
+            assert (key := (r.plot_id, r.grid, r.row, col)) not in got
+            got[key] = r.covered
+    want = {}
+    for i, parts in enumerate(shapes):
+        for cell, west, n_rows, n_cols in ((45, 0, 6, 6), (63, 27, 4, 3)):
+            for row in range(n_rows):
+                for col in range(n_cols):
+                    box = (west + col * cell, 270 - (row + 1) * cell, west + (col + 1) * cell, 270 - row * cell)
+                    net = sum((-1 if k else 1) * abs(clipped([(9 * x, 9 * y) for x, y in ring], *box)) for part in parts for k, ring in enumerate(part))
+                    if net > 0:
+                        want[i, f"{cell}:{west}:270", row, col] = float(net)
+    assert got.keys() == want.keys() and len(got) > 800
+    assert all(got[k] == pytest.approx(want[k], abs=1e-8) for k in want)
+
+
+def test_raster_runs_hold_every_cell_once(spark):
+    draw = random.Random(12)
+    cells = [("a", row, col, draw.randrange(3)) for row in range(4) for col in range(600) if draw.random() < 0.9]
+    runs = zonal.raster_runs(spark.createDataFrame(cells, "layer string, row int, col int, value int")).collect()
+    assert sorted((r.layer, r.row, c, r.value) for r in runs for c in range(r["first"], r["last"] + 1)) == sorted(cells)
+    assert all(r["first"] // zonal.BLOCK_COLS == r["last"] // zonal.BLOCK_COLS == r.block for r in runs)
+
+
+def test_plots_send_runs_not_cells(spark):
+    df = parsed(spark, "POLYGON((108.01 12.65, 108.05 12.65, 108.05 12.69, 108.01 12.69, 108.01 12.65))")
+    runs = zonal.coverage(df.select("plot_id", "parts"), derive.layers(spark)).groupBy("grid", "row").count()
+    assert runs.agg(F.max("count")).first()[0] <= 3 and runs.count() > 500
+
+
 def test_tiers_of_the_painted_zones(spark):
     """A point in each zone: its 50 m footprint has the tier of the zone."""
     zones = [(z[1][0] + z[1][1], z[1][2] + z[1][3]) for z in derive.ZONES[:5]]
