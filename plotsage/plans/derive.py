@@ -8,6 +8,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
@@ -60,6 +61,32 @@ FROM (SELECT c_custkey AS k, c_nationkey AS consignment, n_name AS operator, con
 """
 
 
+def multi_sql(d: Dialect) -> str:
+    """Plots of several rings, one for each customer: plot_id, kind, gtype, parts.
+
+    kind: 0 hole outside, 1 part in a part, 2 hole that touches its outer ring in a point, 3 parts that touch in a corner, 4 parts that
+    overlap, 5 hole that touches its outer ring twice, 6 hole in a hole, 7 two holes, 8 part in a hole, 9 hole that
+    crosses its outer ring.
+    """
+    p = d.point
+
+    def box(x: str, y: str, side: str) -> str:
+        return d.array(p(x, y), p(f"{x} + {side}", y), p(f"{x} + {side}", f"{y} + {side}"), p(x, f"{y} + {side}"), p(x, y))
+
+    part, whole = lambda *rings: d.array(*rings), box("x0", "y0", "6 * u")
+    inner = lambda n, side: box(f"x0 + {n} * u", f"y0 + {n} * u", f"{side} * u")
+    left, right, low, high = p("x0", "y0 + 3 * u"), p("x0 + 6 * u", "y0 + 3 * u"), p("x0 + 3 * u", "y0 + u"), p("x0 + 3 * u", "y0 + 5 * u")
+    shapes = [
+        d.array(part(whole, inner(8, 2))), d.array(part(whole), part(inner(1, 2))), d.array(part(whole, d.array(left, low, high, left))), d.array(part(whole), part(inner(6, 2))), d.array(part(whole), part(inner(4, 6))),
+        d.array(part(whole, d.array(left, low, right, high, left))), d.array(part(whole, inner(1, 4), inner(2, 1))), d.array(part(whole, inner(1, 1), inner(3, 2))), d.array(part(whole, inner(1, 4)), part(inner(2, 1))), d.array(part(whole, inner(4, 6))),
+    ]
+    cases = " ".join(f"WHEN {k} THEN {x}" for k, x in enumerate(shapes))
+    return f"""
+SELECT k AS plot_id, kind, CASE WHEN kind IN (1, 3, 4, 8) THEN 'MultiPolygon' ELSE 'Polygon' END AS gtype, CASE kind {cases} END AS parts
+FROM (SELECT c_custkey AS k, CAST(c_custkey % 10 AS INT) AS kind, 50 + c_custkey * 37 % 8 * 40 AS u, 108000000 + c_custkey * 7919 % 57000 AS x0, 12640000 + c_custkey * 104729 % 57000 AS y0 FROM customer)
+"""
+
+
 #: Boxes of orders: the overlap benchmark's plots.
 BENCH_SQL = """
 SELECT o_orderkey AS plot_id, 107600000 + o_orderkey * 48271 % 898500 AS x0, 12500000 + (o_orderkey * 69621 + o_custkey * 104729) % 1198500 AS y0,
@@ -147,6 +174,11 @@ def plots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.selectExpr("*", "explode(array(array(CASE WHEN hole IS NULL THEN array(ring) ELSE array(ring, hole) END))) AS parts").drop("ring", "hole")
 
 
+def multi_plots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = read(spark, sf_dir, multi_sql(SPARK), "customer")
+    return found.select("plot_id", "kind", "gtype", F.explode(F.array("parts")).alias("parts"))
+
+
 def bench_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, BENCH_SQL, "orders")
 

@@ -135,6 +135,50 @@ def run_plots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.plots_of_run(derive.results(spark, sf_dir).select("plot_id", "run_id").distinct(), 3).select("plot_id")
 
 
+# --- rings in SQL ----------------------------------------------------------------------------------------------------
+
+RINGS = """rg AS (SELECT plot_id, nth, CASE WHEN r[1] <> r[len(r)] THEN list_append(r, r[1]) ELSE r END AS r FROM (SELECT plot_id, generate_subscripts(rings, 1) AS nth, unnest(rings) AS r FROM plots WHERE gtype = 'Polygon'))"""
+TURN = "sign((({b}).x - ({a}).x) * (({c}).y - ({a}).y) - (({b}).y - ({a}).y) * (({c}).x - ({a}).x))"
+WITHIN = "(({c}).x BETWEEN least(({a}).x, ({b}).x) AND greatest(({a}).x, ({b}).x) AND ({c}).y BETWEEN least(({a}).y, ({b}).y) AND greatest(({a}).y, ({b}).y))"
+D4 = [TURN.format(a=x, b=y, c=z) for x, y, z in (("a", "b", "o_a"), ("a", "b", "o_b"), ("o_a", "o_b", "a"), ("o_a", "o_b", "b"))]
+ON = " OR ".join(f"(d{i} = 0 AND {WITHIN.format(a=x, b=y, c=z)})" for i, (x, y, z) in enumerate((("a", "b", "o_a"), ("a", "b", "o_b"), ("o_a", "o_b", "a"), ("o_a", "o_b", "b")), 1))
+SHARED = "least(greatest(a.{v}, b.{v}), greatest(o_a.{v}, o_b.{v})) - greatest(least(a.{v}, b.{v}), least(o_a.{v}, o_b.{v}))"
+#: Pairs of segments of one ring that meet wrongly, by coordinates: every pair is compared.
+MEET = f"""{RINGS}, tidy AS (SELECT plot_id, list_filter(r, lambda p, i: i = 1 OR p <> r[i - 1]) AS r FROM rg),
+sg AS (SELECT plot_id, i, r[i] AS a, r[i + 1] AS b, len(r) - 1 AS n FROM (SELECT plot_id, r, unnest(range(1, len(r))) AS i FROM tidy)),
+sp AS (SELECT *, {', '.join(f'{d} AS d{i}' for i, d in enumerate(D4, 1))} FROM (SELECT s.plot_id, s.i, s.n, s.a, s.b, t.i AS o_i, t.a AS o_a, t.b AS o_b FROM sg s JOIN sg t ON s.plot_id = t.plot_id AND s.i < t.i)),
+mt AS (SELECT plot_id, i, o_i, a, b, o_a, o_b, CASE WHEN d1 * d2 < 0 AND d3 * d4 < 0 THEN 'cross' WHEN d1 = 0 AND d2 = 0 AND ({ON}) AND greatest({SHARED.format(v='x')}, {SHARED.format(v='y')}) > 0 THEN 'overlap' WHEN ({ON}) AND NOT (o_i - i = 1 OR o_i - i = n - 1) THEN 'touch' END AS kind FROM sp),
+met AS (SELECT plot_id, count(*) FILTER (kind = 'cross') AS n_cross, count(*) FILTER (kind = 'overlap') AS n_overlap FROM mt WHERE kind IS NOT NULL GROUP BY plot_id)"""
+
+
+def q_sql(y: str) -> str:
+    s = f"sin(radians(({y}) / 1e6))"
+    return f"({1 - geo.E2!r} * ({s} / (1 - {geo.E2!r} * {s} * {s}) - ln((1 - {geo.E!r} * {s}) / (1 + {geo.E!r} * {s})) / {2 * geo.E!r}))"
+
+
+def t_sql(y: str) -> str:
+    return f"tan(asin({q_sql(y)} / {geo.Q_POLE!r}) / 2)"
+
+
+def excess_sql(y: str, width: str) -> str:
+    return f"(2 * atan2(tan(radians(({width}) / 1e6) / 2) * 2 * {t_sql(y)}, 1 + {t_sql(y)} * {t_sql(y)}))"
+
+
+def box_ha_sql(y0: str, y1: str, width: str) -> str:
+    return f"(abs({excess_sql(y1, width)} - {excess_sql(y0, width)}) * {geo.R2!r} / 1e4)"
+
+
+EDGES = "list_sum(list_transform(range(2, len(r) + 1), lambda i: {term}))"
+FLAT = "(l[i - 1] - l[1]) * ({v}[i] - {v}[1]) - (l[i] - l[1]) * ({v}[i - 1] - {v}[1])"
+#: Areas of all rings, edge by edge; exteriors less holes.
+AREA_STEPS = f"""rv AS (SELECT plot_id, nth, r, list_transform(r, lambda p: radians(p.x / 1e6)) AS l, list_transform(r, lambda p: {t_sql('p.y')}) AS t, list_transform(r, lambda p: {q_sql('p.y')}) AS q, list_transform(r, lambda p: ln(tan(pi() / 4 + radians(p.y / 1e6) / 2))) AS m FROM rg),
+ra AS (SELECT plot_id, CASE WHEN nth = 1 THEN 1 ELSE -1 END AS turn, abs({EDGES.format(term='2 * atan2(tan((l[i] - l[i - 1]) / 2) * (t[i - 1] + t[i]), 1 + t[i - 1] * t[i])')}) * {geo.R2!r} / 1e4 AS geo_ha,
+  abs({EDGES.format(term=FLAT.format(v='q'))}) * {geo.A!r} * {geo.A!r} / 4 / 1e4 AS ea_ha, abs({EDGES.format(term=FLAT.format(v='m'))}) * {geo.A!r} * {geo.A!r} / 2 / 1e4 AS wm_ha FROM rv),
+sa AS (SELECT plot_id, sum(turn * geo_ha) AS geo_ha, sum(turn * ea_ha) AS ea_ha, sum(turn * wm_ha) AS wm_ha FROM ra GROUP BY plot_id),
+a AS (SELECT plot_id, coalesce(geo_ha, 0) AS geo_ha, coalesce(ea_ha, 0) AS ea_ha, coalesce(wm_ha, 0) AS wm_ha FROM plots LEFT JOIN sa USING (plot_id))"""
+AREAS = f"{RINGS}, {AREA_STEPS}"
+
+
 # --- validation ------------------------------------------------------------------------------------------------------
 
 IN = "({x} BETWEEN 107000000 AND 109100000 AND {y} BETWEEN 11900000 AND 14500000)"
@@ -150,27 +194,26 @@ def aoi_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 DEC = "length(regexp_replace(printf('%06d', abs({v}) % 1000000), '0+$', ''))"
-#: Rules by kind of derived plot, stated on the numbers the kinds are made of. A spike's ring is compact enough or not
-#: by its own arithmetic; bowties and spurs are what the crossing job must find.
-RULES_SQL = f"""{PLACE},
+#: Rules by coordinates: crossings and spurs as every pair of segments tells them, areas edge by edge.
+RULES_SQL = f"""{PLACE}, {MEET}, {AREA_STEPS},
 ring AS (SELECT plot_id, ring[:-2] AS o, ring FROM plots WHERE gtype = 'Polygon'),
 shape AS (SELECT plot_id, o, list_median(list_transform(o, lambda p: CAST(p.x AS DOUBLE))) AS mx, list_median(list_transform(o, lambda p: CAST(p.y AS DOUBLE))) AS my,
   abs(coalesce(list_sum(list_transform(range(2, len(ring) + 1), lambda i: (ring[i-1].x - ring[1].x) * (ring[i].y - ring[1].y) - (ring[i].x - ring[1].x) * (ring[i-1].y - ring[1].y))), 0)) / 2.0 AS a,
   list_sum(list_transform(range(2, len(ring) + 1), lambda i: sqrt(CAST((ring[i].x - ring[i-1].x) * (ring[i].x - ring[i-1].x) + (ring[i].y - ring[i-1].y) * (ring[i].y - ring[i-1].y) AS DOUBLE)))) AS per FROM ring),
 far AS (SELECT plot_id, list_transform(o, lambda p: sqrt((p.x - mx) * (p.x - mx) + (p.y - my) * (p.y - my))) AS d, 4 * pi() * a / (per * per) AS comp FROM shape),
 odd AS (SELECT plot_id, len(d) >= 4 AND list_median(d) > 0 AND list_max(d) / list_median(d) > 25 AND comp < 0.05 AS spike, comp FROM far),
-fl AS (SELECT w.plot_id, kind, list_filter([place,
+fl AS (SELECT w.plot_id, n_cross, list_filter([place,
   CASE WHEN crs IS NOT NULL AND NOT contains(upper(crs), '4326') AND coalesce(place, '') NOT IN ('lat_lon_swap', 'coordinate_out_of_range') THEN 'unknown_mixed_crs' END,
   CASE WHEN gtype = 'Point' AND asserted_area_ha >= 4 THEN 'geometry_type_vs_asserted_area' END,
-  CASE WHEN kind = 4 THEN 'unclosed_ring' END,
-  CASE WHEN kind IN (6, 11) THEN 'invalid_geometry' END,
-  CASE WHEN kind = 3 THEN 'duplicate_vertices' END,
-  CASE WHEN kind NOT IN (6, 11) AND spike THEN 'spike_vertex' END,
-  CASE WHEN kind = 7 AND NOT spike AND comp < 0.05 THEN 'sliver' END,
-  CASE WHEN kind = 5 THEN 'holes' END,
+  CASE WHEN gtype = 'Polygon' AND ring[1] <> ring[len(ring)] THEN 'unclosed_ring' END,
+  CASE WHEN n_cross IS NOT NULL THEN 'invalid_geometry' END,
+  CASE WHEN n_cross IS NULL AND gtype = 'Polygon' AND len(list_filter(range(2, len(ring) + 1), lambda i: ring[i] = ring[i - 1])) > 0 THEN 'duplicate_vertices' END,
+  CASE WHEN n_cross IS NULL AND spike THEN 'spike_vertex' END,
+  CASE WHEN n_cross IS NULL AND NOT spike AND geo_ha > 0 AND geo_ha < 0.02 AND comp < 0.05 THEN 'sliver' END,
+  CASE WHEN len(rings) > 1 THEN 'holes' END,
   CASE WHEN list_min(list_transform(pts, lambda p: greatest({DEC.format(v='p.x')}, {DEC.format(v='p.y')}))) < 2 AND coalesce(place, '') NOT IN ('null_island', 'lat_lon_swap', 'coordinate_out_of_range') THEN 'grid_snapped_low_precision' END
-], lambda x: x IS NOT NULL) AS rules FROM w LEFT JOIN odd USING (plot_id)),
-disp AS (SELECT plot_id, rules, CASE WHEN kind = 6 OR len(list_intersect(rules, ['null_island', 'lat_lon_swap', 'coordinate_out_of_range', 'out_of_aoi', 'unknown_mixed_crs', 'geometry_type_vs_asserted_area', 'spike_vertex', 'sliver', 'holes'])) > 0 THEN 'NEEDS_REVIEW'
+], lambda x: x IS NOT NULL) AS rules FROM w LEFT JOIN odd USING (plot_id) LEFT JOIN met USING (plot_id) LEFT JOIN a USING (plot_id)),
+disp AS (SELECT plot_id, rules, CASE WHEN n_cross > 0 OR len(list_intersect(rules, ['null_island', 'lat_lon_swap', 'coordinate_out_of_range', 'out_of_aoi', 'unknown_mixed_crs', 'geometry_type_vs_asserted_area', 'spike_vertex', 'sliver', 'holes'])) > 0 THEN 'NEEDS_REVIEW'
   WHEN len(list_intersect(rules, ['unclosed_ring', 'invalid_geometry', 'duplicate_vertices'])) > 0 THEN 'AUTO_FIXED' ELSE 'AUTO_VALID' END AS disposition FROM fl)"""
 
 
@@ -185,59 +228,68 @@ def findings_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.long_findings(jobs.validate(jobs.with_raw(derive.plots(spark, sf_dir)))).groupBy("rule_id").agg(F.count("*").alias("n"))
 
 
-RINGS = """rg AS (SELECT plot_id, nth, CASE WHEN r[1] <> r[len(r)] THEN list_append(r, r[1]) ELSE r END AS r FROM (SELECT plot_id, generate_subscripts(rings, 1) AS nth, unnest(rings) AS r FROM plots WHERE gtype = 'Polygon'))"""
-TURN = "sign((({b}).x - ({a}).x) * (({c}).y - ({a}).y) - (({b}).y - ({a}).y) * (({c}).x - ({a}).x))"
-WITHIN = "(({c}).x BETWEEN least(({a}).x, ({b}).x) AND greatest(({a}).x, ({b}).x) AND ({c}).y BETWEEN least(({a}).y, ({b}).y) AND greatest(({a}).y, ({b}).y))"
-D4 = [TURN.format(a=x, b=y, c=z) for x, y, z in (("a", "b", "o_a"), ("a", "b", "o_b"), ("o_a", "o_b", "a"), ("o_a", "o_b", "b"))]
-ON = " OR ".join(f"(d{i} = 0 AND {WITHIN.format(a=x, b=y, c=z)})" for i, (x, y, z) in enumerate((("a", "b", "o_a"), ("a", "b", "o_b"), ("o_a", "o_b", "a"), ("o_a", "o_b", "b")), 1))
-SHARED = "least(greatest(a.{v}, b.{v}), greatest(o_a.{v}, o_b.{v})) - greatest(least(a.{v}, b.{v}), least(o_a.{v}, o_b.{v}))"
-#: Pairs of segments of one ring that meet wrongly, by coordinates: every pair is compared.
-MEET = f"""{RINGS}, tidy AS (SELECT plot_id, list_filter(r, lambda p, i: i = 1 OR p <> r[i - 1]) AS r FROM rg),
-sg AS (SELECT plot_id, i, r[i] AS a, r[i + 1] AS b, len(r) - 1 AS n FROM (SELECT plot_id, r, unnest(range(1, len(r))) AS i FROM tidy)),
-sp AS (SELECT *, {', '.join(f'{d} AS d{i}' for i, d in enumerate(D4, 1))} FROM (SELECT s.plot_id, s.i, s.n, s.a, s.b, t.i AS o_i, t.a AS o_a, t.b AS o_b FROM sg s JOIN sg t ON s.plot_id = t.plot_id AND s.i < t.i)),
-mt AS (SELECT plot_id, CASE WHEN d1 * d2 < 0 AND d3 * d4 < 0 THEN 'cross' WHEN d1 = 0 AND d2 = 0 AND ({ON}) AND greatest({SHARED.format(v='x')}, {SHARED.format(v='y')}) > 0 THEN 'overlap' WHEN ({ON}) AND NOT (o_i - i = 1 OR o_i - i = n - 1) THEN 'touch' END AS kind FROM sp),
-met AS (SELECT plot_id, count(*) FILTER (kind = 'cross') AS n_cross, count(*) FILTER (kind = 'overlap') AS n_overlap FROM mt WHERE kind IS NOT NULL GROUP BY plot_id)"""
-
-
 @query(f"WITH {PLOTS}, {MEET} SELECT plot_id, CASE WHEN n_cross > 0 THEN 'NEEDS_REVIEW' ELSE 'AUTO_FIXED' END AS repair, n_cross, n_overlap FROM met")
 def invalid_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     closed = jobs.closed(derive.plots(spark, sf_dir))
     return crossings.repairs(closed).select("plot_id", "repair", "n_cross", "n_overlap")
 
 
-@query(f"WITH {PLOTS}, {MEET} SELECT plot_id, n_cross IS NULL AS is_valid, CASE WHEN n_cross > 0 THEN 'Self-intersection' WHEN n_overlap > 0 THEN 'Ring overlaps itself' WHEN n_cross = 0 THEN 'Ring Self-intersection' ELSE 'Valid Geometry' END AS reason, coalesce(n_cross, 0) = 0 AS repairable FROM plots LEFT JOIN met USING (plot_id)")
-def plot_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return crossings.validity(jobs.closed(derive.plots(spark, sf_dir))).select("plot_id", "is_valid", "reason", F.col("repaired_wkt").isNotNull().alias("repairable"))
-
-
-# --- areas -------------------------------------------------------------------------------------------------------------
-
-def q_sql(y: str) -> str:
-    s = f"sin(radians(({y}) / 1e6))"
-    return f"({1 - geo.E2!r} * ({s} / (1 - {geo.E2!r} * {s} * {s}) - ln((1 - {geo.E!r} * {s}) / (1 + {geo.E!r} * {s})) / {2 * geo.E!r}))"
-
-
-def t_sql(y: str) -> str:
-    return f"tan(asin({q_sql(y)} / {geo.Q_POLE!r}) / 2)"
-
-
-def excess_sql(y: str, width: str) -> str:
-    return f"(2 * atan2(tan(radians(({width}) / 1e6) / 2) * 2 * {t_sql(y)}, 1 + {t_sql(y)} * {t_sql(y)}))"
+def _repaired_sql() -> str:
+    """Of a ring that crosses itself once both lobes, of one that overlaps itself what is left without the tips of its spurs;
+    turned and rotated as all canonical rings."""
+    t = "((o_a.x - a.x) * (o_b.y - o_a.y) - (o_a.y - a.y) * (o_b.x - o_a.x)) / CAST((b.x - a.x) * (o_b.y - o_a.y) - (b.y - a.y) * (o_b.x - o_a.x) AS DOUBLE)"
+    at = "{{'x': a.x + CAST(round_even({t} * (b.x - a.x), 0) AS BIGINT), 'y': a.y + CAST(round_even({t} * (b.y - a.y), 0) AS BIGINT)}}".format(t=t)
+    return f"""xs AS (SELECT plot_id, i, o_i, {at} AS p FROM mt WHERE kind = 'cross'),
+tips AS (SELECT plot_id, list_filter(r, lambda p, i: i = 1 OR i = len(r) OR r[i - 1] <> r[i + 1]) AS r FROM tidy JOIN met USING (plot_id) WHERE n_cross = 0),
+lobes AS (SELECT plot_id, list_concat([p], r[i + 1:o_i], [p]) AS r FROM xs JOIN tidy USING (plot_id) UNION ALL SELECT plot_id, list_concat(r[1:i], [p], r[o_i + 1:]) FROM xs JOIN tidy USING (plot_id) UNION ALL SELECT plot_id, list_filter(r, lambda p, i: i = 1 OR p <> r[i - 1]) FROM tips),
+l2 AS (SELECT *, list_sum(list_transform(range(2, len(r) + 1), lambda i: (r[i-1].x - r[1].x) * (r[i].y - r[1].y) - (r[i].x - r[1].x) * (r[i-1].y - r[1].y))) AS a2 FROM lobes),
+l3 AS (SELECT plot_id, CASE WHEN a2 < 0 THEN list_reverse(r) ELSE r END AS r FROM l2), l4 AS (SELECT plot_id, r[:-2] AS o, list_position(r[:-2], list_min(r[:-2])) AS k FROM l3),
+l5 AS (SELECT plot_id, '((' || list_aggregate(list_transform(list_append(list_concat(o[k:], o[:k-1]), o[k]), lambda p: {PT}), 'string_agg', ', ') || '))' AS t FROM l4),
+mended AS (SELECT plot_id, 'SRID=4326;' || CASE WHEN count(*) = 1 THEN 'POLYGON ' || min(t) ELSE 'MULTIPOLYGON (' || string_agg(t, ', ' ORDER BY t) || ')' END AS text FROM l5 GROUP BY plot_id)"""
 
 
-def box_ha_sql(y0: str, y1: str, width: str) -> str:
-    return f"(abs({excess_sql(y1, width)} - {excess_sql(y0, width)}) * {geo.R2!r} / 1e4)"
-
+@query(f"WITH {CANON}, {MEET}, {_repaired_sql()} SELECT plot_id, n_cross IS NULL AS is_valid, CASE WHEN n_cross > 0 THEN 'Self-intersection' WHEN n_overlap > 0 THEN 'Ring overlaps itself' WHEN n_cross = 0 THEN 'Ring Self-intersection' ELSE 'Valid Geometry' END AS reason, coalesce(text, canonical) AS repaired_wkt FROM canon LEFT JOIN met USING (plot_id) LEFT JOIN mended USING (plot_id)")
+def plot_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crossings.validity(jobs.closed(derive.plots(spark, sf_dir)))
+
+
+#: Pairs of segments over all rings of a plot, and which ring lies in which: by a vertex that is not on the other ring.
+MULTI = f"""mp AS ({derive.multi_sql(D)}), pr AS (SELECT plot_id, generate_subscripts(parts, 1) AS part, unnest(parts) AS rs FROM mp), mr AS (SELECT plot_id, part, generate_subscripts(rs, 1) AS ring, unnest(rs) AS r FROM pr),
+ms AS (SELECT plot_id, part, ring, i, len(r) - 1 AS n, r[i] AS a, r[i + 1] AS b FROM (SELECT *, unnest(range(1, len(r))) AS i FROM mr)),
+mq AS (SELECT *, {', '.join(f'{d} AS d{i}' for i, d in enumerate(D4, 1))} FROM (SELECT s.plot_id, s.part, s.ring, s.i, s.n, s.a, s.b, t.part AS o_part, t.ring AS o_ring, t.i AS o_i, t.a AS o_a, t.b AS o_b FROM ms s JOIN ms t ON s.plot_id = t.plot_id AND (s.part, s.ring, s.i) < (t.part, t.ring, t.i))),
+mk AS (SELECT *, CASE WHEN d1 * d2 < 0 AND d3 * d4 < 0 THEN 'cross' WHEN d1 = 0 AND d2 = 0 AND ({ON}) AND greatest({SHARED.format(v='x')}, {SHARED.format(v='y')}) > 0 THEN 'overlap' WHEN ({ON}) AND NOT (part = o_part AND ring = o_ring AND (o_i - i = 1 OR o_i - i = n - 1)) THEN 'touch' END AS kind FROM mq),
+mm AS (SELECT plot_id, count(*) FILTER (kind = 'cross') AS n_cross, count(*) FILTER (kind = 'overlap') AS n_overlap, count(*) FILTER (kind = 'touch' AND part = o_part AND ring = o_ring) AS n_touch FROM mk GROUP BY plot_id),
+tp AS (SELECT plot_id, part, ring, o_ring, count(DISTINCT p) AS n FROM (SELECT plot_id, part, ring, o_ring, CASE WHEN d1 = 0 AND {WITHIN.format(a='a', b='b', c='o_a')} THEN o_a WHEN d2 = 0 AND {WITHIN.format(a='a', b='b', c='o_b')} THEN o_b WHEN d3 = 0 AND {WITHIN.format(a='o_a', b='o_b', c='a')} THEN a ELSE b END AS p FROM mk WHERE kind = 'touch' AND part = o_part AND ring <> o_ring) GROUP BY ALL),
+vx AS (SELECT v.plot_id, v.part, v.ring, o.part AS o_part, o.ring AS o_ring, v.i, bool_or({TURN.format(a='o.a', b='o.b', c='v.a')} = 0 AND {WITHIN.format(a='o.a', b='o.b', c='v.a')}) AS on_it, count(*) FILTER ((o.a.y <= v.a.y) <> (o.b.y <= v.a.y) AND o.a.x + (v.a.y - o.a.y) * (o.b.x - o.a.x) / CAST(o.b.y - o.a.y AS DOUBLE) > v.a.x) AS hits FROM ms v JOIN ms o ON v.plot_id = o.plot_id AND (v.part, v.ring) <> (o.part, o.ring) GROUP BY ALL),
+lies AS (SELECT plot_id, part, ring, o_part, o_ring, min_by(hits, i) % 2 = 1 AS inside FROM vx WHERE NOT on_it GROUP BY ALL),
+home AS (SELECT plot_id, count(*) FILTER (ring > 1 AND part = o_part AND o_ring = 1 AND NOT inside) AS n_outside, count(*) FILTER (ring > 1 AND part = o_part AND o_ring > 1 AND inside) AS n_nested FROM lies GROUP BY plot_id),
+apart AS (SELECT plot_id, count(*) FILTER (shell AND NOT hole) AS n_parts FROM (SELECT plot_id, part, o_part, bool_or(o_ring = 1 AND inside) AS shell, bool_or(o_ring > 1 AND inside) AS hole FROM lies WHERE ring = 1 AND part <> o_part GROUP BY ALL) GROUP BY plot_id),
+told AS (SELECT plot_id, CASE WHEN n_cross > 0 THEN '{crossings.REASONS[0]}' WHEN n_overlap > 0 THEN '{crossings.REASONS[1]}' WHEN n_touch > 0 THEN '{crossings.REASONS[2]}' WHEN n_outside > 0 THEN '{crossings.REASONS[3]}' WHEN n_nested > 0 THEN '{crossings.REASONS[4]}' WHEN n_parts > 0 THEN '{crossings.REASONS[5]}' WHEN plot_id IN (SELECT plot_id FROM tp WHERE n > 1) THEN '{crossings.REASONS[6]}' ELSE 'Valid Geometry' END AS reason FROM mm LEFT JOIN home USING (plot_id) LEFT JOIN apart USING (plot_id))"""
+
+
+@query(f"WITH {MULTI} SELECT plot_id, reason = 'Valid Geometry' AS is_valid, reason FROM told")
+def multi_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Validity of plots of several rings: nesting, touches, crossings between rings and parts."""
+    return crossings.validity(derive.multi_plots(spark, sf_dir)).select("plot_id", "is_valid", "reason")
+
+
+#: What repaired shapes cover: of boxes box by box between all their sides; where holes only touch, outer rings less holes.
+@query(f"""WITH {MULTI}, bd AS (SELECT m.plot_id, part, ring, list_min(list_transform(r, lambda p: p.x)) AS x0, list_max(list_transform(r, lambda p: p.x)) AS x1, list_min(list_transform(r, lambda p: p.y)) AS y0, list_max(list_transform(r, lambda p: p.y)) AS y1 FROM mr m JOIN told t ON m.plot_id = t.plot_id AND reason <> 'Valid Geometry'),
+xc AS (SELECT plot_id, x, lead(x) OVER (PARTITION BY plot_id ORDER BY x) AS nx FROM (SELECT plot_id, x0 AS x FROM bd UNION SELECT plot_id, x1 FROM bd)), yc AS (SELECT plot_id, y, lead(y) OVER (PARTITION BY plot_id ORDER BY y) AS ny FROM (SELECT plot_id, y0 AS y FROM bd UNION SELECT plot_id, y1 FROM bd)),
+loose AS (SELECT h.plot_id, h.part, h.ring FROM bd h JOIN bd s ON h.plot_id = s.plot_id AND h.part = s.part AND h.ring > 1 AND s.ring = 1 WHERE h.x0 > s.x1 OR s.x0 > h.x1 OR h.y0 > s.y1 OR s.y0 > h.y1),
+ins AS (SELECT xc.plot_id, x, nx, y, ny, b.part, bool_or(b.ring = 1) AND NOT bool_or(b.ring > 1 AND l.ring IS NULL) OR bool_or(l.ring IS NOT NULL) AS inside FROM xc JOIN yc USING (plot_id) JOIN bd b ON b.plot_id = xc.plot_id AND b.x0 <= x AND nx <= b.x1 AND b.y0 <= y AND ny <= b.y1 LEFT JOIN loose l ON l.plot_id = b.plot_id AND l.part = b.part AND l.ring = b.ring GROUP BY xc.plot_id, x, nx, y, ny, b.part),
+ar AS (SELECT plot_id, sum((nx - x) * (ny - y)) AS a FROM (SELECT DISTINCT plot_id, x, nx, y, ny FROM ins WHERE inside) GROUP BY plot_id),
+sl AS (SELECT plot_id, sum(CASE WHEN ring = 1 THEN 1 ELSE -1 END * abs(list_sum(list_transform(range(2, len(r) + 1), lambda i: (r[i-1].x - r[1].x) * (r[i].y - r[1].y) - (r[i].x - r[1].x) * (r[i-1].y - r[1].y))))) AS a2 FROM mr GROUP BY plot_id)
+SELECT plot_id, CAST(CASE WHEN reason = '{crossings.REASONS[6]}' THEN a2 ELSE 2 * a END AS BIGINT) AS twice_area FROM told JOIN ar USING (plot_id) JOIN sl USING (plot_id)""")
+def repaired_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twice the areas, in square micro-degrees, of repaired plots of several rings."""
+    found = crossings.repairs(derive.multi_plots(spark, sf_dir))
+    ring = lambda r: F.abs(g.twice_area(r))
+    part = lambda p: ring(p[0]) - F.aggregate(F.slice(p, F.lit(2), F.size(p)), F.lit(0).cast("long"), lambda acc, r: acc + ring(r))
+    return found.select("plot_id", F.aggregate("rebuilt", F.lit(0).cast("long"), lambda acc, p: acc + part(p)).alias("twice_area"))
 
-EDGES = "list_sum(list_transform(range(2, len(r) + 1), lambda i: {term}))"
-FLAT = "(l[i - 1] - l[1]) * ({v}[i] - {v}[1]) - (l[i] - l[1]) * ({v}[i - 1] - {v}[1])"
-#: Areas of all rings, edge by edge; exteriors less holes.
-AREAS = f"""{RINGS}, rv AS (SELECT plot_id, nth, r, list_transform(r, lambda p: radians(p.x / 1e6)) AS l, list_transform(r, lambda p: {t_sql('p.y')}) AS t, list_transform(r, lambda p: {q_sql('p.y')}) AS q, list_transform(r, lambda p: ln(tan(pi() / 4 + radians(p.y / 1e6) / 2))) AS m FROM rg),
-ra AS (SELECT plot_id, CASE WHEN nth = 1 THEN 1 ELSE -1 END AS turn, abs({EDGES.format(term='2 * atan2(tan((l[i] - l[i - 1]) / 2) * (t[i - 1] + t[i]), 1 + t[i - 1] * t[i])')}) * {geo.R2!r} / 1e4 AS geo_ha,
-  abs({EDGES.format(term=FLAT.format(v='q'))}) * {geo.A!r} * {geo.A!r} / 4 / 1e4 AS ea_ha, abs({EDGES.format(term=FLAT.format(v='m'))}) * {geo.A!r} * {geo.A!r} / 2 / 1e4 AS wm_ha FROM rv),
-sa AS (SELECT plot_id, sum(turn * geo_ha) AS geo_ha, sum(turn * ea_ha) AS ea_ha, sum(turn * wm_ha) AS wm_ha FROM ra GROUP BY plot_id),
-a AS (SELECT plot_id, coalesce(geo_ha, 0) AS geo_ha, coalesce(ea_ha, 0) AS ea_ha, coalesce(wm_ha, 0) AS wm_ha FROM plots LEFT JOIN sa USING (plot_id))"""
 
+# --- areas -------------------------------------------------------------------------------------------------------------
 
 @query(f"""WITH {PLOTS}, {AREAS} SELECT plot_id, round(geo_ha, 6) AS geography_ha, round(ea_ha, 6) AS epsg6933_ha FROM a""")
 def area_function(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -580,7 +632,7 @@ def policy_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- whole pipeline, rows only ----------------------------------------------------------------------------------------------------
 
 
-@query(f"WITH {RULES_SQL}, {OVER}, {AREAS} SELECT plot_id, disposition, risk IS NOT NULL AS assessed, CASE WHEN risk IS NOT NULL THEN round(geo_ha, 6) END AS geodesic_ha, risk, rule_id FROM disp JOIN a USING (plot_id) LEFT JOIN risks USING (plot_id)")
+@query(f"WITH {RULES_SQL}, {OVER} SELECT plot_id, disposition, risk IS NOT NULL AS assessed, CASE WHEN risk IS NOT NULL THEN round(geo_ha, 6) END AS geodesic_ha, risk, rule_id FROM disp JOIN a USING (plot_id) LEFT JOIN risks USING (plot_id)")
 def processed_plots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Validation for all plots; area and risk, by exact clipping of rings and footprints, for those that can be sampled."""
     return jobs.process(spark, jobs.with_raw(derive.plots(spark, sf_dir)), derive.layers(spark), derive.cells(spark)).select("plot_id", "disposition", "assessed", F.round("geodesic_ha", 6).alias("geodesic_ha"), "risk", "rule_id")

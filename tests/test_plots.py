@@ -55,6 +55,70 @@ def test_crossings_do_not_depend_on_the_grid(spark, monkeypatch):
     assert sorted(map(tuple, crossings.meetings(df).select("plot_id", "kind", "nth", "o_nth").collect())) == want
 
 
+def box(x, y, side):
+    return f"({x} {y}, {x + side} {y}, {x + side} {y + side}, {x} {y + side}, {x} {y})"
+
+
+#: What is said of each shape, what is done about it, and what it becomes.
+SHAPES = {
+    f"POLYGON({box(0, 0, 10)}, {box(20, 0, 4)})": ("Hole lies outside shell", "NEEDS_REVIEW", "MULTIPOLYGON (((0 0, 10 0, 10 10, 0 10, 0 0)), ((20 0, 24 0, 24 4, 20 4, 20 0)))"),
+    f"MULTIPOLYGON(({box(0, 0, 10)}), ({box(2, 2, 4)}))": ("Nested shells", "AUTO_FIXED", "POLYGON ((0 0, 10 0, 10 10, 0 10, 0 0))"),
+    f"POLYGON({box(0, 0, 10)}, (0 5, 3 3, 3 7, 0 5))": ("Valid Geometry", None, "POLYGON ((0 0, 10 0, 10 10, 0 10, 0 0), (0 5, 3 7, 3 3, 0 5))"),
+    f"MULTIPOLYGON(({box(0, 0, 10)}), ({box(10, 10, 5)}))": ("Valid Geometry", None, "MULTIPOLYGON (((0 0, 10 0, 10 10, 0 10, 0 0)), ((10 10, 15 10, 15 15, 10 15, 10 10)))"),
+    f"POLYGON({box(0, 0, 10)}, (0 5, 5 3, 10 5, 5 7, 0 5))": ("Interior is disconnected", "NEEDS_REVIEW", "MULTIPOLYGON (((0 0, 10 0, 10 5, 5 3, 0 5, 0 0)), ((0 5, 5 7, 10 5, 10 10, 0 10, 0 5)))"),
+    f"POLYGON({box(0, 0, 30)}, (5 5, 15 5, 10 10, 5 5), (15 5, 25 5, 20 15, 15 5), (10 10, 20 15, 15 20, 10 10))": ("Interior is disconnected", "NEEDS_REVIEW", "MULTIPOLYGON (((0 0, 30 0, 30 30, 0 30, 0 0), (5 5, 10 10, 15 20, 20 15, 25 5, 15 5, 5 5)), ((10 10, 15 5, 20 15, 10 10)))"),
+    f"POLYGON({box(0, 0, 20)}, {box(2, 2, 10)}, {box(4, 4, 3)})": ("Holes are nested", "NEEDS_REVIEW", "POLYGON ((0 0, 20 0, 20 20, 0 20, 0 0), (2 2, 2 12, 12 12, 12 2, 2 2))"),
+    f"MULTIPOLYGON(({box(0, 0, 20)}, {box(2, 2, 10)}), ((2 2, 5 3, 4 6, 2 2)))": ("Valid Geometry", None, "MULTIPOLYGON (((0 0, 20 0, 20 20, 0 20, 0 0), (2 2, 2 12, 12 12, 12 2, 2 2)), ((2 2, 5 3, 4 6, 2 2)))"),
+    f"MULTIPOLYGON(({box(0, 0, 10)}), ({box(5, 5, 10)}))": ("Self-intersection", "AUTO_FIXED", "POLYGON ((0 0, 10 0, 10 5, 15 5, 15 15, 5 15, 5 10, 0 10, 0 0))"),
+    f"POLYGON({box(0, 0, 10)}, {box(5, 5, 10)})": ("Self-intersection", "NEEDS_REVIEW", "POLYGON ((0 0, 10 0, 10 5, 5 5, 5 10, 0 10, 0 0))"),
+    "POLYGON((0 0, 10 10, 10 0, 0 10, 0 0))": ("Self-intersection", "NEEDS_REVIEW", "MULTIPOLYGON (((0 0, 5 5, 0 10, 0 0)), ((5 5, 10 0, 10 10, 5 5)))"),
+    "POLYGON((0 30, 95 30, 20 90, 50 0, 80 90, 0 30))": ("Self-intersection", "NEEDS_REVIEW", "POLYGON ((0 30, 40 30, 50 0, 60 30, 95 30, 67.368421 52.105263, 80 90, 49.032258 66.774194, 20 90, 32 54, 0 30))"),
+    "POLYGON((0 0, 10 0, 10 10, 5 0, 0 10, 0 0))": ("Ring Self-intersection", "NEEDS_REVIEW", "MULTIPOLYGON (((0 0, 5 0, 0 10, 0 0)), ((5 0, 10 0, 10 10, 5 0)))"),
+    "POLYGON((0 0, 5 5, 10 10, 0 0))": ("Ring overlaps itself", "NEEDS_REVIEW", None),
+}
+
+
+@pytest.mark.parametrize("per_band", [8, 0.3])
+def test_validity_and_repair_of_shapes(spark, monkeypatch, per_band):
+    monkeypatch.setattr(crossings, "PER_BAND", per_band)
+    df = parsed(spark, *SHAPES)
+    said = {r.plot_id: r for r in crossings.validity(df).collect()}
+    done = {r.plot_id: r["repair"] for r in crossings.repairs(df).collect()}
+    for r in df.select("plot_id", "raw").collect():
+        reason, repair, text = SHAPES[r.raw]
+        assert (said[r.plot_id].reason, said[r.plot_id].is_valid, done.get(r.plot_id), said[r.plot_id].repaired_wkt) == (reason, reason == "Valid Geometry", repair, text and f"SRID=4326;{text}"), r.raw
+
+
+def test_random_rings_keep_all_they_wind_around(spark):
+    """Area and validity of repaired rings of random points, against winding numbers of points between the lines."""
+    draw = random.Random(21)
+    rings = []
+    for _ in range(25):
+        ring = [(1000 * draw.randrange(12), 1000 * draw.randrange(12)) for _ in range(draw.randrange(4, 8))]
+        rings.append([*ring, ring[0]])
+    df = spark.createDataFrame([(i, "Polygon", [[[{"x": x, "y": y} for x, y in r]]]) for i, r in enumerate(rings)], f"plot_id long, gtype string, parts {g.PARTS}")
+    found = crossings.repairs(df).filter("rebuilt is not null")
+    shapes = {r.plot_id: [[[(p.x, p.y) for p in ring] for ring in part] for part in r.rebuilt] for r in found.collect()}
+    assert len(shapes) > 15
+
+    def winding(ring, x, y):
+        total = 0
+        for (ax, ay), (bx, by) in zip(ring, ring[1:], strict=False):
+            if (ay <= y) != (by <= y):
+                total += (1 if by > ay else -1) * (ax + (y - ay) * (bx - ax) / (by - ay) > x)
+        return total
+
+    for i, parts in shapes.items():
+        for _ in range(300):
+            x, y = draw.uniform(0, 12_000), draw.uniform(0, 12_000)
+            near = min(abs((bx - ax) * (y - ay) - (by - ay) * (x - ax)) / max(1, ((bx - ax) ** 2 + (by - ay) ** 2) ** 0.5) for (ax, ay), (bx, by) in zip(rings[i], rings[i][1:], strict=False))
+            if near > 2:  # crossings stand on whole numbers
+                inside = sum(winding(part[0], x, y) > 0 and not any(winding(h, x, y) for h in part[1:]) for part in parts)
+                assert inside == (winding(rings[i], x, y) != 0)
+    again = found.select("plot_id", F.lit("MultiPolygon").alias("gtype"), F.col("rebuilt").alias("parts"))
+    assert crossings.meetings(again).filter("kind <> 'touch' or (part = o_part and ring = o_ring)").count() == 0
+
+
 def boxes_of(spark, n=400, seed=3):
     import random
 

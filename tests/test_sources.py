@@ -170,4 +170,5 @@ def test_validity_and_repair(spark):
     rows = {r.plot_id: r for r in crossings.validity(df).collect()}
     assert [rows[i].is_valid for i in range(4)] == [True, False, False, True]
     assert [rows[i].reason for i in range(4)] == ["Valid Geometry", "Self-intersection", "Ring overlaps itself", "Valid Geometry"]
-    assert rows[1].repaired_wkt is None and rows[2].repaired_wkt == "SRID=4326;POLYGON ((0 0, 1 0, 2 0, 2 2, 0 2, 0 0))" and rows[3].repaired_wkt == "SRID=4326;POINT (1 1)"
+    assert rows[1].repaired_wkt == "SRID=4326;MULTIPOLYGON (((0 0, 1 1, 0 2, 0 0)), ((1 1, 2 0, 2 2, 1 1)))"
+    assert rows[2].repaired_wkt == "SRID=4326;POLYGON ((0 0, 1 0, 2 0, 2 2, 0 2, 0 0))" and rows[3].repaired_wkt == "SRID=4326;POINT (1 1)"
