@@ -28,9 +28,13 @@ NAMES: dict[str, tuple[str, ...]] = {
     "EPL-1.0": ("eclipse public license 1 0", "eclipse public license v1 0", "eclipse public license version 1 0"),
     "EPL-2.0": ("eclipse public license 2 0", "eclipse public license v2 0", "eclipse public license version 2 0"),
     "EUPL-1.2": ("european union public licence version 1 2", "european union public licence 1 2", "eupl 1 2", "eupl version 1 2"),
+    "GFDL-1.2": ("gnu free documentation license version 1 2",),
+    "GFDL-1.3": ("gnu free documentation license version 1 3",),
+    "GPL-1.0": ("gnu general public license version 1",),
     "GPL-2.0": ("gnu general public license version 2", "gnu general public license v2 0", "gnu gpl version 2", "gpl v2", "gpl 2 0"),
     "GPL-3.0": ("gnu general public license version 3", "gnu general public license v3 0", "gnu gpl version 3", "gpl v3", "gpl 3 0"),
     "ISC": ("isc license",),
+    "LGPL-2.0": ("gnu library general public license version 2",),
     "LGPL-2.1": ("gnu lesser general public license version 2 1", "gnu lesser general public license v2 1", "gnu lgpl version 2 1", "lgpl v2 1", "lgpl 2 1"),
     "LGPL-3.0": ("gnu lesser general public license version 3", "gnu lesser general public license v3 0", "gnu lgpl version 3", "lgpl v3", "lgpl 3 0"),
     "MIT": ("mit license", "mit licence", "expat license"),
@@ -56,8 +60,9 @@ for _terms, _words in (("BY", "attribution"), ("BY-SA", "attribution sharealike"
         _v = _version.replace(".", " ")
         NAMES[f"CC-{_terms}-{_version}"] = (f"cc {_terms.lower().replace('-', ' ')} {_v}", f"creative commons {_words} {_v} {_port} license", f"creative commons {_words} {_v} license")
 
-# How a reference leads up to a name, which may have an article.
-LEADS = ("licensed under", "released under", "distributed under", "available under", "this work is licensed under", "this project is licensed under", "this software is licensed under", "this code is licensed under", "this file is licensed under")
+# How a reference leads up to a name, which may have an article; what stands before that, and behind the name,
+# is left out first (see _BEFORE_VERB and TAIL).
+LEADS = ("licensed under", "released under", "distributed under", "available under", "made available under", "published under", "provided under", "covered by", "dual licensed under", "licensed under either of", "license", "licence")
 
 # Public wording of licence texts and notices, normalised.
 SENTENCES: dict[str, str] = {
@@ -106,6 +111,38 @@ SENTENCES: dict[str, str] = {
     "licensed under the eupl version 1 2 or as soon they will be approved by the european commission subsequent versions of the eupl": "eupl-head",
     "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work": "cc0-waiver",
     "all rights reserved": "reserved",
+    "license shall mean the terms and conditions for use reproduction and distribution as defined by sections 1 through 9 of this document": "apache-body",
+    "the gnu general public license is a free copyleft license for software and other kinds of works": "gpl3-body",
+    "the gnu affero general public license is a free copyleft license for software and other kinds of works specifically designed to ensure cooperation with the community in the case of network server software": "agpl3-body",
+    "this version of the gnu lesser general public license incorporates the terms and conditions of version 3 of the gnu general public license supplemented by the additional permissions listed below": "lgpl3-body",
+    "covered software is provided under this license on an as is basis without warranty of any kind either expressed implied or statutory including without limitation warranties that the covered software is free of defects merchantable fit for a particular purpose or non infringing": "mpl-body",
+    "the accompanying program is provided under the terms of this eclipse public license agreement": "epl-body",
+}
+# Headings of licence texts, with the dates that stand there, beside the names themselves.
+HEADINGS: dict[str, tuple[str, ...]] = {
+    "AFL-3.0": ("academic free license v 3 0",),
+    "AGPL-3.0": ("gnu affero general public license version 3 19 november 2007",),
+    "Apache-2.0": ("apache license version 2 0 january 2004",),
+    "BSL-1.0": ("boost software license version 1 0 august 17th 2003",),
+    "CC0-1.0": ("cc0 1 0 universal", "creative commons cc0 1 0 universal"),
+    "CDDL-1.0": ("common development and distribution license cddl version 1 0",),
+    "EPL-1.0": ("eclipse public license v 1 0",),
+    "EPL-2.0": ("eclipse public license v 2 0",),
+    "EUPL-1.2": ("european union public licence v 1 2",),
+    "GFDL-1.2": ("gnu free documentation license version 1 2 november 2002",),
+    "GFDL-1.3": ("gnu free documentation license version 1 3 3 november 2008",),
+    "GPL-1.0": ("gnu general public license version 1 february 1989",),
+    "GPL-2.0": ("gnu general public license version 2 june 1991",),
+    "GPL-3.0": ("gnu general public license version 3 29 june 2007",),
+    "LGPL-2.0": ("gnu library general public license version 2 june 1991",),
+    "LGPL-2.1": ("gnu lesser general public license version 2 1 february 1999",),
+    "LGPL-3.0": ("gnu lesser general public license version 3 29 june 2007",),
+    "MS-PL": ("microsoft public license ms pl",),
+    "OFL-1.1": ("sil open font license version 1 1 26 february 2007",),
+    "OSL-3.0": ("open software license v 3 0",),
+    "UPL-1.0": ("the universal permissive license upl version 1 0",),
+    "WTFPL": ("do what the fuck you want to public license version 2 december 2004",),
+    "ZPL-2.1": ("zope public license zpl version 2 1",),
 }
 # Whose names clause three of the BSD licence protects.
 for _holder in ("copyright holder", "copyright holders", "university", "author", "project", "company", "organization", "foundation", "regents"):
@@ -121,11 +158,27 @@ for _family, _name, _versions in (("GPL", "gnu general public license", ("2", "3
             SENTENCES[f"{_begin} version {_v} as published by the free software foundation"] = f"{_id}-only"
             SENTENCES[f"{_begin} as published by the free software foundation version {_v} of the license"] = f"{_id}-only"
         SENTENCES[f"this {_of} is distributed in the hope that it will be useful but without any warranty"] = "gpl-hope"
+
+
+def plain(identifier: str) -> str:
+    return identifier.lower().replace("-", " ").replace(".", " ")
+
+
+#: All names by which a reference may call a licence, its own identifier among them.
+CALLED: dict[str, str] = {}
 for _licence, _names in NAMES.items():
-    SENTENCES |= {s: f"ref-{_licence}" for n in _names for lead in LEADS for s in (f"{lead} {n}", f"{lead} the {n}") if s not in SENTENCES}
     for _s in (_licence, f"{_licence}-only", f"{_licence}-or-later"):
         if _s == _licence or "GPL" in _licence:
-            SENTENCES["spdx license identifier " + _s.lower().replace("-", " ").replace(".", " ")] = f"ref-{_s.removesuffix('-only')}"
+            CALLED[plain(_s)] = _s.removesuffix("-only")
+    CALLED |= {n: _licence for n in _names}
+for _name, _licence in CALLED.items():
+    SENTENCES |= {s: f"ref-{_licence}" for lead in LEADS for s in (f"{lead} {_name}", f"{lead} the {_name}") if s not in SENTENCES}
+    SENTENCES[f"spdx license identifier {_name}"] = f"ref-{_licence}"
+# Licences so short that their own words must follow a heading, which alone says nothing.
+SHORT = ("0BSD", "BSD-2-Clause", "BSD-3-Clause", "BSD-4-Clause", "ISC", "MIT", "NCSA", "PostgreSQL", "X11", "Zlib")
+for _licence, _names in ((k, v) for k, v in NAMES.items() if k not in SHORT):
+    _whole = [n for n in _names if "licen" in n and len(n) > 8 and " " in n]
+    SENTENCES |= {s: f"head-{_licence}" for n in (*_whole, *HEADINGS.get(_licence, ())) for s in (n, f"the {n}") if s not in SENTENCES}
 
 # A licence, and the identifiers that stand for it in this order. Others may lie between them.
 RULES: list[tuple[str, list[str]]] = [
@@ -153,34 +206,48 @@ RULES: list[tuple[str, list[str]]] = [
     ("Unlicense", ["unlicense-head"]),
     ("WTFPL", ["wtfpl-copy", "wtfpl-do"]),
     ("Zlib", ["zlib-asis", "zlib-grant", "zlib-origin"]),
+    ("Apache-2.0", ["apache-body"]),
+    ("AGPL-3.0", ["agpl3-body"]),
+    ("EPL-2.0", ["epl-body"]),
+    ("GPL-3.0", ["gpl3-body"]),
+    ("LGPL-3.0", ["lgpl3-body"]),
+    ("MPL-2.0", ["mpl-body"]),
     ("proprietary", ["reserved"]),
 ]
 for _id in sorted({v for v in SENTENCES.values() if v.endswith(("gpl2-grant", "gpl3-grant", "gpl2.1-grant", "gpl2-only", "gpl3-only", "gpl2.1-only"))}):
     _family, _v = _id.rsplit("-", 1)[0].upper().split("GPL")
     _licence = f"{_family}GPL-{_v if '.' in _v else _v + '.0'}"
     RULES.append((f"{_licence}-or-later", [_id, "gpl-hope"]) if _id.endswith("grant") else (_licence, [_id]))
-RULES += [(v.removeprefix("ref-"), [v]) for v in sorted(set(SENTENCES.values())) if v.startswith("ref-")]
+RULES += [(v.split("-", 1)[1], [v]) for v in sorted(set(SENTENCES.values())) if v.startswith(("ref-", "head-"))]
 
 #: A rule that another rule of more sentences contains gives way to it where both match.
-GIVES_WAY = {"BSD-2-Clause": ("BSD-3-Clause", "BSD-4-Clause"), "BSD-3-Clause": ("BSD-4-Clause",)}
+GIVES_WAY = {"BSD-2-Clause": ("BSD-3-Clause", "BSD-4-Clause"), "BSD-3-Clause": ("BSD-4-Clause",)} | {f"{_l}": (f"{_l}-or-later",) for _l in NAMES if "GPL" in _l}
 #: What stands above most free licences as well, and so gives way to all others.
 LAST = "proprietary"
 #: Each sentence holds one of these: a text without them needs no closer look.
-ANCHORS = ("licen", "released", "distribut", "available", "permission", "permitted", "warrant", "reserved", "copyright", "misrepresented", "advertising", "fuck", "perl")
+ANCHORS = ("licen", "cc0", "released", "covered", "published", "provided", "eclipse", "distribut", "available", "permission", "permitted", "warrant", "reserved", "copyright", "misrepresented", "advertising", "fuck", "perl")
 BREAK = r"[.!?;:][\x09-\x0D\x20]+"
+#: At the beginning of a sentence: who or what is licensed, before the verb; and behind a reference, where to look.
+_VERB = "(?:dual{b})?(?:licensed|released|distributed|available|made{b}available|published|provided|covered){b}(?:under|by){b}"
+_BEFORE_VERB = "(?:this|the|our|all)(?:{b}[a-z0-9]+){{1,3}}{b}(?:is|are){b}(?:also{b})?(?=" + _VERB + ")"
+_BEFORE_UNDER = "we{b}release{b}(?:this|the|our)(?:{b}[a-z0-9]+){{1,3}}{b}(?=under{b})"
+TAIL = "(?:{b}see{b}(?:the{b})?(?:license|licence|copying)(?:{b}file)?(?:{b}for{b}(?:more{b})?(?:details|information))?|{b}at{b}your{b}option)"
 
 
 def normalised(text: Column) -> Column:
     """Lower case, words parted by one blank; a line end where a line ends, \\x01 where a sentence may end and at both ends."""
     pieces = F.regexp_replace(F.lower(F.translate(text, "\x01", " ")), BREAK, "\x01")
     words = F.regexp_replace(pieces, "[^a-z0-9\n\x01]+", " ")
-    return F.concat(F.lit("\x01"), F.regexp_replace(words, " ?\n[ \n]*+", "\n"), F.lit("\x01"))
+    lines = F.concat(F.lit("\x01"), F.regexp_replace(words, " ?\n[ \n]*+", "\n"), F.lit("\x01"))
+    led = F.regexp_replace(lines, "([\n\x01]) ?(?:" + _BEFORE_UNDER.format(b="[ \n]+") + ")", "$1released ")
+    led = F.regexp_replace(led, "([\n\x01]) ?(?:" + _BEFORE_VERB.format(b="[ \n]+") + ")", "$1")
+    return F.regexp_replace(led, TAIL.format(b="[ \n]+") + " ?(?=[\n\x01])", "")
 
 
-def any_of(gap: str) -> str:
+def any_of(sentences, gap: str) -> str:
     """A pattern of all sentences, as a tree of their words, so that few of them are tried. The shorter come first."""
     tree: dict = {}
-    for sentence in SENTENCES:
+    for sentence in sentences:
         node = tree
         for word in sentence.split(" "):
             node = node.setdefault(word, {})
@@ -194,13 +261,16 @@ def any_of(gap: str) -> str:
         rest = gap + drawn(node)
         return f"(?:|{rest})" if "" in node else rest
 
-    return "(" + drawn(tree) + ")"
+    return drawn(tree)
 
 
+#: Further licences of one reference.
+_GAP = "[ \n\x01]++"
+CHOICE = f"(?:{_GAP}(?:or|and){_GAP}(?:the{_GAP})?" + any_of(CALLED, _GAP) + "){0,5}"
 #: A sentence between ends of lines or sentences, whatever such ends are in it. The shorter are tried first.
-KNOWN = "[\n\x01] ?" + any_of("[ \n\x01]++") + "(?= ?[\n\x01])"
+KNOWN = "[\n\x01] ?(" + any_of(SENTENCES, _GAP) + CHOICE + ")(?= ?[\n\x01])"
 #: A line that is also, but for line ends, all between two ends of sentences counts as both.
-BOTH = "\x01 ?(?:\n ?" + any_of(" ") + "[ \n]*+|" + any_of(" ") + " ?\n[ \n]*+)(?=\x01)"
+BOTH = "\x01 ?(?:\n ?(" + any_of(SENTENCES, " ") + ")[ \n]*+|(" + any_of(SENTENCES, " ") + ") ?\n[ \n]*+)(?=\x01)"
 
 
 def in_order(ids: Column, sequence: list[str]) -> Column:
@@ -220,7 +290,14 @@ def sentence_ids(text: Column) -> Column:
     """
     table = F.from_json(F.lit(json.dumps(SENTENCES)), "map<string,string>")  # one constant
     units = F.regexp_replace(normalised(text), BOTH, "\x01$1$2\x01$1$2")
-    found = F.transform(F.regexp_extract_all(units, F.lit(KNOWN), F.lit(1)), lambda s: table[F.regexp_replace(s, "[ \n\x01]+", " ")])
+    one = lambda s: F.try_element_at(table, s)
+
+    def each(s: Column) -> Column:
+        """One identifier, or those of all licences that a reference names."""
+        named = let(F.split(s, " (?:or|and) (?!later|distribution)(?:the )?"), lambda parts: F.transform(parts, lambda p, i: F.when(i == 0, one(p)).otherwise(one(F.concat(F.lit("licensed under "), p)))))
+        return let(one(s), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(F.array_compact(named)))
+
+    found = F.flatten(F.transform(F.transform(F.regexp_extract_all(units, F.lit(KNOWN), F.lit(1)), lambda s: F.regexp_replace(s, "[ \n\x01]+", " ")), each))
     anchored = let(F.lower(text), lambda t: functools.reduce(operator.or_, [F.contains(t, F.lit(a)) for a in ANCHORS]))
     return F.when(anchored, found).otherwise(F.array().cast("array<string>"))
 
@@ -253,6 +330,9 @@ def scan(docs: DataFrame) -> DataFrame:
 def scan_sql() -> str:
     """The scan in DuckDB's SQL, for sentences that are a line or end with the only full stop, colon or semicolon in them."""
     table = "map {" + ", ".join(f"'{s}': '{i}'" for s, i in SENTENCES.items()) + "}"
+    # no look ahead there: what is looked for is put back
+    under = _BEFORE_UNDER.format(b=" ").replace("(?=under )", "under ")
+    verb = _BEFORE_VERB.format(b=" ").replace("(?=", "(", 1)
     cases: dict[str, str] = {}
     for licence, sequence in RULES:
         test = f"regexp_matches(padded, ' {'(?: .*)? '.join(sequence)} ')"
@@ -265,7 +345,8 @@ def scan_sql() -> str:
     return f"""
 WITH s AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?;:])[\\x09-\\x0D\\x20]+', '\\1' || chr(1), 'g'), chr(1)) AS parts FROM documents),
 b AS (SELECT doc_id, flatten(list_transform(parts, lambda p: CASE WHEN contains(p, chr(10)) THEN list_concat([p], string_split(p, chr(10))) ELSE [p] END)) AS units FROM s),
-k AS (SELECT doc_id, list_filter(list_transform(units, lambda u: trim(regexp_replace(lower(u), '[^a-z0-9]+', ' ', 'g'))), lambda u: map_contains({table}, u)) AS known FROM b),
+t AS (SELECT doc_id, list_transform(units, lambda u: trim(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(lower(u), '[^a-z0-9]+', ' ', 'g')), '^{under}', 'released under '), '^{verb}', '\\1'), '{TAIL.format(b=" ")}$', ''))) AS plain FROM b),
+k AS (SELECT doc_id, list_filter(plain, lambda u: map_contains({table}, u)) AS known FROM t),
 i AS (SELECT doc_id, array_to_string(list_transform(known, lambda u: element_at({table}, u)[1]), ' ') AS sentences FROM k),
 p AS (SELECT doc_id, sentences, ' ' || sentences || ' ' AS padded FROM i),
 n AS (SELECT doc_id, sentences, list_filter([{names}], lambda x: x IS NOT NULL) AS names FROM p WHERE sentences <> ''

@@ -5,11 +5,14 @@ from __future__ import annotations
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
+import pyspark
 import pytest
 from pyspark.sql import functions as F
 
@@ -369,6 +372,43 @@ def test_more_notices(spark):
     assert got == {k: k for k in MORE}
 
 
+REFERENCES = {
+    "Licensed under either of Apache License, Version 2.0 or MIT license at your option.": "Apache-2.0,MIT",
+    "dual-licensed under MIT or Apache-2.0": "Apache-2.0,MIT",
+    "SPDX-License-Identifier: MIT OR Apache-2.0": "Apache-2.0,MIT",
+    "// SPDX-License-Identifier: (GPL-2.0-or-later OR MIT)": "GPL-2.0-or-later,MIT",
+    "The code is licensed under the MIT License.": "MIT",
+    "Some words. The whole project is also distributed\nunder the GNU GPL version 3; see COPYING.": "GPL-3.0",
+    "We release this code under the MIT License, see LICENSE.": "MIT",
+    "License: MIT": "MIT",
+    "License: BSD-3-Clause AND Zlib\n": "BSD-3-Clause,Zlib",
+    "Mozilla Public License Version 2.0\n====\n": "MPL-2.0",
+    "We like the MIT License and others.": "",
+    "This is licensed under a license or MIT license": "",
+    "Nobody is licensed under the MIT license of others": "",
+}
+
+
+def test_references_in_everyday_words(spark):
+    got = {r.doc_id: r.licenses for r in licenses.scan(spark.createDataFrame([(k, k) for k in REFERENCES], "doc_id string, text string")).collect()}
+    assert got == REFERENCES
+
+
+# What the licence files that systems and packages bring along are.
+FILES = {
+    "/usr/share/common-licenses": {"Apache-2.0": "Apache-2.0", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0-or-later", "GPL-3": "GPL-3.0-or-later", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1-or-later", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0"},
+    os.path.join(os.path.dirname(pyspark.__file__), "licenses"): {"LICENSE-AnchorJS.txt": "MIT", "LICENSE-CC0.txt": "CC0-1.0", "LICENSE-bootstrap.txt": "MIT", "LICENSE-cloudpickle.txt": "BSD-2-Clause", "LICENSE-d3.min.js.txt": "ISC", "LICENSE-dagre-d3.txt": "MIT", "LICENSE-datatables.txt": "MIT", "LICENSE-graphlib-dot.txt": "MIT", "LICENSE-join.txt": "BSD-2-Clause", "LICENSE-jquery.txt": "MIT", "LICENSE-json-formatter.txt": "Apache-2.0", "LICENSE-modernizr.txt": "MIT", "LICENSE-mustache.txt": "MIT", "LICENSE-py4j.txt": "BSD-2-Clause", "LICENSE-respond.txt": "MIT", "LICENSE-sbt-launch-lib.txt": "BSD-3-Clause", "LICENSE-xz.txt": "0BSD"},
+}
+
+
+def test_unmodified_license_files(spark):
+    found = {os.path.join(folder, name): want for folder, names in FILES.items() for name, want in names.items() if os.path.isfile(os.path.join(folder, name))}
+    if not found:
+        pytest.skip("no licence files on this machine")
+    rows = [(path, Path(path).read_text(errors="replace")) for path in found]
+    assert {r.doc_id: r.licenses for r in licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()} == found
+
+
 def test_rules_name_known_identifiers_and_order_counts():
     known = set(licenses.SENTENCES.values())
     assert len(licenses.SENTENCES) > 150 and all(i in known for _, sequence in licenses.RULES for i in sequence)
