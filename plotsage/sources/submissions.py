@@ -63,11 +63,12 @@ def parse_geojson(files: DataFrame) -> DataFrame:
 def parse_cells(rows: DataFrame, source_format: str = "csv") -> DataFrame:
     """Features of a table of text cells with submission and pos: keys trimmed and in lower case, WKT or lon and lat.
 
-    A row with a WKT cell stays text; else lon and lat make a point; rows with neither are dropped. Works alike for CSV and for spreadsheet cells as text.
+    A row with a WKT cell stays text; else lon and lat make a point; rows with neither are dropped. Of keys that are equal
+    then the last counts. Works alike for CSV and for spreadsheet cells as text.
     """
     names = [c for c in rows.columns if c not in ("submission", "pos")]
-    tidy = {c: c.replace("﻿", "").strip().lower() for c in names}
-    cells = F.map_from_arrays(F.array(*[F.lit(k) for k in tidy.values()]), F.array(*[F.trim(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))) for c in tidy]))
+    tidy = {c.replace("﻿", "").strip().lower(): c for c in names}
+    cells = F.map_from_arrays(F.array(*map(F.lit, tidy)), F.array(*[F.trim(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))) for c in tidy.values()]))
     mapped = rows.select("submission", "pos", cells.alias("properties"))
     raw = t.first_present(F.col("properties"), tuple(dict.fromkeys(k.lower() for k in t.WKT_KEYS)))
     at = lambda *keys: t.locale_number(t.first_present(F.col("properties"), keys))
@@ -107,7 +108,7 @@ def read_submissions(spark: SparkSession, path: str) -> DataFrame:
 def parse_csv_text(files: DataFrame) -> DataFrame:
     """Features of CSV texts (submission, value) of any headers: cells are named by position in the header.
 
-    Records end at line ends outside quotes, cells at commas outside quotes; a doubled quote is one. A quote that is never
+    Of headers that are equal but for case the last counts. Records end at line ends outside quotes, cells at commas outside quotes; a doubled quote is one. A quote that is never
     closed runs to the end of the text. Records without anything in them are no rows. Each character is read once.
     """
     text = F.regexp_replace(F.regexp_replace("value", "^﻿", ""), "\r\n?", "\n")
@@ -117,7 +118,8 @@ def parse_csv_text(files: DataFrame) -> DataFrame:
     clean = lambda c: F.trim(F.when(c.rlike(r'^\s*"'), inner(c)).otherwise(c))
     lines = files.select("submission", records.alias("lines"))
     head = F.transform(cells(F.get("lines", F.lit(0))), lambda c: F.lower(clean(c)))
-    each = lines.select("submission", head.alias("head"), F.posexplode(F.slice("lines", F.lit(2), F.size("lines"))).alias("pos", "line"))
+    last = F.transform("head", lambda h, i: F.when(~F.array_contains(F.slice("head", i + 2, F.size("head")), h), h))
+    each = lines.withColumn("head", head).select("submission", last.alias("head"), F.posexplode(F.slice("lines", F.lit(2), F.size("lines"))).alias("pos", "line"))
     values = F.transform(cells(F.col("line")), clean)
     pairs = F.filter(F.arrays_zip(F.col("head").alias("k"), values.alias("v")), lambda p: p["k"].isNotNull() & (p["k"] != ""))
     mapped = each.select("submission", "pos", F.map_from_entries(F.transform(pairs, lambda p: F.struct(p["k"], F.coalesce(p["v"], F.lit(""))))).alias("properties"))
@@ -131,6 +133,24 @@ def parse_csv_text(files: DataFrame) -> DataFrame:
     return finished(made.select("submission", F.lit("csv").alias("source_format"), "pos", F.lit("row-").alias("fallback"), F.lit(None).cast("string").alias("own_id"), kind.alias("geometry_type"), "parts", "raw", "properties"))
 
 
+def rejected_files(files: DataFrame) -> DataFrame:
+    """submission and reason of each of files (submission, value) from which no feature can be read: those that are taken for
+    GeoJSON and are no JSON, or JSON of another kind; those taken for CSV that have no record; empty ones."""
+    value = F.regexp_replace("value", "^﻿", "")
+    told = files.select("submission", value.alias("value"), source_format(F.col("submission"), F.col("value")).alias("format"))
+    json = F.try_parse_json("value")
+    kind = F.get_json_object("value", "$.type")
+    lines = F.size(F.filter(F.split("value", "\r\n?|\n"), lambda x: F.trim(x) != ""))
+    reason = (
+        F.when(F.coalesce(F.trim("value"), F.lit("")) == "", "empty")
+        .when((F.col("format") == "geojson") & json.isNull(), "not valid JSON")
+        .when((F.col("format") == "geojson") & ~F.coalesce(kind.isin("FeatureCollection", "Feature", *g.TYPES), F.lit(False)), "no GeoJSON")
+        .when((F.col("format") == "csv") & (lines < 2), "no records")
+        .when(F.col("format") == "excel", "no text")
+    )
+    return told.select("submission", reason.alias("reason")).filter("reason is not null")
+
+
 def rejected(features: DataFrame) -> DataFrame:
     """The reject table: submission, pos, external_id, field and cell of each number of a feature that is none."""
     numbers = {"asserted_area_ha": t.AREA_KEYS, "lon": ("lon", "longitude", "x"), "lat": ("lat", "latitude", "y")}

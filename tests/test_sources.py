@@ -172,3 +172,20 @@ def test_validity_and_repair(spark):
     assert [rows[i].reason for i in range(4)] == ["Valid Geometry", "Self-intersection", "Ring overlaps itself", "Valid Geometry"]
     assert rows[1].repaired_wkt == "SRID=4326;MULTIPOLYGON (((0 0, 1 1, 0 2, 0 0)), ((1 1, 2 0, 2 2, 1 1)))"
     assert rows[2].repaired_wkt == "SRID=4326;POLYGON ((0 0, 1 0, 2 0, 2 2, 0 2, 0 0))" and rows[3].repaired_wkt == "SRID=4326;POINT (1 1)"
+
+
+def test_headers_that_are_equal_but_for_case(spark):
+    text = spark.createDataFrame([("a.csv", "id,ID,lon,lat\n1,one,108,12\n2,,108,13\n")], "submission string, value string")
+    assert [(r.external_id, r.gtype) for r in submissions.parse_csv_text(text).orderBy("pos").collect()] == [("one", "Point"), ("row-1", "Point")]
+    cells = spark.createDataFrame([("a", 0, "1", "one", "108", "12")], "submission string, pos int, id string, `ID ` string, lon string, lat string")
+    assert submissions.parse_cells(cells, "excel").first().external_id == "one"
+
+
+def test_files_that_cannot_be_read_are_told(spark):
+    rows = {
+        "cut.geojson": '{"type":"FeatureCollection","features":[{"type":"Fea', "other.json": '{"a": 1}', "list.json": "[1, 2]", "good.geojson": '\ufeff{"type":"FeatureCollection","features":[]}', "bare.json": '{"type":"Point","coordinates":[1,2]}',
+        "head.csv": "id,lon,lat\n", "good.csv": "id,lon,lat\n1,2,3", "none.txt": " ", "guess.txt": "{", "sheet.xlsx": "PK",
+    }
+    found = submissions.rejected_files(spark.createDataFrame(list(rows.items()), "submission string, value string"))
+    want = {"cut.geojson": "not valid JSON", "other.json": "no GeoJSON", "list.json": "no GeoJSON", "head.csv": "no records", "none.txt": "empty", "guess.txt": "not valid JSON", "sheet.xlsx": "no text"}
+    assert {r.submission: r.reason for r in found.collect()} == want
