@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plotsage.sources.shared import cut
+
 
 def replay(ledger: DataFrame, run_id) -> DataFrame:
     """A run's rows in order of id; an unknown run has none. The filter prunes partitions of run_id."""
@@ -12,8 +14,16 @@ def replay(ledger: DataFrame, run_id) -> DataFrame:
 
 
 def numbered(evidence: DataFrame, order: str = "pos") -> DataFrame:
-    """evidence with row_id, from 1 in each run, by source order and then layer."""
-    return evidence.withColumn("row_id", F.row_number().over(Window.partitionBy("run_id").orderBy(order, "layer_order")))
+    """evidence with row_id, from 1 in each run, by source order and then layer.
+
+    Rows are sorted into ranges over all runs, so that a run of any size is many tasks: each range numbers its own rows,
+    behind as many as the ranges before it hold of the same run."""
+    keys = ["run_id", order, "layer_order"]
+    ranged = cut(evidence.repartitionByRange(*keys).withColumn("_range", F.spark_partition_id()), "ledger-ranges")
+    before = Window.partitionBy("run_id").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy("run_id", "_range").agg(F.count("*").alias("_size")).withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0))).drop("_size")
+    within = F.row_number().over(Window.partitionBy("run_id", "_range").orderBy(order, "layer_order"))
+    return ranged.withColumn("_nth", within).join(offsets, ["run_id", "_range"]).withColumn("row_id", F.col("_before") + F.col("_nth")).select(*evidence.columns, "row_id")
 
 
 def latest(results: DataFrame) -> DataFrame:

@@ -10,22 +10,25 @@ from plotsage.operators.statements import coordinates_json
 from plotsage.operators.validation import dominating
 
 
-def map_features(processed: DataFrame) -> DataFrame:
+def map_features(processed: DataFrame, evidence: DataFrame) -> DataFrame:
     """plot_id and feature: a GeoJSON feature with risk, disposition, rationale and n_evidence, keys in fixed order.
 
-    A plot that was not assessed has the rule of its worst finding as rationale, and risk null.
+    evidence: rows of plot_id, which are counted. A plot that was not assessed has the rule of its worst finding as
+    rationale, and risk null.
     """
+    counted = evidence.groupBy("plot_id").agg(F.count("*").alias("_n_evidence"))
+    processed = processed.join(counted, "plot_id", "left")
     reason = F.coalesce("rationale", dominating(F.col("findings"))["rule_id"], F.lit("not assessed"))
-    n_evidence = F.when(F.col("risk").isNotNull(), 3).otherwise(0)
+    n_evidence = F.coalesce("_n_evidence", F.lit(0))
     properties = F.struct("plot_id", "risk", "disposition", F.coalesce("boundary_uncertain", F.lit(False)).alias("boundary_uncertain"), reason.alias("rationale"), n_evidence.alias("n_evidence"))
     body = F.to_json(properties, {"ignoreNullFields": "false"})
     geometry = F.concat(F.lit('{"type":"'), F.col("gtype"), F.lit('","coordinates":'), coordinates_json(F.col("gtype"), F.col("parts")), F.lit("}"))
     return processed.filter(F.col("parts").isNotNull()).select("plot_id", F.concat(F.lit('{"type":"Feature","properties":'), body, F.lit(',"geometry":'), geometry, F.lit("}")).alias("feature"))
 
 
-def write_map(processed: DataFrame, path: str) -> None:
+def write_map(processed: DataFrame, evidence: DataFrame, path: str) -> None:
     """One feature a line: a collection of any size, written in parallel."""
-    map_features(processed).select("feature").write.mode("overwrite").text(path)
+    map_features(processed, evidence).select("feature").write.mode("overwrite").text(path)
 
 
 def snapshot(processed: DataFrame, evidence: DataFrame, path: str) -> None:

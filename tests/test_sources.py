@@ -94,11 +94,12 @@ def test_map_export(spark, tmp_path):
     from test_geometry import parsed
 
     done = jobs.process(spark, parsed(spark, "POINT (108.034445 12.645555)", "POINT (0 12.6)"), derive.layers(spark), derive.cells(spark))
-    features = [json.loads(r.feature) for r in exports.map_features(done).orderBy("plot_id").collect()]
+    evidence = spark.createDataFrame([(0, layer) for layer in range(3)], "plot_id long, layer_order int")
+    features = [json.loads(r.feature) for r in exports.map_features(done, evidence).orderBy("plot_id").collect()]
     assert features[0]["properties"]["n_evidence"] == 3 and features[0]["properties"]["risk"] is not None
     assert features[1]["properties"] == {"plot_id": 1, "risk": None, "disposition": "NEEDS_REVIEW", "boundary_uncertain": False, "rationale": "null_island", "n_evidence": 0}
     assert list(features[0]["properties"]) == ["plot_id", "risk", "disposition", "boundary_uncertain", "rationale", "n_evidence"]
-    exports.write_map(done, f"{tmp_path}/map")
+    exports.write_map(done, evidence, f"{tmp_path}/map")
     assert spark.read.text(f"{tmp_path}/map").count() == 2
     assert sum(r.n for r in exports.index(done).collect()) == 2
 
@@ -189,3 +190,14 @@ def test_files_that_cannot_be_read_are_told(spark):
     found = submissions.rejected_files(spark.createDataFrame(list(rows.items()), "submission string, value string"))
     want = {"cut.geojson": "not valid JSON", "other.json": "no GeoJSON", "list.json": "no GeoJSON", "head.csv": "no records", "none.txt": "empty", "guess.txt": "not valid JSON", "sheet.xlsx": "no text"}
     assert {r.submission: r.reason for r in found.collect()} == want
+
+
+def test_ledger_numbers_go_on_over_ranges(spark):
+    from plotsage.operators import ledger
+
+    rows = [(f"run{i % 3 if i % 7 else 9}", i * 37 % 500, layer, "x") for i in range(500) for layer in range(3)]
+    df = spark.createDataFrame(rows, "run_id string, pos int, layer_order int, _n string").repartition(7)
+    found = ledger.numbered(df).withColumn("part", F.spark_partition_id()).collect()
+    for run in {r[0] for r in rows}:
+        own = sorted((r.row_id, r.pos, r.layer_order) for r in found if r.run_id == run)
+        assert [x[0] for x in own] == list(range(1, len(own) + 1)) and [x[1:] for x in own] == sorted(r[1:3] for r in rows if r[0] == run)
