@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -10,38 +9,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plotsage.sources.shared import cut, shared_folder
+
+__all__ = ["cut", "shared_folder"]
 #: One word: what lies between blanks. ASCII blanks only, so that bytes and characters agree.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-#: Where the setting is missing, which can only be made before Spark starts: the folder of each application on one machine.
-_own_folders: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see. On one machine without the setting, a temporary folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    application = spark.sparkContext.applicationId
-    if application not in _own_folders:
-        _own_folders[application] = "file://" + tempfile.mkdtemp(prefix="plotsage-")
-    return _own_folders[application]
-
-
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it again: ends its lineage, and survives lost executors.
-
-    The folder keeps the tables that results read, until its owner clears it."""
-    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    found = df.sparkSession.read.schema(df.schema).parquet(path)
-    found.cut_path = path
-    return found
-
-
 def discard(*tables: DataFrame) -> None:
     """Delete what cut() wrote for tables that no later plan reads."""
     for table in tables:
