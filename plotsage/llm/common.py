@@ -9,9 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotsage.sources.shared import cut, shared_folder
+from plotsage.sources.shared import cut, shared_folder  # noqa: F401
 
-__all__ = ["cut", "shared_folder"]
 #: One word: what lies between blanks. ASCII blanks only, so that bytes and characters agree.
 WORD = r"[^\x20\x09-\x0D]+"
 
