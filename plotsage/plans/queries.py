@@ -117,21 +117,21 @@ def rejected_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return submissions.rejected(csv_submissions(spark, sf_dir))
 
 
-#: Submissions of 100 plots each as GeoJSON; every fifth is cut off before its end.
+#: Submissions of 20 plots each as GeoJSON; every fifth is cut off before its end.
 def geojson_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plots = derive.plots(spark, sf_dir).select("plot_id", F.expr("plot_id div 100").alias("file"), statements.feature_json(F.col("plot_id"), F.col("gtype"), F.col("parts")).alias("feature"))
+    plots = derive.plots(spark, sf_dir).select("plot_id", F.expr("plot_id div 20").alias("file"), statements.feature_json(F.col("plot_id"), F.col("gtype"), F.col("parts")).alias("feature"))
     features = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("plot_id", "feature"))), lambda r: r["feature"]), ",")
     files = plots.groupBy("file").agg(F.concat(F.lit(statements.OPEN), features, F.lit(statements.SHUT)).alias("value"))
     whole = F.when(F.col("file") % 5 == 3, F.expr("left(value, length(value) - 20)")).otherwise(F.col("value"))
     return files.select(F.concat(F.col("file").cast("string"), F.lit(".geojson")).alias("submission"), whole.alias("value"))
 
 
-FILED = f"{PLOTS}, fd AS (SELECT *, plot_id // 100 AS file, row_number() OVER (PARTITION BY plot_id // 100 ORDER BY plot_id) - 1 AS pos FROM plots)"
+FILED = f"{PLOTS}, fd AS (SELECT *, plot_id // 20 AS file, row_number() OVER (PARTITION BY plot_id // 20 ORDER BY plot_id) - 1 AS pos FROM plots)"
 
 
 @query(f"WITH {FILED} SELECT file || '.geojson' AS submission, CAST(pos AS INT) AS pos, 'feature-' || pos AS external_id, CAST(plot_id AS VARCHAR) AS place, gtype, rings[1][1].x AS x, rings[1][1].y AS y, CAST(list_sum(list_transform(rings, lambda r: len(r) + CASE WHEN gtype = 'Polygon' AND r[1] <> r[len(r)] THEN 1 ELSE 0 END)) AS INT) AS n_points FROM fd WHERE file % 5 <> 3")
 def geojson_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """GeoJSON collections of 100 plots each, read back as features; files that are cut off give none."""
+    """GeoJSON collections of 20 plots each, read back as features; files that are cut off give none."""
     found = submissions.parse_geojson(geojson_submissions(spark, sf_dir))
     at = F.col("parts")[0][0][0]
     return found.select("submission", "pos", "external_id", F.col("properties")["ProductionPlace"].alias("place"), "gtype", at["x"].alias("x"), at["y"].alias("y"), F.size(g.coordinates(F.col("parts"))).alias("n_points"))
