@@ -148,6 +148,10 @@ def labels_sql(d: Dialect) -> str:
     return f"SELECT c_custkey AS plot_id, {at.format(ours, '(CAST(c_custkey * 17 % 3 AS INT))')} AS tier, {at.format(theirs, '(CAST(c_custkey * 31 % 5 % 3 AS INT))')} AS theirs FROM customer"
 
 
+#: Records of one derived CSV file.
+FILE_RECORDS = 50_000
+
+
 def csv_sql(d: Dialect) -> str:
     """Cells as people type them: decimal commas in every third row, empty areas in every 17th, no number in every 101st."""
     number = lambda v: f"concat(CAST({v} {d.div} 1000000 AS VARCHAR(19)), CASE WHEN k % 3 = 0 THEN ',' ELSE '.' END, lpad(CAST({v} % 1000000 AS VARCHAR(19)), 6, '0'))"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from plotsage.functions import sql, text
 from plotsage.operators import agreement, crossings, ledger, overlap, risk, statements, validation, zonal
 from plotsage.plans import derive, jobs
 from plotsage.sources import submissions, tables
+from plotsage.sources.shared import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -111,6 +113,21 @@ def csv_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return submissions.parse_csv_text(files)
 
 
+@query(f"""WITH c AS (SELECT *, pos // {derive.FILE_RECORDS} AS file, trim(area) AS a FROM ({derive.csv_sql(D)})), n AS (SELECT file, row_number() OVER (PARTITION BY file ORDER BY pos) - 1 AS nth, pos, lon, lat, a FROM c)
+SELECT CAST(file AS VARCHAR) AS file, CAST(nth AS INT) AS pos, 'row-' || nth AS external_id, CAST(round_even(TRY_CAST(replace(lon, ',', '.') AS DOUBLE) * 1e6, 0) AS BIGINT) AS x, CAST(round_even(TRY_CAST(replace(trim(lat), ',', '.') AS DOUBLE) * 1e6, 0) AS BIGINT) AS y,
+  TRY_CAST(replace(a, ',', '.') AS DOUBLE) AS asserted_area_ha, 'line ' || pos || chr(10) || '"two", end' AS note FROM n""")
+def csv_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same records as files in the shared folder, read back in pieces by many tasks."""
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    rows = derive.csv_rows(spark, sf_dir).withColumn("file", F.expr(f"pos div {derive.FILE_RECORDS}")).withColumn("value", F.expr(CSV_TEXT.replace("\n", "\\n").replace("VARCHAR(19)", "STRING")))
+    lines = rows.select("file", "pos", F.concat_ws(",", "value", F.col("file").cast("string")).alias("value"))
+    heads = lines.select("file").distinct().select("file", F.lit(None).cast("bigint").alias("pos"), F.lit("Lon, LAT ,asserted_area_ha,Note,File").alias("value"))
+    lines.unionByName(heads).repartition("file").sortWithinPartitions("file", "pos").select("file", "value").write.partitionBy("file").text(path)
+    found = submissions.read_csv(spark, path)
+    at = F.col("parts")[0][0][0]
+    return found.select(F.col("properties")["file"].alias("file"), "pos", "external_id", at["x"].alias("x"), at["y"].alias("y"), "asserted_area_ha", F.col("properties")["note"].alias("note"))
+
+
 @query(f"""WITH c AS (SELECT *, pos // 500 AS file FROM ({derive.csv_sql(D)})), n AS (SELECT file, row_number() OVER (PARTITION BY file ORDER BY pos) - 1 AS nth, area FROM c)
 SELECT CAST(file AS VARCHAR) AS submission, CAST(nth AS INT) AS pos, 'row-' || nth AS external_id, 'asserted_area_ha' AS field, area AS cell FROM n WHERE area <> '' AND TRY_CAST(replace(area, ',', '.') AS DOUBLE) IS NULL""")
 def rejected_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:

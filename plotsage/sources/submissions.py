@@ -6,13 +6,15 @@ asserted_area_ha, crs, properties (a map of text), geom_hash.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plotsage.functions import geometry as g
 from plotsage.functions import text as t
 
 FEATURE = "struct<id:string,geometry:string,properties:map<string,string>>"
+#: Records of a file that meet its header in one group.
+RECORDS = 100_000
 COLUMNS = ("submission", "source_format", "pos", "external_id", "gtype", "parts", "raw", "asserted_area_ha", "crs", "properties", "geom_hash")
 
 
@@ -83,12 +85,49 @@ def read_geojson(spark: SparkSession, path: str) -> DataFrame:
     return parse_geojson(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("submission"), "value"))
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Files of one header. All cells are text; pos is the order in the file: a file of many lines is one task's, read in order."""
-    lines = spark.read.option("header", True).option("multiLine", True).option("encoding", "UTF-8").csv(path)
-    told = lines.withColumn("submission", F.input_file_name()).withColumn("_at", F.monotonically_increasing_id())
-    first = told.groupBy("submission").agg(F.min("_at").alias("_first"))
-    return parse_cells(told.join(first, "submission").withColumn("pos", (F.col("_at") - F.col("_first")).cast("int")).drop("_at", "_first"))
+def read_csv(spark: SparkSession, path: str, only: str | None = None) -> DataFrame:
+    """Files of any headers, split over tasks wherever they are long. pos is the order of records in the file. only: a glob of file names.
+
+    As parse_csv_text, of which this is the form for files of any size.
+    """
+    return from_records(csv_records(spark, path, only))
+
+
+def csv_records(spark: SparkSession, path: str, only: str | None = None) -> DataFrame:
+    """submission, head (cells of the file's first record, array), pos and line of every further record of CSV files.
+
+    A file is read in pieces by many tasks, each of which knows the lines of its piece alone. Whether a line begins inside
+    quotes is told by the parity of all quotes before it: those of its piece are counted there, and a running sum over the
+    pieces of the file (one small row each) gives parity and number of records for each piece's begin. Records of one line stay
+    where they are; only the lines of the others, and the last of each piece, are brought together. A record is held by
+    one task, so a quote that is never closed must not be followed by more than a task can hold.
+    """
+    reader = spark.read.option("pathGlobFilter", only) if only else spark.read
+    lines = reader.text(path).select(F.col("_metadata.file_path").alias("submission"), F.col("_metadata.file_block_start").alias("piece"), F.monotonically_increasing_id().alias("at"), "value")
+    own, before = Window.partitionBy("submission", "piece").orderBy("at"), Window.unboundedPreceding
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
+    told = lines.withColumn("quotes", quotes).withColumn("odd", F.coalesce(F.sum("quotes").over(own.rowsBetween(before, -1)), F.lit(0)) % 2)
+    # a line that would begin a record if its piece began outside quotes (even) or inside (odd); blank ones begin none
+    begins = lambda parity: ((F.col("odd") == parity) & (F.trim("value") != "")).cast("long")
+    counted = told.groupBy("submission", "piece").agg((F.sum("quotes") % 2).alias("parity"), F.sum(begins(0)).alias("even"), F.sum(begins(1)).alias("odds"))
+    earlier = Window.partitionBy("submission").orderBy("piece").rowsBetween(before, -1)
+    inside = counted.withColumn("inside", F.coalesce(F.sum("parity").over(earlier), F.lit(0)) % 2)
+    offset = F.coalesce(F.sum(F.when(F.col("inside") == 0, F.col("even")).otherwise(F.col("odds"))).over(earlier), F.lit(0))
+    placed = told.join(inside.select("submission", "piece", "inside", offset.alias("offset")), ["submission", "piece"])
+    outside = F.col("odd") == F.col("inside")
+    placed = placed.withColumn("begins", outside & (F.trim("value") != "")).filter(F.col("begins") | ~outside)
+    placed = placed.withColumn("pos", F.col("offset") + F.sum(F.col("begins").cast("long")).over(own.rowsBetween(before, 0)) - 2)
+    placed = placed.withColumn("alone", F.col("begins") & F.coalesce(F.lead("begins").over(own), F.lit(False)))
+    single = placed.filter("alone").select("submission", "pos", F.col("value").alias("line"))
+    parts = F.array_sort(F.collect_list(F.struct("piece", "at", "value")))
+    several = placed.filter("not alone").groupBy("submission", "pos").agg(parts.alias("l")).select("submission", "pos", F.array_join(F.transform("l", lambda x: x["value"]), "\n").alias("line"))
+    records = single.unionByName(several).withColumn("line", F.when(F.col("pos") == -1, F.regexp_replace("line", "^\ufeff", "")).otherwise(F.col("line")))
+    heads = records.filter("pos = -1").select("submission", _head(F.col("line")).alias("head"))
+    # a long file is one key: its records go by thousands, and its header to each of these
+    step = F.floor(F.col("pos") / RECORDS)
+    last = records.groupBy("submission").agg(F.max("pos").alias("last"))
+    spread = heads.join(last, "submission").select("submission", "head", F.explode(F.sequence(F.lit(0), F.floor(F.greatest("last", F.lit(0)) / RECORDS))).alias("step"))
+    return records.filter("pos >= 0").withColumn("step", step).join(spread, ["submission", "step"]).select("submission", "head", F.col("pos").cast("int"), "line")
 
 
 def source_format(path: Column, value: Column) -> Column:
@@ -98,11 +137,23 @@ def source_format(path: Column, value: Column) -> Column:
 
 
 def read_submissions(spark: SparkSession, path: str) -> DataFrame:
-    """Every file under path, by its format. Files of other suffixes that are not GeoJSON are read as CSV text."""
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("submission"), "value")
+    """Every file under path, by its format. CSV files by name are split over tasks. Files of other suffixes that are not GeoJSON are read as CSV text."""
+    files = spark.read.text(path, wholetext=True).filter(~F.lower(F.col("_metadata.file_name")).endswith(".csv")).select(F.col("_metadata.file_path").alias("submission"), "value")
     told = files.withColumn("format", source_format(F.col("submission"), F.col("value")))
     geo = parse_geojson(told.filter("format = 'geojson'"))
-    return geo.unionByName(parse_csv_text(told.filter("format = 'csv'")))
+    return geo.unionByName(parse_csv_text(told.filter("format = 'csv'"))).unionByName(read_csv(spark, path, "*.[cC][sS][vV]"))
+
+
+def _cells(record: Column) -> Column:
+    """The cells of a record, trimmed and without their quotes."""
+    found = F.regexp_extract_all(F.concat(F.lit(","), record), F.lit(r',((?:[^",]++|"[^"]*+"?+)*+)'), F.lit(1))
+    inner = lambda c: F.regexp_replace(F.regexp_extract(c, r'(?s)^\s*"(.*?)"?\s*$', 1), '""', '"')
+    return F.transform(found, lambda c: F.trim(F.when(c.rlike(r'^\s*"'), inner(c)).otherwise(c)))
+
+
+def _head(record: Column) -> Column:
+    """The names of a header in lower case; null for all but the last of equal ones."""
+    return g.let(F.transform(_cells(record), F.lower), lambda head: F.transform(head, lambda h, i: F.when(~F.array_contains(F.slice(head, i + 2, F.size(head)), h), h)))
 
 
 def parse_csv_text(files: DataFrame) -> DataFrame:
@@ -111,17 +162,15 @@ def parse_csv_text(files: DataFrame) -> DataFrame:
     Of headers that are equal but for case the last counts. Records end at line ends outside quotes, cells at commas outside quotes; a doubled quote is one. A quote that is never
     closed runs to the end of the text. Records without anything in them are no rows. Each character is read once.
     """
-    text = F.regexp_replace(F.regexp_replace("value", "^﻿", ""), "\r\n?", "\n")
+    text = F.regexp_replace(F.regexp_replace("value", "^\ufeff", ""), "\r\n?", "\n")
     records = F.filter(F.regexp_extract_all(text, F.lit(r'(?:[^"\n]++|"[^"]*+"?+)++'), F.lit(0)), lambda x: F.trim(x) != "")
-    cells = lambda record: F.regexp_extract_all(F.concat(F.lit(","), record), F.lit(r',((?:[^",]++|"[^"]*+"?+)*+)'), F.lit(1))
-    inner = lambda c: F.regexp_replace(F.regexp_extract(c, r'(?s)^\s*"(.*?)"?\s*$', 1), '""', '"')
-    clean = lambda c: F.trim(F.when(c.rlike(r'^\s*"'), inner(c)).otherwise(c))
-    lines = files.select("submission", records.alias("lines"))
-    head = F.transform(cells(F.get("lines", F.lit(0))), lambda c: F.lower(clean(c)))
-    last = F.transform("head", lambda h, i: F.when(~F.array_contains(F.slice("head", i + 2, F.size("head")), h), h))
-    each = lines.withColumn("head", head).select("submission", last.alias("head"), F.posexplode(F.slice("lines", F.lit(2), F.size("lines"))).alias("pos", "line"))
-    values = F.transform(cells(F.col("line")), clean)
-    pairs = F.filter(F.arrays_zip(F.col("head").alias("k"), values.alias("v")), lambda p: p["k"].isNotNull() & (p["k"] != ""))
+    lines = files.select("submission", records.alias("lines")).withColumn("head", _head(F.get("lines", F.lit(0))))
+    return from_records(lines.select("submission", "head", F.posexplode(F.slice("lines", F.lit(2), F.size("lines"))).alias("pos", "line")))
+
+
+def from_records(each: DataFrame) -> DataFrame:
+    """Features of CSV records (submission, head, pos, line)."""
+    pairs = F.filter(F.arrays_zip(F.col("head").alias("k"), _cells(F.col("line")).alias("v")), lambda p: p["k"].isNotNull() & (p["k"] != ""))
     mapped = each.select("submission", "pos", F.map_from_entries(F.transform(pairs, lambda p: F.struct(p["k"], F.coalesce(p["v"], F.lit(""))))).alias("properties"))
     raw = t.first_present(F.col("properties"), ("wkt", "geom_wkt", "geometry_wkt"))
     number = lambda *keys: t.locale_number(t.first_present(F.col("properties"), keys))

@@ -132,6 +132,37 @@ def test_csv_positions_are_counted_by_file(spark, tmp_path):
         assert len(rows) == 60 and {(r.external_id[0], r.pos) for r in rows} == {("a", 0), ("b", 1)}
 
 
+@pytest.mark.parametrize("size", ["150b", "128m"])
+def test_csv_files_are_split_anywhere(spark, tmp_path, size):
+    import random
+
+    draw, heads = random.Random(3), ["id,lon,lat,note", "Note,ID,id,lat,lon", "id,wkt,note"]
+    for f, head in enumerate(heads):
+        rows = ["\ufeff" * (f % 2) + head]
+        for i in range(60):
+            note = '"a\nb ""q"", c\n\n"' if draw.random() < 0.3 else '""' if draw.random() < 0.1 else "plain" * draw.choice((1, 1, 30))
+            rows.append((f"r{i},108.{i:03d},12.5,{note}", f'{note},x,r{i},12.5,"108,{i:03d}"', f'r{i},"POINT(108.{i:03d} 12.5)",{note}')[f])
+            rows += draw.choice([[], [], [""], ["  "]])
+        end = "\r\n" if f == 1 else "\n"
+        (tmp_path / f"{f}.csv").write_text(end.join(rows) + end * (f > 0), newline="")
+    (tmp_path / "open.csv").write_text('id,lon,lat\na,1,2\nb,"3,4\nc,5,6\n')
+    (tmp_path / "empty.csv").write_text("")
+    (tmp_path / "head.csv").write_text("\n\nid,lon,lat\n")
+    columns = ("submission", "pos", "external_id", "gtype", "geom_hash", "properties")
+    texts = spark.read.text(str(tmp_path), wholetext=True).select(F.col("_metadata.file_path").alias("submission"), "value")
+    rows = lambda df: sorted((*r[:5], sorted(r.properties.items())) for r in df.select(*columns).collect())
+    want = rows(submissions.parse_csv_text(texts))
+    saved = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        assert size != "150b" or spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 40
+        assert rows(submissions.read_csv(spark, str(tmp_path))) == want and len(want) == 181
+    finally:
+        for k, v in saved.items():
+            spark.conf.set(k, v)
+
+
 def test_reject_tables(spark, tmp_path):
     files = spark.createDataFrame([("f", "id,wkt,lon,area_ha\na,POINT(1 2),east,1.5\nb,POINT(1 2),,n/a\nc,POINT(1 2),nan,\n")], "submission string, value string")
     found = submissions.rejected(submissions.parse_csv_text(files))
