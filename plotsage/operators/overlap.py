@@ -10,9 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plotsage.functions.geometry import closed, let
-from plotsage.operators.crossings import without_spurs
+from plotsage.operators.crossings import PER_BAND, without_spurs
+from plotsage.sources.shared import cut
 
 CELL = 2000
+#: The finest cells for sides, in doubled units.
+SIDE_CELL = 128
 #: Grids of cells STEP times as long as those of the one before; a box covers at most MOST_CELLS + 1 cells a side of its own.
 LEVELS, STEP, MOST_CELLS = 4, 32, 8
 
@@ -26,10 +29,10 @@ def boxes(plots: DataFrame) -> DataFrame:
     return plots.select("plot_id", F.inline(F.array(box)))
 
 
-def candidates(found: DataFrame, cell: int = CELL) -> DataFrame:
+def candidates(found: DataFrame, cell: int = CELL, apart: str = "true") -> DataFrame:
     """Pairs of boxes (a_ and b_ columns, a's plot_id less) that touch or overlap, each once.
 
-    Rows without any bound are left out. A box belongs to the finest of four grids in which it covers few cells, so that no
+    apart: what else must hold of p_plot_id and q_plot_id. Rows without any bound are left out. A box belongs to the finest of four grids in which it covers few cells, so that no
     box makes many rows; it is also placed in the coarser grids that other boxes belong to, and each pair meets in the grid
     of the larger one. A cell holds what lies close together, so its candidates do not grow with the whole table; a very
     dense cell is a skewed key of the join, which adaptive execution splits.
@@ -49,7 +52,7 @@ def candidates(found: DataFrame, cell: int = CELL) -> DataFrame:
     keys = ("level", "side", "cx", "cy")
     large = placed.filter("own = level").select(*keys, *[F.col(c).alias(f"p_{c}") for c in names])
     small = placed.select(*keys, "own", *[F.col(c).alias(f"q_{c}") for c in names])
-    met = large.join(small, list(keys)).filter("(own < level or p_plot_id < q_plot_id) and p_x0 <= q_x1 and q_x0 <= p_x1 and p_y0 <= q_y1 and q_y0 <= p_y1")
+    met = large.join(small, list(keys)).filter(f"(own < level or p_plot_id < q_plot_id) and {apart} and p_x0 <= q_x1 and q_x0 <= p_x1 and p_y0 <= q_y1 and q_y0 <= p_y1")
     first = lambda c: F.floor(F.greatest(f"p_{c}", f"q_{c}") / F.col("side"))
     met = met.filter((F.col("cx") == first("x0")) & (F.col("cy") == first("y0")))
     less = F.col("p_plot_id") < F.col("q_plot_id")
@@ -74,29 +77,84 @@ def _turn(a, b, c):
     return F.signum(((b["x"] - a["x"]) * (c["y"] - a["y"]) - (b["y"] - a["y"]) * (c["x"] - a["x"])).cast("double"))
 
 
-def _sides(rings):
-    """Segments of closed rings, all points doubled so that middles are whole numbers."""
-    double = lambda ring: F.transform(ring, lambda p: F.struct((p["x"] * 2).alias("x"), (p["y"] * 2).alias("y")))
-    ring_sides = lambda ring: let(double(ring), lambda r: F.when(F.size(r) > 1, F.transform(F.sequence(F.lit(1), F.size(r) - 1), lambda i: F.struct(r[i - 1].alias("a"), r[i].alias("b")))).otherwise(F.array()))
-    return F.filter(F.flatten(F.transform(rings, ring_sides)), lambda s: s["a"] != s["b"])
-
-
-def _middles(sides, others):
-    """A point within every stretch of the sides between their ends and the others' corners that lie on them."""
-    on = lambda s: F.filter(F.transform(others, lambda t: t["a"]), lambda p: (_turn(s["a"], s["b"], p) == 0) & p["x"].between(F.least(s["a"]["x"], s["b"]["x"]), F.greatest(s["a"]["x"], s["b"]["x"])) & p["y"].between(F.least(s["a"]["y"], s["b"]["y"]), F.greatest(s["a"]["y"], s["b"]["y"])))
-    stops = lambda s: F.array_sort(F.array_distinct(F.concat(F.array(s["a"], s["b"]), on(s))))
-    half = lambda v, w, c: ((v[c] + w[c]) / 2).cast("long").alias(c)
-    between = lambda ps: F.transform(F.sequence(F.lit(1), F.size(ps) - 1), lambda i: F.struct(half(ps[i - 1], ps[i], "x"), half(ps[i - 1], ps[i], "y")))
-    return F.flatten(F.transform(sides, lambda s: let(stops(s), between)))
-
-
-def _place(p, sides):
-    """1 inside, 0 on a side, -1 outside; holes and parts by the number of sides to one hand."""
-    on = F.exists(sides, lambda s: (_turn(s["a"], s["b"], p) == 0) & p["x"].between(F.least(s["a"]["x"], s["b"]["x"]), F.greatest(s["a"]["x"], s["b"]["x"])) & p["y"].between(F.least(s["a"]["y"], s["b"]["y"]), F.greatest(s["a"]["y"], s["b"]["y"])))
-    up = lambda s: (s["a"]["y"] <= p["y"]) & (s["b"]["y"] > p["y"]) & (_turn(s["a"], s["b"], p) > 0)
-    down = lambda s: (s["b"]["y"] <= p["y"]) & (s["a"]["y"] > p["y"]) & (_turn(s["a"], s["b"], p) < 0)
-    odd = F.size(F.filter(sides, lambda s: up(s) | down(s))) % 2 == 1
-    return F.when(on, 0).when(odd, 1).otherwise(-1)
+def _on(p, s):
+    """p lies on the side s, ends included."""
+    a, b = s["a"], s["b"]
+    return (_turn(a, b, p) == 0) & p["x"].between(F.least(a["x"], b["x"]), F.greatest(a["x"], b["x"])) & p["y"].between(F.least(a["y"], b["y"]), F.greatest(a["y"], b["y"]))
+
+
+def _spurless(ring):
+    """A closed ring without spurs; only rings that turn back or stand still somewhere are gone through point by point."""
+
+    def turns_back(p, i, r):
+        q, o = F.get(r, i - 1), F.get(r, i - 2)
+        along = (q["x"] - o["x"]) * (p["x"] - q["x"]) + (q["y"] - o["y"]) * (p["y"] - q["y"])
+        across = (q["x"] - o["x"]) * (p["y"] - q["y"]) - (q["y"] - o["y"]) * (p["x"] - q["x"])
+        return (p == q) | ((across == 0) & (along < 0))
+
+    marked = lambda r: F.array_contains(F.transform(r, lambda p, i: (i > 0) & F.coalesce(turns_back(p, i, r), F.lit(False))), True)
+    return let(closed(ring), lambda r: F.when(marked(r), without_spurs(r)).otherwise(r))
+
+
+def _rings(plots: DataFrame) -> DataFrame:
+    """plot_id, ring, r of each ring that has sides: closed, without spurs, all points doubled so that middles are whole
+    numbers; and low, high and bands of the plot: its bounds in y, and how many bands its sides are put in."""
+    ys = F.transform(F.flatten(F.flatten("parts")), lambda p: p["y"] * 2)
+    areal = plots.filter(F.col("gtype").isin("Polygon", "MultiPolygon")).select("plot_id", "parts", F.array_min(ys).alias("low"), F.array_max(ys).alias("high"), F.ceil(F.size(ys) / PER_BAND).alias("bands"))
+    each = areal.select("plot_id", "low", "high", "bands", F.posexplode(F.flatten("parts")).alias("ring", "r")).filter(F.size("r") > 0)
+    double = F.transform(_spurless(F.col("r")), lambda p: F.struct((p["x"] * 2).alias("x"), (p["y"] * 2).alias("y")))
+    # a generator's column is made once, however often what follows names it
+    return each.withColumn("r", F.explode(F.array(double))).filter(F.size("r") > 1)
+
+
+def _sides(rings: DataFrame) -> DataFrame:
+    """plot_id, low, high, bands and s (plot_id, ring, nth, ends a and b) of each side."""
+    side = lambda i: F.struct("plot_id", "ring", i.alias("nth"), F.col("r")[i - 1].alias("a"), F.col("r")[i].alias("b"))
+    return rings.select("plot_id", "low", "high", "bands", F.explode(F.transform(F.sequence(F.lit(1), F.size("r") - 1), side)).alias("s"))
+
+
+def _met(sides: DataFrame) -> DataFrame:
+    """s, other, crossed and stops of each side that meets sides of another plot: whether it crosses any inside of both, and
+    the ends on either that lie on both."""
+    span = lambda v: (F.least(f"s.a.{v}", f"s.b.{v}").alias(f"{v}0"), F.greatest(f"s.a.{v}", f"s.b.{v}").alias(f"{v}1"))
+    pairs = candidates(sides.select(F.col("s").alias("plot_id"), *span("x"), *span("y")), SIDE_CELL, "p_plot_id.plot_id <> q_plot_id.plot_id").select(F.col("a_plot_id").alias("s"), F.col("b_plot_id").alias("t"))
+    s, t = F.col("s"), F.col("t")
+    crossed = (_turn(s["a"], s["b"], t["a"]) * _turn(s["a"], s["b"], t["b"]) < 0) & (_turn(t["a"], t["b"], s["a"]) * _turn(t["a"], t["b"], s["b"]) < 0)
+    stops = F.array_compact(F.array(*[F.when(_on(p, side), p) for side, other in ((s, t), (t, s)) for p in (other["a"], other["b"])]))
+    found = pairs.select("s", "t", crossed.alias("crossed"), stops.alias("stops")).filter("crossed or size(stops) > 0")
+    way = lambda one, two: F.struct(F.col(one).alias("s"), F.col(f"{two}.plot_id").alias("other"), "crossed", "stops")
+    return found.select(F.inline(F.array(way("s", "t"), way("t", "s")))).groupBy("s", "other").agg(F.max("crossed").alias("crossed"), F.array_distinct(F.flatten(F.collect_list("stops"))).alias("stops"))
+
+
+def _asked(rings: DataFrame, pairs: DataFrame, met: DataFrame) -> DataFrame:
+    """plot_id, other and p: points of plot_id's outline, of which it is asked where they lie in the other.
+
+    Between two points in which a ring meets the other's it lies inside, outside or on the other's outline as a whole, so one
+    point of each such stretch tells; of a ring that meets nothing, any."""
+    both = pairs.select("plot_a", "plot_b").select(F.inline(F.array(F.struct(F.col("plot_a").alias("plot_id"), F.col("plot_b").alias("other")), F.struct(F.col("plot_b").alias("plot_id"), F.col("plot_a").alias("other")))))
+    own = met.select(F.col("s.plot_id").alias("plot_id"), F.col("s.ring").alias("ring"), "other", "s", "stops")
+    a, b = F.col("s.a"), F.col("s.b")
+    along = lambda p: (p["x"] - a["x"]) * (b["x"] - a["x"]) + (p["y"] - a["y"]) * (b["y"] - a["y"])
+    ordered = F.transform(F.array_sort(F.transform(F.array_union("stops", F.array(b)), lambda p: F.struct(along(p).alias("at"), p.alias("p")))), lambda x: x["p"])
+    half = lambda i, v: ((F.get("ps", i)[v] + F.get("ps", i + 1)[v]) / 2).cast("long").alias(v)
+    middles = F.when(F.size("ps") > 1, F.transform(F.sequence(F.lit(0), F.size("ps") - 2), lambda i: F.struct(half(i, "x"), half(i, "y"))))
+    stretches = own.join(both, ["plot_id", "other"], "left_semi").withColumn("ps", ordered).select("plot_id", "other", F.explode(middles).alias("p"))
+    alone = both.join(rings.select("plot_id", "ring", F.col("r")[0].alias("p")), "plot_id").join(own.select("plot_id", "ring", "other").distinct(), ["plot_id", "ring", "other"], "left_anti")
+    return stretches.unionByName(alone.select("plot_id", "other", "p"))
+
+
+def _placed(asked: DataFrame, sides: DataFrame, rings: DataFrame) -> DataFrame:
+    """plot_id, other and place of each point asked: 1 inside the other, 0 on its outline, -1 outside. Holes and parts count
+    by the number of sides to one hand; points and sides meet in bands of the other plot."""
+    band = lambda y: F.expr(f"({y} - low) * bands div (high - low + 1)")
+    frames = rings.select(F.col("plot_id").alias("other"), "low", "high", "bands").distinct()
+    points = asked.distinct().join(frames, "other").select("plot_id", "other", "p", band("p.y").alias("band"))
+    banded = sides.select(F.col("plot_id").alias("other"), "s", F.explode(F.sequence(band("least(s.a.y, s.b.y)"), band("greatest(s.a.y, s.b.y)"))).alias("band"))
+    p, s = F.col("p"), F.col("s")
+    up = (s["a"]["y"] <= p["y"]) & (s["b"]["y"] > p["y"]) & (_turn(s["a"], s["b"], p) > 0)
+    down = (s["b"]["y"] <= p["y"]) & (s["a"]["y"] > p["y"]) & (_turn(s["a"], s["b"], p) < 0)
+    told = points.join(banded, ["other", "band"], "left").groupBy("plot_id", "other", "p").agg(F.coalesce(F.max(_on(p, s)), F.lit(False)).alias("on"), F.count_if(up | down).alias("hits"))
+    return told.select("plot_id", "other", F.when(F.col("on"), 0).when(F.col("hits") % 2 == 1, 1).otherwise(-1).alias("place"))
 
 
 def polygon_overlaps(plots: DataFrame, cell: int = CELL) -> DataFrame:
@@ -106,18 +164,19 @@ def polygon_overlaps(plots: DataFrame, cell: int = CELL) -> DataFrame:
     itself bounds its lobes. Two plots overlap if sides cross, or a stretch of the sides of one runs inside the other; one
     covers the other if no sides cross, none of the other's sides runs outside it and none of its own inside the other.
     All in whole numbers. Plots whose whole outlines lie on each other's count as covered. Rows without points, and
-    geometries of other types, take no part.
+    geometries of other types, take no part; ids are taken to be distinct.
+
+    Sides of different plots meet on grids of their own size, and points meet sides in bands, so outlines of many points
+    take work in proportion to their sides. What meets is written to the shared folder, as all that follows asks for it.
     """
-    areal = plots.filter(F.col("gtype").isin("Polygon", "MultiPolygon") & (F.size(F.flatten(F.flatten("parts"))) > 0)).select("plot_id", "parts")
-    rings = F.transform(F.filter(F.flatten("parts"), lambda r: F.size(r) > 0), lambda r: without_spurs(closed(r)))
-    sided = areal.select("plot_id", _sides(rings).alias("sides"))
-    pairs = candidates(boxes(areal), cell).select("a_plot_id", "b_plot_id")
-    both = pairs.join(sided.toDF("a_plot_id", "a"), "a_plot_id").join(sided.toDF("b_plot_id", "b"), "b_plot_id")
-    crossing = F.exists("a", lambda s: F.exists("b", lambda t: (_turn(s["a"], s["b"], t["a"]) * _turn(s["a"], s["b"], t["b"]) < 0) & (_turn(t["a"], t["b"], s["a"]) * _turn(t["a"], t["b"], s["b"]) < 0)))
-    marks = lambda of, against: F.transform(_middles(F.col(of), F.col(against)), lambda p: _place(p, F.col(against)))
-    has = lambda side, mark: F.array_contains(side, mark)
-    # one value each, made once: a filter over columns of these would make them again wherever it names them
-    shares = lambda i: (has(i["a"], 1) | has(i["b"], 1)) & (has(i["b"], -1) | has(i["a"], 1)) & (has(i["a"], -1) | has(i["b"], 1))
-    # where sides cross, the plots overlap and nothing else is asked
-    overlap = crossing | let(F.struct(marks("a", "b").alias("a"), marks("b", "a").alias("b")), shares)
-    return both.filter(overlap).select(F.col("a_plot_id").alias("plot_a"), F.col("b_plot_id").alias("plot_b"))
+    rings = _rings(plots)
+    sides = _sides(rings)
+    areal = plots.filter(F.col("gtype").isin("Polygon", "MultiPolygon") & (F.size(F.flatten(F.flatten("parts"))) > 0))
+    met = cut(_met(sides), "overlap-met")
+    crossed = met.filter("crossed and s.plot_id < other").select(F.col("s.plot_id").alias("plot_a"), F.col("other").alias("plot_b")).distinct()
+    open_pairs = touching(boxes(areal), cell).join(crossed, ["plot_a", "plot_b"], "left_anti")
+    places = _placed(_asked(rings, open_pairs, met), sides, rings)
+    has = lambda first, place: F.max((F.col("first") == first) & (F.col("place") == place))
+    sets = places.select(F.least("plot_id", "other").alias("plot_a"), F.greatest("plot_id", "other").alias("plot_b"), (F.col("plot_id") < F.col("other")).alias("first"), "place").groupBy("plot_a", "plot_b")
+    sets = sets.agg(has(True, 1).alias("a_in"), has(True, -1).alias("a_out"), has(False, 1).alias("b_in"), has(False, -1).alias("b_out"))
+    return crossed.unionByName(sets.filter("(a_in or b_in) and (b_out or a_in) and (a_out or b_in)").select("plot_a", "plot_b"))

@@ -504,7 +504,23 @@ def overlap_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.polygon_overlaps(jobs.as_rings(derive.bench_boxes(spark, sf_dir)))
 
 
-@query()
+_HIT = TURN.format(a="t.a", b="t.b", c="p")
+#: The same by definition: all sides of a pair with each other, and every stretch of every side against the whole other outline.
+SHARE = f"""{PLACE}, {RINGS}, ok AS (SELECT plot_id FROM w WHERE place IS NULL AND coalesce(crs, 'EPSG:4326') = 'EPSG:4326'),
+o1 AS (SELECT plot_id, nth, list_filter(r, lambda p, i: i = 1 OR i = len(r) OR r[i - 1] <> r[i + 1]) AS r FROM rg JOIN ok USING (plot_id)),
+o2 AS (SELECT plot_id, list_transform(list_filter(r, lambda p, i: i = 1 OR p <> r[i - 1]), lambda p: {{'x': 2 * p.x, 'y': 2 * p.y}}) AS r FROM o1),
+ov AS (SELECT plot_id, r[i] AS a, r[i + 1] AS b FROM (SELECT plot_id, r, unnest(range(1, len(r))) AS i FROM o2)),
+bx AS (SELECT plot_id, min(least(a.x, b.x)) AS x0, min(least(a.y, b.y)) AS y0, max(greatest(a.x, b.x)) AS x1, max(greatest(a.y, b.y)) AS y1 FROM ov GROUP BY plot_id),
+pp AS (SELECT p.plot_id, q.plot_id AS other FROM bx p JOIN bx q ON p.plot_id <> q.plot_id AND p.x0 <= q.x1 AND q.x0 <= p.x1 AND p.y0 <= q.y1 AND q.y0 <= p.y1),
+st AS (SELECT *, {', '.join(f'{d} AS d{i}' for i, d in enumerate(D4, 1))} FROM (SELECT pp.plot_id, pp.other, s.a, s.b, t.a AS o_a, t.b AS o_b FROM pp JOIN ov s ON s.plot_id = pp.plot_id JOIN ov t ON t.plot_id = pp.other)),
+cx AS (SELECT DISTINCT plot_id, other FROM st WHERE d1 * d2 < 0 AND d3 * d4 < 0),
+sp AS (SELECT plot_id, other, list_sort(list_distinct([a, b] || coalesce(list(o_a) FILTER (d1 = 0 AND {WITHIN.format(a='a', b='b', c='o_a')}), []))) AS ps FROM st GROUP BY plot_id, other, a, b),
+md AS (SELECT plot_id, other, {{'x': (ps[i].x + ps[i + 1].x) // 2, 'y': (ps[i].y + ps[i + 1].y) // 2}} AS p FROM (SELECT *, unnest(range(1, len(ps))) AS i FROM sp)),
+pl AS (SELECT md.plot_id, md.other, p, bool_or({_HIT} = 0 AND {WITHIN.format(a='t.a', b='t.b', c='p')}) AS lies_on, count(*) FILTER ((t.a.y <= p.y AND t.b.y > p.y AND {_HIT} > 0) OR (t.b.y <= p.y AND t.a.y > p.y AND {_HIT} < 0)) % 2 = 1 AS odd FROM md JOIN ov t ON t.plot_id = md.other GROUP BY md.plot_id, md.other, p),
+fl AS (SELECT least(plot_id, other) AS plot_a, greatest(plot_id, other) AS plot_b, bool_or(plot_id < other AND odd AND NOT lies_on) AS a_in, bool_or(plot_id < other AND NOT odd AND NOT lies_on) AS a_out, bool_or(plot_id > other AND odd AND NOT lies_on) AS b_in, bool_or(plot_id > other AND NOT odd AND NOT lies_on) AS b_out FROM pl GROUP BY ALL)"""
+
+
+@query(f"WITH {SHARE} SELECT plot_a, plot_b FROM fl LEFT JOIN cx ON cx.plot_id = plot_a AND cx.other = plot_b WHERE cx.other IS NOT NULL OR ((a_in OR b_in) AND (b_out OR a_in) AND (a_out OR b_in))")
 def overlap_plots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plots of all kinds, holes, bowties, spurs and open rings among them, as far as their places and systems allow."""
     plots = derive.plots(spark, sf_dir)

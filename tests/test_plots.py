@@ -363,6 +363,27 @@ def test_overlaps_of_slanted_and_broken_rings(spark):
     assert overlap.polygon_overlaps(df.limit(0)).count() == 0
 
 
+def test_overlaps_of_detailed_outlines(spark):
+    import math
+    import time
+
+    def star(x, y, size, n=5000):
+        at = [(size * (1 + 0.1 * math.cos(37 * 2 * math.pi * k / n)), 2 * math.pi * k / n) for k in range(n)]
+        ring = [(x + round(r * math.cos(w)), y + round(r * math.sin(w))) for r, w in at]
+        return ring + ring[:1]
+
+    # 1 and 2 cross, 3 lies within 1, 4 in the hole of 5, 6 fills that hole and 7 is its twin, 8 meets 5 along half its hole
+    hole = star(900_000, 0, 40_000)
+    shapes = {1: [star(0, 0, 90_000)], 2: [star(100_000, 5_000, 90_000)], 3: [star(-20_000, 0, 9_000)], 4: [star(900_000, 0, 9_000)], 5: [star(900_000, 0, 90_000), hole], 6: [hole], 7: [hole]}
+    shapes[8] = [hole[:2501] + [(900_000 - 60_000, -60_000), hole[0]]]
+    rows = [(k, "Polygon", [rings]) for k, rings in shapes.items()]
+    df = spark.createDataFrame(rows, "plot_id long, gtype string, parts array<array<array<struct<x:bigint,y:bigint>>>>")
+    begun = time.time()
+    found = {tuple(r) for r in overlap.polygon_overlaps(df).collect()}
+    assert found == {(1, 2), (5, 8), (6, 8), (7, 8)}
+    assert time.time() - begun < 60
+
+
 def test_boxes_of_very_different_sizes_meet_once(spark):
     rows = [(1, 0, 0, 10, 10), (2, 5, 5, 100_000, 100_000), (3, -(10**8), -(10**8), 10**8, 10**8), (4, 9, 9, 12, 12), (5, 99_000, 99_000, 99_010, 99_010), (6, None, 0, 1, 1)]
     df = spark.createDataFrame(rows, "plot_id long, x0 long, y0 long, x1 long, y1 long")
