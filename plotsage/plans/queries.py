@@ -527,6 +527,13 @@ def overlap_plots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.polygon_overlaps(plots.filter(~F.coalesce(validation.blocked(F.col("parts"), F.col("crs")), F.lit(False))))
 
 
+@query(f"WITH {SHARE} SELECT plot_a, plot_b FROM fl LEFT JOIN cx ON cx.plot_id = plot_a AND cx.other = plot_b WHERE cx.other IS NOT NULL OR ((a_in OR b_in) AND (b_out OR a_in) AND (a_out OR b_in))")
+def overlap_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By joins of sides: plots of all kinds, holes, bowties, spurs and open rings among them, as far as their places and systems allow."""
+    plots = derive.plots(spark, sf_dir)
+    return overlap.outline_overlaps(plots.filter(~F.coalesce(validation.blocked(F.col("parts"), F.col("crs")), F.lit(False))))
+
+
 # --- ledger and results ----------------------------------------------------------------------------------------------------
 
 RESULTS = f"res AS ({derive.RESULTS_SQL})"

@@ -345,6 +345,7 @@ def test_overlaps_of_plots_with_holes_and_parts_equal_unit_cells(spark):
     assert (0, 2) in want and (0, 1) not in want and (0, 3) in want and (0, 5) not in want
     for cell in (1, 5, 2000):
         assert {tuple(r) for r in overlap.polygon_overlaps(df, cell).collect()} == want
+    assert {tuple(r) for r in overlap.outline_overlaps(df).collect()} == want
 
 
 def test_overlaps_of_slanted_and_broken_rings(spark):
@@ -359,7 +360,8 @@ def test_overlaps_of_slanted_and_broken_rings(spark):
         8: [],
     }
     df = spark.createDataFrame([(k, "Polygon", [[r]]) for k, r in rings.items()] + [(9, "Polygon", None), (10, "Point", [[[(4, 4)]]])], "plot_id long, gtype string, parts array<array<array<struct<x:bigint,y:bigint>>>>")
-    assert {tuple(r) for r in overlap.polygon_overlaps(df, 3).collect()} == {(1, 3), (4, 5)}
+    for found in (overlap.polygon_overlaps(df, 3), overlap.outline_overlaps(df, 3)):
+        assert {tuple(r) for r in found.collect()} == {(1, 3), (4, 5)}
     assert overlap.polygon_overlaps(df.limit(0)).count() == 0
 
 
@@ -379,7 +381,7 @@ def test_overlaps_of_detailed_outlines(spark):
     rows = [(k, "Polygon", [rings]) for k, rings in shapes.items()]
     df = spark.createDataFrame(rows, "plot_id long, gtype string, parts array<array<array<struct<x:bigint,y:bigint>>>>")
     begun = time.time()
-    found = {tuple(r) for r in overlap.polygon_overlaps(df).collect()}
+    found = {tuple(r) for r in overlap.outline_overlaps(df).collect()}
     assert found == {(1, 2), (5, 8), (6, 8), (7, 8)}
     assert time.time() - begun < 60
 
