@@ -78,11 +78,15 @@ def test_words_of_one_class_and_sequences(spark):
     assert not any(got[d].more for d in got if d >= 100)
 
 
+def combined(words, name):
+    return secrets.sidak(secrets.battery(secrets.measured(words, name)).T)
+
+
 def test_battery_on_random_and_regular_symbols():
     draw = random.Random(5)
-    z = secrets.scores(["".join(draw.choice("0123456789abcdef") for _ in range(40)) for _ in range(2000)], "hex")
-    assert (z < secrets.NORMAL.inv_cdf(0.05)).mean() < 0.09  # near its level
-    low = lambda w, name: secrets.NORMAL.cdf(float(secrets.scores([w], name)[0]))
+    p = combined(["".join(draw.choice("0123456789abcdef") for _ in range(40)) for _ in range(2000)], "hex")
+    assert (p < 0.05).mean() < 0.09  # near its level
+    low = lambda w, name: combined([w], name)[0]
     assert low("0123456789abcdef" * 4, "hex") < 1e-3 and low("aaaa1111" * 5, "hex") < 1e-6
     assert low("abcdefghijklmnopqrstuvwxyz", "lower") < 1e-3
     p = secrets.sidak(np.array([[1e-8], [1.0], [0.5]]))
@@ -95,7 +99,7 @@ def test_battery_equals_plain_tests():
         k, n = len(secrets.ALPHABETS[name]), 24
         words = ["".join(draw.choice(secrets.ALPHABETS[name]) for _ in range(n)) for _ in range(20)]
         x = np.array([[secrets.ALPHABETS[name].index(c) for c in w] for w in words])
-        for got, row in zip(secrets.battery(x, k), x.tolist(), strict=True):
+        for got, row in zip(secrets.battery(secrets.statistics(x, k)), x.tolist(), strict=True):
             two = lambda z: math.erfc(abs(z) / math.sqrt(2))
             chi = sum((row.count(v) - n / k) ** 2 / (n / k) for v in range(k))
             up = [v >= k / 2 for v in row]
@@ -107,17 +111,73 @@ def test_battery_equals_plain_tests():
             assert np.allclose(got, want)
 
 
+ORDINARY = {"lower": [("water", 5), ("report", 3), ("northern", 2)], "capital": [("Income", 2), ("District", 1)], "upper": [("FARM", 2), ("QUALITY", 1)], "digit": [("2020", 1), ("15", 3)]}
+
+
+def test_score_is_the_ratio_of_two_normal_laws():
+    found = secrets.law(ORDINARY, "base36:24")
+    z = secrets.measured(secrets.random_words("base36", 24, 30) + secrets.null_words(ORDINARY, "base36", 24, 30), "base36")
+
+    def log_density(row, words):
+        sample = np.clip(secrets.measured(words, "base36"), -8, 8)
+        mean = [sum(c) / len(c) for c in sample.T]
+        spread = np.array([[sum((a - m) * (b - o) for a, b in zip(c, d, strict=True)) / (len(c) - 1) + 0.1 * (m is o) for d, o in zip(sample.T, mean, strict=True)] for c, m in zip(sample.T, mean, strict=True)])
+        off = np.clip(row, -8, 8) - mean
+        return -0.5 * (off @ np.linalg.solve(spread, off) + math.log(np.linalg.det(spread)))
+
+    even, usual = secrets.random_words("base36", 24), secrets.null_words(ORDINARY, "base36", 24)
+    assert np.allclose(found.score(z), [log_density(row, even) - log_density(row, usual) for row in z])
+    assert list(found.null) == sorted(found.null) and len(found.null) == secrets.NULL_WORDS
+    assert all(secrets.encoding(w) == "base36" and len(w) == 24 for w in even)
+
+
 def test_limits_follow_benjamini_and_hochberg():
     """The threshold of a stratum is the least score at which expected false discoveries are a hundredth of those found."""
-    ordinary = {"lower": [("water", 5), ("report", 3)], "digit": [("2020", 1)]}
-    null = np.sort(secrets.scores(secrets.null_words(ordinary, "base36", 40), "base36"))
+    null = secrets.law(ORDINARY, "base36:40").null
     draw = np.random.default_rng(3)
-    z = np.concatenate([draw.choice(null, 500), draw.normal(size=30)])
-    bins = np.floor(np.clip(z, -8, 8) / secrets.Z_BIN).astype(int)
-    least = secrets.limits({"base36:40": dict(zip(*np.unique(bins, return_counts=True), strict=True))}, ordinary, 0.01)["base36:40"]
-    chance = lambda v: max((null >= v).mean(), 0.5 * math.erfc((v - null.mean()) / null.std() / math.sqrt(2)))
-    passing = [b * secrets.Z_BIN for b in np.unique(bins) if chance(b * secrets.Z_BIN) * len(z) <= 0.01 * (bins >= b).sum()]
-    assert least == max(min(passing), secrets.NORMAL.inv_cdf(secrets.LEAST_P))
+    for planted in (0, 1, 30):
+        score = np.concatenate([draw.choice(null, 500), draw.normal(15, 4, size=planted)])
+        bins = np.floor(np.clip(score, -secrets.BIN, 40) / secrets.BIN).astype(int)
+        least = secrets.least_passing(dict(zip(*np.unique(bins, return_counts=True), strict=True)), null, 0.01)
+        edge = np.quantile(null, 0.95)
+        excess = max((null[null > edge] - edge).mean(), 0.5)
+        chance = lambda v: max((null >= v).mean(), 0.05 * math.exp(-(v - edge) / excess) if v > edge and (null >= v).mean() < 0.05 else 0)
+        passing = [b * secrets.BIN for b in np.unique(bins) if b >= 0 and chance(b * secrets.BIN) * len(score) <= 0.01 * (bins >= b).sum()]
+        assert least == min(passing, default=None)
+    assert least is not None
+
+
+def test_recall_of_planted_words_and_false_discoveries(spark, sf_dir):
+    """Among documents that few ordinary words make up: nine in ten random words are found where they are long, three in four where they are not."""
+    draw = random.Random(21)
+    kinds = {("base62", 20): 60, ("base62", 32): 60, ("base64", 44): 60, ("base32", 26): 60, ("HEX", 32): 60}
+    rows, kind_of = [], {}
+    for kind, n in kinds.items():
+        for _ in range(n):
+            word = "".join(draw.choice(secrets.ALPHABETS[kind[0]]) for _ in range(kind[1]))
+            kind_of[len(rows)] = kind
+            rows.append((len(rows), f"the report says {word} about it"))
+    parts = ["water", "quality", "northern", "district", "income", "farm", "Report", "Annual", "System", "FARM", "DATA", "2020", "15", "7", "of", "the"]
+    for _ in range(600):
+        joint = draw.choice(["", "-", "_", "/", ""])
+        rows.append((len(rows), f"about the {joint.join(draw.choice(parts) for _ in range(draw.randrange(4, 9)))} of water and 15 farms of the North District in 2020, DATA and income"))
+    given = spark.read.parquet(f"{sf_dir}/documents.parquet").select((F.col("doc_id") + 1_000_000).alias("doc_id"), "text")
+    got = {r.doc_id: r.more for r in secrets.find(spark.createDataFrame(rows, "doc_id long, text string").unionByName(given)).collect()}
+    found = collections.Counter(kind_of[d] for d, more in got.items() if more and d in kind_of)
+    for kind, n in kinds.items():
+        assert found[kind] >= (0.75 if kind in (("base62", 20), ("base32", 26)) else 0.9) * n, (kind, found)
+    false = sum(bool(more) for d, more in got.items() if d not in kind_of)
+    assert false <= 0.01 * sum(found.values()) + 3, false  # the rate holds on average
+
+
+def test_copies_of_a_word_count_once(spark):
+    """A table with every row three times has the same spans: copies lend a word no weight."""
+    draw = random.Random(22)
+    rows = [(i, f"the income of farms {''.join(draw.choice('abcdefghijklmnopqrstuvwxyz') for _ in range(30))} and waterqualityofthe{i % 7}districts") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    once = {(r.doc_id, str(r.more)) for r in secrets.find(docs).collect()}
+    thrice = secrets.find(docs.unionByName(docs).unionByName(docs)).collect()
+    assert len(thrice) == 180 and {(r.doc_id, str(r.more)) for r in thrice} == once and any("random" in m for _, m in once)
 
 
 def test_many_secrets_in_one_text(spark):
