@@ -1,8 +1,8 @@
-"""The area functions for SQL: temporary functions of a session, made of built-in functions only."""
+"""Functions for SQL, temporary ones of a session: areas, of built-in functions only, and the validity of plots as a table."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from plotsage.functions.geodesy import A, E, E2, Q_POLE, R2
 from plotsage.functions.geometry import PARTS
@@ -28,3 +28,17 @@ def register(spark: SparkSession) -> None:
 CREATE OR REPLACE TEMPORARY FUNCTION fn_area_hectares(parts {PARTS})
 RETURNS STRUCT<geography_ha: DOUBLE, epsg6933_ha: DOUBLE, delta_frac: DOUBLE>
 RETURN transform(array(named_struct('g', {geodesic}, 'e', {flat})), a -> named_struct('geography_ha', a.g, 'epsg6933_ha', a.e, 'delta_frac', IF(a.g = 0, 0D, abs(a.g - a.e) / a.g)))[0]""")
+
+
+def register_validity(spark: SparkSession, found: DataFrame) -> None:
+    """fn_validate_plot(plot): a table of is_valid, reason and repaired_wkt of that plot; no row for unknown and null ids.
+
+    found: what crossings.validity() returns for the plots that SQL may ask for; it stands as the view plot_validity. A lateral
+    call for many plots is one join with it.
+    """
+    found.createOrReplaceTempView("plot_validity")
+    kind = found.schema["plot_id"].dataType.simpleString()
+    spark.sql(f"""
+CREATE OR REPLACE TEMPORARY FUNCTION fn_validate_plot(plot {kind})
+RETURNS TABLE(is_valid BOOLEAN, reason STRING, repaired_wkt STRING)
+RETURN SELECT v.is_valid, v.reason, v.repaired_wkt FROM plot_validity v WHERE v.plot_id = fn_validate_plot.plot""")

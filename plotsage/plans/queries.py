@@ -16,6 +16,7 @@ from plotsage.operators import agreement, crossings, ledger, overlap, risk, stat
 from plotsage.plans import derive, jobs
 from plotsage.sources import submissions, tables
 from plotsage.sources.shared import shared_folder
+from plotsage.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -159,6 +160,17 @@ def rejected_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return submissions.rejected_files(geojson_submissions(spark, sf_dir))
 
 
+@query(f"WITH {CANON} SELECT DISTINCT sha256(canonical) AS geom_hash, gtype FROM canon WHERE plot_id // 20 % 5 <> 3")
+def streamed_plots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same collections as a stream of files, all of which come again in a later batch: every shape once."""
+    path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    files = geojson_submissions(spark, sf_dir)
+    for batch in ("first", "again"):
+        files.select(F.concat(F.lit(f"{batch}-"), "submission").alias("name"), "value").write.mode("append").partitionBy("name").text(f"{path}/in")
+        ingest.ingest_unique(spark, f"{path}/in", f"{path}/plots", f"{path}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{path}/plots").select("geom_hash", "gtype")
+
+
 @query(f"""WITH {PLOTS} SELECT plot_id, asserted_area_ha, CASE WHEN plot_id % 4 = 0 THEN 'own' ELSE CAST(external_id AS VARCHAR) END AS id, asserted_area_ha IS NOT NULL AS has_area FROM plots""")
 def merged_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = F.when(F.expr("plot_id % 4 = 0"), F.create_map(F.lit("id"), F.lit("own")))
@@ -295,6 +307,14 @@ def plot_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crossings.validity(jobs.closed(derive.plots(spark, sf_dir)))
 
 
+@query(ORACLE_SQL["plot_validity"])
+def validity_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by the session's SQL function, called for every plot."""
+    plots = jobs.closed(derive.plots(spark, sf_dir))
+    sql.register_validity(spark, crossings.validity(plots))
+    return spark.sql("SELECT p.plot_id, v.is_valid, v.reason, v.repaired_wkt FROM {plots} p, LATERAL fn_validate_plot(p.plot_id) v", plots=plots.select("plot_id"))
+
+
 #: Pairs of segments over all rings of a plot, and which ring lies in which: by a vertex that is not on the other ring.
 MULTI = f"""mp AS ({derive.multi_sql(D)}), pr AS (SELECT plot_id, generate_subscripts(parts, 1) AS part, unnest(parts) AS rs FROM mp), mr AS (SELECT plot_id, part, generate_subscripts(rs, 1) AS ring, unnest(rs) AS r FROM pr),
 ms AS (SELECT plot_id, part, ring, i, len(r) - 1 AS n, r[i] AS a, r[i + 1] AS b FROM (SELECT *, unnest(range(1, len(r))) AS i FROM mr)),
@@ -550,6 +570,16 @@ def run_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.replay(derive.ledger(spark, sf_dir), 7)
 
 
+@query(f"WITH {LEDGER} SELECT * FROM led")
+def recorded_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger's sink: half of the runs, then all of them with other values for that half, which are recorded already."""
+    path, rows = f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}", derive.ledger(spark, sf_dir)
+    half = F.col("run_id") % 2 == 0
+    tables.append_ledger(rows.filter(half), path)
+    tables.append_ledger(rows.withColumn("pixel_value", F.when(half, -1.0).otherwise(F.col("pixel_value"))), path)
+    return tables.read_or_empty(spark, path, rows)
+
+
 @query(f"WITH {LEDGER} SELECT run_id, plot_id, layer_order, row_number() OVER (PARTITION BY run_id ORDER BY plot_id, layer_order) AS row_id FROM led")
 def ledger_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.numbered(derive.ledger(spark, sf_dir), "plot_id").select("run_id", "plot_id", "layer_order", F.col("row_id").cast("long").alias("row_id"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from plotsage.operators.validation import first_of_each_hash
+from plotsage.sources.shared import cut
 
 
 def read_or_empty(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
@@ -19,11 +20,32 @@ def read_or_empty(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
         return like.limit(0)
 
 
-def append_new(rows: DataFrame, path: str, key: str, partition_by: str | None = None) -> None:
-    """Append the rows whose key the table does not hold. Writing the same rows twice adds nothing."""
-    there = read_or_empty(rows.sparkSession, path, rows).select(key).distinct()
-    writer = rows.join(there, key, "left_anti").select(*rows.columns).write.mode("append")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+def append_new(rows: DataFrame, path: str, key: str) -> None:
+    """Append the rows whose key the table does not hold. Writing the same rows twice adds nothing.
+
+    Of the table only those keys are brought together that the batch asks for: a semi-join with the batch's keys comes
+    first, which Spark broadcasts where they are few and turns into a Bloom filter of the scan where they are many."""
+    rows = cut(rows, "appended")
+    asked = rows.select(key).distinct()
+    there = read_or_empty(rows.sparkSession, path, rows).select(key).join(asked, key, "left_semi").distinct()
+    rows.join(there, key, "left_anti").select(*rows.columns).write.mode("append").parquet(path)
+
+
+def append_whole_runs(rows: DataFrame, path: str) -> None:
+    """Append the runs (by run_id, null being one of them) that are not recorded yet, each as a partition of its own.
+
+    Nothing of the table is read. The runs that were written whole stand in a list beside the table, to which they are added
+    last. A write that was killed leaves its runs out of the list; they are written again then, over what is there.
+    """
+    spark = rows.sparkSession
+    runs = rows.select("run_id").distinct()
+    recorded = read_or_empty(spark, f"{path}_runs", runs).withColumnRenamed("run_id", "_recorded").distinct()
+    fresh = cut(runs.join(recorded, F.col("run_id").eqNullSafe(F.col("_recorded")), "left_anti"), "fresh-runs")
+    wanted = fresh.select(F.col("run_id").alias("_wanted"))
+    added = rows.join(wanted, F.col("run_id").eqNullSafe(F.col("_wanted")), "left_semi")
+    # few files for each run, and many tasks for one that is large
+    added.hint("rebalance", "run_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
+    fresh.write.mode("append").parquet(f"{path}_runs")
 
 
 def append_plots(features: DataFrame, path: str) -> None:
@@ -45,14 +67,14 @@ def append_runs(features: DataFrame, path: str) -> None:
 
 
 def append_results(results: DataFrame, path: str) -> None:
-    """Results by run: a run that is recorded already is skipped as a whole. Nested columns are stored as JSON."""
+    """Results, partitioned by run: a recorded run is skipped as a whole. Nested columns are stored as JSON."""
     nested = [f.name for f in results.schema.fields if f.dataType.typeName() in ("struct", "array", "map")]
-    append_new(results.withColumns({c: F.to_json(c) for c in nested}), path, "run_id")
+    append_whole_runs(results.withColumns({c: F.to_json(c) for c in nested}), path)
 
 
 def append_ledger(evidence: DataFrame, path: str) -> None:
     """Evidence rows, partitioned by run; a recorded run is skipped."""
-    append_new(evidence, path, "run_id", partition_by="run_id")
+    append_whole_runs(evidence, path)
 
 
 def plots_of_run(plots: DataFrame, run_id: str) -> DataFrame:
@@ -71,9 +93,9 @@ def append_consignments(fresh: DataFrame, path: str) -> None:
 
 
 def results_from_json(results: DataFrame, like: DataFrame) -> DataFrame:
-    """Stored results with the nested columns of like read back from their JSON."""
+    """Stored results with the columns of like, nested ones read back from their JSON."""
     nested = {f.name: f.dataType for f in like.schema.fields if f.dataType.typeName() in ("struct", "array", "map")}
-    return results.withColumns({c: F.from_json(c, kind) for c, kind in nested.items() if c in results.columns})
+    return results.withColumns({c: F.from_json(c, kind) for c, kind in nested.items() if c in results.columns}).select(*[c for c in like.columns if c in results.columns])
 
 
 def with_consignments(plots: DataFrame, fresh: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Submissions as a stream of files: each batch goes through the batch sinks, so that a replayed batch adds nothing."""
+"""Submissions as a stream of files: through the batch sinks, so that a replayed batch adds nothing, or deduplicated in the stream."""
 
 from __future__ import annotations
 
@@ -16,6 +16,24 @@ def features_of(files: DataFrame) -> DataFrame:
     return parse_geojson(told.filter("format = 'geojson'")).unionByName(parse_csv_text(told.filter("format = 'csv'")))
 
 
+def files_of(spark: SparkSession, source: str) -> DataFrame:
+    """Files of a folder as they come: submission and value."""
+    return spark.readStream.format("text").option("wholetext", True).load(source).select(F.input_file_name().alias("submission"), "value")
+
+
+def ingest_unique(spark: SparkSession, source: str, target: str, checkpoint: str, within: str = "30 days") -> StreamingQuery:
+    """Watch a folder of submissions; write the plots with geometry under target, the first of each geom_hash.
+
+    The hashes seen are the stream's own state, by key, which the checkpoint keeps: no batch reads the table, and files that
+    come at one time or in different batches give a plot once. A hash is forgotten once it was first seen longer ago than
+    within, which bounds the state. Ends when all files are read.
+    """
+    features = features_of(files_of(spark, source)).filter("parts is not null").withColumn("seen_at", F.current_timestamp())
+    unique = features.withWatermark("seen_at", within).dropDuplicatesWithinWatermark(["geom_hash"])
+    rows = unique.withColumn("plot_id", F.substring("geom_hash", 1, 16))
+    return rows.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def ingest(spark: SparkSession, source: str, target: str, checkpoint: str) -> StreamingQuery:
     """Watch a folder of submissions; write plots and ingestion runs under target. Ends when all files are read."""
 
@@ -25,5 +43,4 @@ def ingest(spark: SparkSession, source: str, target: str, checkpoint: str) -> St
         tables.append_runs(features, f"{target}/runs")
         features.unpersist()
 
-    stream = spark.readStream.format("text").option("wholetext", True).load(source).select(F.input_file_name().alias("submission"), "value")
-    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return files_of(spark, source).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

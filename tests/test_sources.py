@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plotsage.plans import derive, jobs
 from plotsage.sources import exports, submissions, tables
-from plotsage.streaming.ingest import ingest
+from plotsage.streaming.ingest import ingest, ingest_unique
 
 COLLECTION = {
     "type": "FeatureCollection",
@@ -65,6 +65,43 @@ def test_stream_replay_adds_nothing(spark, folder):
     assert spark.read.parquet(f"{folder}/out/runs").count() == 3
 
 
+def test_stream_keeps_the_first_of_each_shape(spark, folder):
+    """Two files with one plot come together, and one of them again later: one row, though the table is never read."""
+    (folder / "in/d.geojson").write_text(json.dumps(COLLECTION), encoding="utf-8")
+    run = lambda: ingest_unique(spark, f"{folder}/in", f"{folder}/out", f"{folder}/state").awaitTermination()
+    run()
+    first = {r.geom_hash: r.submission for r in spark.read.parquet(f"{folder}/out").collect()}
+    assert len(first) == 5
+    (folder / "in/e.geojson").write_text(json.dumps(COLLECTION), encoding="utf-8")
+    (folder / "in/f.dat").write_text('{"type":"Point","coordinates":[108.03,12.65]}', encoding="utf-8")
+    run()
+    again = spark.read.parquet(f"{folder}/out").collect()
+    assert len(again) == 6 and {r.geom_hash: r.submission for r in again if r.geom_hash in first} == first
+    assert all(r.plot_id == r.geom_hash[:16] for r in again)
+
+
+def test_killed_write_of_a_run_is_made_good(spark, tmp_path):
+    """A run whose files are there but which is not in the list was not written whole: the next write replaces it."""
+    rows = spark.createDataFrame([("r1", 1), ("r1", 2), (None, 3), ("r2", 4)], "run_id string, plot_id long")
+    path = f"{tmp_path}/ledger"
+    rows.filter("plot_id = 1").write.partitionBy("run_id").parquet(path)  # what the killed write left
+    stored = lambda: sorted((r.run_id or "", r.plot_id) for r in tables.read_or_empty(spark, path, rows).collect())
+    for _ in range(2):
+        tables.append_ledger(rows.filter("plot_id < 4"), path)
+        assert stored() == [("", 3), ("r1", 1), ("r1", 2)]
+    tables.append_ledger(rows.withColumn("plot_id", F.col("plot_id") * 10), path)  # r1 and null are recorded
+    assert stored() == [("", 3), ("r1", 1), ("r1", 2), ("r2", 40)]
+    tables.append_ledger(rows.limit(0), path)
+    assert len(stored()) == 4
+
+
+def test_append_reads_the_keys_that_a_batch_asks_for(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1), ("b", 2), ("b", 3), (None, 4)], "key string, n long")
+    tables.append_new(rows.filter("n < 3"), f"{tmp_path}/t", "key")
+    tables.append_new(rows, f"{tmp_path}/t", "key")
+    assert sorted(r.n for r in spark.read.parquet(f"{tmp_path}/t").collect()) == [1, 2, 4]
+
+
 def test_ledger_and_results_sinks(spark, tmp_path):
     rows = spark.createDataFrame([("r1", 1, [1]), ("r1", 2, [2])], "run_id string, plot_id long, risk array<int>")
     tables.append_results(rows, f"{tmp_path}/results")
