@@ -14,7 +14,7 @@ from plotsage.functions import geometry as g
 from plotsage.functions import sql, text
 from plotsage.operators import agreement, crossings, ledger, overlap, risk, statements, validation, zonal
 from plotsage.plans import derive, jobs
-from plotsage.sources import submissions, tables
+from plotsage.sources import exports, submissions, tables
 from plotsage.sources.shared import shared_folder
 from plotsage.streaming import ingest
 
@@ -580,6 +580,24 @@ def recorded_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read_or_empty(spark, path, rows)
 
 
+_SHA = "CAST('0x' || sha256(line)[{a}:{b}] AS BIGINT)"
+_SUMS = ", ".join(f"coalesce(sum({_SHA.format(a=a, b=a + 14)}), 0)" for a in (1, 16, 31, 46))
+_LINE = lambda columns: "json_object(" + ", ".join(f"'{c}', {c}" for c in columns.split()) + ")"
+
+
+@query(f"""WITH {LEDGER}, {RESULTS}, ln AS (SELECT 'ledger' AS section, CAST({_LINE("run_id plot_id dataset_name dataset_version pixel_value covered_fraction verdict id layer_order")} AS VARCHAR) AS line FROM led
+  UNION ALL SELECT 'results', CAST({_LINE("plot_id id run_id verdict")} AS VARCHAR) FROM res)
+SELECT section, count(*) AS n, sha256(concat_ws(':', count(*), {_SUMS})) AS digest, section || '-' || left(sha256(concat_ws(':', count(*), {_SUMS})), 16) AS folder, '2026-06-18' AS as_of FROM ln GROUP BY section""")
+def export_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of an export of ledger and results, made twice at one clock."""
+    path = f"{shared_folder(spark)}/export-{uuid.uuid4().hex}"
+    results = derive.results(spark, sf_dir).select("plot_id", "id", "run_id", "verdict")
+    sections = {"ledger": (derive.ledger(spark, sf_dir), ["run_id", "id"]), "results": (results, ["run_id", "id"])}
+    for _ in range(2):
+        exports.publish(sections, path, "2026-06-18")
+    return spark.read.schema("section string, n long, digest string, folder string, as_of string").json(f"{path}/manifest")
+
+
 @query(f"WITH {LEDGER} SELECT run_id, plot_id, layer_order, row_number() OVER (PARTITION BY run_id ORDER BY plot_id, layer_order) AS row_id FROM led")
 def ledger_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.numbered(derive.ledger(spark, sf_dir), "plot_id").select("run_id", "plot_id", "layer_order", F.col("row_id").cast("long").alias("row_id"))

@@ -1,13 +1,17 @@
-"""Exports: map features, snapshots of plots and ledgers, and an index."""
+"""Exports: map features, snapshots of plots, ledgers and statements with a manifest, and an index."""
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from plotsage.operators import ledger, risk
 from plotsage.operators.statements import coordinates_json
 from plotsage.operators.validation import dominating
+from plotsage.sources.shared import cut
 
 
 def map_features(processed: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -31,11 +35,53 @@ def write_map(processed: DataFrame, evidence: DataFrame, path: str) -> None:
     map_features(processed, evidence).select("feature").write.mode("overwrite").text(path)
 
 
-def snapshot(processed: DataFrame, evidence: DataFrame, path: str) -> None:
-    """Payload of each plot, the numbered ledger, and the index of tiers and uncertain plots, each as JSON."""
-    processed.write.mode("overwrite").json(f"{path}/plots")
-    ledger.numbered(evidence, "plot_id").write.mode("overwrite").json(f"{path}/ledger")
-    index(processed).write.mode("overwrite").json(f"{path}/index")
+def json_lines(rows: DataFrame, *order: str) -> DataFrame:
+    """order and line: each row as JSON, nulls written out."""
+    return rows.select(*order, F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("line"))
+
+
+def digests(sections: dict[str, DataFrame]) -> DataFrame:
+    """section, n and digest of tables of lines. A digest is that of sums over the hashes of all lines: it tells which lines there are
+    and how often, whatever their order, and no task gathers them."""
+    sums = [F.sum(F.conv(F.substring("sha", at, 15), 16, 10).cast("decimal(38,0)")).alias(f"s{at}") for at in (1, 16, 31, 46)]
+    each = []
+    for name, lines in sections.items():
+        found = lines.select(F.sha2("line", 256).alias("sha")).agg(F.count("*").alias("n"), *sums)
+        each.append(found.select(F.lit(name).alias("section"), "n", F.sha2(F.concat_ws(":", "n", *[F.coalesce(F.col(f"s{at}").cast("string"), F.lit("0")) for at in (1, 16, 31, 46)]), 256).alias("digest")))
+    return functools.reduce(DataFrame.unionByName, each)
+
+
+def publish(sections: dict[str, tuple[DataFrame, list[str]]], path: str, as_of: str) -> None:
+    """Write tables as JSON lines, in the order of the columns named, under path/<section>-<digest>, and then path/manifest.
+
+    The manifest has section, n, digest, folder and as_of, a clock the caller sets. It is written last: an export that was killed
+    leaves the one before as it was. A section whose lines have not changed keeps its folder and is not written again, so a
+    second export of the same rows at the same clock is equal byte by byte.
+    """
+    spark = next(iter(sections.values()))[0].sparkSession
+    lines = {name: (cut(json_lines(rows, *order), f"export-{name}"), order) for name, (rows, order) in sections.items()}
+    fresh = digests({name: found for name, (found, _) in lines.items()})
+    folder = F.concat_ws("-", "section", F.substring("digest", 1, 16))
+    manifest = cut(fresh.select("section", "n", "digest", folder.alias("folder"), F.lit(as_of).alias("as_of")), "export-manifest")
+    try:
+        known = {r["folder"] for r in spark.read.schema(manifest.schema).json(f"{path}/manifest").collect()}  # one row for each section
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        known = set()
+    for r in manifest.collect():
+        found, order = lines[r["section"]]
+        if r["folder"] not in known:
+            found.repartitionByRange(*order).sortWithinPartitions(*order, "line").select("line").write.mode("overwrite").text(f"{path}/{r['folder']}")
+    manifest.coalesce(1).sortWithinPartitions("section").write.mode("overwrite").json(f"{path}/manifest")
+
+
+def snapshot(processed: DataFrame, evidence: DataFrame, path: str, as_of: str, statements: DataFrame | None = None) -> None:
+    """Payload of each plot, the numbered ledger, the index of tiers and uncertain plots, and statements, with a manifest."""
+    sections = {"plots": (processed, ["plot_id"]), "ledger": (ledger.numbered(evidence, "plot_id"), ["run_id", "row_id"]), "index": (index(processed), ["risk"])}
+    if statements is not None:
+        sections["statements"] = (statements, ["consignment"])
+    publish(sections, path, as_of)
 
 
 def index(processed: DataFrame) -> DataFrame:

@@ -95,6 +95,26 @@ def test_killed_write_of_a_run_is_made_good(spark, tmp_path):
     assert len(stored()) == 4
 
 
+def test_exports_at_one_clock_are_equal(spark, tmp_path):
+    rows = spark.range(500).select(F.col("id").alias("plot_id"), F.when(F.col("id") % 3 > 0, F.col("id") / 8).alias("ha"))
+    index = spark.createDataFrame([("low", 3), (None, 1)], "risk string, n long")
+    told = lambda: {p.name: p.read_bytes() for p in (tmp_path / "x/manifest").glob("*.json")}.values()
+    text = lambda folder: b"".join(p.read_bytes() for p in sorted((tmp_path / "x" / folder).glob("part-*")))
+    exports.publish({"plots": (rows, ["plot_id"]), "index": (index, ["risk"])}, f"{tmp_path}/x", "2026-01-01")
+    first, folders = b"".join(told()), {p.name: p.stat().st_mtime_ns for p in (tmp_path / "x").iterdir() if p.name != "manifest"}
+    lines = [json.loads(x) for x in first.splitlines()]
+    assert [(x["section"], x["n"], x["as_of"]) for x in lines] == [("index", 2, "2026-01-01"), ("plots", 500, "2026-01-01")]
+    assert [json.loads(x) for x in text(lines[1]["folder"]).splitlines()] == [{"plot_id": i, "ha": i / 8 if i % 3 else None} for i in range(500)]
+    # the same rows in another order: equal bytes, and nothing is written but the manifest
+    exports.publish({"plots": (rows.repartition(7, "ha"), ["plot_id"]), "index": (index, ["risk"])}, f"{tmp_path}/x", "2026-01-01")
+    assert b"".join(told()) == first and {p.name: p.stat().st_mtime_ns for p in (tmp_path / "x").iterdir() if p.name != "manifest"} == folders
+    # one row twice: another digest, another folder; the other section stays
+    exports.publish({"plots": (rows.unionByName(rows.limit(1)), ["plot_id"]), "index": (index, ["risk"])}, f"{tmp_path}/x", "2026-01-02")
+    again = [json.loads(x) for x in b"".join(told()).splitlines()]
+    assert again[0]["folder"] == lines[0]["folder"] and again[1]["folder"] != lines[1]["folder"] and again[1]["n"] == 501
+    exports.publish({"none": (rows.limit(0), ["plot_id"])}, f"{tmp_path}/y", "2026-01-01")  # an empty table has a folder and a digest too
+
+
 def test_append_reads_the_keys_that_a_batch_asks_for(spark, tmp_path):
     rows = spark.createDataFrame([("a", 1), ("b", 2), ("b", 3), (None, 4)], "key string, n long")
     tables.append_new(rows.filter("n < 3"), f"{tmp_path}/t", "key")
