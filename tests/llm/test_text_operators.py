@@ -162,12 +162,17 @@ def test_recall_of_planted_words_and_false_discoveries(spark, sf_dir):
         joint = draw.choice(["", "-", "_", "/", ""])
         rows.append((len(rows), f"about the {joint.join(draw.choice(parts) for _ in range(draw.randrange(4, 9)))} of water and 15 farms of the North District in 2020, DATA and income"))
     given = spark.read.parquet(f"{sf_dir}/documents.parquet").select((F.col("doc_id") + 1_000_000).alias("doc_id"), "text")
-    got = {r.doc_id: r.more for r in secrets.find(spark.createDataFrame(rows, "doc_id long, text string").unionByName(given)).collect()}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").unionByName(given)
+    got = {r.doc_id: r.more for r in secrets.find(docs).collect()}
     found = collections.Counter(kind_of[d] for d, more in got.items() if more and d in kind_of)
     for kind, n in kinds.items():
         assert found[kind] >= (0.75 if kind in (("base62", 20), ("base32", 26)) else 0.9) * n, (kind, found)
-    false = sum(bool(more) for d, more in got.items() if d not in kind_of)
-    assert false <= 0.01 * sum(found.values()) + 3, false  # the rate holds on average
+    # these identifiers are put together of few words, unlike the null: up to three in a hundred reports are false, and one with odds of 100
+    false = lambda got: sum(bool(more) for d, more in got.items() if d not in kind_of)
+    assert false(got) <= 0.03 * sum(map(bool, got.values()))
+    sure = {r.doc_id: r.more for r in secrets.find(docs, odds=100).collect()}
+    assert false(sure) <= 0.01 * sum(map(bool, sure.values()))
+    assert all(set(sure[d]) <= set(got[d]) for d in sure)
 
 
 def test_copies_of_a_word_count_once(spark):
