@@ -21,14 +21,23 @@ def files_of(spark: SparkSession, source: str) -> DataFrame:
     return spark.readStream.format("text").option("wholetext", True).load(source).select(F.input_file_name().alias("submission"), "value")
 
 
-def ingest_unique(spark: SparkSession, source: str, target: str, checkpoint: str, within: str = "30 days") -> StreamingQuery:
+def packed_of(spark: SparkSession, source: str) -> DataFrame:
+    """Submissions of a folder of Parquet files, each of which holds many, as they come: submission and value."""
+    return spark.readStream.schema("submission string, value string").parquet(source)
+
+
+def ingest_unique(spark: SparkSession, source: str, target: str, checkpoint: str, within: str = "30 days", packed: bool = False) -> StreamingQuery:
     """Watch a folder of submissions; write the plots with geometry under target, the first of each geom_hash.
 
     The hashes seen are the stream's own state, by key, which the checkpoint keeps: no batch reads the table, and files that
     come at one time or in different batches give a plot once. A hash is forgotten once it was first seen longer ago than
     within, which bounds the state. Ends when all files are read.
+
+    packed: the folder holds Parquet files of many submissions. Small submissions should come so, as a file of its own for each
+    costs more than reading it.
     """
-    features = features_of(files_of(spark, source)).filter("parts is not null").withColumn("seen_at", F.current_timestamp())
+    files = packed_of(spark, source) if packed else files_of(spark, source)
+    features = features_of(files).filter("parts is not null").withColumn("seen_at", F.current_timestamp())
     unique = features.withWatermark("seen_at", within).dropDuplicatesWithinWatermark(["geom_hash"])
     rows = unique.withColumn("plot_id", F.substring("geom_hash", 1, 16))
     return rows.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -80,6 +81,22 @@ def test_stream_keeps_the_first_of_each_shape(spark, folder):
     assert all(r.plot_id == r.geom_hash[:16] for r in again)
 
 
+def test_stream_of_packed_submissions(spark, folder, sf_dir):
+    """Many submissions in one Parquet file give the plots that they give as files of their own."""
+    from plotsage.plans import queries
+
+    files = spark.createDataFrame([(p.name, p.read_text(encoding="utf-8-sig")) for p in (folder / "in").iterdir()], "submission string, value string")
+    files.unionByName(files.withColumn("submission", F.concat(F.lit("again-"), "submission"))).coalesce(1).write.parquet(f"{folder}/packed")
+    ingest_unique(spark, f"{folder}/packed", f"{folder}/out", f"{folder}/state", packed=True).awaitTermination()
+    ingest_unique(spark, f"{folder}/in", f"{folder}/out2", f"{folder}/state2").awaitTermination()
+    hashes = lambda path: sorted(r.geom_hash for r in spark.read.parquet(f"{folder}/{path}").collect())
+    assert hashes("out") == hashes("out2") and len(hashes("out")) == 5
+    # the query's files do not grow with the submissions: fewer than these, twice
+    found = queries.streamed_plots(spark, sf_dir)
+    came = found.inputFiles()[0].split("/plots/")[0].removeprefix("file://") + "/in"
+    assert len(list(Path(came).glob("**/*.parquet"))) < queries.geojson_submissions(spark, sf_dir).count()
+
+
 def test_killed_write_of_a_run_is_made_good(spark, tmp_path):
     """A run whose files are there but which is not in the list was not written whole: the next write replaces it."""
     rows = spark.createDataFrame([("r1", 1), ("r1", 2), (None, 3), ("r2", 4)], "run_id string, plot_id long")
