@@ -299,6 +299,27 @@ def test_statement(spark):
     assert len(spark.range(1).select(statements.legality().alias("l")).first().l) == 8
 
 
+def test_plots_of_statements_are_assessed_once(spark, sf_dir, monkeypatch):
+    """What a statement is made of asks for its plots several times; their samples are made once."""
+    from plotsage.plans import queries
+
+    made, plain = spark.sparkContext.accumulator(0), queries.samples_of
+
+    def counted(spark, plots):
+        found = plain(spark, plots)
+
+        def count(batches):
+            for batch in batches:
+                made.add(batch.num_rows)
+                yield batch
+
+        return found.mapInArrow(count, found.schema)
+
+    monkeypatch.setattr(queries, "samples_of", counted)
+    assert queries.statement_headers(spark, sf_dir).collect()
+    assert made.value == queries.sampleable(spark, sf_dir).count()
+
+
 def test_issues(spark):
     df = jobs.feature_issues(parsed(spark, *PATHOLOGIES, "POLYGON((0 0, 1 1, 0 0))").filter("gtype is not null"))
     rows = {r.raw: r.issues for r in df.collect()}
