@@ -12,6 +12,7 @@ the different words of the whole corpus, those to report. A short word has littl
 
 from __future__ import annotations
 
+import itertools
 import math
 import pickle
 import re
@@ -22,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plotsage.llm.common import byte_table, cut, id_column, pieces, words
@@ -62,9 +63,9 @@ LEAST = 16
 #: score only knows how ordinary words differ from random ones, not how woven or counted ones do, so this is not left to chance:
 #: about a hundredth of all random words is given up for it.
 RATE, LEAST_P = 0.01, 0.01
-#: Ordinary words of each class that the null is made of (those of the smallest hashes), and the ordinary words, and as many
-#: random ones, that each stratum's laws are fitted to. These samples have the same size whatever the corpus has.
-NULL_VOCABULARY, NULL_WORDS = 1024, 2048
+#: Words that are drawn from each of the two laws of a stratum, to fit them: how often that is done, no part of the corpus. What
+#: ordinary words are made of is drawn from all occurrences of all short words.
+NULL_WORDS = 2048
 #: The share of the null whose scores give the tail: beyond it, chances fall off exponentially by the mean excess.
 TAIL = 0.05
 #: Lengths that share a null are those from one step to the next; longer words use the last.
@@ -201,69 +202,54 @@ def scan_batches(batches):
 CLASSES = ("lower", "capital", "upper", "digit", "mixed")
 
 
-def short_words(docs: DataFrame, keep: int = NULL_VOCABULARY) -> dict[str, list[tuple[str, int]]]:
-    """By class, ordinary words of 2 to 15 letters and digits, and how often the corpus has them.
-
-    Of each class those of the keep smallest hashes: each task keeps its own smallest, so that counts are whole."""
+def short_words(docs: DataFrame) -> DataFrame:
+    """class, hash, word and n: every different ordinary word of 2 to 15 letters and digits, and how often the corpus has it."""
     table = byte_table(lower=False)
     flags = np.zeros((3, 256), np.int64)
     for row, span in zip(flags, ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"), strict=True):
         row[np.frombuffer(span.encode(), np.uint8)] = 1
 
     def run(batches):
-        counts: list[dict[int, list]] = [{} for _ in CLASSES]
         for batch in batches:
             for _, _, data, offsets in pieces(batch.column("text")):
                 hashes, start, end, _ = words(data, offsets, table, flags.sum(0) > 0)
                 short = np.flatnonzero((end - start >= 2) & (end - start < LEAST))
-                hashes, start, end = hashes[short], start[short], end[short]
-                low, up, digit = (np.concatenate([[0], np.cumsum(f[data])])[end] - np.concatenate([[0], np.cumsum(f[data])])[start] for f in flags)
-                n = end - start
+                distinct, first, times = np.unique(hashes[short], return_index=True, return_counts=True)
+                start, n = start[short][first], (end - start)[short][first]
+                to = np.concatenate([[0], np.cumsum(n)])
+                symbols = data[np.arange(to[-1]) + np.repeat(start - to[:-1], n)]
+                word = pa.Array.from_buffers(pa.string(), len(n), [None, pa.py_buffer(to.astype(np.int32).tobytes()), pa.py_buffer(symbols.tobytes())])
+                low, up, digit = (np.diff(np.concatenate([[0], np.cumsum(f[symbols])])[to]) for f in flags)
                 first_up = flags[1][data[start]] == 1 if len(start) else np.zeros(0, bool)
                 kind = np.select([low == n, (low == n - 1) & first_up, up == n, digit == n], [0, 1, 2, 3], 4)
-                for c in range(len(CLASSES)):
-                    of = np.flatnonzero(kind == c)
-                    distinct, first, times = np.unique(hashes[of], return_index=True, return_counts=True)
-                    for h, i, t in zip(distinct[:keep].tolist(), first[:keep], times[:keep].tolist(), strict=True):
-                        if h in counts[c]:
-                            counts[c][h][1] += t
-                        else:
-                            counts[c][h] = [data[start[of[i]] : end[of[i]]].tobytes().decode(), t]
-                    if len(counts[c]) > 4 * keep:
-                        counts[c] = {h: counts[c][h] for h in sorted(counts[c])[:keep]}
-        out = [{"class": c, "hash": h - (1 << 63), "word": w, "n": t} for c, found in zip(CLASSES, counts, strict=True) for h, (w, t) in sorted(found.items())[:keep]]
-        yield pa.RecordBatch.from_pylist(out, pa.schema([("class", pa.string()), ("hash", pa.int64()), ("word", pa.string()), ("n", pa.int64())]))
+                yield pa.RecordBatch.from_arrays([pa.array(CLASSES, pa.string()).take(pa.array(kind, pa.int64())), pa.array((distinct ^ np.uint64(1 << 63)).view(np.int64)), word, pa.array(times, pa.int64())], names=["class", "hash", "word", "n"])
 
     kept = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "class string, hash long, word string, n long")
-    kept = cut(kept.groupBy("class", "hash").agg(F.min("word").alias("word"), F.sum("n").alias("n")), "secrets-words")
-    return {c: [(r["word"], r["n"]) for r in kept.filter(F.col("class") == c).orderBy("hash").limit(keep).collect()] for c in CLASSES}
+    return cut(kept.groupBy("class", "hash").agg(F.min("word").alias("word"), F.sum("n").alias("n")), "secrets-words")
 
 
-def null_words(ordinary: dict[str, list[tuple[str, int]]], name: str, length: int, n: int = NULL_WORDS) -> list[str]:
-    """n words of that encoding and length as ordinary writing strings them together: short words of the corpus, drawn by
-    how often they occur, among them words with the letters and digits that the encoding is known by, and joined by marks
-    where it has any. Where the corpus has no such words, plain counting stands for digits and the alphabet's first for letters."""
+def wanted_classes(name: str) -> list[str]:
+    """The classes of which each ordinary word of an encoding has one, as it is known by their symbols."""
+    return [c for c, of in (("digit", "0123456789"), ("capital", "Q"), ("lower", "q")) if set(of) & set(ALPHABETS[name]) and not (c != "digit" and name in ("hex", "HEX"))]
+
+
+def fitter(name: str):
+    """What an encoding's alphabet leaves of a word."""
     symbols = set(ALPHABETS[name])
     cased = {"hex": str.lower, "HEX": str.upper, "lower": str.lower, "UPPER": str.upper, "base32": str.upper, "base36": str.lower, "BASE36": str.upper}.get(name, str)
-    fitted = lambda w: "".join(c for c in cased(w) if c in symbols)
-    pools: dict[str, tuple[list[str], np.ndarray]] = {}
-    for c, found in ordinary.items():
-        tidy = [(f, t) for w, t in found if (f := fitted(w))]
-        if tidy:
-            pools[c] = [w for w, _ in tidy], np.cumsum([t for _, t in tidy], dtype=float)
-    merged = [(w, t) for ws, ts in pools.values() for w, t in zip(ws, np.diff(ts, prepend=0), strict=True)] or [("".join(sorted(symbols))[:9], 1.0)]
-    pools["any"] = [w for w, _ in merged], np.cumsum([t for _, t in merged])
-    pools.setdefault("digit", (["1", "12", "123", "2000"], np.arange(1.0, 5.0)))
-    pools.setdefault("capital", pools.get("upper", pools["any"]))
-    marks = sorted(symbols & set("+/-_"))
-    wanted = [c for c, of in (("digit", "0123456789"), ("capital", "Q"), ("lower", "q")) if set(of) & symbols and c in pools and not (c != "digit" and name in ("hex", "HEX"))]
-    draw = np.random.default_rng(abs(hash_of(f"{name}:{length}")))
+    return lambda w: "".join(c for c in cased(w) if c in symbols)
+
+
+def strung(name: str, length: int, n: int, wanted: list[str], pick, draw: np.random.Generator) -> list[str]:
+    """n words of words that pick gives by class: one of each wanted class and any others, shuffled, joined by marks where the encoding has any."""
+    marks = sorted(set(ALPHABETS[name]) & set("+/-_"))
     out: list[str] = []
-    pick = lambda c: pools[c][0][int(np.searchsorted(pools[c][1], draw.random() * pools[c][1][-1], side="right"))]
     for _ in range(n):
         parts = [pick(c) for c in wanted]
-        while sum(map(len, parts)) < length:
+        size = sum(map(len, parts))
+        while size < length:
             parts.append(pick("any"))
+            size += len(parts[-1])
         order = draw.permutation(len(parts))
         joint = marks[int(draw.integers(len(marks)))] if marks else ""
         word = joint.join(parts[i] for i in order)
@@ -272,6 +258,105 @@ def null_words(ordinary: dict[str, list[tuple[str, int]]], name: str, length: in
     return out
 
 
+#: Null words that are made in one go; even parts of each class's occurrences, by which draws meet words; hashes are summed by their first bits.
+GO, BLOCKS, HASH_BITS = 128, 128, 8
+#: What identifiers are strung together of is less often in small letters than running text is: classes are drawn by this power of
+#: how often they occur, words within a class by how often they occur. Words of mixed classes are often random and keep their share.
+CLASS_POWER = 0.4
+
+
+def draws(stratum: str, totals: dict[str, int], shares: dict[str, float]) -> Iterator[pa.RecordBatch]:
+    """What the null words of a stratum are made of: occurrences of short words, each drawn evenly from all that its class has.
+
+    totals: how many these are; shares: how often a class is drawn for any. stream: the class asked for, or any. at: the place among the class's occurrences. A few more are drawn than are needed on average."""
+    name, length = stratum.split(":")
+    draw, some = np.random.default_rng(abs(hash_of(f"{name}:{length}"))), [c for c in CLASSES if totals.get(c)]
+    upto, all_of = np.cumsum([shares[c] for c in some]), np.array([totals[c] for c in some])
+    per_word = {c: 2 for c in wanted_classes(name)} | {"any": math.ceil(int(length) * (1.2 if name in ("hex", "HEX") else 1 / 3))}
+    for go in range(NULL_WORDS // GO):
+        for stream, each in per_word.items():
+            u = draw.random(GO * each)
+            of = {"capital": "upper"}.get(stream, stream) if stream not in some else stream
+            if stream == "any" or (of not in some and stream == "capital"):
+                kind = np.searchsorted(upto[:-1], u * upto[-1], side="right")
+                at = (draw.random(len(u)) * all_of[kind]).astype(np.int64)
+            elif of in some:
+                kind, at = np.full(len(u), some.index(of)), (u * totals[of]).astype(np.int64)
+            else:
+                continue
+            size = all_of[kind]
+            block = (at.astype(object) * BLOCKS // size).astype(np.int64) if size.max() > 1 << 55 else at * BLOCKS // size
+            yield pa.RecordBatch.from_pydict({
+                "stratum": [stratum] * len(u), "go": pa.array([go] * len(u), pa.int32()), "stream": [stream] * len(u), "nth": pa.array(np.arange(len(u)), pa.int32()),
+                "class": pa.array(some, pa.string()).take(pa.array(kind, pa.int64())), "block": pa.array(block, pa.int64()), "at": pa.array(at, pa.int64()),
+            })
+
+
+def drawn_words(counted: DataFrame, strata: list[str]) -> DataFrame | None:
+    """stratum, go, stream, nth and word of all draws(); None if the corpus has no short words.
+
+    counted: short_words(). Its rows get their places among all occurrences of their class; a frequent word lies in many blocks."""
+    spark = counted.sparkSession
+    sums = counted.groupBy("class", F.shiftright("hash", 64 - HASH_BITS).alias("bits")).agg(F.sum("n").alias("n")).orderBy("class", "bits").collect()  # bounded: classes times 256
+    totals, bases = {}, []
+    for r in sums:
+        bases.append((r["class"], r["bits"], totals.get(r["class"], 0)))
+        totals[r["class"]] = totals.get(r["class"], 0) + r["n"]
+    if not totals:
+        return None
+    shares = {c: n**CLASS_POWER for c, n in totals.items() if c != "mixed"}
+    if "mixed" in totals:
+        shares["mixed"] = (sum(shares.values()) or 1.0) * totals["mixed"] / sum(totals.values())
+    base = spark.createDataFrame([(*b, totals[b[0]]) for b in bases], "class string, bits long, base long, total long")
+    placed = counted.withColumn("bits", F.shiftright("hash", 64 - HASH_BITS)).join(F.broadcast(base), ["class", "bits"])
+    placed = placed.withColumn("to", F.col("base") + F.sum("n").over(Window.partitionBy("class", "bits").orderBy("hash"))).withColumn("from", F.col("to") - F.col("n"))
+    placed = placed.select("class", F.explode(F.sequence(F.expr(f"`from` * {BLOCKS} div total"), F.expr(f"(`to` - 1) * {BLOCKS} div total"))).alias("block"), "from", "word")
+
+    def ask(batches):
+        for batch in batches:
+            for stratum in batch.column(0).to_pylist():
+                yield from draws(stratum, totals, shares)
+
+    def meet(have: pa.Table, want: pa.Table) -> pa.Table:
+        have = have.sort_by("from")
+        at = np.searchsorted(have.column("from").to_numpy(), want.column("at").to_numpy(), side="right") - 1
+        return want.select(["stratum", "go", "stream", "nth"]).append_column("word", have.column("word").take(pa.array(at, pa.int64())))
+
+    wanted = spark.createDataFrame([(s,) for s in strata], "stratum string").repartition(min(len(strata), 64), "stratum").mapInArrow(ask, "stratum string, go int, stream string, nth int, class string, block long, at long")
+    return placed.groupBy("class", "block").cogroup(wanted.groupBy("class", "block")).applyInArrow(meet, "stratum string, go int, stream string, nth int, word string")
+
+
+def null_of(streams: dict[str, list[str]], name: str, length: int, go: int) -> list[str]:
+    """Null words of drawn words, which are taken one after the other; those that the alphabet leaves nothing of are passed over,
+    and a stream that runs out begins again. Where there are none, plain counting stands for digits and the alphabet's first for letters."""
+    fitted = fitter(name)
+    tidy = {c: [f for w in found if (f := fitted(w))] for c, found in streams.items()}
+    tidy["any"] = tidy.get("any") or ["".join(sorted(ALPHABETS[name]))[:9]]
+    tidy["digit"] = tidy.get("digit") or ["1", "12", "123", "2000"]
+    tidy["capital"] = tidy.get("capital") or tidy["any"]
+    turn = {c: itertools.cycle(found) for c, found in tidy.items() if found}
+    return strung(name, length, GO, [c for c in wanted_classes(name) if c in turn], lambda c: next(turn[c]), np.random.default_rng(abs(hash_of(f"{name}:{length}")) + go))
+
+
+def null_words(ordinary: dict[str, list[tuple[str, int]]], name: str, length: int, n: int = NULL_WORDS) -> list[str]:
+    """n words of that encoding and length as ordinary writing strings them together: short words (by class, with how often they
+    occur), drawn by how often they occur, among them words with the letters and digits that the encoding is known by, and joined
+    by marks where it has any. Where there are no such words, plain counting stands for digits and the alphabet's first for letters."""
+    fitted = fitter(name)
+    pools: dict[str, tuple[list[str], np.ndarray]] = {}
+    for c, found in ordinary.items():
+        tidy = [(f, t) for w, t in found if (f := fitted(w))]
+        if tidy:
+            pools[c] = [w for w, _ in tidy], np.cumsum([t for _, t in tidy], dtype=float)
+    merged = [(w, t) for ws, ts in pools.values() for w, t in zip(ws, np.diff(ts, prepend=0), strict=True)] or [("".join(sorted(ALPHABETS[name]))[:9], 1.0)]
+    pools["any"] = [w for w, _ in merged], np.cumsum([t for _, t in merged])
+    pools.setdefault("digit", (["1", "12", "123", "2000"], np.arange(1.0, 5.0)))
+    pools.setdefault("capital", pools.get("upper", pools["any"]))
+    draw = np.random.default_rng(abs(hash_of(f"{name}:{length}")))
+    pick = lambda c: pools[c][0][int(np.searchsorted(pools[c][1], draw.random() * pools[c][1][-1], side="right"))]
+    return strung(name, length, n, [c for c in wanted_classes(name) if c in pools], pick, draw)
+
+
 def hash_of(text: str) -> int:
     return int.from_bytes(text.encode()[-7:], "big")
 
@@ -302,23 +387,44 @@ class Law(NamedTuple):
 
 
 def law(ordinary: dict[str, list[tuple[str, int]]], stratum: str) -> Law:
-    """Fitted to as many random as ordinary words. Ordinary words that the battery calls not random score 0 at most."""
+    """Fitted to as many random as ordinary words."""
+    name, length = stratum.split(":")
+    return law_of(measured(null_words(ordinary, name, int(length)), name), stratum)
+
+
+def law_of(z: np.ndarray, stratum: str) -> Law:
+    """z: the statistics of ordinary words; those that the battery calls not random score 0 at most."""
     name, length = stratum.split(":")
-    z = measured(null_words(ordinary, name, int(length)), name)
     found = Law(Normal.of(measured(random_words(name, int(length)), name)), Normal.of(z), np.zeros(0))
     score = found.score(z)
     return found._replace(null=np.sort(np.where(maybe_random(z), score, np.minimum(score, 0.0))))
 
 
-def laws_of(spark: SparkSession, ordinary: dict[str, list[tuple[str, int]]], strata: list[str]) -> dict[str, Law]:
-    """By stratum, each fitted in a task. The driver gets some 20 KB a stratum, of which there are as many as encodings times lengths."""
+def laws_of(docs: DataFrame, strata: list[str]) -> dict[str, Law]:
+    """By stratum. The driver gets some 20 KB a stratum, of which there are as many as encodings times lengths."""
+
+    def make(table: pa.Table) -> pa.Table:
+        stratum, go = table.column("stratum")[0].as_py(), table.column("go")[0].as_py()
+        streams: dict[str, list[str]] = {}
+        for stream, word in zip(*(table.sort_by("nth").column(c).to_pylist() for c in ("stream", "word")), strict=True):
+            streams.setdefault(stream, []).append(word)
+        name, length = stratum.split(":")
+        return pa.table({"stratum": [stratum], "go": pa.array([go], pa.int32()), "z": [measured(null_of(streams, name, int(length), go), name).tobytes()]})
+
+    def fit(table: pa.Table) -> pa.Table:
+        stratum = table.column("stratum")[0].as_py()
+        z = np.concatenate([np.frombuffer(x).reshape(GO, -1) for x in table.sort_by("go").column("z").to_pylist()])
+        return pa.table({"stratum": [stratum], "law": [pickle.dumps(law_of(z, stratum))]})
 
-    def fit(batches):
+    def without(batches):
         for batch in batches:
-            found = [law(ordinary, s) for s in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_pydict({"stratum": batch.column(0), "law": [pickle.dumps(x) for x in found]})
+            yield pa.RecordBatch.from_pydict({"stratum": batch.column(0), "law": [pickle.dumps(law({}, s)) for s in batch.column(0).to_pylist()]})
 
-    each = spark.createDataFrame([(s,) for s in strata], "stratum string").repartition(min(len(strata), 64), "stratum").mapInArrow(fit, "stratum string, law binary")
+    drawn = drawn_words(short_words(docs), strata)
+    if drawn is None:
+        each = docs.sparkSession.createDataFrame([(s,) for s in strata], "stratum string").mapInArrow(without, "stratum string, law binary")
+    else:
+        each = drawn.groupBy("stratum", "go").applyInArrow(make, "stratum string, go int, z binary").groupBy("stratum").applyInArrow(fit, "stratum string, law binary")
     return {r["stratum"]: pickle.loads(r["law"]) for r in each.collect()}
 
 
@@ -383,8 +489,7 @@ def find(docs: DataFrame, rate: float = RATE, odds: float = 1.0) -> DataFrame:
     scanned = cut(docs.select(doc_id.alias("doc_id"), F.col("text").cast("string")).mapInArrow(scan_batches, f"doc_id {kind}, {SCANNED}"), "secrets-scanned")
     # bounded: encodings times lengths
     strata = sorted(r["stratum"] for r in scanned.select(F.explode("more.stratum").alias("stratum")).distinct().collect())
-    ordinary = short_words(docs) if strata else {}
-    laws = laws_of(docs.sparkSession, ordinary, strata) if strata else {}
+    laws = laws_of(docs, strata) if strata else {}
     scored = scanned.mapInArrow(rated(laws), f"doc_id {kind}, {RATED}")
     # a word counts once, however many copies of its text there are
     different = scored.select(F.explode("more").alias("x")).groupBy("x.stratum", "x.word").agg(F.max("x.score").alias("score"))

@@ -175,6 +175,26 @@ def test_recall_of_planted_words_and_false_discoveries(spark, sf_dir):
     assert all(set(sure[d]) <= set(got[d]) for d in sure)
 
 
+def test_null_is_made_of_all_short_words(spark):
+    """Every different short word is counted, in all texts, and drawn by its share of all occurrences."""
+    draw = random.Random(23)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rare = ["".join(draw.choice(letters) for _ in range(draw.randrange(5, 9))) for _ in range(6000)]
+    texts = [" ".join([*rare[i : i + 60], *["water"] * 60, "Farm", "DATA", f"{i}", "a1", "x", "w" * 16]) for i in range(0, 6000, 60)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None, "", "é😀 rare1"])], "doc_id long, text string")
+    counted = secrets.short_words(docs)
+    want = collections.Counter(w for t in [*texts, "rare1"] for w in t.split() if 2 <= len(w) <= 15)
+    assert {r.word: r.n for r in counted.collect()} == want
+    drawn = secrets.drawn_words(counted, ["lower:24", "base62:20"]).collect()
+    low = [r.word for r in drawn if r.stratum == "lower:24" and r.stream == "lower"]
+    assert len(low) == 2 * secrets.NULL_WORDS and set(low) <= set(rare) | {"water"}
+    assert abs(low.count("water") / len(low) - 0.5) < 0.04
+    assert len({w for w in low if w != "water"}) > 1500  # of some 2,050 draws among 6,000 words
+    kinds = {c: {r.word for r in drawn if r.stratum == "base62:20" and r.stream == c} for c in ("capital", "digit")}
+    assert kinds["capital"] == {"Farm"} and kinds["digit"] == {str(i) for i in range(0, 6000, 60) if i > 9}
+    assert {"Farm", "DATA", "a1", "water"} < {r.word for r in drawn if r.stream == "any"}
+
+
 def test_copies_of_a_word_count_once(spark):
     """A table with every row three times has the same spans: copies lend a word no weight."""
     draw = random.Random(22)
