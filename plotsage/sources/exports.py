@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import functools
+import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -43,24 +44,37 @@ def json_lines(rows: DataFrame, *order: str) -> DataFrame:
 def digests(sections: dict[str, DataFrame]) -> DataFrame:
     """section, n and digest of tables of lines. A digest is that of sums over the hashes of all lines: it tells which lines there are
     and how often, whatever their order, and no task gathers them."""
-    sums = [F.sum(F.conv(F.substring("sha", at, 15), 16, 10).cast("decimal(38,0)")).alias(f"s{at}") for at in (1, 16, 31, 46)]
+    places, bits = (1, 16, 31, 46), (0, 20, 40)
+    # each number of 60 bits in three parts, whose sums are whole numbers of 64 bits for any table
+    sums = [F.sum(F.shiftright(f"v{at}", bit).bitwiseAND(F.lit((1 << 20) - 1))).alias(f"s{at}_{bit}") for at in places for bit in bits]
+    whole = lambda at: functools.reduce(Column.__add__, [F.coalesce(F.col(f"s{at}_{bit}"), F.lit(0)).cast("decimal(38,0)") * F.lit(1 << bit).cast("decimal(13,0)") for bit in bits]).cast("decimal(38,0)").cast("string")
     each = []
     for name, lines in sections.items():
-        found = lines.select(F.sha2("line", 256).alias("sha")).agg(F.count("*").alias("n"), *sums)
-        each.append(found.select(F.lit(name).alias("section"), "n", F.sha2(F.concat_ws(":", "n", *[F.coalesce(F.col(f"s{at}").cast("string"), F.lit("0")) for at in (1, 16, 31, 46)]), 256).alias("digest")))
+        hashed = lines.select(F.sha2("line", 256).alias("sha")).select(*[F.conv(F.substring("sha", at, 15), 16, 10).cast("long").alias(f"v{at}") for at in places])
+        found = hashed.agg(F.count("*").alias("n"), *sums)
+        each.append(found.select(F.lit(name).alias("section"), "n", F.sha2(F.concat_ws(":", "n", *map(whole, places)), 256).alias("digest")))
     return functools.reduce(DataFrame.unionByName, each)
 
 
+def stored(rows: DataFrame, label: str) -> DataFrame:
+    """rows as a table that does not change: as they are if cut() gave them, else cut. Types that are null alone become text."""
+    if hasattr(rows, "cut_path"):
+        return rows
+    void = r"(?<![^:<])void(?![^,>])"
+    return cut(rows.select(*[F.col(f"`{c}`").cast(re.sub(void, "string", kind)).alias(c) if re.search(void, kind) else F.col(f"`{c}`") for c, kind in rows.dtypes]), label)
+
+
 def publish(sections: dict[str, tuple[DataFrame, list[str]]], path: str, as_of: str) -> None:
     """Write tables as JSON lines, in the order of the columns named, under path/<section>-<digest>, and then path/manifest.
 
     The manifest has section, n, digest, folder and as_of, a clock the caller sets. It is written last: an export that was killed
     leaves the one before as it was. A section whose lines have not changed keeps its folder and is not written again, so a
-    second export of the same rows at the same clock is equal byte by byte.
+    second export of the same rows at the same clock is equal byte by byte. Rows are kept as columns and made lines where
+    lines are asked for; those that cut() gave are not copied.
     """
     spark = next(iter(sections.values()))[0].sparkSession
-    lines = {name: (cut(json_lines(rows, *order), f"export-{name}"), order) for name, (rows, order) in sections.items()}
-    fresh = digests({name: found for name, (found, _) in lines.items()})
+    kept = {name: (stored(rows, f"export-{name}"), order) for name, (rows, order) in sections.items()}
+    fresh = digests({name: json_lines(rows) for name, (rows, _) in kept.items()})
     folder = F.concat_ws("-", "section", F.substring("digest", 1, 16))
     manifest = cut(fresh.select("section", "n", "digest", folder.alias("folder"), F.lit(as_of).alias("as_of")), "export-manifest")
     try:
@@ -70,9 +84,9 @@ def publish(sections: dict[str, tuple[DataFrame, list[str]]], path: str, as_of:
             raise
         known = set()
     for r in manifest.collect():
-        found, order = lines[r["section"]]
+        rows, order = kept[r["section"]]
         if r["folder"] not in known:
-            found.repartitionByRange(*order).sortWithinPartitions(*order, "line").select("line").write.mode("overwrite").text(f"{path}/{r['folder']}")
+            json_lines(rows.repartitionByRange(*order), *order).sortWithinPartitions(*order, "line").select("line").write.mode("overwrite").text(f"{path}/{r['folder']}")
     manifest.coalesce(1).sortWithinPartitions("section").write.mode("overwrite").json(f"{path}/manifest")
 
 

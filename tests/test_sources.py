@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from pathlib import Path
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from plotsage.plans import derive, jobs
 from plotsage.sources import exports, submissions, tables
+from plotsage.sources.shared import cut, shared_folder
 from plotsage.streaming.ingest import ingest, ingest_unique
 
 COLLECTION = {
@@ -132,6 +134,23 @@ def test_exports_at_one_clock_are_equal(spark, tmp_path):
     exports.publish({"none": (rows.limit(0), ["plot_id"])}, f"{tmp_path}/y", "2026-01-01")  # an empty table has a folder and a digest too
 
 
+def test_exports_copy_no_stored_rows_and_write_no_lines_twice(spark, tmp_path):
+    rows = spark.range(300).select(F.col("id").alias("plot_id"), F.lit(None).alias("none"), F.array().alias("empty"), F.col("id").cast("string").alias("void"))
+    shared = Path(shared_folder(spark).removeprefix("file://"))
+    tables_of = lambda label: sorted(shared.glob(f"{label}-*"))
+    before = tables_of("export-stored")
+    exports.publish({"stored": (cut(rows.select("plot_id"), "rows"), ["plot_id"])}, f"{tmp_path}/x", "2026-01-01")
+    assert tables_of("export-stored") == before
+    exports.publish({"typed": (rows, ["plot_id"])}, f"{tmp_path}/y", "2026-01-01")
+    assert "line" not in spark.read.parquet(f"file://{tables_of('export-typed')[-1]}").columns
+    [told] = spark.read.json(f"{tmp_path}/y/manifest").collect()
+    lines = [f'{{"plot_id":{i},"none":null,"empty":[],"void":"{i}"}}' for i in range(300)]
+    assert [r.value for r in spark.read.text(f"{tmp_path}/y/{told.folder}").collect()] == lines
+    sha = [hashlib.sha256(x.encode()).hexdigest() for x in lines]
+    sums = [sum(int(x[at : at + 15], 16) for x in sha) for at in (0, 15, 30, 45)]
+    assert told.n == 300 and told.digest == hashlib.sha256(":".join(map(str, [300, *sums])).encode()).hexdigest()
+
+
 def test_append_reads_the_keys_that_a_batch_asks_for(spark, tmp_path):
     rows = spark.createDataFrame([("a", 1), ("b", 2), ("b", 3), (None, 4)], "key string, n long")
     tables.append_new(rows.filter("n < 3"), f"{tmp_path}/t", "key")
